@@ -12,8 +12,6 @@ _CONTROL_AND_SPACE = "".join(chr(i) for i in range(1, 33))
 _BOUNDARY = rf"[{lx.HEADING_BOUNDARY}]|\p{{javaWhitespace}}|\z"
 _HEADING = rf"第\s*([{lx.CLAUSE_DIGITS}]+)\s*条(?={_BOUNDARY})"
 
-BLOCK_TYPE = "array<struct<canonical_id:string,sub_index:int,content:string>>"
-
 
 def trim_ws(c: Column) -> Column:
     """Strip spaces and control characters from both ends (ideographic space stays)."""
@@ -36,14 +34,23 @@ def word_tokens(c: Column) -> Column:
     return F.filter(F.split(spaced, r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def char_bigrams(c: Column) -> Column:
-    """Distinct two-character grams over letters and digits; a lone character is its own gram."""
-    s = F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{Nd}]", "")
-    n = F.length(s)
+def letters_only(c: Column) -> Column:
+    """Letters and digits of a text, the input of ``char_bigrams``."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{Nd}]", "")
+
+
+def char_bigrams(letters: Column) -> Column:
+    """Distinct two-character grams; a lone character is its own gram.
+
+    ``letters`` must be a plain column: the lambda reads it once per gram.
+    """
+    n = F.length(letters)
     return (
         F.when(n == 0, F.array().cast("array<string>"))
-        .when(n == 1, F.array(s))
-        .otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: s.substr(i, F.lit(2)))))
+        .when(n == 1, F.array(letters))
+        .otherwise(
+            F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: letters.substr(i, F.lit(2))))
+        )
     )
 
 
@@ -76,55 +83,77 @@ def accepted_starts(numbers: Column, max_jump: int = lx.MAX_HEADING_JUMP) -> Col
     return F.aggregate(F.sequence(F.lit(0), F.size(numbers) - 1), start, step, lambda acc: acc["starts"])
 
 
-def split_long_clause(clause: Column, limit: int = lx.MAX_CLAUSE_LEN) -> Column:
-    """Sub-blocks of an over-long clause.
+def long_clause_pieces(clause: Column) -> Column:
+    """First cut of an over-long clause, untrimmed.
 
-    Cuts at bracketed sub-marks when there are any (the text in front of the
-    first mark is not kept), else at sentence ends; a single piece that is
-    still too long is replaced by fixed-width cuts of the whole clause.
+    At bracketed sub-marks when there are any - the text in front of the first
+    mark is not kept - else at sentence ends.
     """
     by_mark = F.split(clause, f"(?={lx.SUB_MARK})")
     lead = F.when(clause.rlike(f"^{lx.SUB_MARK}"), 1).otherwise(2)
-    marked = F.transform(F.slice(by_mark, lead, F.greatest(F.size(by_mark), F.lit(1))), trim_ws)
-    sentences = F.filter(F.transform(F.split(clause, "[；。]"), trim_ws), lambda s: s != "")
-    pieces = F.when(clause.rlike(lx.SUB_MARK), marked).otherwise(sentences)
+    sentences = F.filter(F.split(clause, "[；。]"), lambda s: s.rlike(r"[^\x00-\x20]"))
+    return F.when(clause.rlike(lx.SUB_MARK), F.slice(by_mark, lead, F.greatest(F.size(by_mark), F.lit(1)))).otherwise(
+        sentences
+    )
+
+
+def replace_oversize(pieces: Column, clause: Column, limit: int = lx.MAX_CLAUSE_LEN) -> Column:
+    """Fixed-width cuts of the whole clause when a single piece is still too long."""
     cuts = F.transform(
         F.sequence(F.lit(0), F.floor((F.length(clause) - 1) / limit).cast("int")),
         lambda i: clause.substr(i * limit + 1, F.lit(limit)),
     )
-    oversize = (F.size(pieces) == 1) & (F.length(F.get(pieces, F.lit(0))) > limit)
-    return F.transform(F.when(oversize, cuts).otherwise(pieces), trim_ws)
+    oversize = (F.size(pieces) == 1) & (F.length(trim_ws(F.get(pieces, F.lit(0)))) > limit)
+    return F.when(oversize, cuts).otherwise(pieces)
+
+
+def split_long_clause(clause: Column) -> Column:
+    """Trimmed sub-blocks of one over-long clause."""
+    return F.transform(replace_oversize(long_clause_pieces(clause), clause), trim_ws)
 
 
-def clause_blocks(text: Column, label: Column, pieces: Column, numbers: Column, starts: Column) -> Column:
-    """Array of clause blocks from the split stages (see ``operators.clauses``)."""
+def clause_bodies(text: Column, label: Column, pieces: Column, numbers: Column, starts: Column) -> Column:
+    """``array<struct<cid, body>>``: introduction and clauses, or the whole text without headings."""
 
-    def block(cid: Column, sub: Column, content: Column) -> Column:
-        return F.struct(cid.alias("canonical_id"), sub.cast("int").alias("sub_index"), content.alias("content"))
+    def body(cid: Column, content: Column) -> Column:
+        return F.struct(cid.alias("cid"), content.alias("body"))
 
     def clause_at(start: Column, j: Column) -> Column:
         stop = F.coalesce(F.get(starts, j + 1), F.size(pieces))
-        return F.struct(
-            F.concat(label, F.lit("-第"), F.get(numbers, start).cast("string"), F.lit("条")).alias("cid"),
-            trim_ws(F.array_join(F.slice(pieces, start + 1, stop - start), "")).alias("body"),
+        return body(
+            F.concat(label, F.lit("-第"), F.get(numbers, start).cast("string"), F.lit("条")),
+            trim_ws(F.array_join(F.slice(pieces, start + 1, stop - start), "")),
         )
 
-    def blocks_of(clause: Column) -> Column:
-        return F.when(
-            F.length(clause["body"]) > lx.MAX_CLAUSE_LEN,
-            F.transform(split_long_clause(clause["body"]), lambda s, k: block(clause["cid"], k + 1, s)),
-        ).otherwise(F.array(block(clause["cid"], F.lit(0), clause["body"])))
-
     intro = trim_ws(F.get(pieces, F.lit(0)))
-    none = F.array().cast(BLOCK_TYPE)
-    intro_block = F.when(
-        F.get(numbers, F.lit(0)).isNull() & (intro != ""),
-        F.array(block(F.concat(label, F.lit(lx.INTRO_SUFFIX)), F.lit(0), intro)),
-    ).otherwise(none)
-    clauses = F.flatten(F.transform(F.transform(starts, clause_at), blocks_of))
-    whole = F.array(block(F.concat(label, F.lit(lx.WHOLE_SUFFIX)), F.lit(0), trim_ws(text)))
+    none = F.array().cast("array<struct<cid:string,body:string>>")
+    has_intro = F.get(numbers, F.lit(0)).isNull() & (intro != "")
     return (
         F.when(is_blank(text), none)
-        .when(F.size(starts) == 0, whole)
-        .otherwise(F.concat(intro_block, clauses))
+        .when(F.size(starts) == 0, F.array(body(F.concat(label, F.lit(lx.WHOLE_SUFFIX)), trim_ws(text))))
+        .otherwise(
+            F.concat(
+                F.when(has_intro, F.array(body(F.concat(label, F.lit(lx.INTRO_SUFFIX)), intro))).otherwise(none),
+                F.transform(starts, clause_at),
+            )
+        )
+    )
+
+
+def is_splittable(cid: Column, body: Column, limit: int = lx.MAX_CLAUSE_LEN) -> Column:
+    """Only real clauses are cut further; introductions and whole texts stay as they are."""
+    return (F.length(body) > limit) & ~cid.endswith(lx.INTRO_SUFFIX) & ~cid.endswith(lx.WHOLE_SUFFIX)
+
+
+def block_count(clause: Column, limit: int = lx.MAX_CLAUSE_LEN) -> Column:
+    """How many sub-blocks ``split_long_clause`` gives."""
+    pieces = long_clause_pieces(clause)
+    alone = (F.size(pieces) == 1) & (F.length(trim_ws(F.get(pieces, F.lit(0)))) > limit)
+    return F.when(alone, F.ceil(F.length(clause) / limit).cast("int")).otherwise(F.size(pieces))
+
+
+def body_sizes(bodies: Column) -> Column:
+    """Number of blocks each body is cut into."""
+    return F.transform(
+        bodies, lambda b: F.when(is_splittable(b["cid"], b["body"]), block_count(b["body"])).otherwise(F.lit(1))
     )

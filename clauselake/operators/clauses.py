@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.functions import lexicons as lx
@@ -10,45 +10,71 @@ from clauselake.functions import text as tx
 from clauselake.functions.rules import is_non_clause
 
 
-def with_blocks(docs: DataFrame, text: str, label: str) -> DataFrame:
-    """Add ``blocks``: the ordered clause blocks of each text, empty for blank text.
+def with_bodies(docs: DataFrame, text: str, label: str) -> DataFrame:
+    """Add ``bodies`` (introduction and clauses of a text) and ``sizes`` (blocks per body).
 
     Works row by row inside the scan stage, without a shuffle.  The stages are
-    separate projections because each intermediate array is used several times.
+    separate projections: each intermediate array is used several times, and
+    deeply nested lambdas make the optimizer slow.
     """
-    name = F.when(tx.is_blank(F.col(label)), F.lit("doc")).otherwise(F.col(label))
-    body = F.coalesce(F.col(text), F.lit(""))
+    c = F.col
+    name = F.when(tx.is_blank(c(label)), F.lit("doc")).otherwise(c(label))
+    body = F.coalesce(c(text), F.lit(""))
     return (
         docs.withColumn("__pieces", tx.heading_pieces(body))
         .withColumn("__numbers", F.transform("__pieces", tx.heading_number))
-        .withColumn("__starts", tx.accepted_starts(F.col("__numbers")))
-        .withColumn(
-            "blocks", tx.clause_blocks(body, name, F.col("__pieces"), F.col("__numbers"), F.col("__starts"))
-        )
+        .withColumn("__starts", tx.accepted_starts(c("__numbers")))
+        .withColumn("bodies", tx.clause_bodies(body, name, c("__pieces"), c("__numbers"), c("__starts")))
+        .withColumn("sizes", tx.body_sizes(c("bodies")))
         .drop("__pieces", "__numbers", "__starts")
     )
 
 
-def clause_count(blocks: str = "blocks"):
-    """Blocks that are real clauses, not the introduction or an unnumbered whole text."""
-    return F.size(F.filter(blocks, lambda b: ~is_non_clause(b["canonical_id"])))
+def block_total(sizes: str = "sizes") -> Column:
+    return F.aggregate(sizes, F.lit(0), lambda a, x: a + x)
 
 
-def split_clauses(docs: DataFrame, keep: list[str], text: str, label: str) -> DataFrame:
-    """One row per clause block: ``canonical_id, sub_index, chunk_index, chunk_id, content``."""
-    blocks = with_blocks(docs.select(*dict.fromkeys([*keep, text, label])), text, label)
-    return explode_blocks(blocks, keep)
+def clause_count(bodies: str = "bodies", sizes: str = "sizes") -> Column:
+    """Blocks that are real clauses, not the introduction or an unnumbered whole text."""
+    lead = F.get(F.col(bodies), F.lit(0))["cid"]
+    return block_total(sizes) - F.when(is_non_clause(lead), 1).otherwise(0)
 
 
 def explode_blocks(docs: DataFrame, keep: list[str]) -> DataFrame:
-    return docs.select(*keep, F.posexplode("blocks").alias("chunk_index", "b")).select(
+    """One row per block; ``chunk_index`` counts blocks in document order.
+
+    Outer explodes with a filter on the position: a plain explode makes the
+    optimizer infer a size check and push the whole splitting expression into
+    the scan a second time.
+    """
+    c = F.col
+    clauses = docs.select(*keep, "sizes", F.posexplode_outer("bodies").alias("at", "b")).filter("at IS NOT NULL").select(
         *keep,
-        "chunk_index",
-        F.col("b.canonical_id").alias("canonical_id"),
-        F.col("b.sub_index").alias("sub_index"),
-        chunk_id(F.col("b.canonical_id"), F.col("b.sub_index")).alias("chunk_id"),
-        F.col("b.content").alias("content"),
+        c("b.cid").alias("canonical_id"),
+        F.aggregate(F.slice("sizes", 1, c("at")), F.lit(0), lambda a, x: a + x).alias("offset"),
+        tx.is_splittable(c("b.cid"), c("b.body")).alias("long"),
+        c("b.body").alias("body"),
     )
+    parts = F.when(c("long"), tx.split_long_clause(c("body"))).otherwise(F.array("body"))
+    return (
+        clauses.select(*keep, "canonical_id", "offset", "long", F.posexplode_outer(parts).alias("k", "content"))
+        .filter("k IS NOT NULL")
+        .withColumn("sub_index", F.when(c("long"), c("k") + 1).otherwise(0).cast("int"))
+        .select(
+            *keep,
+            (c("offset") + c("k")).alias("chunk_index"),
+            "canonical_id",
+            "sub_index",
+            chunk_id(c("canonical_id"), c("sub_index")).alias("chunk_id"),
+            "content",
+        )
+    )
+
+
+def split_clauses(docs: DataFrame, keep: list[str], text: str, label: str) -> DataFrame:
+    """One row per clause block: ``chunk_index, canonical_id, sub_index, chunk_id, content``."""
+    needed = docs.select(*dict.fromkeys([*keep, text, label]))
+    return explode_blocks(with_bodies(needed, text, label), keep)
 
 
 def chunk_id(canonical_id, sub_index):

@@ -14,7 +14,9 @@ from clauselake.functions import lexicons as lx
 from clauselake.functions.text import word_tokens
 from clauselake.operators.clauses import resolve_clause_id
 from clauselake.operators.ordered import top_rows
-from clauselake.runtime import BROADCAST_ROWS, row_bound
+from clauselake.runtime import BROADCAST_ROWS, row_bound, ship_by_value
+
+ship_by_value(__name__)
 
 #: query vectors up to this many values may be shipped to every task
 BROADCAST_VALUES = 8_000_000
@@ -29,27 +31,37 @@ TERM_SALTS = 32
 def query_terms(queries: DataFrame) -> DataFrame:
     """``query_id, kb_id, term, weight`` with the count of each term in its query."""
     return (
-        queries.select("query_id", "kb_id", F.explode(word_tokens(F.col("text"))).alias("term"))
+        queries.select("query_id", "kb_id", F.explode_outer(word_tokens(F.col("text"))).alias("term"))
+        .filter("term IS NOT NULL")
         .groupBy("query_id", "kb_id", "term")
         .agg(F.count(F.lit(1)).alias("weight"))
     )
 
 
-def term_counts(tokens: Column) -> Column:
-    """``array<struct<term, tf>>`` of a token array, counted inside the row by run lengths."""
-    ordered = F.array_sort(tokens)
+def with_term_counts(df: DataFrame, tokens: str) -> DataFrame:
+    """Add ``terms``: ``array<struct<term, tf>>``, counted inside the row by run lengths.
+
+    Sorted tokens and run starts are projections of their own, because a lambda
+    evaluates whatever expression it closes over once per element.
+    """
+    ordered, starts = F.col("__ordered"), F.col("__starts")
     n = F.size(ordered)
-    starts = F.filter(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
-    )
-    runs = F.transform(
-        starts,
-        lambda at, j: F.struct(
-            F.get(ordered, at).alias("term"), (F.coalesce(F.get(starts, j + 1), n) - at).alias("tf")
-        ),
+
+    def run(at: Column, j: Column) -> Column:
+        return F.struct(F.get(ordered, at).alias("term"), (F.coalesce(F.get(starts, j + 1), n) - at).alias("tf"))
+
+    return (
+        df.withColumn("__ordered", F.sort_array(tokens))
+        .withColumn(
+            "__starts",
+            F.filter(
+                F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
+                lambda i: (n > 0) & ((i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))),
+            ),
+        )
+        .withColumn("terms", F.transform(starts, run))
+        .drop("__ordered", "__starts")
     )
-    return F.when(n > 0, runs)
 
 
 def bm25_topk(
@@ -77,9 +89,12 @@ def bm25_topk(
     corpus = sized.agg(
         F.struct(F.count_if(F.col("dl") > 0).alias("n"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avg_dl"))
     ).scalar()
-    postings = sized.select(
-        "chunk_id", "kb_id", "dl", F.explode(term_counts(F.col("tokens"))).alias("t")
-    ).select("chunk_id", "kb_id", "dl", "t.term", "t.tf")
+    postings = (
+        with_term_counts(sized, "tokens")
+        .select("chunk_id", "kb_id", "dl", F.explode_outer("terms").alias("t"))
+        .filter("t IS NOT NULL")
+        .select("chunk_id", "kb_id", "dl", "t.term", "t.tf")
+    )
     postings = postings.join(F.broadcast(vocabulary) if small else vocabulary, "term", "left_semi")
     if small:
         postings = postings.repartition("chunk_id")

@@ -52,7 +52,7 @@ def truncate_contract(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def completeness(spark: SparkSession, sf: str) -> DataFrame:
-    docs = clauses.with_blocks(inputs.CONTRACTS.frame(spark, sf), "text", "label")
+    docs = clauses.with_bodies(inputs.CONTRACTS.frame(spark, sf), "text", "label")
     counted = docs.withColumn("clause_count", clauses.clause_count())
     found = clauses.missing_elements(counted, "text", "clause_count")
     return found.select("contract_id", "clause_count", F.array_join("missing", "、").alias("missing"))

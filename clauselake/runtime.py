@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +67,8 @@ def row_bound(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only when the row count is proven to be small."""
     return F.broadcast(df) if row_bound(df, limit) else df
+
+
+def ship_by_value(module_name: str) -> None:
+    """Send a module's functions with each job, so workers need no installed copy of the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])
