@@ -141,7 +141,11 @@ def _best_pairs(q_ids, q_mat, c_ids, c_mat, k: int) -> pd.DataFrame:
     )
 
 
-_PAIRS = "query_id string, chunk_id string, score double"
+def _pairs_schema(q: DataFrame, c: DataFrame) -> str:
+    return (
+        f"query_id {q.schema['query_id'].dataType.simpleString()}, "
+        f"chunk_id {c.schema['chunk_id'].dataType.simpleString()}, score double"
+    )
 
 
 def knn_topk(queries: DataFrame, chunks: DataFrame, k: int, max_values: int = BROADCAST_VALUES) -> DataFrame:
@@ -182,7 +186,7 @@ def _knn_shipped(q: DataFrame, c: DataFrame, k: int) -> DataFrame:
                     for at in range(0, len(q_ids), step):
                         yield _best_pairs(q_ids[at : at + step], q_mat[at : at + step], c_ids, c_mat, k)
 
-    return c.mapInPandas(score, _PAIRS)
+    return c.mapInPandas(score, _pairs_schema(q, c))
 
 
 def _knn_blocks(q: DataFrame, c: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -206,7 +210,7 @@ def _knn_blocks(q: DataFrame, c: DataFrame, k: int, block_rows: int = BLOCK_ROWS
             right["chunk_id"].to_numpy(dtype=object), _unit_rows(right["vector"]), k,
         )
 
-    return q_side.groupBy(*keys).cogroup(c_side.groupBy(*keys)).applyInPandas(score, _PAIRS)
+    return q_side.groupBy(*keys).cogroup(c_side.groupBy(*keys)).applyInPandas(score, _pairs_schema(q, c))
 
 
 # ---- fusion ----------------------------------------------------------------
