@@ -229,8 +229,9 @@ def _capitals_sql() -> str:
 _ASKED = ("asked", inputs.ASKED.sql())
 _ROUTED = (
     "routed",
-    f"SELECT *, coalesce(last_value(explicit_type IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY turn ROWS UNBOUNDED PRECEDING), 'PENALTY') AS calc_type "
-    f"FROM (SELECT *, {oracle.explicit_type('text')} AS explicit_type FROM asked)",
+    "SELECT *, coalesce(last_value(explicit_type IGNORE NULLS) OVER (PARTITION BY session_id, epoch ORDER BY turn ROWS UNBOUNDED PRECEDING), 'PENALTY') AS calc_type "
+    f"FROM (SELECT *, {oracle.explicit_type('text')} AS explicit_type, sum(gap) OVER (PARTITION BY session_id ORDER BY turn) AS epoch FROM (SELECT *, "
+    "CASE WHEN ts_sec - lag(ts_sec) OVER (PARTITION BY session_id ORDER BY turn) >= 604800 THEN 1 ELSE 0 END AS gap FROM asked))",
 )
 
 QUERIES = {

@@ -336,8 +336,8 @@ _CARRY = [
 ]
 _ROUTED = (
     "routed",
-    "SELECT question_id, session_id, turn, coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY turn ROWS UNBOUNDED PRECEDING), 'PENALTY') AS calc_type "
-    f"FROM (SELECT *, {oracle.explicit_type('text')} AS x FROM asked)",
+    "SELECT question_id, session_id, turn, coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY session_id, epoch ORDER BY turn ROWS UNBOUNDED PRECEDING), 'PENALTY') AS calc_type "
+    f"FROM (SELECT *, {oracle.explicit_type('text')} AS x FROM ep)",
 )
 _AMOUNTED = (
     "amounted",
