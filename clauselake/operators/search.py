@@ -64,6 +64,10 @@ def with_term_counts(df: DataFrame, tokens: str) -> DataFrame:
     )
 
 
+def _shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def bm25_topk(
     queries: DataFrame,
     chunks: DataFrame,
@@ -97,7 +101,8 @@ def bm25_topk(
     )
     postings = postings.join(F.broadcast(vocabulary) if small else vocabulary, "term", "left_semi")
     if small:
-        postings = postings.repartition("chunk_id")
+        # a fixed count: few short posting rows turn into many matches, so they must not be coalesced
+        postings = postings.repartition(_shuffle_partitions(postings), "chunk_id")
     doc_freq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1.0 + (corpus["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = wanted.join(doc_freq, "term").select(

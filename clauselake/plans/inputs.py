@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from clauselake.runtime import spread
 from clauselake.sources.tables import read_table
 
 
@@ -25,6 +26,7 @@ class Derived:
         df = read_table(spark, folder, self.table)
         if self.where:
             df = df.filter(self.where)
+        df = spread(df, df.columns[0])
         return df.selectExpr(*[f"{e} AS {n}" for n, e in self.columns.items()])
 
     def sql(self) -> str:

@@ -91,7 +91,8 @@ def params_ctes(source: str, key: str, text: str = "text") -> list[tuple[str, st
 
 
 def money(expr: str) -> str:
-    return f"CAST(round(CAST({expr} AS DECIMAL(38,10)), 2) AS DOUBLE)"
+    # through text: the direct cast scales in floating point and moves values just below a half cent
+    return f"CAST(round(CAST(CAST(CAST({expr} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,10)), 2) AS DOUBLE)"
 
 
 def normalized_rate(rate: str, text: str) -> str:

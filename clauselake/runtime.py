@@ -69,6 +69,16 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if row_bound(df, limit) else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for a table that is stored in fewer splits than the session has cores.
+
+    Text expressions are CPU-bound, so a small file is worth one shuffle; a
+    table with enough splits is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def ship_by_value(module_name: str) -> None:
     """Send a module's functions with each job, so workers need no installed copy of the package."""
     cloudpickle.register_pickle_by_value(sys.modules[module_name])
