@@ -128,16 +128,28 @@ def post_stats(events: DataFrame, likes: DataFrame, favorites: DataFrame) -> Dat
 
 
 def category_tree(categories: DataFrame, root_name: str | None = None) -> DataFrame:
-    """Every category below a level-1 category with its depth and path of ids."""
-    start = "parent_id = 0" + ("" if root_name is None else " AND name = :root")
-    query = f"""
-        WITH RECURSIVE tree AS (
-            SELECT id AS root_id, id, name, parent_id, 1 AS depth, CAST(id AS STRING) AS path
-            FROM {{cats}} WHERE {start}
-            UNION ALL
-            SELECT t.root_id, c.id, c.name, c.parent_id, t.depth + 1, CONCAT(t.path, '/', CAST(c.id AS STRING))
-            FROM tree t JOIN {{cats}} c ON c.parent_id = t.id
+    """Every category below a level-1 category: ``root_id, id, name, parent_id, depth, path``.
+
+    One join per level; each level is written out, so depth does not lengthen
+    the plan, and a parent with very many children is spread by the lookup join.
+    """
+    c = F.col
+    roots = categories.filter(c("parent_id") == 0)
+    if root_name is not None:
+        roots = roots.filter(c("name") == root_name)
+    level = roots.select(
+        c("id").alias("root_id"), "id", "name", "parent_id", F.lit(1).alias("depth"), c("id").cast("string").alias("path")
+    )
+    children = categories.select("id", "name", "parent_id")
+    tree = level
+    while True:
+        above = level.select(c("id").alias("parent_id"), "root_id", "depth", "path")
+        level = cut_lineage(
+            lookup_join(children, above, ["parent_id"], "inner").select(
+                "root_id", "id", "name", "parent_id", (c("depth") + 1).alias("depth"),
+                F.concat("path", F.lit("/"), c("id").cast("string")).alias("path"),
+            )
         )
-        SELECT * FROM tree"""
-    args = {} if root_name is None else {"args": {"root": root_name}}
-    return categories.sparkSession.sql(query, cats=categories, **args)
+        if level.isEmpty():
+            return tree
+        tree = tree.unionByName(level)

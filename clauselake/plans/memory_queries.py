@@ -10,6 +10,7 @@ from clauselake.functions import lexicons as lx
 from clauselake.operators import answer, evaluate, profile, session
 from clauselake.operators.triage import triage as triage_op
 from clauselake.plans import inputs, oracle, review_queries, search_queries
+from clauselake.runtime import cut_lineage
 from clauselake.sources.tables import read_table
 
 NOW = review_queries.NOW
@@ -138,7 +139,7 @@ _SIGNALS = {
 
 
 def _signals(spark: SparkSession, sf: str) -> DataFrame:
-    raw = read_table(spark, sf, "events").selectExpr(*[f"{e} AS {n}" for n, e in _SIGNALS.items()], "unix_seconds(CAST(ts AS TIMESTAMP)) AS ts_sec")
+    raw = read_table(spark, sf, "events").selectExpr(*[f"{e} AS {n}" for n, e in _SIGNALS.items()], "timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) AS ts_sec")
     name = "CONCAT(' 合同', CAST(k % 12 AS STRING), CASE WHEN k % 2 = 0 THEN ' ' ELSE '' END)"
     return raw.selectExpr(
         "user_id", "seq", "ts_sec",
@@ -188,7 +189,7 @@ def _entries_sql() -> str:
 
 def recalled(spark: SparkSession, sf: str) -> DataFrame:
     questions = inputs.ASKED.frame(spark, sf).select("question_id", "user_id", "text")
-    return profile.recall_profiles(questions, profile.profile_pieces(merged(spark, sf)))
+    return profile.recall_profiles(questions, cut_lineage(merged(spark, sf)))
 
 
 def profile_recall(spark: SparkSession, sf: str) -> DataFrame:

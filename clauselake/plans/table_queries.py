@@ -185,8 +185,8 @@ def risk_points(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- engagement --------------------------------------------------------------
 def _interactions(spark: SparkSession, sf: str) -> DataFrame:
-    rows = with_timestamp(inputs.INTERACTIONS.frame(spark, sf), "ts")
-    return rows.withColumn("at", F.unix_micros("ts"))
+    rows = inputs.INTERACTIONS.frame(spark, sf)
+    return rows.withColumn("at", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)"))
 
 
 def clamped_counter(spark: SparkSession, sf: str) -> DataFrame:
