@@ -260,10 +260,19 @@ def rrf_fuse(
     )
 
 
-def with_clause_ids(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+def few_hits(queries: DataFrame, k: int) -> bool:
+    """True when ``k`` hits per query are few enough to broadcast."""
+    return row_bound(queries, BROADCAST_ROWS // k)
+
+
+def _join_chunks(hits: DataFrame, columns: DataFrame, few: bool) -> DataFrame:
+    """Look hits up in the chunk table; few hits are broadcast, so the chunk table is not shuffled."""
+    return columns.join(F.broadcast(hits) if few else hits, "chunk_id")
+
+
+def with_clause_ids(hits: DataFrame, chunks: DataFrame, few: bool = False) -> DataFrame:
     """Attach the clause id of each hit."""
-    ids = chunks.select("chunk_id", "canonical_id")
-    return hits.join(ids, "chunk_id", "left").withColumn(
+    return _join_chunks(hits, chunks.select("chunk_id", "canonical_id"), few).withColumn(
         "clause_id", resolve_clause_id(F.col("canonical_id"), F.col("chunk_id"))
     )
 
@@ -275,16 +284,17 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int, knn_enabled: bo
     kb_id, canonical_id, content, vector``.  Without vectors the lexical list
     is returned with its own scores.
     """
-    lexical = with_clause_ids(bm25_topk(queries, chunks, k), chunks)
+    few = few_hits(queries, k)
+    lexical = with_clause_ids(bm25_topk(queries, chunks, k), chunks, few)
     if not knn_enabled:
         return lexical.select(
             "query_id", "clause_id", "chunk_id", "score", "rank",
             F.lit(None).cast("int").alias("knn_rank"), F.col("rank").alias("bm25_rank"),
         )
-    nearest = with_clause_ids(knn_topk(queries, chunks, k), chunks)
+    nearest = with_clause_ids(knn_topk(queries, chunks, k), chunks, few)
     return rrf_fuse(nearest, lexical, k)
 
 
-def with_contents(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+def with_contents(hits: DataFrame, chunks: DataFrame, few: bool = False) -> DataFrame:
     """Attach the text of the chunk that brought each hit in."""
-    return hits.join(chunks.select("chunk_id", "content"), "chunk_id", "left")
+    return _join_chunks(hits, chunks.select("chunk_id", "content"), few)

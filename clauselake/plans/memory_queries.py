@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clauselake.functions import calc, rules
 from clauselake.functions import lexicons as lx
 from clauselake.operators import answer, evaluate, profile, session
+from clauselake.operators.skew import lookup_join
 from clauselake.operators.triage import triage as triage_op
 from clauselake.plans import inputs, oracle, review_queries, search_queries
 from clauselake.runtime import cut_lineage
@@ -84,7 +85,7 @@ _LONG_SQL = (
 def session_history(spark: SparkSession, sf: str) -> DataFrame:
     rounds = _rounds(spark, sf)
     counts = rounds.groupBy("session_id").agg(F.count(F.lit(1)).alias("rounds"))
-    return rounds.join(counts, "session_id").select("session_id", "id", "question", "answer", "rounds").orderBy("session_id", "ts_sec", "id")
+    return lookup_join(rounds, counts, ["session_id"]).select("session_id", "id", "ts_sec", "question", "answer", "rounds").orderBy("session_id", "ts_sec", "id").drop("ts_sec")
 
 
 def _rounds(spark: SparkSession, sf: str) -> DataFrame:

@@ -55,13 +55,14 @@ def resolve_clause_id(spark: SparkSession, sf: str) -> DataFrame:
 
 def cite_clause(spark: SparkSession, sf: str) -> DataFrame:
     chunks = inputs.statutes(spark, sf)
-    hits = search.hybrid_search(_asked_queries(spark, sf), chunks, lx.CITE_TOP_K)
-    return search.with_contents(hits, chunks).select("query_id", "rank", F.col("content").alias("text"))
+    queries = _asked_queries(spark, sf)
+    hits = search.hybrid_search(queries, chunks, lx.CITE_TOP_K)
+    return search.with_contents(hits, chunks, search.few_hits(queries, lx.CITE_TOP_K)).select("query_id", "rank", F.col("content").alias("text"))
 
 
 def eval_retrieval(spark: SparkSession, sf: str) -> DataFrame:
     queries, chunks = inputs.bench_queries(spark, sf), inputs.doc_chunks(spark, sf)
-    hits = search.with_contents(search.hybrid_search(queries, chunks, K), chunks)
+    hits = search.with_contents(search.hybrid_search(queries, chunks, K), chunks, search.few_hits(queries, K))
     texts = hits.join(queries.select("query_id", "text"), "query_id")
     gold = texts.filter(F.col("content").contains(F.col("text"))).select("query_id", "clause_id").distinct()
     return evaluate.retrieval_rates(queries, hits, gold)
@@ -81,7 +82,8 @@ def grader(hits: DataFrame) -> DataFrame:
 
 def grade_gate(spark: SparkSession, sf: str) -> DataFrame:
     chunks = inputs.statutes(spark, sf)
-    hits = search.with_contents(search.hybrid_search(_asked_queries(spark, sf), chunks, K), chunks)
+    queries = _asked_queries(spark, sf)
+    hits = search.with_contents(search.hybrid_search(queries, chunks, K), chunks, search.few_hits(queries, K))
     asked = hits.withColumn("question_id", F.col("query_id").cast("bigint"))
     return answer.grade_hits(grader(asked)).select("question_id", "clause_id", "rank", "grade", "kept")
 
