@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,9 +25,18 @@ def is_blank(c: Column) -> Column:
     return c.isNull() | ~c.rlike(r"\P{javaWhitespace}")
 
 
+def guarded_alternation(terms: list[str]) -> str:
+    """Alternation of literal terms behind a check of their first characters.
+
+    Most positions of a text fail that one check instead of every term.
+    """
+    firsts = "".join(sorted({re.escape(t[0]) for t in terms}))
+    return f"(?=[{firsts}])(?:{lx.any_of(terms)})"
+
+
 def contains_any(c: Column, terms: list[str]) -> Column:
     """True when at least one literal term occurs; null text counts as no."""
-    return F.coalesce(c.rlike(lx.any_of(terms)), F.lit(False))
+    return F.coalesce(c.rlike(guarded_alternation(terms)), F.lit(False))
 
 
 def word_tokens(c: Column) -> Column:

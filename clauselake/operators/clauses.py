@@ -103,14 +103,15 @@ def missing_elements(docs: DataFrame, text: str, clause_count: str, items=None)
     """Checklist items a whole contract lacks, as an ordered array ``missing``.
 
     Checked from two clauses on, or for unnumbered text of some length; fewer
-    than two missing items are not reported.
+    than two missing items are not reported.  A checklist entry is a name and
+    its words, separated by ``|``.
     """
     t, n = F.col(text), F.col(clause_count)
     checklist = items or lx.COMPLETENESS_ITEMS
     applies = ~tx.is_blank(t) & (
         (n >= lx.COMPLETENESS_MIN_CLAUSES) | ((n == 0) & (F.length(t) >= lx.UNNUMBERED_MIN_CHARS))
     )
-    lacking = F.array_compact(F.array(*[F.when(~t.rlike(pattern), F.lit(name)) for name, pattern in checklist]))
+    lacking = F.array_compact(F.array(*[F.when(~tx.contains_any(t, words.split("|")), F.lit(name)) for name, words in checklist]))
     return docs.withColumn("missing", F.when(applies, lacking)).withColumn(
         "missing",
         F.when(F.size("missing") >= lx.COMPLETENESS_MIN_MISSING, F.col("missing")).otherwise(

@@ -11,6 +11,7 @@ from clauselake.functions import text as tx
 from clauselake.operators import clauses, review, verdicts
 from clauselake.operators.triage import triage as triage_op
 from clauselake.plans import inputs, oracle
+from clauselake.runtime import spread
 from clauselake.sources.tables import read_table
 
 NOW = 1_704_067_200
@@ -25,7 +26,8 @@ def split_clauses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def split_long(spark: SparkSession, sf: str) -> DataFrame:
-    texts = read_table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", f"{_LONG} AS text")
+    lines = spread(read_table(spark, sf, "lineitem"), "l_orderkey")
+    texts = lines.selectExpr("l_orderkey", "l_linenumber", "l_partkey", f"{_LONG} AS text")
     pieces = texts.select(
         "l_orderkey", "l_linenumber", "l_partkey", F.posexplode(tx.split_long_clause(F.col("text"))).alias("i", "piece")
     )
@@ -100,7 +102,7 @@ def triage_sql(source: str) -> str:
 
 
 def risk_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    raws = read_table(spark, sf, "orders").selectExpr("o_orderkey", f"{_RISK_RAW} AS raw")
+    raws = spread(read_table(spark, sf, "orders"), "o_orderkey").selectExpr("o_orderkey", f"{_RISK_RAW} AS raw")
     raw = F.col("raw")
     staged = raws.withColumn("j", json_text.judgement_struct(raw))
     return staged.select(
@@ -204,7 +206,7 @@ def _clause_vectors(spark: SparkSession, sf: str):
 def reviewed(spark: SparkSession, sf: str) -> DataFrame:
     contracts = inputs.CONTRACTS.frame(spark, sf)
     return review.review_contracts(
-        contracts, inputs.statutes(spark, sf), clause_verdicts(contract_blocks(spark, sf)), _clause_vectors(spark, sf)
+        contracts, inputs.statutes(spark, sf), clause_verdicts, _clause_vectors(spark, sf)
     )
 
 

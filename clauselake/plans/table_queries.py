@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clauselake.operators import clauses, engage, letters
 from clauselake.operators.clauses import split_clauses
 from clauselake.plans import inputs, memory_queries, oracle
-from clauselake.runtime import scratch_path
+from clauselake.runtime import scratch_path, spread
 from clauselake.sources import records, sinks
 from clauselake.sources.tables import read_table, stream_table, with_timestamp
 from clauselake.streaming import jobs
@@ -178,7 +178,8 @@ _RESPONSE = (
 def risk_points(spark: SparkSession, sf: str) -> DataFrame:
     from clauselake.functions import json_text
 
-    raw = read_table(spark, sf, "orders").selectExpr("o_orderkey AS record_id", f"{_RESPONSE} AS raw")
+    orders = spread(read_table(spark, sf, "orders"), "o_orderkey")
+    raw = orders.selectExpr("o_orderkey AS record_id", f"{_RESPONSE} AS raw")
     points = raw.select("record_id", F.posexplode_outer(json_text.risk_points(F.col("raw"))).alias("pos", "p"))
     return points.filter("pos IS NOT NULL").select("record_id", "pos", "p.*")
 
@@ -221,7 +222,7 @@ _REQUEST = {
 
 
 def render_letters(spark: SparkSession, sf: str) -> DataFrame:
-    requests = read_table(spark, sf, "orders").selectExpr(*_pick(_REQUEST))
+    requests = spread(read_table(spark, sf, "orders"), "o_orderkey").selectExpr(*_pick(_REQUEST))
     templates = spark.createDataFrame([(1, "deposit_refund", _REFUND_BODY)], "template_id int, kind string, body string")
     done = letters.render_letters(requests, templates, "deposit_refund", F.lit("2024-02-03").cast("date"))
     return done.select("request_id", "letter", F.sha2("letter_base64", 256).alias("base64_digest"), "letter_bytes")
