@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauselake.llm import packing, token_files
+from clauselake.llm import line_dedup, packing, simhash, token_files
 from clauselake.llm.common import fresh_path
 
 
@@ -22,5 +22,19 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"))
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op2_packing": op2_packing}
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = line_dedup.dedup_lines(_table(spark, folder, "documents"))
+    return rows.select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, folder, "documents")).drop("cluster")
+
+
+QUERIES = {
+    "op1_token_files": op1_token_files,
+    "op2_packing": op2_packing,
+    "op6_line_dedup": op6_line_dedup,
+    "op9_simhash": op9_simhash,
+}
 ORACLES: dict[str, str] = {}
