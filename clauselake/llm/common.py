@@ -118,6 +118,16 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, *range(9, 14)]] = True
 
 
+def slice_end(data: np.ndarray, fresh: np.ndarray, at: int) -> int:
+    """End of a slice of about SLICE_BYTES from ``at``, before white space or a text's start (``fresh``)."""
+    end = min(len(data), at + SLICE_BYTES)
+    while end < len(data) and not (fresh[end] or IS_SPACE[data[end]]):
+        ahead = data[end : end + 4096]
+        stop = np.flatnonzero(IS_SPACE[ahead] | fresh[end : end + len(ahead)])
+        end += int(stop[0]) if len(stop) else len(ahead)
+    return end
+
+
 def word_table(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of all texts, with A-Z lowered.
 
@@ -130,11 +140,7 @@ def word_table(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     fresh[bounds] = True
     at = 0
     while at < len(data):
-        end = min(len(data), at + SLICE_BYTES)
-        while end < len(data) and not (fresh[end] or IS_SPACE[data[end]]):
-            ahead = data[end : end + 4096]
-            stop = np.flatnonzero(IS_SPACE[ahead] | fresh[end : end + len(ahead)])
-            end += int(stop[0]) if len(stop) else len(ahead)
+        end = slice_end(data, fresh, at)
         part = data[at:end]
         space = IS_SPACE[part]
         first = ~space

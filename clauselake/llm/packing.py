@@ -30,6 +30,8 @@ from clauselake.llm.common import staged, text_of
 WINDOW = 1024
 #: rounds of the solver
 ROUNDS = 400
+#: pieces of one Arrow batch
+ROWS = 4000
 _PIECES = T.StructType(
     [
         T.StructField("part", T.IntegerType()),
@@ -116,8 +118,14 @@ def cut(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None) ->
                     piece = ids[start : start + window]
                     out.append((part, row, doc_id, start, len(piece), tokens.crc(piece), len(ids), None if len(piece) == window else piece.tobytes()))
                     row += 1
-            types = [pa.int32(), *[pa.int64()] * 6, pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], _PIECES.names)
+                if len(out) >= ROWS:
+                    yield batch_of(out)
+                    out = []
+            yield batch_of(out)
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        types = [pa.int32(), *[pa.int64()] * 6, pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], _PIECES.names)
 
     return docs.mapInArrow(pieces, _PIECES)
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clauselake.llm import line_dedup, packing, simhash, token_files
-from clauselake.llm.common import fresh_path
+from clauselake.llm import decontaminate, line_dedup, packing, simhash, token_files, toxicity
+from clauselake.llm.common import fresh_path, in_fold
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,6 +23,16 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = toxicity.fit(docs, _table(spark, folder, "labels"))
+    rows = toxicity.score(docs.select("doc_id", "text"), model)
+    return rows.select(
+        "doc_id", in_fold(F.col("doc_id"), 3).alias("held_out"), F.col("toxicity").alias("score"),
+        toxicity.predicted().alias("predicted"), F.size("toxic_spans").alias("n_spans"), "toxic_spans",
+    )
+
+
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = line_dedup.dedup_lines(_table(spark, folder, "documents"))
     return rows.select("doc_id", "text", "n_lines", "n_removed")
@@ -31,10 +42,17 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents")).drop("cluster")
 
 
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.find(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.drop("uid")
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_packing": op2_packing,
+    "op3_toxicity": op3_toxicity,
     "op6_line_dedup": op6_line_dedup,
     "op9_simhash": op9_simhash,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLES: dict[str, str] = {}

@@ -71,10 +71,10 @@ def train_dictionary(docs: DataFrame, vocabulary: str) -> bytes:
         return b"".join(samples)[:DICTIONARY_BYTES]
 
 
-def pack_shard(doc_ids: list[int | None], arrays: list[np.ndarray], digest: bytes, compressor, width: int) -> bytes:
+def pack_shard(arrays: list[np.ndarray], digest: bytes, compressor, width: int) -> bytes:
     frames = [compressor.compress(a.astype(f"<u{width}").tobytes()) for a in arrays]
     ends = np.cumsum([0, *map(len, frames)], dtype="<u8")
-    head = MAGIC + struct.pack("<B", width) + digest + struct.pack("<I", len(doc_ids))
+    head = MAGIC + struct.pack("<B", width) + digest + struct.pack("<I", len(arrays))
     return b"".join([head, np.array([len(a) for a in arrays], "<u4").tobytes(), ends.tobytes(), *frames])
 
 
@@ -113,20 +113,25 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None)
         compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(content), write_content_size=False, write_dict_id=False)
         part, shard = TaskContext.get().partitionId(), 0
         for batch in batches:
-            doc_ids = batch.column("doc_id").to_pylist()
-            arrays = tokens.documents_ids(encoder, batch.column("text"))
-            group = np.cumsum([len(a) for a in arrays]) // SHARD_IDS
-            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(arrays)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                known = [i for i in doc_ids[a:b] if i is not None]
-                row = {
-                    "part": part, "shard": shard, "first_id": min(known, default=None), "last_id": max(known, default=None),
-                    "shard_ids": sum(map(len, arrays[a:b])), "doc_ids": doc_ids[a:b],
-                    "payload": pack_shard(doc_ids[a:b], arrays[a:b], digest, compressor, width),
-                }
-                yield pa.RecordBatch.from_pylist([row], schema=schema)
+            held: list[tuple[int | None, np.ndarray]] = []
+            size = 0
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokens.documents_ids(encoder, batch.column("text")), strict=True):
+                if held and size + len(ids) > SHARD_IDS:
+                    yield row(held, size, part, shard, compressor, width)
+                    held, size, shard = [], 0, shard + 1
+                held.append((doc_id, ids))
+                size += len(ids)
+            if held:
+                yield row(held, size, part, shard, compressor, width)
                 shard += 1
 
+    def row(held, size: int, part: int, shard: int, compressor, width: int) -> pa.RecordBatch:
+        doc_ids = [i for i, _ in held]
+        known = [i for i in doc_ids if i is not None]
+        payload = pack_shard([a for _, a in held], digest, compressor, width)
+        values = [part, shard, min(known, default=None), max(known, default=None), size, doc_ids, payload]
+        return pa.RecordBatch.from_pylist([dict(zip(schema.names, values, strict=True))], schema=schema)
+
     schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("shard_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("payload", pa.binary())])
     ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(shards, _SHARDS).write.option("compression", "uncompressed").parquet(f"{path}/shards")

@@ -11,6 +11,7 @@ import os
 import re
 import sys
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from clauselake.llm.common import ragged
 #: id appended to every document
 END = 0
 #: bytes of text whose pieces are encoded together
-GROUP_BYTES = 32 << 20
+GROUP_BYTES = 6 << 20
 #: pieces joined into one string for the library
 JOIN_PIECES = 2000
 #: repeated pieces whose ids a worker process keeps for its later batches
@@ -98,16 +99,15 @@ class Encoder:
             self.kept_lengths = np.concatenate([self.kept_lengths, each[again]])
         return pool, first, each
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of all texts and the number of ids of each; a null text is empty."""
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For consecutive runs of the texts, their flat ids and the number of ids of each; a null text is empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
         group = np.cumsum(sizes) // GROUP_BYTES
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
-        parts = [self._group(texts[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
-        if not parts:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                yield self._group(texts[a:b])
 
     def _group(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         unsafe = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False)
@@ -144,11 +144,12 @@ class Encoder:
         return out, each
 
 
-def documents_ids(encoder: Encoder, texts: pa.Array) -> list[np.ndarray]:
+def documents_ids(encoder: Encoder, texts: pa.Array) -> Iterator[np.ndarray]:
     """Ids of each text, with the end id, as little-endian unsigned 32-bit integers."""
-    flat, each = encoder.encode(texts)
-    ends = np.cumsum(each)
-    return [np.append(flat[e - n : e], np.uint32(END)).astype("<u4") for e, n in zip(ends.tolist(), each.tolist(), strict=True)]
+    for flat, each in encoder.encode(texts):
+        ends = np.cumsum(each)
+        for e, n in zip(ends.tolist(), each.tolist(), strict=True):
+            yield np.append(flat[e - n : e], np.uint32(END)).astype("<u4")
 
 
 def crc(ids: np.ndarray) -> int:
