@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselake.llm import decontaminate, line_dedup, packing, simhash, token_files, toxicity
+from clauselake.llm import decontaminate, licences, line_dedup, packing, simhash, token_files, toxicity
 from clauselake.llm.common import fresh_path, in_fold
 
 
@@ -38,6 +38,10 @@ def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op8_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(_table(spark, folder, "documents"))
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents")).drop("cluster")
 
@@ -52,7 +56,8 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
     "op6_line_dedup": op6_line_dedup,
+    "op8_licences": op8_licences,
     "op9_simhash": op9_simhash,
     "op10_decontamination": op10_decontamination,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_licences": licences.oracle()}
