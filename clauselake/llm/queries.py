@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselake.llm import decontaminate, licences, line_dedup, packing, simhash, token_files, toxicity
+from clauselake.llm import decontaminate, licences, line_dedup, packing, simhash, token_files, toxicity, vector_dedup
 from clauselake.llm.common import fresh_path, in_fold
 
 
@@ -33,6 +33,10 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_dedup.near_duplicates(_table(spark, folder, "embeddings"))
+
+
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = line_dedup.dedup_lines(_table(spark, folder, "documents"))
     return rows.select("doc_id", "text", "n_lines", "n_removed")
@@ -55,6 +59,7 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
+    "op5_vector_dedup": op5_vector_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op8_licences": op8_licences,
     "op9_simhash": op9_simhash,
