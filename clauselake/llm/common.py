@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,11 @@ def in_fold(doc_id: Column, folds: int, remainder: int = 1) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == remainder, F.lit(False))
 
 
+def small_side(df: DataFrame, limit: int) -> DataFrame:
+    """A broadcast hint when the table has at most ``limit`` rows; beyond that the join is left to a shuffle."""
+    return F.broadcast(df) if row_bound(df, limit) else df
+
+
 def row_bound(df: DataFrame, limit: int) -> bool:
     """True when the table has at most ``limit`` rows."""
     return df.select(F.lit(1)).limit(limit + 1).count() <= limit
@@ -158,6 +164,16 @@ def word_table(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), place, np.searchsorted(place, bounds)
 
 
+def bounded(batch: pa.RecordBatch, column: str = "text", limit: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about ``limit`` bytes of text, so that what is computed for a run stays small."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.large_string())), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(sizes) // limit
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start + 1, .. for each (start, length), one after the other."""
     ends = np.cumsum(lengths)

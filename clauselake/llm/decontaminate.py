@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.llm.common import (
-    BASE_INVERSE, LOWER, mix, powers, ragged, row_bound, slice_end, staged, text_buffer,
+    BASE_INVERSE, LOWER, bounded, mix, powers, ragged, row_bound, slice_end, staged, text_buffer,
 )
 
 WIDTH, COVERAGE = 5, 0.8
@@ -107,7 +107,7 @@ def window_rows(rows: DataFrame, table: np.ndarray | None) -> DataFrame:
 
     def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if table is None else np.unpackbits(table, bitorder="little").view(bool)
-        for batch in batches:
+        for batch in (part for whole in batches for part in bounded(whole)):
             code, value, first = template_tokens(batch.column("text"))
             n = np.diff(first)
             each = np.where(n >= WIDTH, n - WIDTH + 1, (n > 0).astype(np.int64))

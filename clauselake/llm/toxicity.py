@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clauselake.llm.common import in_fold
+from clauselake.llm.common import bounded, in_fold
 
 #: documents of the fitting sample, and their characters at most
 TOXIC, CLEAN, CHARACTERS = 800, 1600, 40_000
@@ -284,11 +284,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = pc.fill_null(pc.binary_length(batch.column("text").cast(pa.large_string())), 0).to_numpy(zero_copy_only=False)
-            group = np.cumsum(size) // GROUP_BYTES
-            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                part = batch.slice(a, b - a)
+            for part in bounded(batch, limit=GROUP_BYTES):
                 value, spans = score_texts(part.column("text"), model)
                 found = pa.array([[{"start": s, "end": e, "probability": q} for s, e, q in x] for x in spans], arrow)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(value), found], [*names, "toxicity", "toxic_spans"])
