@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselake.llm import decontaminate, licences, line_dedup, packing, simhash, token_files, toxicity, vector_dedup
+from clauselake.llm import (
+    decontaminate, language_model, licences, line_dedup, packing, simhash, token_counts, token_files, toxicity, vector_dedup,
+)
 from clauselake.llm.common import fresh_path, in_fold
 
 
@@ -33,6 +35,20 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Three edits a document, made from its own columns: words are taken out, its source is named inside the text,
+    and a stretch gives way to its language. Each place is in the text as the edit before left it."""
+    docs = _table(spark, folder, "documents")
+    n, source, lang = F.coalesce(F.length("text"), F.lit(0)), F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))
+    made = [
+        (1, F.floor(n / 3), F.lit(12), F.lit("")),
+        (2, F.floor(n / 2), F.lit(0), F.concat(F.lit(" "), source, F.lit(" "))),
+        (3, F.floor(3 * n / 4), F.lit(8), F.upper(lang)),
+    ]
+    log = F.array(*[F.struct(F.lit(i).cast("long").alias("edit_no"), p.cast("long").alias("place"), k.cast("long").alias("length"), r.alias("replacement")) for i, p, k, r in made])
+    return token_counts.count_with_log(docs.withColumn("log", log), "log")
+
+
 def op5_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return vector_dedup.near_duplicates(_table(spark, folder, "embeddings"))
 
@@ -42,6 +58,10 @@ def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op7_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.score(_table(spark, folder, "documents"))
+
+
 def op8_licences(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan(_table(spark, folder, "documents"))
 
@@ -59,8 +79,10 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
+    "op4_token_counts": op4_token_counts,
     "op5_vector_dedup": op5_vector_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op7_language_model": op7_language_model,
     "op8_licences": op8_licences,
     "op9_simhash": op9_simhash,
     "op10_decontamination": op10_decontamination,
