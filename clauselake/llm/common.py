@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: bytes of text whose word hashes are computed at once; bounds the memory of a task
 SLICE_BYTES = 4 << 20
@@ -64,6 +65,31 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it while the table has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by their exact names, also those with dots."""
+    return [F.col(f"`{n.replace('`', '``')}`") for n in names]
+
+
+def map_batches(df: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` for tables with any column names: ``run`` meets and makes columns by their position alone."""
+    names = [f"c{i}" for i in range(len(schema))]
+    plain = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, schema, strict=True)])
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in run(batches):
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(renamed, plain).toDF(*schema.names)
+
+
 def text_of(df: DataFrame) -> Column:
     """The text column as string, null read as empty."""
     return F.coalesce(df["text"].cast("string"), F.lit(""))
@@ -164,7 +190,7 @@ def word_table(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), place, np.searchsorted(place, bounds)
 
 
-def bounded(batch: pa.RecordBatch, column: str = "text", limit: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+def bounded(batch: pa.RecordBatch, column: str | int = "text", limit: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about ``limit`` bytes of text, so that what is computed for a run stays small."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.large_string())), 0).to_numpy(zero_copy_only=False)
     group = np.cumsum(sizes) // limit

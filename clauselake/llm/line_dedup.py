@@ -30,12 +30,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clauselake.llm.common import BASE_INVERSE, mix, powers, ragged, row_bound, staged, text_buffer, word_table
+from clauselake.llm.common import (
+    BASE_INVERSE, bounded, fresh_name, map_batches, mix, powers, quoted, ragged, small_side, staged, text_buffer, word_table,
+)
 
 #: words that a line needs for near matches
 MIN_WORDS = 10
 #: documents with candidate lines that are broadcast at most; more are joined by a shuffle
 BROADCAST_DOCUMENTS = 100_000
+#: keys (a hash or two) that are broadcast at most; more are joined by a shuffle
+BROADCAST_KEYS = 500_000
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 _LINES = "doc_id long, uid long, line int, words int, k1 long, k2 long, halves array<long>"
 _VARIANTS = "k1 long, k2 long, doc_id long, uid long, line int, place int, variant long, w binary"
@@ -75,7 +79,7 @@ def line_rows(docs: DataFrame, min_words: int) -> DataFrame:
     """A row for every line with words: its key (two hashes) and the hashes of its halves."""
 
     def lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in bounded(whole)):
             words, doc, number, first = line_words(batch.column("text"))
             power, inverse = powers(len(words)), powers(len(words) + 1, BASE_INVERSE)
             a, b = first[:-1], first[1:]
@@ -105,7 +109,7 @@ def variant_rows(docs: DataFrame) -> DataFrame:
     """Variants of the lines listed in ``wanted``: place -1 is the whole line, which also carries its word hashes."""
 
     def variants(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in bounded(whole)):
             words, doc, number, first = line_words(batch.column("text"))
             asked = batch.column("wanted")
             owner = np.repeat(np.arange(len(asked)), pc.list_value_length(asked).to_numpy(zero_copy_only=False))
@@ -161,18 +165,22 @@ def first_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = rows.groupBy("k1", "k2").agg(F.min(_place()).alias("at"), F.first("halves").alias("halves"), F.first("words").alias("words"))
     lines = staged(lines, "lines")
 
-    halves = lines.select("k1", "k2", F.explode(F.array_distinct("halves")).alias("half"))
+    halves = lines.select("k1", F.explode(F.array_distinct("halves")).alias("half"))
     shared = halves.groupBy("half").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).filter("low < high").select("half")
-    candidates = halves.join(shared, "half").select("k1", "k2").distinct()
-    wanted = lines.join(candidates, ["k1", "k2"]).select("at.*")
+    shared = staged(shared, "shared-halves")
+    candidates = staged(halves.join(small_side(shared, BROADCAST_KEYS), "half", "left_semi").select("k1").distinct(), "candidate-keys")
+    wanted = lines.join(small_side(candidates, BROADCAST_KEYS), "k1", "left_semi").select("at.*")
     wanted = staged(wanted.groupBy("doc_id", "uid").agg(F.collect_list(F.struct("line")).alias("wanted")), "candidates")
-    side = wanted.select(F.col("doc_id").alias("_d"), F.col("uid").alias("_u"), "wanted")
-    side = F.broadcast(side) if row_bound(wanted, BROADCAST_DOCUMENTS) else side
+    side = small_side(wanted.select(F.col("doc_id").alias("_d"), F.col("uid").alias("_u"), "wanted"), BROADCAST_DOCUMENTS)
     texts = docs.join(side, docs["doc_id"].eqNullSafe(F.col("_d")) & (docs["uid"] == F.col("_u")))
     # rows equal in id and text would give each variant again
     variants = staged(variant_rows(texts.select("doc_id", "uid", "text", "wanted")), "variants")
+    # most variants belong to one line alone; only the variants' hashes are shuffled to find the others
+    common = variants.groupBy("variant").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).filter("low < high").select("variant")
+    common = small_side(staged(common, "shared-variants"), BROADCAST_KEYS)
 
-    placed = variants.select("k1", "k2", "place", "variant", F.struct("doc_id", "uid", "line").alias("at"))
+    placed = variants.join(common, "variant", "left_semi").select("k1", "k2", "place", "variant", F.struct("doc_id", "uid", "line").alias("at"))
+    placed = staged(placed, "placed")
     replaced = placed.filter("place >= 0").groupBy("variant", "place").agg(F.min(F.struct("at", "k1", "k2")).alias("first"), F.count("*").alias("n"))
     later = placed.filter("place >= 0").join(replaced.filter("n > 1"), ["variant", "place"])
     pairs = later.filter("at > first.at").select("k1", "k2", F.col("first.k1").alias("e1"), F.col("first.k2").alias("e2"))
@@ -194,33 +202,37 @@ def first_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             near = pa.array([min(len(x), len(y)) >= least and within_one(x, y) for x, y in both], pa.bool_())
             yield batch.select(["k1", "k2"]).filter(near)
 
-    near = checked.mapInArrow(verify, "k1 long, k2 long").distinct()
-    return lines.join(near, ["k1", "k2"], "left_anti").select("at.*")
+    near = staged(checked.mapInArrow(verify, "k1 long, k2 long").distinct(), "near-lines")
+    return lines.join(small_side(near, BROADCAST_KEYS), ["k1", "k2"], "left_anti").select("at.*")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """All columns, ``text`` without its repeated lines, and n_lines and n_removed (lines before, lines gone)."""
-    named = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_uid", F.xxhash64("doc_id", "text"))
-    kept = first_lines(named.select(F.col("_id").alias("doc_id"), F.col("_uid").alias("uid"), "text"), min_words)
-    kept = kept.groupBy(F.col("doc_id").alias("_kd"), F.col("uid").alias("_ku")).agg(F.collect_list("line").alias("_kept"))
-    joined = named.join(kept, named["_id"].eqNullSafe(kept["_kd"]) & (named["_uid"] == kept["_ku"]), "left")
-    joined = joined.drop("_id", "_uid", "_kd", "_ku")
-    schema = T.StructType([f for f in docs.schema] + [T.StructField("n_lines", T.IntegerType()), T.StructField("n_removed", T.IntegerType())])
+    """All columns, ``text`` without its repeated lines, and n_lines and n_removed (lines before, lines gone).
 
+    Where the table has columns of these names, the new ones get underscores behind theirs.
+    """
     names = docs.columns
-
-    def rebuild(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index("text")
-        for batch in batches:
+    counts = [fresh_name(docs, "n_lines"), fresh_name(docs, "n_removed")]
+    key, uid = fresh_name(docs, "line_id"), fresh_name(docs, "line_uid")
+    named = docs.withColumn(key, F.col("doc_id").cast("long")).withColumn(uid, F.xxhash64("doc_id", "text"))
+    kept = first_lines(named.select(F.col(key).alias("doc_id"), F.col(uid).alias("uid"), F.col("text").cast("string").alias("text")), min_words)
+    held = fresh_name(named, "kept_lines")
+    kept = kept.groupBy(F.col("doc_id").alias(f"{held}_id"), F.col("uid").alias(f"{held}_uid")).agg(F.collect_list("line").alias(held))
+    joined = named.join(kept, named[key].eqNullSafe(kept[f"{held}_id"]) & (named[uid] == kept[f"{held}_uid"]), "left")
+    schema = T.StructType([*docs.schema, *[T.StructField(c, T.IntegerType()) for c in counts]])
+    at = names.index("text")
+
+    def rebuild(batches: Iterable[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+        for batch in (part for whole in batches for part in bounded(whole, at)):
             texts, before, gone = [], [], []
-            for text, kept_lines in zip(batch.column("text").to_pylist(), batch.column("_kept").to_pylist(), strict=True):
+            for text, kept_lines in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 parts, keep = (text or "").split("\n"), set(kept_lines or ())
                 stay = [p for i, p in enumerate(parts) if i in keep or not p.strip(" \t\n\x0b\x0c\r")]
                 texts.append(None if text is None else "\n".join(stay))
                 before.append(len(parts) if text is not None else 0)
                 gone.append(len(parts) - len(stay))
-            columns = [batch.column(c) for c in names]
-            columns[at] = pa.array(texts, batch.schema.field("text").type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.int32()), pa.array(gone, pa.int32())], [*names, "n_lines", "n_removed"])
+            columns = batch.columns[: len(names)]
+            columns[at] = pa.array(texts, columns[at].type)
+            yield [*columns, pa.array(before, pa.int32()), pa.array(gone, pa.int32())]
 
-    return joined.select(*names, "_kept").mapInArrow(rebuild, schema)
+    return map_batches(joined.select(*quoted([*names, held])), rebuild, schema)
