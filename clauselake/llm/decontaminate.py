@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.llm.common import (
-    BASE_INVERSE, LOWER, bounded, mix, powers, ragged, row_bound, slice_end, staged, text_buffer,
+    BASE_INVERSE, LOWER, bounded, fresh_name, mix, powers, ragged, slice_end, small_side, staged, text_buffer,
 )
 
 WIDTH, COVERAGE = 5, 0.8
@@ -149,7 +149,7 @@ def find(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> D
     named = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).withColumn("uid", _uid("id"))
     mine = window_rows(named, table)
     theirs = items.select(F.col("id").alias("item_id"), F.col("uid").alias("item_uid"), F.col("tokens").alias("item_tokens"), F.col("at").alias("item_at"), "window", F.col("slots").alias("theirs"))
-    theirs = F.broadcast(theirs) if row_bound(items, BROADCAST_WINDOWS) else theirs
+    theirs = small_side(theirs, BROADCAST_WINDOWS)
     met = mine.join(theirs, "window").filter((F.col("item_tokens") >= WIDTH) | (F.col("item_tokens") == F.col("tokens")))
     met = met.select(
         "id", "uid", "item_id", "item_uid", "item_tokens", (F.col("at") - F.col("item_at")).alias("shift"), "at", "item_at",
@@ -180,8 +180,9 @@ def find(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> D
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The documents that no benchmark item contaminates."""
-    found = staged(find(docs, benchmark, coverage).select(F.col("doc_id").alias("_bad"), F.col("uid").alias("_bad_uid")).distinct(), "contaminated")
-    side = F.broadcast(found) if row_bound(found, BROADCAST_DOCUMENTS) else found
-    uid = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
-    return docs.join(side, docs["doc_id"].cast("long").eqNullSafe(F.col("_bad")) & (uid == F.col("_bad_uid")), "left_anti")
+    """The documents that no benchmark item contaminates, with all their columns."""
+    key, uid = fresh_name(docs, "bad_id"), fresh_name(docs, "bad_uid")
+    found = find(docs, benchmark, coverage).select(F.col("doc_id").alias(key), F.col("uid").alias(uid)).distinct()
+    side = small_side(staged(found, "contaminated"), BROADCAST_DOCUMENTS)
+    own = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+    return docs.join(side, docs["doc_id"].cast("long").eqNullSafe(F.col(key)) & (own == F.col(uid)), "left_anti")

@@ -12,7 +12,7 @@ a tile returns one link for each class, not its pairs, so the output stays linea
 
 Cases: a null or blank text has fingerprint zero and links like any other; a null doc_id takes part (its group's
 smallest known id counts, null when there is none); repeated rows share their class; an empty table gives an empty
-result; further columns are ignored.
+result; further columns are ignored, and ``keep_one`` returns them as they are.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from clauselake.llm.common import LOWER, staged, text_of
+from clauselake.llm.common import LOWER, fresh_name, map_batches, quoted, staged, text_of
 from clauselake.llm.graph import components, local_star, whole_groups
 
 SHINGLE, SEED, BOUND = 3, 42, 3
@@ -61,18 +62,17 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The kept columns and ``bits``: the fingerprint as a signed long."""
-    rows = docs.select(*keep, text_of(docs).alias("_text"))
-    schema = rows.drop("_text").withColumn("bits", F.lit(0).cast("long")).schema
+def fingerprints(docs: DataFrame, keep: list[str], bits: str = "bits") -> DataFrame:
+    """The kept columns and, as a signed long, the fingerprint of ``text``."""
+    rows = docs.select(*quoted(keep), text_of(docs).alias(fresh_name(docs, "text_")))
+    schema = T.StructType([*rows.schema[:-1], T.StructField(bits, T.LongType())])
 
-    def compute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compute(batches: Iterable[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         for batch in batches:
-            bits = np.array([fingerprint(t.as_py()) for t in batch.column("_text")], np.uint64).view(np.int64)
-            columns = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(bits)], [*keep, "bits"])
+            found = np.array([fingerprint(t.as_py()) for t in batch.column(len(keep))], np.uint64).view(np.int64)
+            yield [*batch.columns[:-1], pa.array(found)]
 
-    return rows.mapInArrow(compute, schema)
+    return map_batches(rows, compute, schema)
 
 
 def pivot_coordinates(bits: Column) -> Column:
@@ -146,17 +146,17 @@ def grouped(rows: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without their near-duplicates: of each group the row with the smallest doc_id stays."""
-    columns = docs.columns
-    named = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    rows = staged(fingerprints(named, [*columns, "_id"]), "documents-with-fingerprints")
-    groups = grouped(rows.select(F.col("_id").alias("doc_id"), "bits"))
+    """The documents without their near-duplicates: of each group one row with the smallest doc_id stays."""
+    columns, key = docs.columns, fresh_name(docs, "simhash_id")
+    named = docs.withColumn(key, F.col("doc_id").cast("long"))
+    bits = fresh_name(named, "simhash_bits")
+    rows = staged(fingerprints(named, [*columns, key], bits), "documents-with-fingerprints")
+    groups = grouped(rows.select(F.col(key).alias("doc_id"), F.col(bits).alias("bits")))
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = kept.groupBy("cluster").agg(F.min(F.struct("doc_id", "fingerprint")).alias("k"), F.count("*").alias("n"))
-    kept = kept.select(F.col("k.doc_id").alias("_id"), F.conv("k.fingerprint", 16, -10).cast("long").alias("bits"), "n")
+    kept = kept.select(F.col("k.doc_id").alias("kept_id"), F.conv("k.fingerprint", 16, -10).cast("long").alias("kept_bits"), "n")
     kept = staged(kept, "kept")
-    same = rows["_id"].eqNullSafe(kept["_id"]) & (rows["bits"] == kept["bits"])
-    out = rows.join(kept, same, "left_semi")
+    out = rows.join(kept, rows[key].eqNullSafe(kept["kept_id"]) & (rows[bits] == kept["kept_bits"]), "left_semi")
     if kept.filter("n > 1").limit(1).count():  # repeated rows: equal in id and fingerprint
-        out = out.dropDuplicates(["_id", "bits"])
-    return out.select(*columns)
+        out = out.dropDuplicates([key, bits])
+    return out.select(*quoted(columns))

@@ -26,11 +26,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clauselake.llm.common import bounded, in_fold
+from clauselake.llm.common import bounded, fresh_name, in_fold, map_batches
 
 #: documents of the fitting sample, and their characters at most
 TOXIC, CLEAN, CHARACTERS = 800, 1600, 40_000
@@ -276,23 +276,26 @@ def score_texts(texts: pa.Array, model: Model) -> tuple[np.ndarray, list[list[tu
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns, and ``toxicity`` (double) and ``toxic_spans`` of the whole text."""
-    names = docs.columns
+    """All columns, and behind them ``toxicity`` (double) and ``toxic_spans`` of the whole text.
+
+    Where the table has columns of these names, the new ones get underscores behind theirs.
+    """
+    names, new = docs.columns, [fresh_name(docs, "toxicity"), fresh_name(docs, "toxic_spans")]
+    at = names.index("text")
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("probability", T.DoubleType())])
-    schema = T.StructType([*docs.schema, T.StructField("toxicity", T.DoubleType()), T.StructField("toxic_spans", T.ArrayType(span))])
+    schema = T.StructType([*docs.schema, T.StructField(new[0], T.DoubleType()), T.StructField(new[1], T.ArrayType(span))])
     arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         for batch in batches:
-            for part in bounded(batch, limit=GROUP_BYTES):
-                value, spans = score_texts(part.column("text"), model)
+            for part in bounded(batch, at, GROUP_BYTES):
+                value, spans = score_texts(part.column(at), model)
                 found = pa.array([[{"start": s, "end": e, "probability": q} for s, e, q in x] for x in spans], arrow)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(value), found], [*names, "toxicity", "toxic_spans"])
-
-    return docs.mapInArrow(run, schema)
+                yield [*part.columns, pa.array(value), found]
 
+    return map_batches(docs, run, schema)
 
-def predicted(value: float = THRESHOLD):
-    """Column: 1 where the score reaches the threshold."""
-    return (F.col("toxicity") >= value).cast("int")
 
+def predicted(score_column: str = "toxicity", value: float = THRESHOLD) -> Column:
+    """1 where the score reaches the threshold."""
+    return (F.col(score_column) >= value).cast("int")

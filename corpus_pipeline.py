@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauselake.llm import decontaminate, line_dedup, packing, simhash, toxicity
-from clauselake.llm.common import staged
+from clauselake.llm.common import quoted, staged
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents whose toxicity is below the threshold."""
     model = toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
-    return toxicity.score(docs, model).filter(toxicity.predicted() == 0).select(*docs.columns)
+    scored = toxicity.score(docs, model)
+    return scored.filter(toxicity.predicted(scored.columns[-2]) == 0).select(*quoted(docs.columns))
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -25,8 +26,8 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) ->
     cleaned = line_dedup.dedup_lines(docs)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
-    return cleaned.select(*docs.columns)
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col(cleaned.columns[-1]) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
+    return cleaned.select(*quoted(docs.columns))
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
