@@ -15,9 +15,41 @@ PENALTY = "PENALTY"
 LOAN_INTEREST = "LOAN_INTEREST"
 
 
-def money(c: Column) -> Column:
-    """Two decimals, half up, taken on the decimal reading of the double."""
-    return F.round(c.cast("decimal(38,10)"), 2).cast("double")
+#: doubles from here on hold no cents that could be rounded
+_NO_CENTS = 1e13
+#: 2**27 + 1 splits a double into two halves whose products are exact
+_SPLIT = 134217729.0
+
+
+def cents_half_up(c: Column) -> Column:
+    """Two decimals, half up on the exact binary value, as a decimal made from the double is rounded.
+
+    The product with 100 is taken exactly as a double and its error, so a value
+    just below a half cent stays below.  Null for infinite values.
+    """
+
+    def rounded(x: Column) -> Column:
+        a = F.abs(x)
+        cents = a * 100.0
+        high = a * _SPLIT - (a * _SPLIT - a)
+        error = (high * 100.0 - cents) + (a - high) * 100.0
+        whole = F.floor(cents).cast("double")
+        part = cents - whole
+        up = F.when((part > 0.5) | ((part == 0.5) & (error >= 0)), 1.0).otherwise(0.0)
+        exact = (whole + up) / 100.0 * F.when(x < 0, -1.0).otherwise(1.0)
+        return F.when(a < _NO_CENTS, exact).when(a < float("inf"), x)
+
+    return F.get(F.transform(F.array(c), rounded), F.lit(0))  # the value is computed once
+
+
+def cents_nearest(c: Column) -> Column:
+    """Two decimals as the nearest whole number of hundredths in floating point.  Null for infinite values."""
+
+    def rounded(x: Column) -> Column:
+        nearest = F.floor(x * 100.0 + 0.5).cast("double") / 100.0
+        return F.when(F.abs(x) < _NO_CENTS, nearest).when(F.abs(x) < float("inf"), x)
+
+    return F.get(F.transform(F.array(c), rounded), F.lit(0))
 
 
 def explicit_calc_type(text: Column) -> Column:
@@ -46,7 +78,7 @@ def normalize_rate(rate: Column, context: Column) -> Column:
 
 
 def penalty_amount(principal: Column, rate: Column, days: Column, context: Column) -> Column:
-    amount = money(principal * (normalize_rate(rate, context) / 1000.0) * days)
+    amount = cents_half_up(principal * (normalize_rate(rate, context) / 1000.0) * days)
     return F.when((principal >= 0) & (days >= 0), amount)
 
 
@@ -62,7 +94,7 @@ def interest_amount(
         raw = principal * (F.pow(F.lit(1.0) + annual / 365.0, days) - 1.0)
     else:
         raw = principal * annual * (days / 365.0)
-    return F.when((principal >= 0) & (days >= 0), money(raw))
+    return F.when((principal >= 0) & (days >= 0), cents_nearest(raw))
 
 
 def penalty_formula(principal: Column, rate: Column, days: Column, context: Column) -> Column:

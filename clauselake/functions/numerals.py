@@ -102,7 +102,7 @@ def money_capitals(amount: Column) -> Column:
 
     Zeros between two groups of four are not spelled, only zeros inside a group.
     """
-    value = F.coalesce(amount, F.lit(0)).cast("decimal(18,2)")
+    value = F.coalesce(amount, F.lit(0)).try_cast("decimal(18,2)")
     plain = F.abs(value).cast("string")
     integer = F.substring_index(plain, ".", 1)
     cents = F.substring_index(plain, ".", -1)

@@ -21,28 +21,21 @@ PER_TEN_THOUSAND = "万分之([0-9零一二三四五六七八九十半两])"
 PER_THOUSAND = "千分之([0-9零一二三四五六七八九十半两])"
 PERCENT_RATE = rf"(?:日)?利率[^%]*?({NUM})\s*%"
 
-_AMOUNTS_TYPE = "array<struct<priority:int,pos:int,value:double>>"
+_AMOUNT_TYPE = "struct<priority:int,pos:int,value:double>"
 
 
-def _amounts(text: Column, pattern: str, order: int, value_of) -> Column:
-    """Every match of ``pattern`` with its context class.
+def _first_amount(text: Column, pattern: str, order: int, value_of) -> Column:
+    """The match of ``pattern`` that ranks first by its context class, then by its place.
 
-    The text between matches plus the matches themselves give exact positions,
-    so no per-row Python is needed.
+    Matches and the text between them are split out once; one pass over both
+    carries the position, so the work grows with the number of matches.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern)
+    steps = F.arrays_zip(F.split(text, pattern).alias("gap"), found.alias("hit"))
 
-    def length_upto(i: Column) -> Column:
-        return F.aggregate(
-            F.transform(F.slice(found, 1, i), F.length), F.lit(0), lambda a, x: a + x
-        ) + F.aggregate(F.transform(F.slice(gaps, 1, i + 1), F.length), F.lit(0), lambda a, x: a + x)
-
-    def amount(hit: Column, i: Column) -> Column:
-        start = length_upto(i)
+    def amount(hit: Column, start: Column, i: Column) -> Column:
         first = F.greatest(start - lx.CONTEXT_WINDOW, F.lit(0))
-        last = start + F.length(hit) + lx.CONTEXT_WINDOW
-        context = text.substr(first + 1, last - first)
+        context = text.substr(first + 1, start + F.length(hit) + lx.CONTEXT_WINDOW - first)
         priority = (
             F.when(contains_any(context, lx.EXCLUDED_CONTEXT), 2)
             .when(contains_any(context, lx.PRINCIPAL_CONTEXT), 0)
@@ -54,7 +47,17 @@ def _amounts(text: Column, pattern: str, order: int, value_of) -> Column:
             value_of(hit).alias("value"),
         )
 
-    return F.when(text.rlike(pattern), F.transform(found, amount)).otherwise(F.array().cast(_AMOUNTS_TYPE))
+    def step(s: Column, x: Column) -> Column:
+        start = s["end"] + F.length(x["gap"])
+        seen = F.when(x["hit"].isNotNull(), amount(x["hit"], start, s["i"]))
+        return F.struct(
+            (start + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("end"),
+            (s["i"] + 1).alias("i"),
+            F.when(s["best"].isNull() | (seen < s["best"]), seen).otherwise(s["best"]).alias("best"),
+        )
+
+    zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("i"), F.lit(None).cast(_AMOUNT_TYPE).alias("best"))
+    return F.when(text.rlike(pattern), F.aggregate(steps, zero, step, lambda s: s["best"]))
 
 
 def principal(text: Column) -> Column:
@@ -66,13 +69,13 @@ def principal(text: Column) -> Column:
 
     def scaled(hit: Column) -> Column:
         unit = F.when(hit.endswith("亿"), F.lit(1e8)).otherwise(F.lit(1e4))
-        return F.regexp_extract(hit, f"^({NUM})", 1).cast("double") * unit
+        return F.regexp_extract(hit, f"^({NUM})", 1).try_cast("double") * unit
 
     def plain(hit: Column) -> Column:
-        return F.regexp_extract(hit, f"^({NUM})", 1).cast("double")
+        return F.regexp_extract(hit, f"^({NUM})", 1).try_cast("double")
 
     best = F.array_min(
-        F.concat(_amounts(text, WAN_YI, 0, scaled), _amounts(text, YUAN, 1_000_000, plain))
+        F.array(_first_amount(text, WAN_YI, 0, scaled), _first_amount(text, YUAN, 1_000_000, plain))
     )["value"]
     fallback = F.regexp_extract(text, PRINCIPAL_FALLBACK, 1).try_cast("double")
     return F.when(text.rlike(r"\d"), F.coalesce(best, fallback))
@@ -90,8 +93,8 @@ def overdue_days(text: Column) -> Column:
         .when(text.contains("半年"), 180)
         .when(text.contains("一个半月"), 45)
         .when(text.contains("两个月"), 60)
-        .when(text.rlike(MONTHS), first_int(MONTHS) * 30)
-        .when(text.rlike(YEARS), first_int(YEARS) * 365)
+        .when(text.rlike(MONTHS), F.try_multiply(first_int(MONTHS), F.lit(30)))
+        .when(text.rlike(YEARS), F.try_multiply(first_int(YEARS), F.lit(365)))
         .cast("int")
     )
 

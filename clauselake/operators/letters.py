@@ -58,11 +58,11 @@ class _Request:
         return F.when(is_blank(c), F.lit(default)).otherwise(c)
 
     def amount(self, name: str) -> Column:
-        c = self.col(name, "decimal(18,2)").cast("decimal(18,2)")
+        c = self.col(name, "decimal(18,2)").try_cast("decimal(18,2)")
         return F.coalesce(c.cast("string"), F.lit(NO_AMOUNT))
 
     def capitals(self, name: str) -> Column:
-        c = self.col(name, "decimal(18,2)").cast("decimal(18,2)")
+        c = self.col(name, "decimal(18,2)").try_cast("decimal(18,2)")
         given = self.col(name + "Chinese")
         spelled = F.when(c.isNotNull(), money_capitals(c)).otherwise(F.lit(NO_CAPITALS))
         return F.when(is_blank(given), spelled).otherwise(given)

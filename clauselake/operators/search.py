@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +18,7 @@ from clauselake.functions import lexicons as lx
 from clauselake.functions.text import word_tokens
 from clauselake.operators.clauses import resolve_clause_id
 from clauselake.operators.ordered import top_rows
-from clauselake.runtime import BROADCAST_ROWS, row_bound, ship_by_value
+from clauselake.runtime import BROADCAST_ROWS, row_bound, ship_by_value, written
 
 ship_by_value(__name__)
 
@@ -22,9 +26,10 @@ ship_by_value(__name__)
 BROADCAST_VALUES = 8_000_000
 #: scores held in memory at once while one batch is compared
 SCORES_PER_BLOCK = 8_000_000
-#: rows of one matrix block when both sides are large
-BLOCK_ROWS = 2_000
-TERM_SALTS = 32
+#: the same for lexical scores, which need their term matches beside them
+SCORES_PER_LEXICAL_BLOCK = 1_000_000
+#: hits of a partition held before they are cut to the best of each query
+KEPT_ROWS = 500_000
 
 
 # ---- lexical ---------------------------------------------------------------
@@ -64,13 +69,58 @@ def with_term_counts(df: DataFrame, tokens: str) -> DataFrame:
     )
 
 
-def _shuffle_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+@dataclass(frozen=True)
+class LexicalIndex:
+    """Terms of every chunk, written once: the searches read this table and never the texts."""
+
+    terms: DataFrame  # chunk_id, kb_id, dl, terms (array of term and tf)
+    doc_freq: DataFrame  # term, df
+    chunks: int
+    avg_dl: float
+
+
+def lexical_index(chunks: DataFrame) -> LexicalIndex:
+    """Tokenise ``chunks`` (``chunk_id, kb_id, content``) once and keep terms, document frequencies and lengths."""
+    spark = chunks.sparkSession
+    sized = chunks.select("chunk_id", "kb_id", word_tokens(F.col("content")).alias("tokens"))
+    sized = sized.withColumn("dl", F.size("tokens")).filter("dl > 0")
+    counted = with_term_counts(sized, "tokens").select("chunk_id", "kb_id", "dl", "terms")
+    terms = written(counted, "terms")
+    freq = terms.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    freq = written(freq, "doc-freq")
+    n, average = terms.agg(F.count(F.lit(1)), F.avg("dl")).first()
+    return LexicalIndex(terms, freq, n, average or 1.0)
+
+
+def _slices(queries: DataFrame, rows: int, limit: int) -> list[Column]:
+    """Conditions that cut the queries into sets of about ``limit`` of their ``rows``."""
+    n = max(1, math.ceil(rows / max(1, limit)))
+    return [F.pmod(F.xxhash64("query_id"), F.lit(n)) == i for i in range(n)]
+
+
+def _best(frames: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    """The first ``k`` rows of each query: highest score, ties by chunk id."""
+    rows = pd.concat(frames, ignore_index=True)
+    rows = rows.sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True], kind="stable")
+    return rows.groupby("query_id", sort=False).head(k)
+
+
+def _running_best(blocks: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """One bounded result for a whole partition, whatever the number of its blocks."""
+    held, rows = [], 0
+    for block in blocks:
+        held.append(block)
+        rows += len(block)
+        if rows > KEPT_ROWS:
+            held = [_best(held, k)]
+            rows = -len(held[0])  # the next reduction comes after as many new rows
+    if held:
+        yield _best(held, k)
 
 
 def bm25_topk(
     queries: DataFrame,
-    chunks: DataFrame,
+    chunks: DataFrame | LexicalIndex,
     k: int,
     k1: float = lx.BM25_K1,
     b: float = lx.BM25_B,
@@ -79,51 +129,69 @@ def bm25_topk(
     """Best ``k`` chunks per query: ``query_id, chunk_id, score, rank``.
 
     Statistics cover the whole chunk table, the ``kb_id`` filter applies to the
-    hits.  Terms are counted inside each chunk row and cut to the query
-    vocabulary, so the only corpus shuffle - by chunk - moves short rows of
-    matching terms.  Scores are then added up inside that partitioning, and the
-    top-k limit drops rows before the final shuffle.
+    hits.  A set of query terms of checked size is shipped to the tasks that
+    scan the index; each scores its chunks in sparse products and returns at
+    most ``k`` rows a query for its whole partition, so neither the corpus nor
+    query-chunk pairs are shuffled.  More queries run in several such sets.
     """
-    wanted = query_terms(queries)
-    small = row_bound(wanted, limit)
-    vocabulary = wanted.select("term").distinct()
-    sized = chunks.select("chunk_id", "kb_id", word_tokens(F.col("content")).alias("tokens")).withColumn(
-        "dl", F.size("tokens")
-    )
-    corpus = sized.agg(
-        F.struct(F.count_if(F.col("dl") > 0).alias("n"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avg_dl"))
-    ).scalar()
-    postings = (
-        with_term_counts(sized, "tokens")
-        .select("chunk_id", "kb_id", "dl", F.explode_outer("terms").alias("t"))
-        .filter("t IS NOT NULL")
-        .select("chunk_id", "kb_id", "dl", "t.term", "t.tf")
-    )
-    postings = postings.join(F.broadcast(vocabulary) if small else vocabulary, "term", "left_semi")
-    if small:
-        # a fixed count: few short posting rows turn into many matches, so they must not be coalesced
-        postings = postings.repartition(_shuffle_partitions(postings), "chunk_id")
-    doc_freq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1.0 + (corpus["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = wanted.join(doc_freq, "term").select(
-        "query_id", "kb_id", "term", (idf * F.col("weight")).alias("boost")
-    )
-    if small:
-        matches = postings.join(F.broadcast(terms), ["term", "kb_id"])
-    else:
-        salted = postings.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(TERM_SALTS)).cast("int"))
-        spread = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))))
-        matches = salted.join(spread, ["term", "kb_id", "salt"])
-    tf = F.col("tf")
-    saturation = tf / (tf + k1 * (1.0 - b + b * F.col("dl") / corpus["avg_dl"]))
-    scores = matches.groupBy("chunk_id", "query_id").agg(
-        F.round(F.sum(F.col("boost") * saturation), 6).alias("score")
-    )
-    return top_rows(scores, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k).select(
+    index = chunks if isinstance(chunks, LexicalIndex) else lexical_index(chunks)
+    wanted = query_terms(queries).join(index.doc_freq, "term")
+    idf = F.log(1.0 + (F.lit(float(index.chunks)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    wanted = wanted.select("query_id", "kb_id", "term", (idf * F.col("weight")).alias("boost"))
+    total = wanted.count() if not row_bound(wanted, limit) else limit
+    scored = [_lexical_scores(wanted.filter(part), index, k, k1, b) for part in _slices(wanted, total, limit)]
+    return top_rows(functools.reduce(DataFrame.unionByName, scored), ["query_id"], [F.desc("score"), F.asc("chunk_id")], k).select(
         "query_id", "chunk_id", "score", "rank"
     )
 
 
+def _lexical_scores(wanted: DataFrame, index: LexicalIndex, k: int, k1: float, b: float) -> DataFrame:
+    by_kb = {}
+    for kb, rows in wanted.toPandas().groupby("kb_id"):  # size checked by the caller
+        ids, query = np.unique(rows["query_id"].to_numpy(dtype=object), return_inverse=True)
+        terms, term = np.unique(rows["term"].to_numpy(dtype=object), return_inverse=True)
+        order = np.argsort(term, kind="stable")
+        ends = np.cumsum(np.bincount(term, minlength=len(terms)))
+        by_kb[kb] = (ids, terms.tolist(), np.concatenate([[0], ends]), query[order], rows["boost"].to_numpy()[order])
+    shipped = index.terms.sparkSession.sparkContext.broadcast(by_kb)
+    average = index.avg_dl
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            kbs = batch.column("kb_id").to_pandas()
+            for kb, at in kbs.groupby(kbs).groups.items():
+                if kb in shipped.value:
+                    ids = shipped.value[kb][0]
+                    step = max(1, SCORES_PER_LEXICAL_BLOCK // len(ids))
+                    for i in range(0, len(at), step):
+                        found = score(batch.take(pa.array(at[i : i + step])), *shipped.value[kb])
+                        if len(found):
+                            yield found
+
+    def score(rows: pa.RecordBatch, ids, vocabulary, ends, query, boost) -> pd.DataFrame:
+        lists = rows.column("terms")
+        flat = lists.flatten()
+        known = pc.index_in(flat.field("term"), value_set=pa.array(vocabulary)).fill_null(-1).to_numpy(zero_copy_only=False)
+        chunk = np.repeat(np.arange(rows.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        hit = known >= 0
+        term, chunk, tf = known[hit], chunk[hit], flat.field("tf").to_numpy(zero_copy_only=False)[hit]
+        dl = rows.column("dl").to_numpy(zero_copy_only=False)[chunk]
+        saturation = tf / (tf + k1 * (1.0 - b + b * dl / average))
+        each = ends[term + 1] - ends[term]
+        last = np.cumsum(each)
+        entry = np.arange(last[-1] if len(last) else 0) + np.repeat(ends[term] - (last - each), each)
+        pair = query[entry] * rows.num_rows + np.repeat(chunk, each)
+        scores = np.bincount(pair, boost[entry] * np.repeat(saturation, each), len(ids) * rows.num_rows)
+        found = _best_pairs(ids, scores.reshape(len(ids), -1), rows.column("chunk_id").to_pandas().to_numpy(dtype=object), k)
+        return found[found["score"] > 0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for best in _running_best(blocks(batches), k):
+            yield pa.RecordBatch.from_pandas(best, preserve_index=False)
+
+    return index.terms.mapInArrow(run, _pairs_schema(wanted, index.terms))
+
+
 # ---- vectors ---------------------------------------------------------------
 def _unit_rows(vectors) -> np.ndarray:
     m = np.asarray(list(vectors), dtype=np.float64)
@@ -131,9 +199,9 @@ def _unit_rows(vectors) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def _best_pairs(q_ids, q_mat, c_ids, c_mat, k: int) -> pd.DataFrame:
+def _best_pairs(q_ids, scores: np.ndarray, c_ids, k: int) -> pd.DataFrame:
     """Top ``k`` chunks of one block for each query, ties by chunk id."""
-    scores = np.round((1.0 + q_mat @ c_mat.T) / 2.0, 6)
+    scores = np.round(scores, 6)
     by_id = np.argsort(c_ids, kind="stable")
     scores, c_sorted = scores[:, by_id], c_ids[by_id]
     take = np.argsort(-scores, axis=1, kind="stable")[:, :k]
@@ -156,32 +224,28 @@ def _pairs_schema(q: DataFrame, c: DataFrame) -> str:
 def knn_topk(queries: DataFrame, chunks: DataFrame, k: int, max_values: int = BROADCAST_VALUES) -> DataFrame:
     """Exact cosine top ``k`` inside the query's ``kb_id``; score is ``(1 + cos) / 2``.
 
-    A query set of checked size is shipped to the tasks that scan the chunks:
-    no corpus shuffle, and each Arrow batch returns at most ``k`` rows per
-    query.  A larger query set is cut into matrix blocks on both sides that
-    meet by equi-join; that path is exact as well.
+    Query sets of checked size are shipped to the tasks that scan the chunks:
+    no corpus shuffle, and each partition returns at most ``k`` rows a query.
+    More queries run in several such sets; that is exact as well.
     """
     q = queries.filter(F.col("vector").isNotNull()).select("query_id", "kb_id", "vector")
     c = chunks.filter(F.col("vector").isNotNull()).select("chunk_id", "kb_id", "vector")
-    first = q.select(F.size("vector").alias("dim")).head()
-    dim = max(1, first["dim"]) if first else 1
-    if row_bound(q, max_values // dim):
-        best = _knn_shipped(q, c, k)
-    else:
-        best = _knn_blocks(q, c, k)
-    return top_rows(best, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k).select(
+    rows, dim = q.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    limit = max(1, max_values // max(1, dim or 1))
+    scored = [_vector_scores(q.filter(part), c, k) for part in _slices(q, rows, limit)]
+    return top_rows(functools.reduce(DataFrame.unionByName, scored), ["query_id"], [F.desc("score"), F.asc("chunk_id")], k).select(
         "query_id", "chunk_id", "score", "rank"
     )
 
 
-def _knn_shipped(q: DataFrame, c: DataFrame, k: int) -> DataFrame:
+def _vector_scores(q: DataFrame, c: DataFrame, k: int) -> DataFrame:
     local = q.toPandas()  # size checked by the caller
     by_kb = {
         kb: (g["query_id"].to_numpy(dtype=object), _unit_rows(g["vector"])) for kb, g in local.groupby("kb_id")
     }
     shipped = q.sparkSession.sparkContext.broadcast(by_kb)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for kb, rows in batch.groupby("kb_id"):
                 if kb in shipped.value:
@@ -189,33 +253,12 @@ def _knn_shipped(q: DataFrame, c: DataFrame, k: int) -> DataFrame:
                     c_ids, c_mat = rows["chunk_id"].to_numpy(dtype=object), _unit_rows(rows["vector"])
                     step = max(1, SCORES_PER_BLOCK // len(c_ids))
                     for at in range(0, len(q_ids), step):
-                        yield _best_pairs(q_ids[at : at + step], q_mat[at : at + step], c_ids, c_mat, k)
-
-    return c.mapInPandas(score, _pairs_schema(q, c))
-
+                        yield _best_pairs(q_ids[at : at + step], (1.0 + q_mat[at : at + step] @ c_mat.T) / 2.0, c_ids, k)
 
-def _knn_blocks(q: DataFrame, c: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    def blocks(df: DataFrame) -> int:
-        return max(1, math.ceil(df.count() / block_rows))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _running_best(blocks(batches), k)
 
-    n_q, n_c = blocks(q), blocks(c)
-
-    def bucket(col: str, n: int):
-        return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
-
-    q_side = q.withColumn("qb", bucket("query_id", n_q)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
-    c_side = c.withColumn("cb", bucket("chunk_id", n_c)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-    keys = ["kb_id", "qb", "cb"]
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-        return _best_pairs(
-            left["query_id"].to_numpy(dtype=object), _unit_rows(left["vector"]),
-            right["chunk_id"].to_numpy(dtype=object), _unit_rows(right["vector"]), k,
-        )
-
-    return q_side.groupBy(*keys).cogroup(c_side.groupBy(*keys)).applyInPandas(score, _pairs_schema(q, c))
+    return c.mapInPandas(run, _pairs_schema(q, c))
 
 
 # ---- fusion ----------------------------------------------------------------
@@ -277,15 +320,18 @@ def with_clause_ids(hits: DataFrame, chunks: DataFrame, few: bool = False) -> Da
     )
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int, knn_enabled: bool = True) -> DataFrame:
+def hybrid_search(
+    queries: DataFrame, chunks: DataFrame, k: int, knn_enabled: bool = True, index: LexicalIndex | None = None
+) -> DataFrame:
     """Fused retrieval: ``query_id, clause_id, chunk_id, score, rank, knn_rank, bm25_rank``.
 
     ``queries``: ``query_id, kb_id, text, vector``; ``chunks``: ``chunk_id,
     kb_id, canonical_id, content, vector``.  Without vectors the lexical list
-    is returned with its own scores.
+    is returned with its own scores.  ``index`` is the lexical index of the
+    chunks; searches that follow one another share it.
     """
     few = few_hits(queries, k)
-    lexical = with_clause_ids(bm25_topk(queries, chunks, k), chunks, few)
+    lexical = with_clause_ids(bm25_topk(queries, index or chunks, k), chunks, few)
     if not knn_enabled:
         return lexical.select(
             "query_id", "clause_id", "chunk_id", "score", "rank",

@@ -258,7 +258,7 @@ ORACLES = {
     + f"SELECT question_id, round({oracle.normalized_rate('rate_per_mille', 'text')}, 6) AS rate, {oracle.penalty(*_ARGS, 'text')} AS penalty FROM params",
     "loan_interest": oracle.with_(*_PARAMS)
     + f"SELECT question_id, {oracle.interest(*_ARGS)} AS simple, CASE WHEN principal >= 0 AND days >= 0 THEN "
-    + oracle.money(
+    + oracle.cents_nearest(
         "principal * (pow(1.0::DOUBLE + CASE WHEN rate_per_mille IS NOT NULL THEN least(rate_per_mille / 1000.0 * 365.0, 0.138) END / 365.0, days) - 1.0)"
     )
     + " END AS compound FROM params",

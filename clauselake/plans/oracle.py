@@ -90,9 +90,20 @@ def params_ctes(source: str, key: str, text: str = "text") -> list[tuple[str, st
     ]
 
 
-def money(expr: str) -> str:
-    # through text: the direct cast scales in floating point and moves values just below a half cent
-    return f"CAST(round(CAST(CAST(CAST({expr} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,10)), 2) AS DOUBLE)"
+def cents_half_up(expr: str) -> str:
+    cents, high = "(abs(x) * 100.0::DOUBLE)", "(abs(x) * 134217729.0::DOUBLE - (abs(x) * 134217729.0::DOUBLE - abs(x)))"
+    error = f"(({high} * 100.0::DOUBLE - {cents}) + (abs(x) - {high}) * 100.0::DOUBLE)"
+    part = f"({cents} - floor({cents}))"
+    up = f"CASE WHEN {part} > 0.5 OR ({part} = 0.5 AND {error} >= 0) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+    exact = f"(floor({cents}) + {up}) / 100.0::DOUBLE * CASE WHEN x < 0 THEN -1 ELSE 1 END"
+    return f"list_transform([CAST({expr} AS DOUBLE)], lambda x: CASE WHEN abs(x) < 1e13 THEN {exact} WHEN abs(x) < 'inf'::DOUBLE THEN x END)[1]"
+
+
+def cents_nearest(expr: str) -> str:
+    return (
+        f"list_transform([CAST({expr} AS DOUBLE)], lambda x: CASE WHEN abs(x) < 1e13 THEN floor(x * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE "
+        "WHEN abs(x) < 'inf'::DOUBLE THEN x END)[1]"
+    )
 
 
 def normalized_rate(rate: str, text: str) -> str:
@@ -103,12 +114,12 @@ def normalized_rate(rate: str, text: str) -> str:
 
 
 def penalty(p: str, r: str, d: str, t: str) -> str:
-    return f"CASE WHEN {p} >= 0 AND {d} >= 0 THEN {money(f'{p} * ({normalized_rate(r, t)} / 1000.0) * {d}')} END"
+    return f"CASE WHEN {p} >= 0 AND {d} >= 0 THEN {cents_half_up(f'{p} * ({normalized_rate(r, t)} / 1000.0) * {d}')} END"
 
 
 def interest(p: str, r: str, d: str) -> str:
     annual = f"CASE WHEN {r} IS NOT NULL THEN least({r} / 1000.0 * 365.0, 0.138) END"
-    return f"CASE WHEN {p} >= 0 AND {d} >= 0 THEN {money(f'{p} * ({annual}) * ({d} / 365.0::DOUBLE)')} END"
+    return f"CASE WHEN {p} >= 0 AND {d} >= 0 THEN {cents_nearest(f'{p} * ({annual}) * ({d} / 365.0::DOUBLE)')} END"
 
 
 def explicit_type(t: str) -> str:

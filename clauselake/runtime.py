@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import sys
 import tempfile
 import uuid
@@ -28,19 +29,27 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "12
     )
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder of the session.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only a local session without that setting falls back to a temporary folder;
-    on a cluster such a folder would not be visible to every executor.
+    A local session is one machine, so without that setting it uses one temporary folder; a cluster must name its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="clauselake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/clauselake/{name}-{uuid.uuid4().hex}"
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _local_folder()
+
+
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="clauselake-")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared folder of the session."""
+    return f"{shared_folder(spark)}/clauselake/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -51,7 +60,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def persist_table(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """Write a stage to the shared folder and read it back with its schema."""
     spark = df.sparkSession
     path = scratch_path(spark, name)

@@ -1,5 +1,9 @@
 """Golden values of the column functions."""
 
+import math
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +126,58 @@ def test_completeness(spark):
     df = spark.createDataFrame([(i, t, n) for i, (t, n, _) in enumerate(cases)], "i int, t string, n int")
     sizes = [r[0] for r in clauses.missing_elements(df, "t", "n").orderBy("i").select(F.size("missing")).collect()]
     assert all((s >= want if want else s == 0) for s, (_, _, want) in zip(sizes, cases))
+
+
+def test_cents_follow_the_binary_value(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    rng = random.Random(2)
+    values = [1.005, 0.125, 2.675, 1.115, 0.285, -1.005, 0.0, 1e12 + 0.125, 4.35, 1.0, 123456.785, 0.005]
+    values += [round(rng.uniform(0, 1e5), 3) for _ in range(300)] + [rng.randrange(10**9) / 1000 + 0.005 for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    rows = df.select("v", calc.cents_half_up(F.col("v")).alias("half"), calc.cents_nearest(F.col("v")).alias("nearest")).collect()
+    for r in rows:
+        assert r.half == float(Decimal(r.v).quantize(Decimal("0.01"), ROUND_HALF_UP)), r
+        assert r.nearest == math.floor(r.v * 100.0 + 0.5) / 100.0
+    odd = spark.createDataFrame([(float("inf"),), (1e300,), (None,)], "v double")
+    assert [r[0] for r in odd.select(calc.cents_half_up(F.col("v"))).collect()] == [None, 1e300, None]
+
+
+def test_huge_numbers_give_null_or_a_value_never_an_error(spark):
+    texts = ["逾期99999999个月", "逾期99999999年", "货款" + "9" * 40 + "元逾期3天违约金万分之五", "本金" + "9" * 400 + "元", "9" * 400 + "万"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    rows = df.select(params.principal(t).alias("p"), params.overdue_days(t).alias("d"), params.daily_rate(t).alias("r"), "t")
+    rows = rows.withColumn("a", calc.penalty_amount(F.col("p"), F.col("r"), F.col("d"), t)).collect()
+    assert [r.d for r in rows] == [None, None, 3, None, None]
+    assert rows[2].p == float("9" * 40) and rows[2].a > 1e35
+    call = '{"tool": "calculate", "arguments": {"principal": 1, "days": 1e12}}'
+    assert spark.createDataFrame([(call,)], "c string").select(json_text.tool_call(F.col("c"))["days"]).head()[0] == 0
+
+
+def test_first_amount_of_many(spark):
+    rng = random.Random(3)
+    parts = [f"条款{i}约定{rng.choice(['价款', '违约金', '押金', '本金', '其他', ''])}{i + 1}{rng.choice(['元', '万', '万元', '亿'])}，" for i in range(300)]
+    df = spark.createDataFrame([("".join(parts[:n]),) for n in (0, 1, 2, 5, 40, 300)], "t string")
+    got = [r[0] for r in df.select(params.principal(F.col("t"))).collect()]
+    want = [plain_principal("".join(parts[:n])) for n in (0, 1, 2, 5, 40, 300)]
+    assert got == want
+
+
+def plain_principal(text):
+    from clauselake.functions import lexicons as lx
+
+    best = []
+    for order, pattern in ((0, params.WAN_YI), (1, params.YUAN)):
+        for i, m in enumerate(re.finditer(pattern, text)):
+            context = text[max(0, m.start() - lx.CONTEXT_WINDOW) : m.end() + lx.CONTEXT_WINDOW]
+            rank = 2 if any(w in context for w in lx.EXCLUDED_CONTEXT) else 0 if any(w in context for w in lx.PRINCIPAL_CONTEXT) else 1
+            unit = 1.0 if order else 1e8 if m.group().endswith("亿") else 1e4
+            best.append((rank, order, i, float(m.group(1)) * unit))
+    return min(best)[3] if best else None
+
+
+def test_repeated_section_titles(spark):
+    rows = [("风险点：甲\n风险点：丙\n改写建议：乙", "甲\n丙"), ("风险点：甲\n改写建议：乙\n风险点：丙", "甲"), ("改写建议：乙", "改写建议：乙")]
+    df = spark.createDataFrame(rows, "raw string, want string")
+    assert all(r[0] == r[1] for r in df.select(json_text.extract_section(F.col("raw"), "风险点"), "want").collect())

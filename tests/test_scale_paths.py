@@ -80,9 +80,9 @@ def _rows(df):
 
 def test_search_paths_agree(spark):
     queries, chunks, raw_q, raw_c = _corpus(spark)
-    assert _rows(search.bm25_topk(queries, chunks, 7)) == _rows(search.bm25_topk(queries, chunks, 7, limit=0))
+    assert _rows(search.bm25_topk(queries, chunks, 7)) == _rows(search.bm25_topk(queries, chunks, 7, limit=25))
     shipped = search.knn_topk(queries, chunks, 7)
-    assert _rows(shipped) == _rows(search.knn_topk(queries, chunks, 7, max_values=0))
+    assert _rows(shipped) == _rows(search.knn_topk(queries, chunks, 7, max_values=25))
     best = {}
     for qid, kb, _, v in raw_q:
         q = np.asarray(v, dtype=np.float32).astype(float)
