@@ -184,6 +184,11 @@ def clause_verdicts(blocks: DataFrame) -> DataFrame:
     return texts.selectExpr("sha2(content, 256) AS text_hash", f"{_CLAUSE_RAW} AS raw", f"{_VERDICT_SEC} AS verdict_sec")
 
 
+def live_clause_verdicts(texts: DataFrame) -> DataFrame:
+    """Stored verdicts within their lifetime; a clause without one is judged by the rules alone."""
+    return verdicts.live_verdicts(clause_verdicts(texts), F.lit(NOW))
+
+
 def verdict_cache(spark: SparkSession, sf: str) -> DataFrame:
     blocks = contract_blocks(spark, sf)
     judged = verdicts.with_verdicts(blocks, clause_verdicts(blocks), "content", F.lit(NOW))
@@ -195,9 +200,10 @@ def verdict_cache(spark: SparkSession, sf: str) -> DataFrame:
 
 def _clause_vectors(spark: SparkSession, sf: str):
     vectors = inputs.VECTORS.frame(spark, sf).select("vec_id", "vector")
+    total = vectors.count()
 
     def attach(texts: DataFrame) -> DataFrame:
-        keyed = texts.withColumn("vec_id", F.expr("CAST(LENGTH(content) % 101 AS BIGINT)"))
+        keyed = texts.withColumn("vec_id", F.expr(f"CAST(CONV(SUBSTRING(SHA2(content, 256), 1, 8), 16, 10) AS BIGINT) % {total}"))
         return keyed.join(vectors, "vec_id", "left").drop("vec_id")
 
     return attach
@@ -206,7 +212,7 @@ def _clause_vectors(spark: SparkSession, sf: str):
 def reviewed(spark: SparkSession, sf: str) -> DataFrame:
     contracts = inputs.CONTRACTS.frame(spark, sf)
     return review.review_contracts(
-        contracts, inputs.statutes(spark, sf), clause_verdicts, _clause_vectors(spark, sf)
+        contracts, inputs.statutes(spark, sf), live_clause_verdicts, _clause_vectors(spark, sf)
     )
 
 
@@ -217,7 +223,7 @@ def review_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def review_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return review.review_summary(reviewed(spark, sf))
+    return review.review_summary(reviewed(spark, sf), inputs.CONTRACTS.frame(spark, sf))
 
 
 def review_anchors(spark: SparkSession, sf: str) -> DataFrame:
@@ -226,7 +232,7 @@ def review_anchors(spark: SparkSession, sf: str) -> DataFrame:
 
 def review_report(spark: SparkSession, sf: str) -> DataFrame:
     plain = F.regexp_extract("numeric_validation", "^(.*?)(（公式 .*)?$", 1)
-    return review.review_report(reviewed(spark, sf).withColumn("numeric_validation", plain))
+    return review.review_report(reviewed(spark, sf).withColumn("numeric_validation", plain), inputs.CONTRACTS.frame(spark, sf))
 
 
 def eval_review(spark: SparkSession, sf: str) -> DataFrame:
@@ -264,13 +270,13 @@ def review_ctes() -> list[tuple[str, str]]:
         ("labelled", f"SELECT *, NOT (ends_with(canonical_id, '{lx.INTRO_SUFFIX}') OR ends_with(canonical_id, '{lx.WHOLE_SUFFIX}')) AS is_clause, "
                      f"coalesce(nullif(regexp_extract(content, '^(第[{lx.CLAUSE_DIGITS}]+条)', 1), ''), canonical_id) AS clause_label FROM blocks"),
         ("texts", "SELECT DISTINCT content, sha256(content) AS query_id, '1' AS kb_id FROM labelled WHERE is_clause"),
-        ("rq", "SELECT query_id, kb_id, content AS text, v.embedding AS vector FROM texts LEFT JOIN embeddings v ON v.vec_id = length(content) % 101"),
+        ("rq", "SELECT query_id, kb_id, content AS text, v.embedding AS vector FROM texts LEFT JOIN embeddings v ON v.vec_id = CAST('0x' || substring(sha256(content), 1, 8) AS BIGINT) % (SELECT count(*) FROM embeddings)"),
         *oracle.hybrid_ctes("rq", "statutes", lx.REVIEW_TOP_K),
         ("basis", "SELECT query_id, max(score) AS top_score, string_agg(clause_id, '; ' ORDER BY rank) AS legal_basis FROM fused GROUP BY query_id"),
         *oracle.params_ctes("texts", "query_id", "content"),
         ("typed", f"SELECT query_id, content, content AS text, principal, rate_per_mille, rate_specified, days, force_majeure, coalesce({oracle.explicit_type('content')}, 'PENALTY') AS calc_type FROM params"),
         ("amounted", f"SELECT *, {oracle.amount('calc_type', 'principal', 'rate_per_mille', 'days', 'force_majeure', 'content')} AS amount FROM typed"),
-        ("judged0", f"SELECT *, {_handoff_sql()} AS numeric_validation, {ratio} AS ratio, {_CLAUSE_RAW} AS raw, "
+        ("judged0", f"SELECT *, {_handoff_sql()} AS numeric_validation, {ratio} AS ratio, CASE WHEN {_VERDICT_SEC} > {NOW} - 7 * 86400 THEN {_CLAUSE_RAW} END AS raw, "
                     f"calc_type = 'LOAN_INTEREST' AND rate_specified AND coalesce({oracle.normalized_rate('rate_per_mille', 'content')} > 0.378, false) AS loan_anomaly FROM amounted"),
         ("judged1", f"SELECT j.*, top_score, legal_basis, CASE WHEN raw IS NULL OR NOT json_valid({body}) THEN 'SEMANTIC' WHEN contains({point}, '数值') THEN 'NUMERIC' WHEN contains({point}, '语义') THEN 'SEMANTIC' "
                     f"WHEN contains({point}, '格式') THEN 'FORMAT' WHEN contains({point}, '无关') THEN 'NONE' ELSE 'SEMANTIC' END AS point, "
@@ -350,13 +356,13 @@ ORACLES = {
     "WHEN contains(json_extract_string(CASE WHEN json_valid(raw) THEN raw END, '$.\"维度\"'), '数值') THEN 'NUMERIC' WHEN contains(json_extract_string(CASE WHEN json_valid(raw) THEN raw END, '$.\"维度\"'), '语义') THEN 'SEMANTIC' "
     "WHEN contains(json_extract_string(CASE WHEN json_valid(raw) THEN raw END, '$.\"维度\"'), '格式') THEN 'FORMAT' ELSE 'NONE' END AS point FROM blocks b LEFT JOIN live ON b.content = live.content",
     "review_items": _ITEMS + "SELECT * FROM items",
-    "review_summary": _ITEMS + "SELECT contract_id, count(*) AS reviewed, count(*) FILTER (risky) AS risks FROM items GROUP BY contract_id",
+    "review_summary": _ITEMS + "SELECT contract_id, coalesce(reviewed, 0) AS reviewed, coalesce(risks, 0) AS risks FROM contracts LEFT JOIN (SELECT contract_id, count(*) AS reviewed, count(*) FILTER (risky) AS risks FROM items GROUP BY contract_id) USING (contract_id)",
     "review_anchors": _ITEMS
     + "SELECT contract_id, string_agg('【已审查条款】' || anchor || chr(10), '' ORDER BY pos) AS note FROM (SELECT *, row_number() OVER (PARTITION BY contract_id ORDER BY pos) AS rn "
     f"FROM (SELECT contract_id, {oracle.trim('clause_text')} AS anchor, min(pos) AS pos FROM items WHERE risky AND {oracle.trim('clause_text')} <> '' GROUP BY 1, 2)) WHERE rn <= 5 GROUP BY contract_id",
     "review_report": _ITEMS
-    + "SELECT contract_id, '合同审查报告' || chr(10) || '（共审查 ' || count(*) || ' 条，发现风险 ' || count(*) FILTER (risky) || ' 条）' || chr(10) || '================================' || chr(10) || "
-    f"string_agg({_REPORT_BODY}, '' ORDER BY pos) AS report FROM items GROUP BY contract_id",
+    + "SELECT contract_id, '合同审查报告' || chr(10) || '（共审查 ' || coalesce(n, 0) || ' 条，发现风险 ' || coalesce(r, 0) || ' 条）' || chr(10) || '================================' || chr(10) || coalesce(body, '') AS report "
+    f"FROM contracts LEFT JOIN (SELECT contract_id, count(*) AS n, count(*) FILTER (risky) AS r, string_agg({_REPORT_BODY}, '' ORDER BY pos) AS body FROM items GROUP BY contract_id) USING (contract_id)",
     "eval_review": _ITEMS
     + f"SELECT kind, count(*) AS cases, count(*) FILTER (expect_risk) AS positives, round(avg(CASE WHEN expect_risk = found THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS accuracy, "
     "round(avg(CASE WHEN found THEN 1.0::DOUBLE ELSE 0.0 END) FILTER (expect_risk), 6) AS detection_rate, round(avg(CASE WHEN found THEN 1.0::DOUBLE ELSE 0.0 END) FILTER (NOT expect_risk), 6) AS false_alarm_rate "

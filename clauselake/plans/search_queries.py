@@ -115,12 +115,9 @@ def gated(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def retrieval_rounds(spark: SparkSession, sf: str) -> DataFrame:
-    hits = gated(spark, sf)
-    context = answer.numbered_context(hits.filter("used"), "\n\n")
-    rounds = hits.groupBy("question_id").agg(F.max("round").alias("rounds_used"), F.count_if("kept").alias("kept_hits"))
-    return rounds.join(context, "question_id").select(
-        "question_id", "rounds_used", "kept_hits", "passages", F.sha2("context", 256).alias("context_digest")
-    )
+    asked = inputs.asked(spark, sf).select("question_id")
+    rounds = answer.round_contexts(asked, gated(spark, sf))
+    return rounds.select("question_id", "rounds_used", "kept_hits", "passages", F.sha2("context", 256).alias("context_digest"), "refusal")
 
 
 def gated_ctes(prefix: str = "") -> list[tuple[str, str]]:
@@ -199,8 +196,10 @@ ORACLES = {
     + "SELECT question_id, clause_id, rank, grade, grade >= 0.6 AS kept FROM g",
     "retrieval_rounds": oracle.with_(*gated_ctes(),
         ("num", "SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS i FROM gated WHERE used"),
-        ("ctx", "SELECT question_id, CAST(count(*) AS INT) AS passages, sha256(string_agg('[' || i || '] ' || content || chr(10) || chr(10), '' ORDER BY i)) AS context_digest FROM num GROUP BY question_id"))
-    + "SELECT question_id, rounds_used, kept_hits, passages, context_digest FROM (SELECT question_id, max(round) AS rounds_used, count(*) FILTER (kept) AS kept_hits FROM gated GROUP BY question_id) JOIN ctx USING (question_id)",
+        ("ctx", "SELECT question_id, CAST(count(*) AS INT) AS passages, sha256(string_agg('[' || i || '] ' || content || chr(10) || chr(10), '' ORDER BY i)) AS context_digest FROM num GROUP BY question_id"),
+        ("rnd", "SELECT question_id, max(round) AS rounds_used, count(*) FILTER (kept) AS kept_hits FROM gated GROUP BY question_id"))
+    + f"SELECT question_id, coalesce(rounds_used, {lx.MAX_REWRITES}) AS rounds_used, coalesce(kept_hits, 0) AS kept_hits, coalesce(passages, 0) AS passages, context_digest, "
+    f"CASE WHEN context_digest IS NULL THEN '{lx.REJECT_ANSWER}' END AS refusal FROM aq LEFT JOIN rnd USING (question_id) LEFT JOIN ctx USING (question_id)",
     "single_round_context": oracle.with_(("aq", inputs.ASKED_SQL), *_STAT, *oracle.hybrid_ctes("queries", "chunks", lx.SINGLE_ROUND_TOP_K),
         ("ctx", "SELECT CAST(query_id AS BIGINT) AS question_id, string_agg('[' || f.rank || '] ' || content || chr(10), '' ORDER BY f.rank) AS context, CAST(count(*) AS INT) AS passages FROM fused f JOIN chunks USING (chunk_id) GROUP BY query_id"))
     + f"SELECT question_id, session_id, context, passages, CASE WHEN context IS NULL THEN '{lx.SINGLE_ROUND_REJECT}' END AS refusal FROM aq LEFT JOIN ctx USING (question_id)",
