@@ -101,6 +101,7 @@ SINGLE_ROUND_TOP_K = 5
 REFUSAL_MARKS = ["无法作答", "未检索到"]
 FAILURE_MARKS = ["（检索失败）", "（综合失败）", "（计算失败）"]
 REJECT_ANSWER = "知识库里没检索到，无法作答。"
+NOTHING_TO_CITE = "（未检索到可引用的条款）"
 SINGLE_ROUND_REJECT = "抱歉，知识库中未检索到相关法律条款，无法作答。"
 OUT_OF_SCOPE_FALLBACK = "（超出知识库范围，无法作答）"
 

@@ -30,11 +30,21 @@ def compute_amount(spark: SparkSession, sf: str) -> DataFrame:
     handoff = calc.handoff_text(*args, c("amount"))
     return amounts.select(
         "question_id", "calc_type", "amount",
-        # the text prints doubles the JVM way, so the oracle compares its fixed part
-        F.regexp_extract(handoff, "^(.*?)(（公式 .*)?$", 1).alias("handoff"),
+        handoff.alias("handoff"),
     )
 
 
+def _formula_sql() -> str:
+    r = "rate_per_mille"
+    annual = f"({r} / 1000.0::DOUBLE * 365.0::DOUBLE)"
+    loan = (
+        f"'本金' || format('{{:.0f}}', principal) || ' × 年化' || format('{{:.4f}}', least({annual}, 0.138::DOUBLE) * 100.0::DOUBLE) || '% × ' || days || "
+        f"'/365（封顶 13.8%，原始年化 ' || format('{{:.2f}}', {annual} * 100.0::DOUBLE) || '%）'"
+    )
+    plain = f"{oracle.java_double('principal')} || ' × (' || {oracle.java_double(oracle.normalized_rate(r, 'text'))} || '/1000) × ' || days"
+    return f"CASE WHEN calc_type = 'LOAN_INTEREST' THEN {loan} ELSE {plain} END"
+
+
 def _handoff_sql() -> str:
     r = "rate_per_mille"
     rate = (
@@ -44,7 +54,7 @@ def _handoff_sql() -> str:
     return (
         "CASE WHEN force_majeure THEN '不可抗力免责（KB C3）：违约金=0元（问题：' || text || '）' WHEN amount IS NOT NULL THEN "
         f"'[' || calc_type || '] 本金' || format('{{:.0f}}', principal) || '元，日利率' || {rate} || '‰，' || days || "
-        "'天，金额=' || format('{:.2f}', amount) || '元' "
+        f"'天，金额=' || format('{{:.2f}}', amount) || '元（公式 ' || {_formula_sql()} || '）' "
         "WHEN principal > 0 AND days > 0 THEN '（计算失败：参数不完整且 LLM 直算无结果）' ELSE '（非金额计算语境，无需计算）' END"
     )
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselake.functions import calc, rules
+from clauselake.functions import calc
 from clauselake.functions import lexicons as lx
-from clauselake.operators import answer, evaluate, profile, session
+from clauselake.operators import answer, evaluate, profile, review, session
 from clauselake.operators.skew import lookup_join
 from clauselake.operators.triage import triage as triage_op
 from clauselake.plans import inputs, oracle, review_queries, search_queries
@@ -59,6 +59,11 @@ def history_window(spark: SparkSession, sf: str) -> DataFrame:
     return session.history_window(_turns(spark, sf)).select("session_id", "turn", "role", "messages", "from_end")
 
 
+def history_uncompacted(spark: SparkSession, sf: str) -> DataFrame:
+    """What a session holds while its compaction fails."""
+    return session.history_window(_turns(spark, sf), compacted=False).select("session_id", "turn", "messages", "from_end")
+
+
 def session_text(spark: SparkSession, sf: str) -> DataFrame:
     turns = _turns(spark, sf)
     summaries = turns.filter("turn = 0").selectExpr("session_id", f"{_SUMMARY} AS summary")
@@ -73,12 +78,13 @@ _SUMMARY = "CONCAT('摘要-', session_id)"
 def _long_sessions(turns: DataFrame) -> DataFrame:
     """Two conversations of one user read as one longer session."""
     return turns.selectExpr("CONCAT('s', CAST(FLOOR(CAST(SUBSTRING(session_id, 2, 18) AS BIGINT) / 2) * 2 AS BIGINT)) AS session_id",
-                            "turn * 2 + CAST(SUBSTRING(session_id, 2, 18) AS BIGINT) % 2 AS turn", "role", "content")
+                            "turn * 2 + CAST(SUBSTRING(session_id, 2, 18) AS BIGINT) % 2 AS turn", "role", "content",
+                            "(turn * 2 + CAST(SUBSTRING(session_id, 2, 18) AS BIGINT) % 2) * 3600 AS ts_sec")
 
 
 _LONG_SQL = (
     "SELECT 's' || CAST(CAST(FLOOR(CAST(SUBSTRING(session_id, 2, 18) AS BIGINT) / 2) * 2 AS BIGINT) AS VARCHAR) AS session_id, "
-    "turn * 2 + CAST(SUBSTRING(session_id, 2, 18) AS BIGINT) % 2 AS turn, role, content FROM turns"
+    "turn * 2 + CAST(SUBSTRING(session_id, 2, 18) AS BIGINT) % 2 AS turn, role, content, (turn * 2 + CAST(SUBSTRING(session_id, 2, 18) AS BIGINT) % 2) * 3600 AS ts_sec FROM turns"
 )
 
 
@@ -220,44 +226,55 @@ def _triaged(spark: SparkSession, sf: str) -> DataFrame:
     raw = asked.select("text").distinct().selectExpr(
         "sha2(text, 256) AS text_hash", f"{review_queries._SCOPE_RAW} AS scope_raw", f"{review_queries._INTENT_RAW} AS intent_raw"
     )
-    return triage_op(asked, raw).select("question_id", "rejected", "intent")
+    return triage_op(asked, raw).selectExpr("question_id", "rejected", "intent", "CASE WHEN rejected THEN '超出范围' END AS scope_reply")
 
 
-def _calculated(spark: SparkSession, sf: str) -> DataFrame:
+def _calculated(spark: SparkSession, sf: str, triaged: DataFrame) -> DataFrame:
+    """Amounts of the calculating turns; only these turns store and hand on parameters."""
     c = F.col
-    routed = session.route_turns(inputs.ASKED.frame(spark, sf)).select("question_id", "calc_type")
-    rows = carried(spark, sf).join(routed, "question_id").withColumn("majeure", F.col("text").contains("不可抗力"))
+    turns = _calc_turns(spark, sf).join(triaged.filter("intent IN ('both', 'calculate')").select("question_id"), "question_id", "left_semi")
+    routed = session.route_turns(turns).select("question_id", "calc_type")
+    rows = session.carry_params(turns).join(routed, "question_id").withColumn("majeure", c("text").contains("不可抗力"))
     amount = calc.compute_amount(c("calc_type"), c("principal"), c("rate"), c("days"), c("majeure"), c("text"))
-    return rows.select("question_id", "principal", "rate", "days", amount.alias("amount"))
+    return rows.select("question_id", "session_id", "turn", "calc_type", "principal", "rate", "days", amount.alias("amount"))
 
 
 _PROSE = "CASE question_id % 6 WHEN 0 THEN '知识库里没检索到，无法作答。' WHEN 1 THEN '' ELSE CONCAT('依据片段[1]，答复', CAST(question_id AS STRING)) END"
-
-
-def answered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    hits = gated_once(spark, sf)
-    triaged = _triaged(spark, sf)
-    questions = triaged.selectExpr(
-        "question_id", "rejected", "intent", "CASE WHEN rejected THEN '超出范围' END AS scope_reply",
-        f"CASE WHEN intent = 'review' THEN NULL ELSE {_PROSE} END AS prose",
-        "CASE WHEN intent = 'review' THEN CONCAT('合同审查报告 ', CAST(question_id AS STRING)) END AS report",
+_PROSE_AGAIN = "CASE question_id % 5 WHEN 0 THEN '未检索到相关内容' ELSE CONCAT('重新检索后的答复', CAST(question_id AS STRING)) END"
+
+
+def answered(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole batch: scope first, retrieval and calculation only where they are due, the critic, one new plan."""
+    triaged = cut_lineage(_triaged(spark, sf))
+    due = triaged.filter("NOT rejected AND (intent IS NULL OR intent <> 'review')").select("question_id")
+    asked = inputs.asked(spark, sf).join(due, "question_id", "left_semi")
+    hits = cut_lineage(answer.gated_retrieval(asked, inputs.statutes(spark, sf), search_queries.grader, search_queries.rewrites(spark, sf)))
+    ids = hits.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "clause_id"))).alias("h"))
+    retrievals = asked.select("question_id", "session_id", "turn", "ts_sec").join(ids, "question_id", "left")
+    retrievals = retrievals.withColumn("clause_ids", F.coalesce("h.clause_id", F.array().cast("array<string>"))).drop("h")
+    previous = session.previous_citations(retrievals).select("question_id", "previous_ids")
+    said = asked.select("question_id")
+    proses = said.selectExpr("question_id", "0 AS attempt", f"{_PROSE} AS prose").unionByName(
+        said.selectExpr("question_id", "1 AS attempt", f"{_PROSE_AGAIN} AS prose"))
+    judgements = said.selectExpr("question_id", "0 AS attempt", f"{_CRITIC_RAW} AS raw")
+    return answer.answer_batch(
+        triaged, hits, proses, judgements, _calculated(spark, sf, triaged), previous, recalled(spark, sf), _reports(spark, sf, triaged)
     )
-    calculating = triaged.filter("intent IN ('both', 'calculate')").select("question_id")
-    amounts = _calculated(spark, sf).join(calculating, "question_id", "left_semi")
-    # answers print doubles the JVM way; whole numbers keep the oracle text equal
-    amounts = amounts.withColumn("principal", F.col("principal").cast("bigint")).withColumn("rate", (F.col("rate") * 10).cast("bigint"))
-    previous = session.previous_citations(_retrievals(spark, sf)).select("question_id", "previous_ids")
-    recalled_text = recalled(spark, sf).select("question_id", "profile_text")
-    return answer.compose_answers(questions, hits, amounts, previous, recalled_text), amounts
 
 
-def gated_once(spark: SparkSession, sf: str) -> DataFrame:
-    return search_queries.gated(spark, sf)
+def _reports(spark: SparkSession, sf: str, triaged: DataFrame) -> DataFrame:
+    """Reports of the contracts that the review questions bring along."""
+    orders = read_table(spark, sf, "orders").count()
+    wanted = triaged.filter("intent = 'review'").selectExpr("question_id", f"question_id % {orders} AS contract_id")
+    contracts = inputs.CONTRACTS.frame(spark, sf).join(wanted.select("contract_id").distinct(), "contract_id", "left_semi")
+    items = review_queries.reviewed(spark, sf, contracts)
+    return review.review_report(items, contracts).join(wanted, "contract_id").select("question_id", "report")
 
 
 def answer_compose(spark: SparkSession, sf: str) -> DataFrame:
-    answers, _ = answered(spark, sf)
-    return answers.select("question_id", "rejected", "intent", "amount", F.sha2("answer", 256).alias("digest"), F.substring("answer", 1, 40).alias("head"))
+    return answered(spark, sf).select(
+        "question_id", "rejected", "intent", "amount", F.sha2("answer", 256).alias("digest"), F.substring("answer", 1, 40).alias("head")
+    )
 
 
 _CRITIC_RAW = "CASE question_id % 4 WHEN 0 THEN 'YES 充分' WHEN 1 THEN ' no, 缺依据' WHEN 2 THEN '依据不足' ELSE NULL END"
@@ -274,40 +291,33 @@ def critic_flag(spark: SparkSession, sf: str) -> DataFrame:
 
 def answer_meta(spark: SparkSession, sf: str) -> DataFrame:
     """Counts and flags an evaluation reads next to each answer."""
-    hits = gated_once(spark, sf).groupBy("question_id").agg(F.count(F.lit(1)).alias("retrieved"), F.count_if("kept").alias("graded"))
-    triaged = _triaged(spark, sf)
-    prose = triaged.selectExpr("question_id", "rejected", "intent", f"{_PROSE} AS prose", f"{_CRITIC_RAW} AS raw")
-    flagged = prose.withColumn("rejected", F.col("rejected") | (rules.is_refusal(F.col("prose")) & ~F.coalesce(F.col("intent") == "review", F.lit(False))))
-    flagged = flagged.withColumn("answer", F.coalesce("prose", F.lit(""))).withColumn("retries", F.lit(0))
-    judged = answer.critic(flagged).withColumn("replanned", F.col("retries_after") > 0)
-    calculating = triaged.filter("intent IN ('both', 'calculate')").select("question_id")
-    amounts = _calculated(spark, sf).join(calculating, "question_id", "left_semi")
-    return judged.join(hits, "question_id", "left").join(amounts, "question_id", "left").select(
-        "question_id", F.coalesce("retrieved", F.lit(0)).alias("retrieved"), F.coalesce("graded", F.lit(0)).alias("graded"),
-        "principal", "rate", "days", "amount", "rejected", "replanned",
+    return answered(spark, sf).select(
+        "question_id", "retrieved", "graded", "principal", "rate", "days", "amount", "rejected", "replanned"
     )
 
 
 def session_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     turns = _turns(spark, sf)
     history = session.history_text(turns).selectExpr("session_id", "messages", "sha2(history, 256) AS history_digest")
-    params = carried(spark, sf).groupBy("session_id").agg(F.max_by(F.struct("principal", "rate", "days"), "turn").alias("p"))
-    types = session.route_turns(inputs.ASKED.frame(spark, sf)).groupBy("session_id").agg(F.max_by("calc_type", "turn").alias("calc_type"))
+    kept = _calculated(spark, sf, _triaged(spark, sf)).groupBy("session_id").agg(
+        F.max_by(F.struct("principal", "rate", "days", "calc_type"), "turn").alias("p")
+    )
     cited = session.previous_citations(_retrievals(spark, sf)).groupBy("session_id").agg(
         F.max_by(F.coalesce(F.array_join("previous_ids", "、"), F.lit("")), "turn").alias("previous_ids")
     )
     owner = turns.groupBy("session_id").agg(F.max("user_id").alias("user_id"))
     entries = merged(spark, sf).groupBy("user_id").agg(F.count(F.lit(1)).alias("profile_entries"))
     return (
-        owner.join(history, "session_id", "left").join(params, "session_id", "left").join(types, "session_id", "left")
+        owner.join(history, "session_id", "left").join(kept, "session_id", "left")
         .join(cited, "session_id", "left").join(entries, "user_id", "left")
-        .select("session_id", "user_id", "messages", "history_digest", "p.principal", "p.rate", "p.days", "calc_type", "previous_ids",
+        .select("session_id", "user_id", "messages", "history_digest", "p.principal", "p.rate", "p.days", "p.calc_type", "previous_ids",
                 F.coalesce("profile_entries", F.lit(0)).alias("profile_entries"))
     )
 
 
 def eval_refusal(spark: SparkSession, sf: str) -> DataFrame:
-    cases = read_table(spark, sf, "labels").selectExpr("toxic = 1 AS should_refuse", "quality = 0 AS refused")
+    """Refusals of the engine's own answers against the questions that are meant to be refused."""
+    cases = answered(spark, sf).selectExpr("question_id % 6 = 0 AS should_refuse", "rejected AS refused")
     return evaluate.refusal_rates(cases)
 
 
@@ -349,7 +359,12 @@ _PREV = (
     "prev",
     f"SELECT question_id, session_id, turn, CASE WHEN ts_sec - lag(ts_sec) OVER w < 604800 THEN lag({_IDS}) OVER w END AS previous_ids FROM asked WINDOW w AS (PARTITION BY session_id ORDER BY turn)",
 )
-_RETAIN = "SELECT *, count(*) OVER (PARTITION BY session_id) AS messages, CAST(row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS INT) AS from_end FROM {0} WHERE trim(content) <> ''"
+_LIFE = (
+    "SELECT * FROM (SELECT *, sum(gap) OVER (PARTITION BY session_id ORDER BY turn) AS life FROM (SELECT *, "
+    "CASE WHEN ts_sec - lag(ts_sec) OVER (PARTITION BY session_id ORDER BY turn) >= 604800 THEN 1 ELSE 0 END AS gap FROM {0} WHERE trim(content) <> '')) "
+    "QUALIFY life = max(life) OVER (PARTITION BY session_id)"
+)
+_RETAIN = f"SELECT *, count(*) OVER (PARTITION BY session_id) AS messages, CAST(row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS INT) AS from_end FROM ({_LIFE})"
 _KEEP = "from_end <= CASE WHEN messages <= 8 THEN messages ELSE 8 + messages % 2 END"
 _LINES = "string_agg(CASE WHEN role = 'user' THEN '用户：' ELSE '助手：' END || content, chr(10) ORDER BY turn)"
 _TRI = (
@@ -358,20 +373,44 @@ _TRI = (
 )
 
 
-def _answer_sql() -> str:
-    return oracle.with_(
-        _A, _TRI, *_CARRY, _ROUTED, _AMOUNTED, _PREV,
-        *[c for c in _split_entries()], *_recall_ctes(), *search_queries.gated_ctes(),
-        ("cite", "SELECT question_id, string_agg('· ' || clause_id || '：' || content || chr(10), '' ORDER BY rank) AS cites FROM gated GROUP BY question_id"),
-        ("q", f"SELECT *, CASE WHEN intent = 'review' THEN NULL ELSE {_PROSE} END AS prose FROM tri"),
-        ("f", "SELECT q.*, CASE WHEN intent IN ('both', 'calculate') THEN amount END AS am, principal, rate, days, cites, previous_ids, profile_text, rejected OR coalesce(regexp_matches(prose, '无法作答|未检索到'), false) AS refused "
-              "FROM q LEFT JOIN amounted USING (question_id) LEFT JOIN cite USING (question_id) LEFT JOIN prev USING (question_id) LEFT JOIN recalled USING (question_id)"),
-        ("g", "SELECT *, trim(coalesce('（延续上轮引用条款：' || previous_ids || '）' || chr(10) || chr(10), '') || coalesce(nullif(prose, '') || chr(10) || chr(10), '') || coalesce('【引用依据】' || chr(10) || cites || chr(10), '') || "
-              "CASE WHEN am IS NOT NULL THEN '【计算结论】本金 ' || coalesce(CAST(CAST(trunc(principal) AS BIGINT) AS VARCHAR), 'null') || ' 元，日利率 ' || coalesce(CAST(CAST(trunc(rate * 10) AS BIGINT) AS VARCHAR), 'null') || '‰，' || coalesce(CAST(days AS VARCHAR), 'null') || ' 天，金额 = ' || format('{:.2f}', am) || ' 元。' || chr(10) ELSE '' END || "
-              f"coalesce(chr(10) || '【结合您的长期画像】' || nullif(profile_text, '') || chr(10), ''), {oracle.BLANKS}) AS body FROM f"),
-        ("h", f"SELECT question_id, refused AS rejected, intent, CASE WHEN NOT refused THEN am END AS amount, CASE WHEN refused THEN CASE WHEN rejected THEN '超出范围' ELSE '{lx.OUT_OF_SCOPE_FALLBACK}' END "
-              "WHEN intent = 'review' THEN '合同审查报告 ' || question_id WHEN body = '' THEN '（未能生成答复）' ELSE body END AS answer FROM g"),
-    ) + "SELECT question_id, rejected, intent, amount, sha256(answer) AS digest, substring(answer, 1, 40) AS head FROM h"
+#: the carry over calculating turns alone
+_CALC_CARRY = [(n, q.replace(" FROM asked", " FROM asked WHERE question_id IN (SELECT question_id FROM tri WHERE intent IN ('both', 'calculate'))")) if n == "ct" else (n, q) for n, q in _CARRY]
+
+
+def _batch_ctes() -> list[tuple[str, str]]:
+    """CTEs ending in ``final`` (``question_id, intent, rejected, amount, principal, rate, days, answer, retrieved, graded, replanned``)."""
+    amount = "'【计算结论】本金 ' || coalesce({p}, 'null') || ' 元，日利率 ' || coalesce({r}, 'null') || '‰，' || coalesce(CAST(days AS VARCHAR), 'null') || ' 天，金额 = ' || format('{{:.2f}}', amount) || ' 元。' || chr(10)"
+    amount = amount.format(p=oracle.java_double("principal"), r=oracle.java_double("rate"))
+
+    def attempt(n: int, prose: str, before: str, reply: str, source: str) -> list[tuple[str, str]]:
+        nl = "chr(10)"
+        return [
+            (f"t{n}", f"SELECT q.*, CASE WHEN retrieved IS NULL THEN '{lx.REJECT_ANSWER}' ELSE {prose} END AS said, {before} AS before, {reply} AS reply FROM {source}"),
+            (f"u{n}", f"SELECT *, rejected_scope OR (retrieves AND coalesce(regexp_matches(said, '无法作答|未检索到'), false)) AS rejected, CASE WHEN retrieves THEN CASE WHEN trim(coalesce(said, '')) = '' THEN '{lx.NOTHING_TO_CITE}' ELSE said END END AS prose FROM t{n}"),
+            (f"v{n}", f"SELECT *, trim(coalesce('（延续上轮引用条款：' || nullif(before, '') || '）' || {nl} || {nl}, '') || coalesce(prose || {nl} || {nl}, '') || coalesce('【引用依据】' || {nl} || cites || {nl}, '') || "
+                      f"CASE WHEN amount IS NOT NULL THEN {amount} ELSE '' END || coalesce({nl} || '【结合您的长期画像】' || nullif(profile_text, '') || {nl}, ''), {oracle.BLANKS}) AS body FROM u{n}"),
+            (f"w{n}", f"SELECT *, CASE WHEN rejected THEN coalesce(reply, '{lx.OUT_OF_SCOPE_FALLBACK}') WHEN report IS NOT NULL THEN {oracle.trim('report')} WHEN body = '' THEN '（未能生成答复）' ELSE body END AS answer FROM v{n}"),
+        ]
+
+    verdict = f"upper(trim(coalesce({_CRITIC_RAW}, '')))"
+    bad = f"(trim(answer) = '' OR regexp_matches(answer, '（检索失败）|（综合失败）|（计算失败）') OR starts_with({verdict}, 'NO') OR contains({verdict}, '不足') OR contains({verdict}, '不充分'))"
+    return [
+        _A, _TRI, *_CALC_CARRY, _ROUTED, _AMOUNTED, *_split_entries(), *_recall_ctes(), *search_queries.gated_ctes(),
+        ("due", "SELECT question_id, session_id, turn, ts_sec FROM asked JOIN tri USING (question_id) WHERE NOT rejected AND coalesce(intent, '') <> 'review'"),
+        ("own", "SELECT question_id, count(*) AS retrieved, count(*) FILTER (kept) AS graded, string_agg(clause_id, '、' ORDER BY rank) AS ids, "
+                "string_agg('· ' || clause_id || '：' || content || chr(10), '' ORDER BY rank) AS cites FROM gated WHERE question_id IN (SELECT question_id FROM due) GROUP BY question_id"),
+        ("prev", "SELECT question_id, CASE WHEN ts_sec - lag(ts_sec) OVER w < 604800 THEN lag(ids) OVER w END AS previous_ids FROM due LEFT JOIN own USING (question_id) WINDOW w AS (PARTITION BY session_id ORDER BY turn)"),
+        ("reports", oracle.with_(*review_queries.review_ctes(), recursive=True) + f"SELECT contract_id, {review_queries.REPORT_SQL} AS report FROM contracts LEFT JOIN (SELECT contract_id, count(*) AS n, count(*) FILTER (risky) AS r, string_agg({review_queries._REPORT_BODY}, '' ORDER BY pos) AS body FROM items GROUP BY contract_id) USING (contract_id)"),
+        ("base", "SELECT t.question_id, t.intent, t.rejected AS rejected_scope, CASE WHEN t.rejected THEN '超出范围' END AS scope_reply, NOT t.rejected AND coalesce(t.intent, '') <> 'review' AS retrieves, "
+                 "CASE WHEN t.intent = 'review' THEN report END AS report, retrieved, graded, ids, cites, previous_ids, profile_text, principal, rate, days, amount "
+                 "FROM tri t LEFT JOIN own USING (question_id) LEFT JOIN prev USING (question_id) LEFT JOIN recalled USING (question_id) LEFT JOIN amounted USING (question_id) "
+                 "LEFT JOIN reports ON t.intent = 'review' AND contract_id = t.question_id % (SELECT count(*) FROM orders)"),
+        *attempt(0, _PROSE, "previous_ids", "scope_reply", "base q"),
+        ("again", f"SELECT question_id, answer AS earlier FROM w0 WHERE NOT rejected_scope AND coalesce(intent, '') <> 'review' AND {bad}"),
+        *attempt(1, _PROSE_AGAIN, "ids", "earlier", "base q JOIN again USING (question_id)"),
+        ("final", "SELECT question_id, intent, rejected, CASE WHEN NOT rejected_scope THEN amount END AS amount, principal, rate, days, answer, coalesce(retrieved, 0) AS retrieved, coalesce(graded, 0) AS graded, replanned FROM "
+                  "(SELECT *, false AS replanned FROM w0 WHERE question_id NOT IN (SELECT question_id FROM again) UNION ALL BY NAME SELECT *, true AS replanned FROM w1)"),
+    ]
 
 
 def _split_entries() -> list[tuple[str, str]]:
@@ -395,6 +434,7 @@ QUERIES = {
     "carry_params": carry_params,
     "prev_citations": prev_citations,
     "history_window": history_window,
+    "history_uncompacted": history_uncompacted,
     "session_text": session_text,
     "session_history": session_history,
     "append_rounds": append_rounds,
@@ -415,6 +455,7 @@ ORACLES = {
     "carry_params": oracle.with_(_A, *_CARRY) + "SELECT question_id, epoch, principal, rate, days FROM carried",
     "prev_citations": oracle.with_(_A, _PREV) + "SELECT question_id, previous_ids FROM prev",
     "history_window": oracle.with_(_T, ("r", _RETAIN.format("turns"))) + f"SELECT session_id, turn, role, messages, from_end FROM r WHERE {_KEEP}",
+    "history_uncompacted": oracle.with_(_T, ("r", _RETAIN.format("turns"))) + "SELECT session_id, turn, messages, from_end FROM r WHERE from_end <= 20",
     "session_text": oracle.with_(_T, ("lt", _LONG_SQL), ("r", _RETAIN.format("lt")),
         ("b", f"SELECT session_id, max(messages) AS messages, {_LINES} AS body FROM r WHERE {_KEEP} GROUP BY session_id"),
         ("h", f"SELECT session_id, messages, CASE WHEN messages > 9 AND s.summary IS NOT NULL THEN '【历史摘要（更早轮次经 LLM 压缩所得，含关键约束与条款编号）】' || chr(10) || s.summary || chr(10) || chr(10) || body ELSE body END AS history FROM b LEFT JOIN (SELECT session_id, {_SUMMARY} AS summary FROM turns WHERE turn = 0) s USING (session_id)"))
@@ -426,26 +467,25 @@ ORACLES = {
     "memory_metrics": f"SELECT {_FACET} AS facet, count(*) FILTER (value > 50) AS hits, count(*) FILTER (NOT value > 50) AS misses FROM events GROUP BY 1",
     "profile_merge": _entries_sql() + "SELECT user_id, field, seq, pos, key, value, last_active FROM entries JOIN (SELECT user_id, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_active FROM events GROUP BY user_id) USING (user_id)",
     "profile_recall": _entries_sql() + ", " + ", ".join(f"{n} AS ({q})" for n, q in _recall_ctes()) + " SELECT question_id, profile_text, overlap FROM recalled",
-    "answer_compose": _answer_sql(),
+    "answer_compose": oracle.with_(*_batch_ctes(), recursive=True)
+    + "SELECT question_id, rejected, intent, amount, sha256(answer) AS digest, substring(answer, 1, 40) AS head FROM final",
     "critic_flag": oracle.with_(("q", inputs.QUESTIONS.sql()),
         ("a", f"SELECT question_id, question_id % 10 = 3 AS rev, CASE question_id % 7 WHEN 0 THEN '（检索失败）' WHEN 1 THEN ' ' ELSE text END AS answer, upper(trim(coalesce({_CRITIC_RAW}, ''))) AS raw, question_id % 2 AS retries FROM q"),
         ("b", "SELECT *, NOT rev AND retries < 1 AND (trim(answer) = '' OR regexp_matches(answer, '（检索失败）|（综合失败）|（计算失败）') OR starts_with(raw, 'NO') OR contains(raw, '不足') OR contains(raw, '不充分')) AS needs_more FROM a"))
     + "SELECT question_id, needs_more, CAST(retries + CASE WHEN needs_more THEN 1 ELSE 0 END AS INT) AS retries_after FROM b",
-    "answer_meta": oracle.with_(_A, _TRI, *_CARRY, _ROUTED, _AMOUNTED, *search_queries.gated_ctes(),
-        ("hc", "SELECT question_id, count(*) AS retrieved, count(*) FILTER (kept) AS graded FROM gated GROUP BY question_id"),
-        ("p", f"SELECT *, {_PROSE} AS prose, upper(trim(coalesce({_CRITIC_RAW}, ''))) AS raw FROM tri"))
-    + "SELECT p.question_id, coalesce(retrieved, 0) AS retrieved, coalesce(graded, 0) AS graded, CASE WHEN c THEN principal END AS principal, CASE WHEN c THEN rate END AS rate, CASE WHEN c THEN days END AS days, CASE WHEN c THEN amount END AS amount, "
-    "rejected OR (contains(prose, '无法作答') AND NOT coalesce(intent = 'review', false)) AS rejected, NOT coalesce(intent = 'review', false) AND (prose = '' OR starts_with(raw, 'NO') OR contains(raw, '不足')) AS replanned "
-    "FROM (SELECT *, coalesce(intent IN ('both', 'calculate'), false) AS c FROM p) p LEFT JOIN hc USING (question_id) LEFT JOIN amounted USING (question_id)",
-    "session_snapshot": _entries_sql() + ", " + oracle.with_(_T, _A, *_CARRY, _ROUTED, _PREV, ("r", _RETAIN.format("turns")),
+    "answer_meta": oracle.with_(*_batch_ctes(), recursive=True)
+    + "SELECT question_id, retrieved, graded, principal, rate, days, amount, rejected, replanned FROM final",
+    "session_snapshot": _entries_sql() + ", " + oracle.with_(_T, _A, _TRI, *_CALC_CARRY, _ROUTED, _PREV, ("r", _RETAIN.format("turns")),
         ("hist", f"SELECT session_id, max(messages) AS messages, sha256({_LINES}) AS history_digest FROM r WHERE {_KEEP} GROUP BY session_id"),
         ("lastc", "SELECT session_id, principal, rate, days FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS rn FROM carried) WHERE rn = 1"),
-        ("lastt", "SELECT session_id, calc_type, coalesce(previous_ids, '') AS previous_ids FROM (SELECT r.session_id, r.turn, calc_type, previous_ids, row_number() OVER (PARTITION BY r.session_id ORDER BY r.turn DESC) AS rn FROM routed r JOIN prev USING (question_id)) WHERE rn = 1"),
+        ("lastt", "SELECT session_id, calc_type FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS rn FROM routed) WHERE rn = 1"),
+        ("lastp", "SELECT session_id, coalesce(previous_ids, '') AS previous_ids FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS rn FROM prev) WHERE rn = 1"),
         ("own", "SELECT session_id, max(user_id) AS user_id FROM turns GROUP BY session_id"),
         ("ne", "SELECT user_id, count(*) AS profile_entries FROM entries GROUP BY user_id"))[len("WITH "):]
-    + "SELECT session_id, user_id, messages, history_digest, principal, rate, days, calc_type, previous_ids, coalesce(profile_entries, 0) AS profile_entries FROM own LEFT JOIN hist USING (session_id) LEFT JOIN lastc USING (session_id) LEFT JOIN lastt USING (session_id) LEFT JOIN ne USING (user_id)",
-    "eval_refusal": "SELECT tp, fn, fp, tn, round(tp::DOUBLE / nullif(tp + fp, 0), 6) AS precision, round(tp::DOUBLE / nullif(tp + fn, 0), 6) AS recall FROM (SELECT count(*) FILTER (toxic = 1 AND quality = 0) AS tp, count(*) FILTER (toxic = 1 AND quality <> 0) AS fn, "
-    "count(*) FILTER (toxic <> 1 AND quality = 0) AS fp, count(*) FILTER (toxic <> 1 AND quality <> 0) AS tn FROM labels)",
+    + "SELECT session_id, user_id, messages, history_digest, principal, rate, days, calc_type, previous_ids, coalesce(profile_entries, 0) AS profile_entries FROM own LEFT JOIN hist USING (session_id) LEFT JOIN lastc USING (session_id) LEFT JOIN lastt USING (session_id) LEFT JOIN lastp USING (session_id) LEFT JOIN ne USING (user_id)",
+    "eval_refusal": oracle.with_(*_batch_ctes(), ("c", "SELECT question_id % 6 = 0 AS should, rejected FROM final"), recursive=True)
+    + "SELECT tp, fn, fp, tn, round(tp::DOUBLE / nullif(tp + fp, 0), 6) AS precision, round(tp::DOUBLE / nullif(tp + fn, 0), 6) AS recall FROM (SELECT count(*) FILTER (should AND rejected) AS tp, count(*) FILTER (should AND NOT rejected) AS fn, "
+    "count(*) FILTER (NOT should AND rejected) AS fp, count(*) FILTER (NOT should AND NOT rejected) AS tn FROM c)",
     "eval_amount": oracle.with_(("questions", inputs.QUESTIONS.sql()), *oracle.params_ctes("questions", "question_id"))
     + "SELECT count(*) AS cases, round(avg(CASE WHEN principal IS NOT DISTINCT FROM floor(o_totalprice) THEN 1.0::DOUBLE ELSE 0 END), 6) AS principal_accuracy, round(avg(CASE WHEN days IS NOT DISTINCT FROM o_orderkey % 90 + 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS days_accuracy, "
     "round(avg(CASE WHEN rate_per_mille IS NOT DISTINCT FROM 0.5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS rate_per_mille_accuracy FROM params JOIN orders ON question_id = o_orderkey",

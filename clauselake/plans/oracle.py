@@ -106,6 +106,17 @@ def cents_nearest(expr: str) -> str:
     )
 
 
+def java_double(expr: str) -> str:
+    """A double as text the way the JVM prints it: plain up to 10^7, with an exponent from there on."""
+    v = "CAST(x AS VARCHAR)"
+    whole, rest = f"split_part({v}, '.', 1)", f"split_part({v}, '.', 2)"
+    digits = f"({whole} || CASE WHEN {rest} = '0' THEN '' ELSE {rest} END)"
+    tail = f"coalesce(nullif(rtrim(substring({digits}, 2), '0'), ''), '0')"
+    large = f"substring({digits}, 1, 1) || '.' || {tail} || 'E' || (length({whole}) - 1)"
+    huge = f"CASE WHEN contains({v}, '.') THEN regexp_replace({v}, 'e\\+?', 'E') ELSE regexp_replace({v}, 'e\\+?', '.0E') END"
+    return f"list_transform([CAST({expr} AS DOUBLE)], lambda x: CASE WHEN contains({v}, 'e') THEN {huge} WHEN x >= 1e7 THEN {large} ELSE {v} END)[1]"
+
+
 def normalized_rate(rate: str, text: str) -> str:
     return (
         f"(CASE WHEN {rate} <= 1.0 THEN {rate} ELSE coalesce({stated_rate(text)}, "

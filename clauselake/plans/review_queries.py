@@ -209,17 +209,15 @@ def _clause_vectors(spark: SparkSession, sf: str):
     return attach
 
 
-def reviewed(spark: SparkSession, sf: str) -> DataFrame:
-    contracts = inputs.CONTRACTS.frame(spark, sf)
+def reviewed(spark: SparkSession, sf: str, contracts: DataFrame | None = None) -> DataFrame:
+    contracts = inputs.CONTRACTS.frame(spark, sf) if contracts is None else contracts
     return review.review_contracts(
         contracts, inputs.statutes(spark, sf), live_clause_verdicts, _clause_vectors(spark, sf)
     )
 
 
 def review_items(spark: SparkSession, sf: str) -> DataFrame:
-    # the formula inside the validation text prints doubles the JVM way
-    plain = F.regexp_extract("numeric_validation", "^(.*?)(（公式 .*)?$", 1)
-    return reviewed(spark, sf).withColumn("numeric_validation", plain)
+    return reviewed(spark, sf)
 
 
 def review_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -231,8 +229,7 @@ def review_anchors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def review_report(spark: SparkSession, sf: str) -> DataFrame:
-    plain = F.regexp_extract("numeric_validation", "^(.*?)(（公式 .*)?$", 1)
-    return review.review_report(reviewed(spark, sf).withColumn("numeric_validation", plain), inputs.CONTRACTS.frame(spark, sf))
+    return review.review_report(reviewed(spark, sf), inputs.CONTRACTS.frame(spark, sf))
 
 
 def eval_review(spark: SparkSession, sf: str) -> DataFrame:
@@ -309,6 +306,11 @@ _REPORT_BODY = (
     "'【建议替换条款】' || coalesce(clause_replacement, '（无）') || chr(10) ELSE '【结论】未发现明显风险。' || chr(10) END"
 )
 
+REPORT_SQL = (
+    "'合同审查报告' || chr(10) || '（共审查 ' || coalesce(n, 0) || ' 条，发现风险 ' || coalesce(r, 0) || ' 条）' || chr(10) || "
+    "'================================' || chr(10) || coalesce(body, '')"
+)
+
 QUERIES = {
     "split_clauses": split_clauses,
     "split_long": split_long,
@@ -361,7 +363,7 @@ ORACLES = {
     + "SELECT contract_id, string_agg('【已审查条款】' || anchor || chr(10), '' ORDER BY pos) AS note FROM (SELECT *, row_number() OVER (PARTITION BY contract_id ORDER BY pos) AS rn "
     f"FROM (SELECT contract_id, {oracle.trim('clause_text')} AS anchor, min(pos) AS pos FROM items WHERE risky AND {oracle.trim('clause_text')} <> '' GROUP BY 1, 2)) WHERE rn <= 5 GROUP BY contract_id",
     "review_report": _ITEMS
-    + "SELECT contract_id, '合同审查报告' || chr(10) || '（共审查 ' || coalesce(n, 0) || ' 条，发现风险 ' || coalesce(r, 0) || ' 条）' || chr(10) || '================================' || chr(10) || coalesce(body, '') AS report "
+    + f"SELECT contract_id, {REPORT_SQL} AS report "
     f"FROM contracts LEFT JOIN (SELECT contract_id, count(*) AS n, count(*) FILTER (risky) AS r, string_agg({_REPORT_BODY}, '' ORDER BY pos) AS body FROM items GROUP BY contract_id) USING (contract_id)",
     "eval_review": _ITEMS
     + f"SELECT kind, count(*) AS cases, count(*) FILTER (expect_risk) AS positives, round(avg(CASE WHEN expect_risk = found THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS accuracy, "
