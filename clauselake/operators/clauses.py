@@ -89,14 +89,23 @@ def resolve_clause_id(canonical_id, hit_id):
     return F.coalesce(canonical_id, hit_id)
 
 
-def truncate_contracts(docs: DataFrame, text: str) -> DataFrame:
-    """Drop texts that are too short to analyse and cut very long ones, as the analysis feature does."""
-    t = F.col(text)
+def truncate_contracts(
+    docs: DataFrame, text: str, max_chars: int = lx.MAX_CONTRACT_CHARS, min_chars: int = lx.MIN_CONTRACT_CHARS
+) -> DataFrame:
+    """Add ``analysis_text`` (cut to ``max_chars`` and marked), ``dropped_chars`` and ``too_short``.
+
+    The analysis feature does not analyse a text under ``min_chars``; such a
+    row stays, flagged, with a null ``analysis_text``.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    too_short = F.length(tx.trim_ws(t)) < min_chars
     cut = F.when(
-        F.length(t) > lx.MAX_CONTRACT_CHARS,
-        F.concat(F.substring(t, 1, lx.MAX_CONTRACT_CHARS), F.lit(lx.TRUNCATION_SUFFIX)),
+        F.length(t) > max_chars, F.concat(F.substring(t, 1, max_chars), F.lit(lx.TRUNCATION_SUFFIX))
     ).otherwise(t)
-    return docs.filter(F.length(tx.trim_ws(t)) >= lx.MIN_CONTRACT_CHARS).withColumn("analysis_text", cut)
+    return docs.select(
+        "*", F.when(~too_short, cut).alias("analysis_text"),
+        F.greatest(F.length(t) - max_chars, F.lit(0)).alias("dropped_chars"), too_short.alias("too_short"),
+    )
 
 
 def missing_elements(docs: DataFrame, text: str, clause_count: str, items=None) -> DataFrame:

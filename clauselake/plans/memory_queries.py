@@ -215,8 +215,8 @@ def _recall_ctes() -> list[tuple[str, str]]:
         ("qg", f"SELECT question_id, user_id, {grams} AS g FROM (SELECT question_id, user_id, {letters.format('text')} AS l FROM ({inputs.ASKED.sql()}))"),
         ("pg", f"SELECT *, {grams} AS g FROM (SELECT *, {letters.format('piece')} AS l FROM pieces)"),
         ("hitp", "SELECT question_id, ord, seq, pos, piece, len(list_intersect(qg.g, pg.g)) AS ov FROM qg JOIN pg USING (user_id) WHERE len(list_intersect(qg.g, pg.g)) > 0"),
-        ("recalled", "SELECT question_id, substring(string_agg(piece, '；' ORDER BY ord, seq, pos, piece), 1, 500) AS profile_text, CAST(sum(ov) AS BIGINT) AS overlap "
-                     "FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY ord, seq, pos, piece) AS rn FROM hitp) WHERE rn <= 500 GROUP BY question_id"),
+        ("recalled", "SELECT question_id, substring(string_agg(piece, '；' ORDER BY ord, seq, pos, piece), 1, 500) AS profile_text "
+                     "FROM hitp GROUP BY question_id"),
     ]
 
 
@@ -466,7 +466,7 @@ ORACLES = {
     "latest_marker": oracle.with_(_T) + "SELECT session_id, turn, content FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS rn FROM turns WHERE contains(content, '【已审查条款】')) WHERE rn = 1",
     "memory_metrics": f"SELECT {_FACET} AS facet, count(*) FILTER (value > 50) AS hits, count(*) FILTER (NOT value > 50) AS misses FROM events GROUP BY 1",
     "profile_merge": _entries_sql() + "SELECT user_id, field, seq, pos, key, value, last_active FROM entries JOIN (SELECT user_id, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_active FROM events GROUP BY user_id) USING (user_id)",
-    "profile_recall": _entries_sql() + ", " + ", ".join(f"{n} AS ({q})" for n, q in _recall_ctes()) + " SELECT question_id, profile_text, overlap FROM recalled",
+    "profile_recall": _entries_sql() + ", " + ", ".join(f"{n} AS ({q})" for n, q in _recall_ctes()) + " SELECT question_id, profile_text FROM recalled",
     "answer_compose": oracle.with_(*_batch_ctes(), recursive=True)
     + "SELECT question_id, rejected, intent, amount, sha256(answer) AS digest, substring(answer, 1, 40) AS head FROM final",
     "critic_flag": oracle.with_(("q", inputs.QUESTIONS.sql()),

@@ -49,7 +49,7 @@ _LONG = (
 def truncate_contract(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     return clauses.truncate_contracts(docs, "text").select(
-        "doc_id", F.length("analysis_text").alias("chars"), F.sha2("analysis_text", 256).alias("digest")
+        "doc_id", F.length("analysis_text").alias("chars"), F.sha2("analysis_text", 256).alias("digest"), "dropped_chars", "too_short"
     )
 
 
@@ -341,8 +341,9 @@ ORACLES = {
         ("u", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(unnest(range(1, len(subs) + 1)) AS INT) AS sub_index, unnest(subs) AS piece FROM c"),
     )
     + "SELECT l_orderkey, l_linenumber, l_partkey, sub_index, CAST(length(piece) AS INT) AS chars, substring(piece, 1, 12) AS head FROM u",
-    "truncate_contract": "SELECT doc_id, CAST(length(t) AS INT) AS chars, sha256(t) AS digest FROM (SELECT doc_id, CASE WHEN length(text) > 8000 THEN substring(text, 1, 8000) || '...（文本过长，已截断）' ELSE text END AS t FROM documents "
-    f"WHERE length({oracle.trim('text')}) >= 10)",
+    "truncate_contract": "SELECT doc_id, CAST(length(t) AS INT) AS chars, sha256(t) AS digest, CAST(greatest(length(text) - 8000, 0) AS INT) AS dropped_chars, too_short FROM "
+    "(SELECT *, CASE WHEN too_short THEN NULL WHEN length(text) > 8000 THEN substring(text, 1, 8000) || '...（文本过长，已截断）' ELSE text END AS t FROM "
+    f"(SELECT doc_id, text, length({oracle.trim('text')}) < 10 AS too_short FROM documents))",
     "completeness": oracle.with_(*[c for c in review_ctes() if c[0] in {"contracts", "labelled", "counts", "lacking", "lack", "blocks"} or c[0].startswith("sp_")], recursive=True)
     + "SELECT c.contract_id, coalesce(clause_count, 0) AS clause_count, coalesce(missing, '') AS missing FROM contracts c LEFT JOIN lack USING (contract_id)",
     "triage": oracle.with_(("q", f"SELECT *, question_id % 3 <> 0 AS has_history FROM ({inputs.QUESTIONS.sql()})"))

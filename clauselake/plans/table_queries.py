@@ -41,6 +41,12 @@ def kb_visible(spark: SparkSession, sf: str) -> DataFrame:
     return records.visible_bases(read_table(spark, sf, "customer").selectExpr(*_pick(_KB)), USER)
 
 
+def kb_visible_users(spark: SparkSession, sf: str) -> DataFrame:
+    """For all users of the event log at once."""
+    users = read_table(spark, sf, "events").select("user_id")
+    return records.visible_to_users(read_table(spark, sf, "customer").selectExpr(*_pick(_KB)), users).select("viewer_id", "id", "type")
+
+
 def kb_documents(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "orders").selectExpr(*_pick(_DOC)).orderBy("kb_id", F.desc("id"))
 
@@ -117,7 +123,7 @@ def user_upsert(spark: SparkSession, sf: str) -> DataFrame:
 def assemble_pages(spark: SparkSession, sf: str) -> DataFrame:
     pages = read_table(spark, sf, "conversations").selectExpr("conv_id AS record_id", "turn + 1 AS page", "text")
     done = records.assemble_pages(pages)
-    return done.select("record_id", "part", "pages", F.sha2("text", 256).alias("digest"))
+    return done.select("record_id", "pages", F.sha2("text", 256).alias("digest"))
 
 
 _LINE = (
@@ -128,11 +134,15 @@ _LINE = (
 )
 
 
+#: a message is what a user's log says within some hundred events
+_MESSAGE = "user_id * 1000000 + CAST(FLOOR(event_id / 400) AS BIGINT)"
+
+
 def chat_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    lines = read_table(spark, sf, "events").selectExpr("user_id AS message_id", "event_id AS seq", f"{_LINE} AS line")
+    lines = read_table(spark, sf, "events").selectExpr(f"{_MESSAGE} AS message_id", "event_id AS seq", f"{_LINE} AS line")
     typed = records.chat_chunks(lines)
     kinds = typed.groupBy("message_id").agg(F.count_if(F.col("chunk_type") == "suggestion").alias("suggestions"))
-    answers = records.full_answers(typed, 1 << 40).select("message_id", "chunks", F.sha2("text", 256).alias("digest"))
+    answers = records.full_answers(typed).select("message_id", "chunks", F.sha2("text", 256).alias("digest"))
     return kinds.join(answers, "message_id", "left")
 
 
@@ -307,6 +317,7 @@ _SPLIT = [("contracts", inputs.CONTRACTS.sql()), *oracle.split_ctes("contracts",
 QUERIES = {
     "scan_text": scan_text,
     "kb_visible": kb_visible,
+    "kb_visible_users": kb_visible_users,
     "kb_documents": kb_documents,
     "review_records": review_records,
     "category_children": category_children,
@@ -335,6 +346,8 @@ _FAV = "SELECT user_id, post_id FROM inter WHERE action = 'favorite' AND post_id
 ORACLES = {
     "scan_text": "SELECT item_id, text AS content FROM benchmark",
     "kb_visible": f"SELECT * FROM (SELECT {', '.join(_pick(_KB))} FROM customer) WHERE is_deleted = 0 AND (user_id = {USER} OR type = 'public')",
+    "kb_visible_users": f"SELECT CASE WHEN type = 'public' THEN NULL ELSE user_id END AS viewer_id, id, type FROM (SELECT {', '.join(_pick(_KB))} FROM customer) "
+    "WHERE is_deleted = 0 AND (type = 'public' OR user_id IN (SELECT user_id FROM events))",
     "kb_documents": f"SELECT {', '.join(_pick(_DOC))} FROM orders",
     "review_records": f"SELECT id, user_id, record_name, CASE WHEN id % 3 = 0 THEN NULL ELSE '/a/' || id || '.png|/b.png' END AS urls, CASE WHEN id % 4 = 0 THEN '' ELSE '风险点1:第' || (id % 9) || '条:相关合同条款' END AS risks FROM (SELECT {', '.join(_pick(_REC))} FROM orders) WHERE status <> '0'",
     "category_children": f"SELECT parent_id, id, name, icon, sort_order FROM ({inputs.CATEGORIES_SQL})",
@@ -346,8 +359,8 @@ ORACLES = {
     "apply_changes": f"SELECT id, arg_max(record_name, version) FILTER (record_name IS NOT NULL) AS record_name, arg_max(total, version) AS total, min(changed) AS create_time, max(changed) AS update_time FROM (SELECT {', '.join(_pick(_CHANGE))} FROM orders) GROUP BY id HAVING arg_max(op, version) <> 'delete'",
     "partial_update": f"SELECT c.c_custkey, coalesce(nullif(u.c_name, ''), c.c_name) AS c_name, coalesce(nullif(u.c_mktsegment, ''), c.c_mktsegment) AS c_mktsegment FROM customer c LEFT JOIN (SELECT {', '.join(_pick(_UPDATE))} FROM customer WHERE c_custkey % 5 <> 4) u ON u.c_custkey = c.c_custkey",
     "user_upsert": "SELECT 'u' || user_id AS open_id, 'n' || event_id AS nick_name, event_type AS avatar_url, event_id AS seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events WHERE event_type <> 'error' AND value >= 20) WHERE rn = 1 AND user_id NOT IN (SELECT n_nationkey FROM nation)",
-    "assemble_pages": f"SELECT conv_id AS record_id, 0 AS part, count(*) AS pages, sha256(string_agg({_PARTED}, '' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id",
-    "chat_chunks": "SELECT user_id AS message_id, count(*) FILTER (event_type = 'click') AS suggestions, nullif(count(*) FILTER (event_type = 'view'), 0) AS chunks, sha256(string_agg('答' || event_id, '' ORDER BY event_id) FILTER (event_type = 'view')) AS digest FROM events WHERE event_type = 'view' OR (event_type = 'click' AND event_id % 4 <> 0) GROUP BY user_id",
+    "assemble_pages": f"SELECT conv_id AS record_id, count(*) AS pages, sha256(string_agg({_PARTED}, '' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id",
+    "chat_chunks": f"SELECT {_MESSAGE} AS message_id, count(*) FILTER (event_type = 'click') AS suggestions, nullif(count(*) FILTER (event_type = 'view'), 0) AS chunks, sha256(string_agg('答' || event_id, '' ORDER BY event_id) FILTER (event_type = 'view')) AS digest FROM events WHERE event_type = 'view' OR (event_type = 'click' AND event_id % 4 <> 0) GROUP BY 1",
     "ingest_chunks": oracle.with_(*_SPLIT, recursive=True)
     + "SELECT chunk_id, contract_id, CAST(user_id % 4 AS VARCHAR) AS kb_id, CASE WHEN contract_id % 10 IN (0, 1, 9) THEN '（修订）' || content ELSE content END AS content FROM blocks JOIN contracts USING (contract_id)",
     "ingest_status": oracle.with_(*_SPLIT, ("n", "SELECT contract_id, CAST(count(*) AS INT) AS n FROM blocks GROUP BY contract_id"),

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clauselake.functions.json_text import risk_points
 from clauselake.functions.text import is_blank, trim_ws
 from clauselake.runtime import broadcast_if_small
 
-#: pages of one record that are joined into one text part
-PAGES_PER_PART = 1000
-
 CHAT_LINE = "type string, role string, content string"
 
 
@@ -22,6 +19,19 @@ def scan_text(spark: SparkSession, path: str) -> DataFrame:
     ).withColumnRenamed("value", "content")
 
 
+def visible_to_users(bases: DataFrame, users: DataFrame) -> DataFrame:
+    """Knowledge bases that ``users`` (``user_id``) see: ``viewer_id`` and the base's columns.
+
+    A base that is not public has a row for its owner.  A public one, which
+    everybody sees, has one row with a null ``viewer_id`` and is not repeated for all users.
+    """
+    live = bases.filter(F.col("is_deleted") == 0)
+    viewers = users.select(F.col("user_id").alias("viewer_id")).filter("viewer_id IS NOT NULL").distinct()
+    own = live.filter("type <> 'public' OR type IS NULL").join(viewers, F.col("user_id") == F.col("viewer_id"))
+    public = live.filter("type = 'public'").withColumn("viewer_id", F.lit(None).cast(users.schema["user_id"].dataType))
+    return own.select("viewer_id", *bases.columns).unionByName(public.select("viewer_id", *bases.columns))
+
+
 def visible_bases(bases: DataFrame, user_id: int) -> DataFrame:
     """Knowledge bases a user sees: own and public ones that are not deleted, newest first."""
     seen = (F.col("is_deleted") == 0) & ((F.col("user_id") == user_id) | (F.col("type") == "public"))
@@ -38,19 +48,31 @@ def active_records(records: DataFrame) -> DataFrame:
     ).orderBy("user_id", F.desc("create_time"))
 
 
-def assemble_pages(pages: DataFrame, pages_per_part: int = PAGES_PER_PART) -> DataFrame:
-    """Record text from its pages: ``record_id, part, pages, text`` with a title line per page.
+def assemble_pages(pages: DataFrame, pages_per_part: int | None = None) -> DataFrame:
+    """Record text from its pages, with a title line per page: ``record_id, pages, text``.
 
-    An ordinary record is one part.  A record with very many pages continues in
-    further parts, so no cell or task holds an unbounded record.
+    With ``pages_per_part`` a record comes in parts of that many pages, and
+    ``part`` and ``parts`` tell which and how many; use it where a record's
+    text is too long for one cell.
     """
     titled = F.concat(F.lit("【第"), F.col("page").cast("string"), F.lit("页】\n"), F.coalesce("text", F.lit("")), F.lit("\n\n"))
-    return (
-        pages.withColumn("part", F.floor((F.col("page") - 1) / pages_per_part).cast("int"))
-        .groupBy("record_id", "part")
-        .agg(F.count(F.lit(1)).alias("pages"), F.array_sort(F.collect_list(F.struct("page", titled.alias("t")))).alias("ls"))
-        .select("record_id", "part", "pages", F.array_join("ls.t", "").alias("text"))
-    )
+    return _in_order(pages, "record_id", "page", titled, "pages", pages_per_part)
+
+
+def _in_order(rows: DataFrame, key: str, order: str, line: Column, count: str, per_part: int | None) -> DataFrame:
+    """Lines of each key joined in their order, whole or in parts of ``per_part`` lines."""
+    lines = F.array_sort(F.collect_list(F.struct(F.col(order), line.alias("t"))))
+    keys = [key]
+    if per_part is not None:
+        place = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+        rows = rows.withColumn("part", F.floor(place / per_part).cast("int"))
+        keys.append("part")
+    whole = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(count), lines.alias("ls"))
+    out = whole.select(*keys, count, F.array_join("ls.t", "").alias("text"))
+    if per_part is None:
+        return out
+    parts = whole.groupBy(key).agg((F.max("part") + 1).alias("parts"))
+    return out.join(parts, key).select(key, "part", "parts", count, "text")
 
 
 def chat_chunks(lines: DataFrame) -> DataFrame:
@@ -68,14 +90,10 @@ def chat_chunks(lines: DataFrame) -> DataFrame:
     )
 
 
-def full_answers(chunks: DataFrame, chunks_per_part: int = 4096) -> DataFrame:
-    """Answer text per message from its ordered chunks; very long ones continue in further parts."""
-    answer = chunks.filter("chunk_type = 'chunk'").withColumn("part", F.floor(F.col("seq") / chunks_per_part).cast("int"))
-    return (
-        answer.groupBy("message_id", "part")
-        .agg(F.count(F.lit(1)).alias("chunks"), F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("ls"))
-        .select("message_id", "part", "chunks", F.array_join("ls.text", "").alias("text"))
-    )
+def full_answers(chunks: DataFrame, chunks_per_part: int | None = None) -> DataFrame:
+    """Answer text per message from its ordered chunks: ``message_id, chunks, text``; in parts on request, as pages are."""
+    answer = chunks.filter("chunk_type = 'chunk'")
+    return _in_order(answer, "message_id", "seq", F.col("text"), "chunks", chunks_per_part)
 
 
 def apply_changes(log: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
@@ -105,9 +123,9 @@ def partial_update(rows: DataFrame, updates: DataFrame, key: str, fields: list[s
 def upsert_users(logins: DataFrame, users: DataFrame) -> DataFrame:
     """First valid login of every unknown open id: ``open_id, nick_name, avatar_url, seq``."""
     valid = logins.filter(~is_blank(F.col("nick_name")) & ~is_blank(F.col("avatar_url")))
-    unknown = valid.join(users.select("open_id").distinct(), "open_id", "left_anti")
-    first = unknown.groupBy("open_id").agg(F.min_by(F.struct("nick_name", "avatar_url", "seq"), "seq").alias("f"))
-    return first.select("open_id", "f.*")
+    # one row a user before the join, so that a user with very many logins is no hot key
+    first = valid.groupBy("open_id").agg(F.min_by(F.struct("nick_name", "avatar_url", "seq"), "seq").alias("f"))
+    return first.join(users.select("open_id").distinct(), "open_id", "left_anti").select("open_id", "f.*")
 
 
 def document_status(uploads: DataFrame, chunk_counts: DataFrame) -> DataFrame:
