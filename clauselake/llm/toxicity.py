@@ -19,6 +19,7 @@ columns are kept by ``score``.
 
 from __future__ import annotations
 
+import pickle
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 from clauselake.llm.common import bounded, fresh_name, in_fold, map_batches
 
 #: documents of the fitting sample, and their characters at most
-TOXIC, CLEAN, CHARACTERS = 800, 1600, 40_000
+TOXIC, CLEAN, CHARACTERS = 400, 800, 40_000
 THRESHOLD = 0.7
 #: contexts a toxic word needs, at least and as a share of the toxic documents, and how many times more frequent
 #: they are in toxic documents
@@ -41,7 +42,7 @@ LEAST_CONTEXTS, LEAST_SHARE, LEAST_RATIO = 7, 0.012, 8.0
 #: fitting rounds of the field and of the document model, and fitting tokens a feature needs
 ROUNDS, LOGISTIC_ROUNDS, LEAST_TOKENS = 30, 400, 5
 #: steps of one block of the scan, and texts scored together by their bytes
-STEPS, GROUP_BYTES = 128, 8 << 20
+STEPS, GROUP_BYTES = 128, 3 << 20
 
 
 @dataclass
@@ -130,6 +131,17 @@ def messages(scores: np.ndarray, first: np.ndarray, model: Model) -> tuple[np.nd
     return f, b, joint[:, 1] / joint.sum(axis=1)
 
 
+def expected_steps(scores: np.ndarray, f: np.ndarray, b: np.ndarray, inner: np.ndarray, transitions: np.ndarray, run: int = 1 << 16) -> np.ndarray:
+    """Expected counts of the four transitions into the tokens ``inner``."""
+    total = np.zeros((2, 2))
+    for at in range(0, len(inner), run):
+        k = inner[at : at + run]
+        after = b[k] * np.stack([np.ones(len(k)), np.exp(np.clip(scores[k], -30, 30))], axis=1)
+        step = f[k - 1][:, :, None] * np.exp(transitions)[None] * after[:, None, :]
+        total += (step / step.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    return total
+
+
 def summary(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Per text: highest marginal, log of one plus their sum, and their share of the tokens."""
     n = np.diff(first)
@@ -186,6 +198,7 @@ def fit_texts(texts: list[str], toxic: np.ndarray, sizes: tuple[int, int]) -> Mo
             tokens_of[f] += c
     number = {f: i for i, f in enumerate(f for f, c in tokens_of.items() if c >= LEAST_TOKENS)}
     table = np.array([[number.get(f, len(number)) for f in fs] for fs in each], np.int64)
+    del each, tokens_of, is_bad
     weights, seen = np.zeros(len(number) + 1), np.zeros(len(number) + 1)
     model = Model(bias=-4.0)
     marks = np.zeros(len(code), bool)
@@ -204,10 +217,8 @@ def fit_texts(texts: list[str], toxic: np.ndarray, sizes: tuple[int, int]) -> Mo
         gradient = np.bincount(table.ravel(), np.repeat(by_word, table.shape[1]), len(weights)) - 1e-4 * weights
         seen += gradient**2
         weights += 0.7 * gradient / np.sqrt(seen + 1e-12)
-        e = np.exp(np.clip(score[code[inner]], -30, 30))
-        step = f[inner - 1][:, :, None] * np.exp(model.transitions)[None] * (b[inner] * np.stack([np.ones_like(e), e], axis=1))[:, None, :]
-        step /= step.sum(axis=(1, 2), keepdims=True)
-        rest = np.concatenate([[off.sum()], ((observed - step.sum(axis=0)) * scale).ravel(), np.bincount(y[marks], minlength=2)[:2] * scale])
+        expected = expected_steps(score[code], f, b, inner, model.transitions)
+        rest = np.concatenate([[off.sum()], ((observed - expected) * scale).ravel(), np.bincount(y[marks], minlength=2)[:2] * scale])
         rest[5:] -= np.array([(1 - p[marks]).sum(), p[marks].sum()]) * scale
         small += rest**2
         rest = 0.3 * rest / np.sqrt(small + 1e-12)
@@ -244,10 +255,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = [known.filter(f"toxic = {y}").orderBy(*order).limit(n) for y, n in ((1, TOXIC), (0, CLEAN))]
     chosen = chosen[0].unionByName(chosen[1])  # no more than TOXIC + CLEAN rows
-    rows = short.join(F.broadcast(chosen), "doc_id").distinct().limit(2 * (TOXIC + CLEAN)).collect()
-    rows = sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows)
-    toxic = np.array([r[2] == 1 for r in rows], bool)
-    return fit_texts([r[1] for r in rows], toxic, (sizes.get(1, 0), sizes.get(0, 0)))
+    prior = (sizes.get(1, 0), sizes.get(0, 0))
+
+    def fit_sample(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r["doc_id"], r["text"], r["toxic"]) for batch in batches for r in batch.to_pylist())
+        m = fit_texts([r[1] for r in rows], np.array([r[2] == 1 for r in rows], bool), prior)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((m.weights, m.bias, m.transitions, m.start, m.logistic))], pa.binary())], ["model"])
+
+    # the bounded sample is fitted by one task, which leaves the driver's memory alone
+    sample = short.join(F.broadcast(chosen), "doc_id").distinct().limit(2 * (TOXIC + CLEAN))
+    fitted = sample.repartition(1).mapInArrow(fit_sample, "model binary").first()
+    return Model(*pickle.loads(bytes(fitted[0]))) if fitted else Model()
 
 
 def score_texts(texts: pa.Array, model: Model) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
