@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: bytes of text whose word hashes are computed at once; bounds the memory of a task
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: rows of an Arrow batch of texts
+BATCH_ROWS = 2000
 _MASK = (1 << 64) - 1
 #: odd multiplier of the polynomial hashes modulo 2**64, and its inverse
 BASE = 0x9E3779B97F4A7C15
@@ -78,6 +80,14 @@ def quoted(names: list[str]) -> list[Column]:
     return [F.col(f"`{n.replace('`', '``')}`") for n in names]
 
 
+def arrow_map(df: DataFrame, run, schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` with batches that stay small when rows are long texts; the session keeps this batch size."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def map_batches(df: DataFrame, run, schema: T.StructType) -> DataFrame:
     """``mapInArrow`` for tables with any column names: ``run`` meets and makes columns by their position alone."""
     names = [f"c{i}" for i in range(len(schema))]
@@ -87,7 +97,7 @@ def map_batches(df: DataFrame, run, schema: T.StructType) -> DataFrame:
         for columns in run(batches):
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(renamed, plain).toDF(*schema.names)
+    return arrow_map(df.toDF(*[f"c{i}" for i in range(len(df.columns))]), renamed, plain).toDF(*schema.names)
 
 
 def text_of(df: DataFrame) -> Column:
@@ -190,7 +200,7 @@ def word_table(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), place, np.searchsorted(place, bounds)
 
 
-def bounded(batch: pa.RecordBatch, column: str | int = "text", limit: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+def bounded(batch: pa.RecordBatch, column: str | int = "text", limit: int = 3 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about ``limit`` bytes of text, so that what is computed for a run stays small."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.large_string())), 0).to_numpy(zero_copy_only=False)
     group = np.cumsum(sizes) // limit

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.llm.common import (
-    BASE_INVERSE, LOWER, bounded, fresh_name, mix, powers, ragged, slice_end, small_side, staged, text_buffer,
+    BASE_INVERSE, LOWER, arrow_map, bounded, fresh_name, mix, powers, ragged, slice_end, small_side, staged, text_buffer,
 )
 
 WIDTH, COVERAGE = 5, 0.8
@@ -130,7 +130,7 @@ def window_rows(rows: DataFrame, table: np.ndarray | None) -> DataFrame:
             for k in range(0, out.num_rows, 100_000):
                 yield out.slice(k, 100_000)
 
-    return rows.select("id", "uid", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(windows, _WINDOWS)
+    return arrow_map(rows.select("id", "uid", F.coalesce("text", F.lit("")).alias("text")), windows, _WINDOWS)
 
 
 def _uid(key: str) -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clauselake.llm.common import (
-    BASE_INVERSE, bounded, fresh_name, map_batches, mix, powers, quoted, ragged, small_side, staged, text_buffer, word_table,
+    BASE_INVERSE, arrow_map, bounded, fresh_name, map_batches, mix, powers, quoted, ragged, small_side, staged, text_buffer, word_table,
 )
 
 #: words that a line needs for near matches
@@ -102,7 +102,7 @@ def line_rows(docs: DataFrame, min_words: int) -> DataFrame:
                 ["doc_id", "uid", "line", "words", "k1", "k2", "halves"],
             )
 
-    return docs.select("doc_id", "uid", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lines, _LINES)
+    return arrow_map(docs.select("doc_id", "uid", F.coalesce("text", F.lit("")).alias("text")), lines, _LINES)
 
 
 def variant_rows(docs: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def variant_rows(docs: DataFrame) -> DataFrame:
             for at in range(0, table.num_rows, 100_000):
                 yield table.slice(at, 100_000)
 
-    return docs.mapInArrow(variants, _VARIANTS)
+    return arrow_map(docs, variants, _VARIANTS)
 
 
 def within_one(a: np.ndarray, b: np.ndarray) -> bool:

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from clauselake.llm import tokens
-from clauselake.llm.common import staged, text_of
+from clauselake.llm.common import arrow_map, staged, text_of
 
 WINDOW = 1024
 #: rounds of the solver
@@ -127,7 +127,7 @@ def cut(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None) ->
         types = [pa.int32(), *[pa.int64()] * 6, pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], _PIECES.names)
 
-    return docs.mapInArrow(pieces, _PIECES)
+    return arrow_map(docs, pieces, _PIECES)
 
 
 def _before(rows: DataFrame, value: str, by: list[str], out: str) -> DataFrame:

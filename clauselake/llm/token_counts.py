@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.llm import tokens
-from clauselake.llm.common import text_of
+from clauselake.llm.common import arrow_map, text_of
 
 #: characters of a block, about
 BLOCK = 512
@@ -162,4 +162,4 @@ def _counted(rows: DataFrame, vocabulary: str) -> DataFrame:
             out.append((doc_id, len(log), before, *tree.total, tree.encoded))
         return out
 
-    return rows.mapInArrow(count, _COUNTS)
+    return arrow_map(rows, count, _COUNTS)

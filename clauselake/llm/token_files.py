@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from clauselake.llm import tokens
-from clauselake.llm.common import text_of
+from clauselake.llm.common import arrow_map, text_of
 
 MAGIC = b"CLTK"
 #: ids in a shard, about
@@ -134,7 +134,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None)
 
     schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("shard_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("payload", pa.binary())])
     ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(shards, _SHARDS).write.option("compression", "uncompressed").parquet(f"{path}/shards")
+    arrow_map(ordered, shards, _SHARDS).write.option("compression", "uncompressed").parquet(f"{path}/shards")
 
 
 def _decode(shards: DataFrame, path: str, wanted: frozenset[int] | None, with_ids: bool) -> DataFrame:

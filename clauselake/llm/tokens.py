@@ -22,11 +22,11 @@ from clauselake.llm.common import ragged
 #: id appended to every document
 END = 0
 #: bytes of text whose pieces are encoded together
-GROUP_BYTES = 6 << 20
+GROUP_BYTES = 4 << 20
 #: pieces joined into one string for the library
 JOIN_PIECES = 2000
 #: repeated pieces whose ids a worker process keeps for its later batches
-KEPT_PIECES = 600_000
+KEPT_PIECES = 400_000
 #: a cut is safe before a space that a non-space follows
 CUT = re.compile(r" (?=\S)")
 #: fixed pattern: white space of the pre-tokeniser after a space, a space at the end, or the special token

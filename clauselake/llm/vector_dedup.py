@@ -30,7 +30,7 @@ from clauselake.llm.graph import components, local_star, whole_groups
 
 COSINE, BLOCKS, GRID = 0.93, 4, 2
 #: vectors of one side of a tile, and home vectors compared at once
-TILE, SLAB = 2048, 256
+TILE, SLAB = 4096, 256
 _CELLS = "dim int, label long, block int, c0 int, c1 int, home boolean, id long, weight long, vector binary"
 _KEYS = ["dim", "label", "block", "c0", "c1"]
 
