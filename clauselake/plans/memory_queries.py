@@ -11,8 +11,9 @@ from clauselake.operators import answer, evaluate, profile, review, session
 from clauselake.operators.skew import lookup_join
 from clauselake.operators.triage import triage as triage_op
 from clauselake.plans import inputs, oracle, review_queries, search_queries
-from clauselake.runtime import cut_lineage
+from clauselake.runtime import cut_lineage, scratch_path
 from clauselake.sources.tables import read_table
+from clauselake.streaming import jobs
 
 NOW = review_queries.NOW
 
@@ -109,13 +110,12 @@ _ROUNDS_SQL = (
 
 
 def append_rounds(spark: SparkSession, sf: str) -> DataFrame:
-    from clauselake.sources.sinks import append_rows
-    from clauselake.runtime import scratch_path
-
+    """Rounds that arrive in two loads; the second run of the stream goes on where the first has ended."""
     rounds = _rounds(spark, sf).drop("user_id")
-    path = scratch_path(spark, "rounds")
-    append_rows(rounds.filter("answer IS NOT NULL"), path)
-    append_rows(rounds.filter("answer IS NULL"), path)
+    arriving, path = scratch_path(spark, "arriving-rounds"), scratch_path(spark, "rounds")
+    for load in ("answer IS NOT NULL", "answer IS NULL"):
+        rounds.filter(load).write.mode("append").parquet(arriving)
+        jobs.append_rounds(spark.readStream.schema(rounds.schema).parquet(arriving), path)
     return spark.read.schema(rounds.schema).parquet(path).select("session_id", "id", "question", "answer")
 
 

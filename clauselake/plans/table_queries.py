@@ -10,7 +10,7 @@ from clauselake.operators.clauses import split_clauses
 from clauselake.plans import inputs, memory_queries, oracle
 from clauselake.runtime import scratch_path, spread
 from clauselake.sources import records, sinks
-from clauselake.sources.tables import read_table, stream_table, with_timestamp
+from clauselake.sources.tables import read_table, stream_table
 from clauselake.streaming import jobs
 
 USER = 3
@@ -278,11 +278,32 @@ def stream_views(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    texts = with_timestamp(stream_table(spark, sf, "events"), "ts").selectExpr(
-        "ts", "sha2(CONCAT(CAST(user_id AS STRING), props), 256) AS text_hash"
+    """Texts that need a verdict: first seen, or seen again after the lifetime of the last one."""
+    texts = stream_table(spark, sf, "events").selectExpr(
+        "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) AS ts_us", "sha2(CONCAT(CAST(user_id AS STRING), props), 256) AS text_hash"
     )
-    # a lifetime beyond the data's span, so that the result does not depend on how files fall into batches
-    return jobs.drain(jobs.dedupe_texts(texts, "3650 days").select("text_hash"), "dedupe")
+    return jobs.drain(jobs.first_sightings(texts), "dedupe")
+
+
+def stream_likes(spark: SparkSession, sf: str) -> DataFrame:
+    events = stream_table(spark, sf, "events").selectExpr(*_pick(inputs.INTERACTIONS.columns))
+    events = events.withColumn("at", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)"))
+    return jobs.drain(jobs.guarded_marks(events, "like", "unlike"), "likes")
+
+
+def stream_extract_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    asked = stream_table(spark, sf, "conversations").filter(inputs.ASKED.where).selectExpr(*_pick(inputs.ASKED.columns))
+    return jobs.drain(jobs.every_nth_round(asked), "rounds")
+
+
+_READ_KIND = "CASE WHEN value > 95 THEN 'reset' WHEN value > 50 THEN 'hit' ELSE 'miss' END"
+
+
+def stream_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Current counters of each facet of the memory, after the last reset."""
+    reads = stream_table(spark, sf, "events").selectExpr(f"{memory_queries._FACET} AS facet", "event_id AS seq", f"{_READ_KIND} AS kind")
+    changes = jobs.drain(jobs.memory_metrics(reads), "metrics")
+    return changes.groupBy("facet").agg(F.max_by(F.struct("epoch", "hits", "misses"), "seq").alias("m")).select("facet", "m.*")
 
 
 def stream_session_state(spark: SparkSession, sf: str) -> DataFrame:
@@ -339,6 +360,9 @@ QUERIES = {
     "render_letters": render_letters,
     "stream_views": stream_views,
     "stream_dedupe": stream_dedupe,
+    "stream_likes": stream_likes,
+    "stream_extract_rounds": stream_extract_rounds,
+    "stream_metrics": stream_metrics,
     "stream_session_state": stream_session_state,
 }
 
@@ -381,7 +405,18 @@ ORACLES = {
     "LEFT JOIN (SELECT post_id, CAST(sum(CASE WHEN action = 'favorite' THEN 1 ELSE -1 END) AS BIGINT) AS favorites FROM f WHERE accepted GROUP BY post_id) USING (post_id)",
     "render_letters": _letters_sql(),
     "stream_views": oracle.with_(_INTER) + "SELECT post_id, count(*) AS views FROM inter WHERE action = 'view' GROUP BY post_id",
-    "stream_dedupe": "SELECT DISTINCT sha256(CAST(user_id AS VARCHAR) || props) AS text_hash FROM events",
+    "stream_dedupe": "WITH RECURSIVE e AS (SELECT sha256(CAST(user_id AS VARCHAR) || props) AS text_hash, epoch_us(ts) AS ts_us FROM events), "
+    "k(text_hash, ts_us) AS (SELECT text_hash, min(ts_us) FROM e GROUP BY text_hash UNION ALL "
+    "SELECT k.text_hash, min(e.ts_us) FROM k JOIN e ON e.text_hash = k.text_hash AND e.ts_us >= k.ts_us + 604800000000 GROUP BY k.text_hash, k.ts_us) SELECT text_hash, ts_us FROM k",
+    "stream_likes": oracle.with_(_INTER, *_guarded_ctes("like", "unlike", "g"), recursive=True) + "SELECT event_id, user_id, post_id, action, accepted FROM g",
+    "stream_extract_rounds": oracle.with_(memory_queries._A,
+        ("g", "SELECT *, CASE WHEN ts_sec - lag(ts_sec) OVER (PARTITION BY session_id ORDER BY turn) >= 2592000 THEN 1 ELSE 0 END AS gap FROM asked"),
+        ("l", "SELECT *, sum(gap) OVER (PARTITION BY session_id ORDER BY turn) AS life FROM g"),
+        ("n", "SELECT *, row_number() OVER (PARTITION BY session_id, life ORDER BY turn) AS round_no FROM l"))
+    + "SELECT question_id, session_id, round_no FROM n WHERE round_no % 3 = 0",
+    "stream_metrics": f"WITH r AS (SELECT {memory_queries._FACET} AS facet, event_id AS seq, {_READ_KIND} AS kind FROM events), "
+    "e AS (SELECT *, count(*) FILTER (kind = 'reset') OVER (PARTITION BY facet ORDER BY seq) AS epoch FROM r) "
+    "SELECT facet, epoch, count(*) FILTER (kind = 'hit') AS hits, count(*) FILTER (kind = 'miss') AS misses FROM e GROUP BY facet, epoch QUALIFY epoch = max(epoch) OVER (PARTITION BY facet)",
     "stream_session_state": oracle.with_(memory_queries._A, *memory_queries._CARRY, memory_queries._ROUTED, memory_queries._PREV)
     + "SELECT question_id, epoch, principal, rate, days, calc_type, previous_ids FROM carried JOIN routed USING (question_id) JOIN prev USING (question_id)",
 }

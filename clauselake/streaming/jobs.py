@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from clauselake.functions import calc, params
 from clauselake.functions import lexicons as lx
+from clauselake.operators.engage import MARK_MICROS
 from clauselake.runtime import scratch_path, ship_by_value
 
 ship_by_value(__name__)
@@ -24,24 +25,37 @@ OUTPUT_SCHEMA = (
 )
 
 
-def drain(stream: DataFrame, name: str, timeout_sec: int = 600) -> DataFrame:
-    """Run everything available through an append sink and return the written table."""
-    path, checkpoint = scratch_path(stream.sparkSession, name), scratch_path(stream.sparkSession, f"{name}-state")
+#: how long state without a new row is kept, by the clock of the stream
+STATE_TTL_MS = lx.SESSION_TTL_DAYS * 86_400_000
+
+
+def drain(
+    stream: DataFrame, name: str, path: str | None = None, checkpoint: str | None = None, timeout_sec: float | None = None
+) -> DataFrame:
+    """Run everything available through an append sink and return the written table.
+
+    A job that goes on later names its own ``path`` and ``checkpoint``; without
+    them a run starts afresh.  It waits as long as the input takes, unless the
+    caller sets ``timeout_sec``.
+    """
+    path = path or scratch_path(stream.sparkSession, name)
     query = (
-        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint or f"{path}-state")
         .outputMode("append").trigger(availableNow=True).start()
     )
     _finish(query, timeout_sec)
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def _finish(query, timeout_sec: int) -> None:
-    if not query.awaitTermination(timeout_sec):
+def _finish(query, timeout_sec: float | None = None) -> None:
+    if timeout_sec is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_sec):
         query.stop()
         raise TimeoutError("stream did not finish")
 
 
-def count_views(events: DataFrame, name: str = "views") -> DataFrame:
+def count_views(events: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Running views per post.
 
     Each micro-batch appends the counts it changed, tagged with its number; the
@@ -49,48 +63,183 @@ def count_views(events: DataFrame, name: str = "views") -> DataFrame:
     failure overwrites its own folder.
     """
     spark = events.sparkSession
-    path, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+    path = path or scratch_path(spark, "views")
     counts = events.filter("action = 'view'").groupBy("post_id").agg(F.count(F.lit(1)).alias("views"))
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     query = (
-        counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+        counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint or f"{path}-state")
         .trigger(availableNow=True).foreachBatch(save).start()
     )
-    _finish(query, 600)
+    _finish(query)
     written = spark.read.schema("post_id long, views long, batch long").parquet(path)
     return written.groupBy("post_id").agg(F.max_by("views", "batch").alias("views"))
 
 
-def dedupe_texts(texts: DataFrame, ttl: str = f"{lx.VERDICT_TTL_DAYS} days") -> DataFrame:
-    """First sighting of each text hash within the lifetime of its verdict (``ts, text_hash``)."""
-    return texts.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["text_hash"])
+def append_rounds(rounds: DataFrame, path: str, checkpoint: str | None = None) -> None:
+    """Append question and answer rounds to ``path``; one folder per micro-batch makes replays idempotent.
 
-
-def append_rounds(rounds: DataFrame, path: str) -> None:
-    """Append question and answer rounds; one folder per micro-batch makes replays idempotent."""
-    spark = rounds.sparkSession
+    The checkpoint stands beside the output, so a later run goes on with the
+    next batch number and what is new, and a restart repeats only its own batch.
+    """
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     query = (
-        rounds.writeStream.option("checkpointLocation", scratch_path(spark, "rounds-state"))
+        rounds.writeStream.option("checkpointLocation", checkpoint or f"{path.rstrip('/')}-state")
         .trigger(availableNow=True).foreachBatch(save).start()
     )
-    _finish(query, 600)
+    _finish(query)
+
+
+def _keyed(stream: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, live: bool) -> DataFrame:
+    """Rows of each key through ``processor``.
+
+    Rows of a key are ordered inside a micro-batch; across batches they must
+    arrive in order.  ``live`` is for streams that run on: state that no row
+    touches within its lifetime is freed by the clock.  A run that ends with
+    its input has no use for that clock, which would keep it going.
+    """
+    stream.sparkSession.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    processor.ttl_ms = STATE_TTL_MS if live else None
+    return stream.groupBy(*keys).transformWithStateInPandas(
+        processor, outputStructType=schema, outputMode="Append", timeMode="ProcessingTime" if live else "None"
+    )
+
+
+class _OneState(StatefulProcessor):
+    """A processor with one remembered row; ``follow`` maps a key's ordered rows and the state to output and new state."""
+
+    schema: str
+    order: list[str]
+    ttl_ms: int | None = None
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", self.schema, ttlDurationMs=self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(self.order)  # one key's share of one micro-batch
+        before = tuple(self.state.get()) if self.state.exists() else None
+        out, after = self.follow(batch, before)
+        if after is None:
+            self.state.clear()
+        else:
+            self.state.update(after)
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+class _Sightings(_OneState):
+    schema, order = "seen long", ["ts_us"]
+
+    def __init__(self, ttl_us: int):
+        self.ttl_us = ttl_us
+
+    def follow(self, batch, before):
+        seen, first = (before[0] if before else None), []
+        for ts in batch["ts_us"].tolist():
+            new = seen is None or ts - seen >= self.ttl_us
+            seen = ts if new else seen
+            first.append(new)
+        return batch[first], (seen,)
+
+
+def first_sightings(texts: DataFrame, ttl_days: float = lx.VERDICT_TTL_DAYS, live: bool = False) -> DataFrame:
+    """First sighting of each text within the lifetime of its verdict: ``text_hash, ts_us`` of the sightings that need one."""
+    columns = texts.select("text_hash", "ts_us")
+    return _keyed(columns, ["text_hash"], _Sightings(int(ttl_days * 86400e6)), "text_hash string, ts_us long", live)
+
+
+class _Marks(_OneState):
+    schema, order = "marked long", ["at", "event_id"]
+
+    def __init__(self, mark: str, ttl_us: int):
+        self.mark, self.ttl_us = mark, ttl_us
+
+    def follow(self, batch, before):
+        marked, accepted = (before[0] if before else None), []
+        for action, at in zip(batch["action"].tolist(), batch["at"].tolist(), strict=True):
+            alive = marked is not None and at - marked < self.ttl_us
+            accepted.append(alive != (action == self.mark))
+            if action != self.mark:
+                marked = None
+            elif not alive:
+                marked = at
+        return batch.assign(accepted=accepted)[["event_id", "user_id", "post_id", "action", "accepted"]], None if marked is None else (marked,)
+
+
+def guarded_marks(events: DataFrame, mark: str, unmark: str, ttl_us: int = MARK_MICROS, live: bool = False) -> DataFrame:
+    """The stream of ``engage.guarded_marks``: a mark counts while none is alive, an un-mark while one is."""
+    rows = events.filter(F.col("action").isin(mark, unmark)).select("event_id", "user_id", "post_id", "action", "at")
+    out = "event_id long, user_id long, post_id long, action string, accepted boolean"
+    return _keyed(rows, ["user_id", "post_id"], _Marks(mark, ttl_us), out, live)
+
+
+class _Rounds(_OneState):
+    schema, order = "rounds long, last long", ["turn"]
+
+    def __init__(self, n: int, ttl_sec: int):
+        self.n, self.ttl_sec = n, ttl_sec
+
+    def follow(self, batch, before):
+        count, last = before or (0, None)
+        numbers = []
+        for at in batch["ts_sec"].tolist():
+            count = 1 if last is not None and at - last >= self.ttl_sec else count + 1
+            last = at
+            numbers.append(count)
+        numbered = batch.assign(round_no=numbers)
+        return numbered[numbered["round_no"] % self.n == 0][["question_id", "session_id", "round_no"]], (count, last)
+
+
+def every_nth_round(rounds: DataFrame, n: int = lx.EXTRACT_EVERY, ttl_days: int = lx.PROFILE_TTL_DAYS, live: bool = False) -> DataFrame:
+    """Rounds at which the profile is extracted; a pause beyond the counter's lifetime starts its count again."""
+    columns = rounds.select("question_id", "session_id", "turn", "ts_sec")
+    return _keyed(columns, ["session_id"], _Rounds(n, ttl_days * 86400), "question_id long, session_id string, round_no long", live)
+
+
+class _Metrics(_OneState):
+    schema, order = "epoch long, hits long, misses long", ["seq"]
+
+    def follow(self, batch, before):
+        epoch, hits, misses = before or (0, 0, 0)
+        out = []
+        for facet, seq, kind in zip(batch["facet"].tolist(), batch["seq"].tolist(), batch["kind"].tolist(), strict=True):
+            if kind == "reset":
+                epoch, hits, misses = epoch + 1, 0, 0
+            else:
+                hits, misses = hits + (kind == "hit"), misses + (kind != "hit")
+            out.append((facet, seq, epoch, hits, misses))
+        return pd.DataFrame(out, columns=["facet", "seq", "epoch", "hits", "misses"]), (epoch, hits, misses)
+
+
+def memory_metrics(reads: DataFrame, live: bool = False) -> DataFrame:
+    """Hits and misses per facet after each read since the last reset: ``facet, seq, epoch, hits, misses``.
+
+    ``reads``: ``facet, seq`` and ``kind``, which is hit, miss or reset.
+    """
+    columns = reads.select("facet", "seq", "kind")
+    return _keyed(columns, ["facet"], _Metrics(), "facet string, seq long, epoch long, hits long, misses long", live)
 
 
 class SessionMemory(StatefulProcessor):
     """Carried parameters, calculation type and rolled citations of one session."""
 
+    ttl_ms: int | None = None
+
     def __init__(self, ttl_seconds: int = lx.SESSION_TTL_DAYS * 86400):
         self.ttl_seconds = ttl_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.memory = handle.getValueState("memory", STATE_SCHEMA)
+        self.memory = handle.getValueState("memory", STATE_SCHEMA, ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         turns = pd.concat(list(rows)).sort_values("turn")  # one session's share of one micro-batch
@@ -124,23 +273,17 @@ class SessionMemory(StatefulProcessor):
         pass
 
 
-def session_memory(turns: DataFrame) -> DataFrame:
+def session_memory(turns: DataFrame, live: bool = False) -> DataFrame:
     """Session state as a stream; gives per turn what the batch windows give.
 
     Values are extracted by Spark expressions first, so the Python processor
     only merges a few scalars.  ``turns``: ``session_id, question_id, turn,
     ts_sec, text, clause_ids, model_principal, model_rate, model_days``.
     """
-    turns.sparkSession.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
     t = F.col("text")
     ruled = turns.select(
         "session_id", "question_id", "turn", "ts_sec", "clause_ids", "model_principal", "model_rate", "model_days",
         params.principal(t).alias("rule_principal"), params.daily_rate(t).alias("rule_rate"),
         params.overdue_days(t).alias("rule_days"), calc.explicit_calc_type(t).alias("explicit_type"),
     )
-    return ruled.groupBy("session_id").transformWithStateInPandas(
-        SessionMemory(), outputStructType=OUTPUT_SCHEMA, outputMode="Append", timeMode="None"
-    )
+    return _keyed(ruled, ["session_id"], SessionMemory(), OUTPUT_SCHEMA, live)

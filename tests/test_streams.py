@@ -1,5 +1,11 @@
-"""Stream sinks beyond what the oracle comparison covers."""
+"""Streams: runs that follow one another, restarts, and several small batches against the batch operators."""
 
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from clauselake.operators import engage, session
 from clauselake.runtime import scratch_path
 from clauselake.sources.tables import read_table, stream_table
 from clauselake.streaming import jobs
@@ -13,3 +19,77 @@ def test_rounds_are_appended_once(spark):
     stored = spark.read.schema("conv_id long, turn long, text string, batch long").parquet(path)
     assert stored.count() == stored.select("conv_id", "turn").distinct().count()
     assert stored.count() == read_table(spark, FOLDER, "conversations").count()
+
+
+def test_later_runs_keep_earlier_rounds(spark):
+    arriving, path = scratch_path(spark, "test-arriving"), scratch_path(spark, "test-later")
+    schema = "id long, text string"
+    for load in ([(1, "a"), (2, "b")], [(3, "c")], []):
+        spark.createDataFrame(load, schema).coalesce(1).write.mode("append").parquet(arriving)
+        jobs.append_rounds(spark.readStream.schema(schema).parquet(arriving), path)
+        jobs.append_rounds(spark.readStream.schema(schema).parquet(arriving), path)  # a restart finds nothing new
+    stored = spark.read.schema(schema).parquet(path).select("id", "text")
+    assert sorted(map(tuple, stored.collect())) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+@pytest.fixture
+def in_files(spark):
+    """Writes rows in several files of consecutive rows and reads them one file a batch."""
+
+    def stream(df, order, files=4):
+        path = scratch_path(spark, "test-files")
+        rows = [tuple(r) for r in df.orderBy(*order).collect()]
+        size = -(-len(rows) // files)
+        for i in range(0, len(rows), size):
+            spark.createDataFrame(rows[i : i + size], df.schema).coalesce(1).write.mode("append").parquet(path)
+        return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+    return stream
+
+
+def _rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_marks_in_many_batches(spark, in_files):
+    rng, rows, at = random.Random(5), [], 0
+    hour = 3_600_000_000
+    for i in range(300):
+        at += rng.choice([1, hour, 9 * hour])
+        rows.append((i, rng.choice([1, 1, 1, 2]), 1, rng.choice(["like", "like", "unlike"]), at))
+    df = spark.createDataFrame(rows, "event_id long, user_id long, post_id long, action string, at long")
+    got = jobs.drain(jobs.guarded_marks(in_files(df, ["at", "event_id"]), "like", "unlike"), "test-marks")
+    want = engage.guarded_marks(df, "like", "unlike").select("event_id", "user_id", "post_id", "action", "accepted")
+    assert _rows(got) == _rows(want)
+
+
+def test_sightings_after_their_lifetime(spark, in_files):
+    day = 86_400_000_000
+    df = spark.createDataFrame([("a", d * day) for d in (0, 1, 6, 7, 8, 13, 15)] + [("b", 3 * day)], "text_hash string, ts_us long")
+    got = jobs.drain(jobs.first_sightings(in_files(df, ["ts_us"])), "test-sightings")
+    assert _rows(got) == sorted([("a", 0), ("a", 7 * day), ("a", 15 * day), ("b", 3 * day)], key=str)
+
+
+def test_every_third_round_in_many_batches(spark, in_files):
+    rows = [(s * 100 + t, f"s{s}", t, t * 60) for s in range(3) for t in range(11)]
+    df = spark.createDataFrame(rows, "question_id long, session_id string, turn long, ts_sec long")
+    got = jobs.drain(jobs.every_nth_round(in_files(df, ["turn"])), "test-third")
+    assert _rows(got) == _rows(session.every_nth_round(df).select("question_id", "session_id", "round_no"))
+
+
+def test_metrics_start_anew_after_a_reset(spark, in_files):
+    kinds = ["hit", "miss", "hit", "reset", "miss", "hit", "hit", "reset", "miss"]
+    df = spark.createDataFrame([("f", i, k) for i, k in enumerate(kinds)], "facet string, seq long, kind string")
+    got = jobs.drain(jobs.memory_metrics(in_files(df, ["seq"])), "test-metrics").orderBy("seq").collect()
+    assert [(r.epoch, r.hits, r.misses) for r in got] == [(0, 1, 0), (0, 1, 1), (0, 2, 1), (1, 0, 0), (1, 0, 1), (1, 1, 1), (1, 2, 1), (2, 0, 0), (2, 0, 1)]
+
+
+def test_history_of_the_newest_lifetime(spark):
+    day = 86400
+    rows = [("s", t, "user", f"m{t}", t * 60) for t in range(5)] + [("s", t, "user", f"m{t}", 30 * day + t) for t in range(5, 8)]
+    rows += [("l", t, "user", f"m{t}", t) for t in range(40)]
+    turns = spark.createDataFrame(rows, "session_id string, turn long, role string, content string, ts_sec long")
+    kept = session.history_window(turns).groupBy("session_id").agg(F.min("turn"), F.count("*"), F.max("messages"))
+    assert _rows(kept) == [("l", 32, 8, 40), ("s", 5, 3, 3)]
+    failed = session.history_window(turns, compacted=False).groupBy("session_id").agg(F.min("turn"), F.count("*"))
+    assert _rows(failed) == [("l", 20, 20), ("s", 5, 3)]
