@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauselake.runtime import BROADCAST_ROWS, row_bound
+from clauselake.runtime import BROADCAST_ROWS, small_enough
 
 SALTS = 32
 
@@ -25,7 +25,7 @@ def lookup_join(
     the lookup is repeated once per salt, so a hot key is spread over
     ``salts`` tasks.
     """
-    if row_bound(lookup, limit):
+    if small_enough(lookup, limit):
         return rows.join(F.broadcast(lookup), keys, how)
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salts)).cast("int"))
     repeated = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

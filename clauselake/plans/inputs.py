@@ -26,7 +26,7 @@ class Derived:
         df = read_table(spark, folder, self.table)
         if self.where:
             df = df.filter(self.where)
-        df = spread(df, df.columns[0])
+        df = spread(df)
         return df.selectExpr(*[f"{e} AS {n}" for n, e in self.columns.items()])
 
     def sql(self) -> str:

@@ -172,7 +172,7 @@ def merged(spark: SparkSession, sf: str) -> DataFrame:
 
 def profile_merge(spark: SparkSession, sf: str) -> DataFrame:
     entries = merged(spark, sf)
-    return entries.join(profile.last_active(_signals(spark, sf)), "user_id").select(
+    return lookup_join(entries, profile.last_active(_signals(spark, sf)), ["user_id"], "inner").select(
         "user_id", "field", "seq", "pos", "key", F.coalesce("value", F.lit("")).alias("value"), "last_active"
     )
 

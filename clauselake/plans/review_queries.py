@@ -26,7 +26,7 @@ def split_clauses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def split_long(spark: SparkSession, sf: str) -> DataFrame:
-    lines = spread(read_table(spark, sf, "lineitem"), "l_orderkey")
+    lines = spread(read_table(spark, sf, "lineitem"))
     texts = lines.selectExpr("l_orderkey", "l_linenumber", "l_partkey", f"{_LONG} AS text")
     pieces = texts.select(
         "l_orderkey", "l_linenumber", "l_partkey", F.posexplode(tx.split_long_clause(F.col("text"))).alias("i", "piece")
@@ -102,7 +102,7 @@ def triage_sql(source: str) -> str:
 
 
 def risk_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    raws = spread(read_table(spark, sf, "orders"), "o_orderkey").selectExpr("o_orderkey", f"{_RISK_RAW} AS raw")
+    raws = spread(read_table(spark, sf, "orders")).selectExpr("o_orderkey", f"{_RISK_RAW} AS raw")
     raw = F.col("raw")
     staged = raws.withColumn("j", json_text.judgement_struct(raw))
     return staged.select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clauselake.operators import clauses, engage, letters
 from clauselake.operators.clauses import split_clauses
+from clauselake.operators.skew import lookup_join
 from clauselake.plans import inputs, memory_queries, oracle
 from clauselake.runtime import scratch_path, spread
 from clauselake.sources import records, sinks
@@ -81,7 +82,7 @@ def favorite_toggle(spark: SparkSession, sf: str) -> DataFrame:
 
 def favorite_posts(spark: SparkSession, sf: str) -> DataFrame:
     posts = inputs.POSTS.frame(spark, sf).select(F.col("id").alias("post_id"), "title", "content", "cover_image")
-    return _favorites(spark, sf).join(posts, "post_id").select("user_id", "post_id", "title", "content", "cover_image")
+    return lookup_join(_favorites(spark, sf), posts, ["post_id"], "inner").select("user_id", "post_id", "title", "content", "cover_image")
 
 
 def category_tree(spark: SparkSession, sf: str) -> DataFrame:
@@ -188,7 +189,7 @@ _RESPONSE = (
 def risk_points(spark: SparkSession, sf: str) -> DataFrame:
     from clauselake.functions import json_text
 
-    orders = spread(read_table(spark, sf, "orders"), "o_orderkey")
+    orders = spread(read_table(spark, sf, "orders"))
     raw = orders.selectExpr("o_orderkey AS record_id", f"{_RESPONSE} AS raw")
     points = raw.select("record_id", F.posexplode_outer(json_text.risk_points(F.col("raw"))).alias("pos", "p"))
     return points.filter("pos IS NOT NULL").select("record_id", "pos", "p.*")
@@ -232,7 +233,7 @@ _REQUEST = {
 
 
 def render_letters(spark: SparkSession, sf: str) -> DataFrame:
-    requests = spread(read_table(spark, sf, "orders"), "o_orderkey").selectExpr(*_pick(_REQUEST))
+    requests = spread(read_table(spark, sf, "orders")).selectExpr(*_pick(_REQUEST))
     templates = spark.createDataFrame([(1, "deposit_refund", _REFUND_BODY)], "template_id int, kind string, body string")
     done = letters.render_letters(requests, templates, "deposit_refund", F.lit("2024-02-03").cast("date"))
     return done.select("request_id", "letter", F.sha2("letter_base64", 256).alias("base64_digest"), "letter_bytes")

@@ -10,9 +10,12 @@ import uuid
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: rows up to which a side may be broadcast or shipped to every task
 BROADCAST_ROWS = 100_000
+#: bytes of their texts up to which they may
+BROADCAST_BYTES = 64 << 20
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -73,19 +76,27 @@ def row_bound(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return df.select(F.lit(1)).limit(limit + 1).count() <= limit
 
 
+def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when the table has at most ``limit`` rows and its texts at most ``max_bytes``; reads no more than that many rows."""
+    texts = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in texts), F.lit(16 * len(df.columns)))
+    n, size = df.limit(limit + 1).agg(F.count(F.lit(1)), F.sum(width.cast("long"))).first()
+    return n <= limit and (size or 0) <= max_bytes
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the row count is proven to be small."""
-    return F.broadcast(df) if row_bound(df, limit) else df
+    """Broadcast hint only when the rows and their bytes are proven to be few."""
+    return F.broadcast(df) if small_enough(df, limit) else df
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Use all cores for a table that is stored in fewer splits than the session has cores.
 
-    Text expressions are CPU-bound, so a small file is worth one shuffle; a
-    table with enough splits is returned as it is.
+    Text expressions are CPU-bound, so a small file is worth dealing its rows
+    out evenly; a table with enough splits is returned as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def ship_by_value(module_name: str) -> None:
