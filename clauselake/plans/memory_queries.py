@@ -127,6 +127,15 @@ def latest_marker(spark: SparkSession, sf: str) -> DataFrame:
     return session.latest_marked(_turns(spark, sf)).select("session_id", "turn", "content")
 
 
+_HANDOFF = "CASE turn % 3 WHEN 0 THEN CONCAT('retriever::', content) WHEN 1 THEN CONCAT('calculator::', content) ELSE content END"
+
+
+def handoff_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest retrieval handed over in each session."""
+    lines = _turns(spark, sf).selectExpr("session_id", "turn", f"{_HANDOFF} AS line")
+    return session.latest_with_prefix(lines, ["session_id"], "turn", "retriever::")
+
+
 def memory_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Hits and misses per facet over all reads of a session's memory."""
     reads = read_table(spark, sf, "events").selectExpr(f"{_FACET} AS facet", "value > 50 AS hit")
@@ -440,6 +449,7 @@ QUERIES = {
     "append_rounds": append_rounds,
     "extract_every_n": extract_every_n,
     "latest_marker": latest_marker,
+    "handoff_text": handoff_text,
     "memory_metrics": memory_metrics,
     "profile_merge": profile_merge,
     "profile_recall": profile_recall,
@@ -464,6 +474,7 @@ ORACLES = {
     "append_rounds": oracle.with_(_T, ("r", _ROUNDS_SQL)) + "SELECT session_id, id, question, answer FROM r",
     "extract_every_n": oracle.with_(_A) + "SELECT question_id, session_id, round_no FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn) AS round_no FROM asked) WHERE round_no % 3 = 0",
     "latest_marker": oracle.with_(_T) + "SELECT session_id, turn, content FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS rn FROM turns WHERE contains(content, '【已审查条款】')) WHERE rn = 1",
+    "handoff_text": oracle.with_(_T) + f"SELECT session_id, substring(line, 12) AS line FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS rn FROM (SELECT session_id, turn, {_HANDOFF} AS line FROM turns) WHERE starts_with(line, 'retriever::')) WHERE rn = 1",
     "memory_metrics": f"SELECT {_FACET} AS facet, count(*) FILTER (value > 50) AS hits, count(*) FILTER (NOT value > 50) AS misses FROM events GROUP BY 1",
     "profile_merge": _entries_sql() + "SELECT user_id, field, seq, pos, key, value, last_active FROM entries JOIN (SELECT user_id, CAST(floor(epoch(max(ts))) AS BIGINT) AS last_active FROM events GROUP BY user_id) USING (user_id)",
     "profile_recall": _entries_sql() + ", " + ", ".join(f"{n} AS ({q})" for n, q in _recall_ctes()) + " SELECT question_id, profile_text FROM recalled",

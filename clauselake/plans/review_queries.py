@@ -198,6 +198,12 @@ def verdict_cache(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def verdict_missing(spark: SparkSession, sf: str) -> DataFrame:
+    """Clause texts without a living verdict: the batch to send to a model."""
+    blocks = contract_blocks(spark, sf)
+    return verdicts.missing_texts(blocks, clause_verdicts(blocks), "content", F.lit(NOW))
+
+
 def _clause_vectors(spark: SparkSession, sf: str):
     vectors = inputs.VECTORS.frame(spark, sf).select("vec_id", "vector")
     total = vectors.count()
@@ -319,6 +325,7 @@ QUERIES = {
     "triage": triage,
     "risk_verdict": risk_verdict,
     "verdict_cache": verdict_cache,
+    "verdict_missing": verdict_missing,
     "review_items": review_items,
     "review_summary": review_summary,
     "review_anchors": review_anchors,
@@ -358,6 +365,10 @@ ORACLES = {
     + "SELECT contract_id, chunk_index, sha256(b.content) AS text_hash, live.content IS NOT NULL AS cached, CASE WHEN live.content IS NULL THEN NULL WHEN raw IS NULL OR NOT json_valid(raw) THEN 'SEMANTIC' "
     "WHEN contains(json_extract_string(CASE WHEN json_valid(raw) THEN raw END, '$.\"维度\"'), '数值') THEN 'NUMERIC' WHEN contains(json_extract_string(CASE WHEN json_valid(raw) THEN raw END, '$.\"维度\"'), '语义') THEN 'SEMANTIC' "
     "WHEN contains(json_extract_string(CASE WHEN json_valid(raw) THEN raw END, '$.\"维度\"'), '格式') THEN 'FORMAT' ELSE 'NONE' END AS point FROM blocks b LEFT JOIN live ON b.content = live.content",
+    "verdict_missing": oracle.with_(
+        *_SPLIT, ("v", f"SELECT content, {_VERDICT_SEC} AS verdict_sec FROM (SELECT DISTINCT content FROM blocks)"), recursive=True
+    )
+    + f"SELECT sha256(content) AS text_hash, content FROM v WHERE verdict_sec <= {NOW} - 7 * 86400",
     "review_items": _ITEMS + "SELECT * FROM items",
     "review_summary": _ITEMS + "SELECT contract_id, coalesce(reviewed, 0) AS reviewed, coalesce(risks, 0) AS risks FROM contracts LEFT JOIN (SELECT contract_id, count(*) AS reviewed, count(*) FILTER (risky) AS risks FROM items GROUP BY contract_id) USING (contract_id)",
     "review_anchors": _ITEMS

@@ -48,6 +48,12 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     return search.hybrid_search(inputs.bench_queries(spark, sf), inputs.doc_chunks(spark, sf), K)
 
 
+def lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Retrieval without vectors: the lexical list with its own scores."""
+    queries, chunks = _asked_queries(spark, sf), inputs.statutes(spark, sf)
+    return search.hybrid_search(queries, chunks, K, knn_enabled=False).select("query_id", "clause_id", "chunk_id", "score", "rank")
+
+
 def resolve_clause_id(spark: SparkSession, sf: str) -> DataFrame:
     chunks = inputs.statutes(spark, sf)
     return chunks.select("chunk_id", resolve(F.col("canonical_id"), F.col("chunk_id")).alias("clause_id"))
@@ -165,6 +171,7 @@ QUERIES = {
     "bm25_topk": bm25_topk,
     "knn_topk": knn_topk,
     "rrf_fuse": rrf_fuse,
+    "lexical_search": lexical_search,
     "resolve_clause_id": resolve_clause_id,
     "cite_clause": cite_clause,
     "eval_retrieval": eval_retrieval,
@@ -183,6 +190,8 @@ ORACLES = {
     )
     + "SELECT * FROM knn",
     "rrf_fuse": oracle.with_(*_STAT, *oracle.hybrid_ctes("queries", "chunks", K)) + f"SELECT {_HITS} FROM fused",
+    "lexical_search": oracle.with_(*_STAT, *oracle.bm25_ctes("queries", "chunks", K))
+    + "SELECT query_id, coalesce(canonical_id, b.chunk_id) AS clause_id, b.chunk_id, score, rank FROM bm25 b JOIN chunks USING (chunk_id)",
     "resolve_clause_id": f"SELECT chunk_id, coalesce(canonical_id, chunk_id) AS clause_id FROM ({inputs.STATUTES.sql()})",
     "cite_clause": oracle.with_(*_STAT, *oracle.hybrid_ctes("queries", "chunks", lx.CITE_TOP_K))
     + "SELECT query_id, rank, content AS text FROM fused JOIN chunks USING (chunk_id)",

@@ -239,6 +239,50 @@ def render_letters(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("request_id", "letter", F.sha2("letter_base64", 256).alias("base64_digest"), "letter_bytes")
 
 
+_COMPLAINT_BODY = "${complainantName}（${complainantPhone}）诉${businessName}：${purchaseYear}年${purchaseMonth}月${purchaseDay}日购买${productServiceName}，总价${totalPrice}元（${totalPriceChinese}），损失${economicLoss}元。${discoveryYear}年${discoveryMonth}月${discoveryDay}日${discoveryHour}时发现${problemDescription}。承诺：${businessCommitment}；${serviceCompletionDays}日。${subsequentDate1}/${subsequentDate2} ${complaintDate} ${attachmentList}"
+_COMPLAINT = {
+    "request_id": "o_orderkey", "template_id": "1", "complainant_name": "CONCAT('诉', CAST(o_custkey AS STRING))",
+    "business_name": "CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE CONCAT('商', CAST(o_orderkey AS STRING)) END",
+    "purchase_year": "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE '2024' END", "purchase_month": "CAST(o_orderkey % 12 + 1 AS STRING)",
+    "product_service_name": "o_orderpriority", "total_price": "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_totalprice AS DECIMAL(18,2)) END",
+    "discovery_hour": "CASE WHEN o_orderkey % 2 = 0 THEN '9' END", "problem_description": "'破损'",
+    "business_commitment": "CASE o_orderkey % 3 WHEN 0 THEN CONCAT('$', '{serviceCompletionDays}日内修好') WHEN 1 THEN '' ELSE '保修' END",
+    "service_completion_days": "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderkey % 9 AS INT) END",
+    "subsequent_date1": "CASE WHEN o_orderkey % 6 = 0 THEN '2024年3月4日' END", "complaint_date": "CASE WHEN o_orderkey % 2 = 0 THEN '2024年5月6日' ELSE ' ' END",
+    "attachment_list": "CASE WHEN o_orderkey % 5 = 1 THEN '收据' END",
+}
+
+
+def complaint_letters(spark: SparkSession, sf: str) -> DataFrame:
+    requests = spread(read_table(spark, sf, "orders")).selectExpr(*_pick(_COMPLAINT))
+    templates = spark.createDataFrame([(1, "consumer_complaint", _COMPLAINT_BODY), (2, "deposit_refund", "x")], "template_id int, kind string, body string")
+    done = letters.render_letters(requests, templates, "consumer_complaint", F.lit("2024-02-03").cast("date"))
+    return done.select("request_id", "letter", "letter_bytes")
+
+
+def _complaint_sql() -> str:
+    from clauselake.plans.calc_queries import _AMOUNT, _capitals_sql
+
+    days = "coalesce(CAST(service_completion_days AS VARCHAR), '____')"
+    text = lambda col: f"CASE WHEN trim(coalesce({col}, '')) = '' THEN '' ELSE {col} END"
+    pledge = (
+        f"CASE WHEN trim(coalesce(business_commitment, '')) = '' THEN '如商品质保1年、7天无理由退货、服务在' || {days} || '日内完成等' "
+        f"ELSE replace(business_commitment, '${{serviceCompletionDays}}', {days}) END"
+    )
+    attachments = "'" + letters.DEFAULT_ATTACHMENTS.replace("\n", "' || chr(10) || '") + "'"
+    letter = (
+        f"complainant_name || '（）诉' || {text('business_name')} || '：' || coalesce(purchase_year, '____') || '年' || purchase_month || '月__日购买' || product_service_name || '，总价' || "
+        f"coalesce(CAST(total_price AS VARCHAR), '{letters.NO_AMOUNT}') || '元（' || CASE WHEN total_price IS NULL THEN '{letters.NO_CAPITALS}' ELSE capitals END || '），损失{letters.NO_AMOUNT}元。____年__月__日' || "
+        f"coalesce(discovery_hour, '__') || '时发现破损。承诺：' || {pledge} || '；' || {days} || '日。' || coalesce(subsequent_date1, '____年__月__日') || '/____月__日 ' || "
+        f"CASE WHEN trim(complaint_date) = '' THEN '2024年02月03日' ELSE complaint_date END || ' ' || coalesce(attachment_list, {attachments})"
+    )
+    return oracle.with_(
+        ("caps", _capitals_sql().replace(_AMOUNT, "CAST(o_totalprice AS DECIMAL(18,2))")),
+        ("rq", f"SELECT {', '.join(_pick(_COMPLAINT))} FROM orders"),
+        ("l", f"SELECT request_id, {letter} AS letter FROM rq JOIN caps ON o_orderkey = request_id"),
+    ) + "SELECT request_id, letter, CAST(octet_length(encode(letter)) AS INT) AS letter_bytes FROM l"
+
+
 def _letters_sql() -> str:
     from clauselake.plans.calc_queries import _AMOUNT, _capitals_sql
 
@@ -359,6 +403,7 @@ QUERIES = {
     "guarded_likes": guarded_likes,
     "post_stats": post_stats,
     "render_letters": render_letters,
+    "complaint_letters": complaint_letters,
     "stream_views": stream_views,
     "stream_dedupe": stream_dedupe,
     "stream_likes": stream_likes,
@@ -404,6 +449,7 @@ ORACLES = {
     + "SELECT post_id, coalesce(views, 0) AS views, coalesce(likes, 0) AS likes, coalesce(favorites, 0) AS favorites FROM (SELECT post_id, count(*) FILTER (action = 'view') AS views FROM inter GROUP BY post_id) "
     "LEFT JOIN (SELECT post_id, CAST(sum(CASE WHEN action = 'like' THEN 1 ELSE -1 END) AS BIGINT) AS likes FROM g WHERE accepted GROUP BY post_id) USING (post_id) "
     "LEFT JOIN (SELECT post_id, CAST(sum(CASE WHEN action = 'favorite' THEN 1 ELSE -1 END) AS BIGINT) AS favorites FROM f WHERE accepted GROUP BY post_id) USING (post_id)",
+    "complaint_letters": _complaint_sql(),
     "render_letters": _letters_sql(),
     "stream_views": oracle.with_(_INTER) + "SELECT post_id, count(*) AS views FROM inter WHERE action = 'view' GROUP BY post_id",
     "stream_dedupe": "WITH RECURSIVE e AS (SELECT sha256(CAST(user_id AS VARCHAR) || props) AS text_hash, epoch_us(ts) AS ts_us FROM events), "

@@ -181,3 +181,15 @@ def test_repeated_section_titles(spark):
     rows = [("风险点：甲\n风险点：丙\n改写建议：乙", "甲\n丙"), ("风险点：甲\n改写建议：乙\n风险点：丙", "甲"), ("改写建议：乙", "改写建议：乙")]
     df = spark.createDataFrame(rows, "raw string, want string")
     assert all(r[0] == r[1] for r in df.select(json_text.extract_section(F.col("raw"), "风险点"), "want").collect())
+
+
+def test_a_calculator_can_be_added(spark):
+    calc.register("FLAT", lambda p, r, d, t: p * 0 + 7.0, lambda p, r, d, t: F.lit("flat"))
+    try:
+        c = F.col
+        df = spark.createDataFrame([("FLAT", 10.0, 0.5, 3, "x"), ("PENALTY", 10000.0, 0.5, 3, "x")], "k string, p double, r double, d int, t string")
+        args = [c("k"), c("p"), c("r"), c("d"), F.lit(False), c("t")]
+        rows = df.withColumn("a", calc.compute_amount(*args)).withColumn("h", calc.handoff_text(*args, c("a"))).collect()
+        assert [r.a for r in rows] == [7.0, 15.0] and "公式 flat" in rows[0].h
+    finally:
+        del calc.CALCULATORS["FLAT"]
