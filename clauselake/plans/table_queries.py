@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clauselake.functions import lexicons as lx
 from clauselake.operators import clauses, engage, letters
 from clauselake.operators.clauses import split_clauses
 from clauselake.operators.skew import lookup_join
@@ -195,6 +196,17 @@ def risk_points(spark: SparkSession, sf: str) -> DataFrame:
     return points.filter("pos IS NOT NULL").select("record_id", "pos", "p.*")
 
 
+def page_review(spark: SparkSession, sf: str) -> DataFrame:
+    """Page sets reviewed from their pages to the stored record."""
+    pages = read_table(spark, sf, "conversations").selectExpr("conv_id AS record_id", "turn + 1 AS page", "text")
+    answers = pages.select("record_id").distinct().selectExpr("record_id", f"{_RESPONSE.replace('o_orderkey', 'record_id')} AS raw")
+    done = records.page_review(pages, answers)
+    return done.select(
+        "record_id", "pages", F.sha2("contract_text", 256).alias("digest"), F.length("analysis_text").alias("analysed"), "risk_count",
+        F.coalesce(F.array_join(F.transform("risk_points", lambda p: p["risk_number"]), "|"), F.lit("")).alias("numbers"), "status",
+    )
+
+
 # ---- engagement --------------------------------------------------------------
 def _interactions(spark: SparkSession, sf: str) -> DataFrame:
     rows = inputs.INTERACTIONS.frame(spark, sf)
@@ -399,6 +411,7 @@ QUERIES = {
     "ingest_chunks": ingest_chunks,
     "ingest_status": ingest_status,
     "risk_points": risk_points,
+    "page_review": page_review,
     "clamped_counter": clamped_counter,
     "guarded_likes": guarded_likes,
     "post_stats": post_stats,
@@ -440,6 +453,10 @@ ORACLES = {
     "WHEN 0 THEN [{'pos': 0, 'risk_number': 'R' || o_orderkey, 'chapter': '第一条', 'original_text': '押金', 'risk_warning': '过高'}, {'pos': 1, 'risk_number': '风险点2', 'chapter': '第二条', 'original_text': '相关合同条款', 'risk_warning': '存在潜在风险，建议仔细审查'}] "
     "WHEN 1 THEN [{'pos': 0, 'risk_number': '单' || o_orderkey, 'chapter': '未明确章节', 'original_text': '相关合同条款', 'risk_warning': '存在潜在风险，建议仔细审查'}] "
     "WHEN 4 THEN [{'pos': 0, 'risk_number': 'x', 'chapter': '未明确章节', 'original_text': '相关合同条款', 'risk_warning': '存在潜在风险，建议仔细审查'}, {'pos': 1, 'risk_number': '风险点2', 'chapter': '未明确章节', 'original_text': 'y', 'risk_warning': '存在潜在风险，建议仔细审查'}, {'pos': 2, 'risk_number': '风险点3', 'chapter': '未明确章节', 'original_text': '相关合同条款', 'risk_warning': '存在潜在风险，建议仔细审查'}] END, recursive := true) FROM orders)",
+    "page_review": f"SELECT conv_id AS record_id, pages, sha256(t) AS digest, CAST(CASE WHEN length({oracle.trim('t')}) < 10 THEN NULL WHEN length(t) > 8000 THEN 8000 + {len(lx.TRUNCATION_SUFFIX)} ELSE length(t) END AS INT) AS analysed, "
+    f"CAST(CASE WHEN length({oracle.trim('t')}) < 10 THEN 0 ELSE [2, 1, 0, 0, 3, 0][conv_id % 6 + 1] END AS INT) AS risk_count, "
+    f"CASE WHEN length({oracle.trim('t')}) < 10 THEN '' ELSE ['R' || conv_id || '|风险点2', '单' || conv_id, '', '', 'x|风险点2|风险点3', ''][conv_id % 6 + 1] END AS numbers, '1' AS status "
+    f"FROM (SELECT conv_id, count(*) AS pages, string_agg({_PARTED}, '' ORDER BY turn) AS t FROM conversations GROUP BY conv_id)",
     "clamped_counter": oracle.with_(_INTER,
         ("e", "SELECT post_id, CASE WHEN action = 'like' THEN 1 ELSE -1 END AS d, row_number() OVER (PARTITION BY post_id ORDER BY ts, event_id) AS i FROM inter WHERE action IN ('like', 'unlike')"),
         ("w", "SELECT post_id, i, greatest(d, 0) AS c FROM e WHERE i = 1 UNION ALL SELECT e.post_id, e.i, greatest(w.c + e.d, 0) FROM w JOIN e ON e.post_id = w.post_id AND e.i = w.i + 1"), recursive=True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clauselake.functions.json_text import risk_points
 from clauselake.functions.text import is_blank, trim_ws
+from clauselake.operators.clauses import truncate_contracts
 from clauselake.runtime import broadcast_if_small
 
 CHAT_LINE = "type string, role string, content string"
@@ -59,6 +60,23 @@ def assemble_pages(pages: DataFrame, pages_per_part: int | None = None) -> DataF
     return _in_order(pages, "record_id", "page", titled, "pages", pages_per_part)
 
 
+def page_review(pages: DataFrame, answers: DataFrame) -> DataFrame:
+    """Review record of each page set: ``record_id, pages, contract_text, analysis_text, risk_count, risk_points, status``.
+
+    Pages are joined to one text, the text is cut for the analysis, and the
+    model's answer on it (``answers``: ``record_id, raw``) is read as risk
+    points.  A text too short for analysis has no answer and no points.
+    """
+    texts = truncate_contracts(assemble_pages(pages), "text")
+    read = texts.join(answers.select("record_id", "raw"), "record_id", "left")
+    points = F.when(~F.col("too_short"), risk_points(F.col("raw")))
+    read = read.withColumn("risk_points", points)
+    return read.select(
+        "record_id", "pages", F.col("text").alias("contract_text"), "analysis_text",
+        F.coalesce(F.array_size("risk_points"), F.lit(0)).alias("risk_count"), "risk_points", F.lit("1").alias("status"),
+    )
+
+
 def _in_order(rows: DataFrame, key: str, order: str, line: Column, count: str, per_part: int | None) -> DataFrame:
     """Lines of each key joined in their order, whole or in parts of ``per_part`` lines."""
     lines = F.array_sort(F.collect_list(F.struct(F.col(order), line.alias("t"))))
