@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from clauselake.operators import engage, search, session
+from clauselake.operators import clauses, engage, search, session
 from clauselake.operators.ordered import Scan, running
 from clauselake.operators.skew import lookup_join
 from clauselake.sources import records
@@ -116,7 +116,7 @@ def test_lookup_join_paths_agree(spark):
 
 def test_retained_history(spark):
     for n, keep in [(8, 8), (9, 9), (10, 8), (11, 9), (30, 8)]:
-        turns = spark.range(n).selectExpr("'s' AS session_id", "id AS turn", "'user' AS role", "'x' AS content")
+        turns = spark.range(n).selectExpr("'s' AS session_id", "id AS turn", "'user' AS role", "'x' AS content", "id * 60 AS ts_sec")
         assert session.history_window(turns).count() == keep
 
 
@@ -125,3 +125,27 @@ def test_pages_continue_in_parts(spark):
     parts = records.assemble_pages(pages, 2).orderBy("part").collect()
     assert "".join(p.text for p in parts) == "".join(f"【第{i + 1}页】\nt{i}\n\n" for i in range(5))
     assert [p.pages for p in parts] == [2, 2, 1]
+    assert [p.parts for p in parts] == [3, 3, 3]
+    whole = records.assemble_pages(pages).collect()
+    assert [(r.pages, r.text) for r in whole] == [(5, "".join(p.text for p in parts))]
+
+
+def test_short_messages_stay_whole_wherever_their_numbers_lie(spark):
+    rows = [(m, 4090 + 5 * m + i, "chunk", f"{m}-{i};") for m in range(3) for i in range(5)]
+    df = spark.createDataFrame(rows, "message_id int, seq long, chunk_type string, text string")
+    got = {r.message_id: r.text for r in records.full_answers(df).collect()}
+    assert got == {m: "".join(f"{m}-{i};" for i in range(5)) for m in range(3)}
+
+
+def test_truncation_keeps_every_contract(spark):
+    df = spark.createDataFrame([(1, "短"), (2, None), (3, "甲" * 30), (4, "乙" * 12)], "id int, text string")
+    got = {r.id: (r.too_short, r.dropped_chars, r.analysis_text) for r in clauses.truncate_contracts(df, "text", 20).collect()}
+    assert got[1] == (True, 0, None) and got[2] == (True, 0, None) and got[4] == (False, 0, "乙" * 12)
+    assert got[3][:2] == (False, 10) and got[3][2].startswith("甲" * 20) and not got[3][2].startswith("甲" * 21)
+
+
+def test_wide_tables_are_not_broadcast(spark):
+    from clauselake.runtime import small_enough
+
+    df = spark.createDataFrame([(i, "x" * 1000) for i in range(50)], "i int, t string")
+    assert small_enough(df, 50) and not small_enough(df, 49) and not small_enough(df, 50, 40_000)
