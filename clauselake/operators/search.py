@@ -43,30 +43,21 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def with_term_counts(df: DataFrame, tokens: str) -> DataFrame:
-    """Add ``terms``: ``array<struct<term, tf>>``, counted inside the row by run lengths.
-
-    Sorted tokens and run starts are projections of their own, because a lambda
-    evaluates whatever expression it closes over once per element.
-    """
-    ordered, starts = F.col("__ordered"), F.col("__starts")
-    n = F.size(ordered)
-
-    def run(at: Column, j: Column) -> Column:
-        return F.struct(F.get(ordered, at).alias("term"), (F.coalesce(F.get(starts, j + 1), n) - at).alias("tf"))
-
-    return (
-        df.withColumn("__ordered", F.sort_array(tokens))
-        .withColumn(
-            "__starts",
-            F.filter(
-                F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
-                lambda i: (n > 0) & ((i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))),
-            ),
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of each chunk as distinct terms and their counts, for a whole batch at once."""
+    for batch in batches:
+        lists = batch.column("tokens")
+        each = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        size = max(1, len(coded.dictionary))
+        pair = np.repeat(np.arange(len(each)), each) * size + coded.indices.to_numpy(zero_copy_only=False)
+        pair, tf = np.unique(pair, return_counts=True)
+        ends = np.searchsorted(pair, np.arange(len(each) + 1) * size)
+        terms = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(pair % size)).cast(pa.string()), pa.array(tf, pa.int32())], ["term", "tf"])
+        counted = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), terms)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("chunk_id"), batch.column("kb_id"), pa.array(each, pa.int32()), counted], ["chunk_id", "kb_id", "dl", "terms"]
         )
-        .withColumn("terms", F.transform(starts, run))
-        .drop("__ordered", "__starts")
-    )
 
 
 @dataclass(frozen=True)
@@ -82,10 +73,10 @@ class LexicalIndex:
 def lexical_index(chunks: DataFrame) -> LexicalIndex:
     """Tokenise ``chunks`` (``chunk_id, kb_id, content``) once and keep terms, document frequencies and lengths."""
     spark = chunks.sparkSession
-    sized = chunks.select("chunk_id", "kb_id", word_tokens(F.col("content")).alias("tokens"))
-    sized = sized.withColumn("dl", F.size("tokens")).filter("dl > 0")
-    counted = with_term_counts(sized, "tokens").select("chunk_id", "kb_id", "dl", "terms")
-    terms = written(counted, "terms")
+    tokens = chunks.select("chunk_id", "kb_id", F.coalesce(word_tokens(F.col("content")), F.array().cast("array<string>")).alias("tokens"))
+    kind = {c: tokens.schema[c].dataType.simpleString() for c in ("chunk_id", "kb_id")}
+    counted = tokens.mapInArrow(_term_counts, f"chunk_id {kind['chunk_id']}, kb_id {kind['kb_id']}, dl int, terms array<struct<term:string,tf:int>>")
+    terms = written(counted.filter("dl > 0"), "terms")
     freq = terms.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     freq = written(freq, "doc-freq")
     n, average = terms.agg(F.count(F.lit(1)), F.avg("dl")).first()
