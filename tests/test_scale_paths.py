@@ -110,8 +110,12 @@ def test_lookup_join_paths_agree(spark):
     rows = spark.range(400).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 7 = 0 THEN NULL ELSE CAST(id AS STRING) END AS k")
     lookup = spark.createDataFrame([("hot", 1)] + [(str(i), i) for i in range(0, 400, 2)], "k string, v int")
     plain = lookup_join(rows, lookup, ["k"]).select("id", "k", "v")
-    salted = lookup_join(rows, lookup, ["k"], salts=5, limit=0).select("id", "k", "v")
-    assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, salted.collect()), key=str)
+    want = sorted(map(tuple, plain.collect()), key=str)
+    for frequent in (50, 1000):
+        salted = lookup_join(rows, lookup, ["k"], salts=5, limit=0, frequent=frequent).select("id", "k", "v")
+        assert sorted(map(tuple, salted.collect()), key=str) == want
+    inner = lookup_join(rows, lookup, ["k"], "inner", salts=5, limit=0, frequent=50)
+    assert inner.count() == sum(r[2] is not None for r in want)
 
 
 def test_retained_history(spark):
