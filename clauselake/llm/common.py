@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -120,6 +122,15 @@ def row_bound(df: DataFrame, limit: int) -> bool:
     return df.select(F.lit(1)).limit(limit + 1).count() <= limit
 
 
+def release() -> None:
+    """Give freed memory back at a task's end; worker processes live on and would keep it beside the next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the 64 output bits."""
     h = h ^ (h >> np.uint64(30))
