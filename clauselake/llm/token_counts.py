@@ -29,7 +29,7 @@ from clauselake.llm import tokens
 from clauselake.llm.common import arrow_map, text_of
 
 #: characters of a block, about
-BLOCK = 512
+BLOCK = 160
 _COUNTS = "doc_id long, n_edits int, tokens_before long, tokens_after long, chars_after long, chars_encoded long"
 
 

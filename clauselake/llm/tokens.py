@@ -123,7 +123,10 @@ class Encoder:
         used = counts > 0
         ids, firsts, lengths = self._known(coded.dictionary.filter(pa.array(used)), counts[used])
         place = np.cumsum(used) - 1
-        head_ids, head_lengths = self.plain(coded.dictionary.take(pa.array(code[heads])).to_pylist())
+        first_words = coded.dictionary.take(pa.array(code[heads])).to_pylist()
+        head_lengths = np.zeros(len(first_words), np.int64)
+        said = np.flatnonzero([bool(w) for w in first_words])  # a text that starts with a space has none
+        head_ids, head_lengths[said] = self.plain([first_words[i] for i in said])
         whole_ids, whole_lengths = self.plain(texts.take(pa.array(odd)).to_pylist())
         # sources, one after the other: pieces, heads, whole texts; every text is a run of spans of them
         pool = np.concatenate([ids, head_ids, whole_ids])
