@@ -7,7 +7,8 @@ most ``GAP`` other sentences between two of them. A new first sentence starts th
 match of a longer rule are left out.
 
 Nothing is shuffled: everything about a document happens in its row, and only texts with one of the words that every
-known sentence has are cut at all.
+known sentence has are cut at all. Inside the words of a known sentence nothing is cut: a line may be wrapped at any
+word, whatever the next one begins with, and stops that the licence itself has there (``OPEN``) do not count.
 
 Cases: null or blank texts have no matches; a null doc_id is kept; repeated rows are scanned each for itself; an empty
 table gives no rows; further columns are ignored.
@@ -84,6 +85,14 @@ RULES = [
     ("CC-BY-NC-4.0", "reference", ["cc-by-nc-4-under"]),
     ("CC-BY-NC-4.0", "work", ["cc-by-nc-4-work"]),
 ]
+#: fixed values: further wordings of known sentences, as the licences' own texts have them
+WORDINGS = {
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "mpl-2-copy",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mpl-2-copy",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache-2-copy",
+}
+#: fixed values: places inside known sentences where the licences' own texts have a stop
+OPEN = {("software", "you"), ("warranty", "without"), ("v", "2")}
 #: every known sentence has one of these
 ANCHORS = ["licens", "copyright", "permission", "redistribution", "warrant", "liability"]
 JOINED = r"([^.!?:; \t\r\n])[ \t\r]*\n[ \t\r\n]*(?:[*#/;-]+[ \t]*)?([a-z])"
@@ -91,8 +100,33 @@ COMMA = r",[ \t\r]*\n"
 STOP = r"([.!?;:])[ \t\r\n]+"
 
 
+def _unbroken(sentence: str) -> tuple[str, str, str]:
+    """A word that the sentence needs, the pattern of the sentence wrapped anywhere, and what takes its place."""
+    words, address = sentence.split(), False
+    pattern = rf"(?i)\b({words[0]})"
+    for before, after in zip(words, words[1:], strict=False):
+        if address or after == "0":
+            between = r"[^a-z0-9\s]+"
+        elif after.startswith("http"):
+            between, address = "[^a-z0-9.!?;:]+", True
+        elif (before, after) in OPEN:
+            between = "[^a-z0-9]+"
+        else:  # no stop, and no empty line
+            between = r"(?:[^a-z0-9.!?;:\n]+(?:\n[^a-z0-9.!?;:\n]*)?|\n[^a-z0-9.!?;:\n]*)"
+        pattern += between + after
+    return max(words, key=len), pattern + r"(?=[^a-z0-9.!?;:\n]*(?:[.!?;:\n]|\z))", " ".join(["$1", *words[1:]])
+
+
 def sentences(text: Column) -> Column:
     """Normalised sentences of a text, in order."""
+    unbroken = [_unbroken(s) for s in sorted([*SENTENCES.values(), *WORDINGS], key=len, reverse=True)]
+    known = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(p).alias("pattern"), F.lit(r).alias("whole")) for w, p, r in unbroken])
+
+    def mend(s: Column, k: Column) -> Column:
+        mended = F.when(F.contains(s["low"], k["word"]), F.regexp_replace(s["text"], k["pattern"], k["whole"])).otherwise(s["text"])
+        return F.struct(mended.alias("text"), s["low"].alias("low"))
+
+    text = F.aggregate(known, F.struct(text.alias("text"), F.lower(text).alias("low")), mend, lambda s: s["text"])
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, COMMA, ", "), JOINED, "$1 $2"), STOP, "$1\n")
     return F.transform(F.split(text, "\n"), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
 
@@ -127,7 +161,7 @@ def scan(docs: DataFrame) -> DataFrame:
     anchored = F.lit(False)
     for word in ANCHORS:
         anchored = anchored | F.contains(low, F.lit(word))
-    known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
+    known = F.create_map(*[F.lit(x) for s, i in [*((s, i) for i, s in SENTENCES.items()), *WORDINGS.items()] for x in (s, i)])
     rows = docs.filter(F.coalesce(anchored, F.lit(False))).select("doc_id", sentences(text).alias("sentences"))
     numbered = F.transform("sentences", lambda s, i: F.struct((i + 1).alias("pos"), F.try_element_at(known, s).alias("id")))
     rows = rows.select("doc_id", F.filter(numbered, lambda x: x["id"].isNotNull()).alias("sequence"))
