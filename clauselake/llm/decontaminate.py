@@ -6,6 +6,12 @@ and documents are joined by hash. Along one alignment of a document with an item
 always meet the same value in the document; windows that break this are dropped. A document is contaminated by an item
 when the windows left cover at least 0.8 of the item's tokens, over all alignments together.
 
+Texts have two readings, and items are compared with documents in each. In the second one the names are the
+capitalised words that are none of ``COMMON``, also those that open a sentence, and names in a row are one placeholder
+with the value of the first that is no title. A pair is reported by the first reading that finds it;
+``item_tokens`` and ``covered`` count that reading's tokens, ``first_token`` and ``last_token`` always the first's. Items
+shorter than a window have the first reading only.
+
 Only windows whose hash may belong to the benchmark leave the scan: a bit table of fixed size, filled from the
 benchmark, drops most others, and the join decides. The benchmark's windows are broadcast while their count is small,
 and joined by a shuffle beyond that.
@@ -42,9 +48,33 @@ UNITS = (
     "min minute minutes h hr hour hours day days week weeks month months year years percent dollar dollars usd euro "
     "euros eur cent cents degree degrees kmh mph w kw kwh v hz khz mhz ghz kb mb gb tb"
 ).split()
+#: fixed values: words that are no names in the second reading
+COMMON = (
+    "a about above after again all also although among an and another any are as at because before behind below besides "
+    "between both but by calculate can compute consider could determine did do does down during each either enough even "
+    "every everyone everything evaluate explain few finally find first for four five from give given had half has have he "
+    "hence her here his how however i if in initially instead into is it its last later let like many meanwhile more most "
+    "much must neither next no nobody none nor not nothing now of off on once one only or other otherwise our out over "
+    "please prove second several shall she should show similarly simplify since six so solve some someone sometimes "
+    "suppose ten than that the their them then there therefore these they third this those though three through thus to "
+    "today together tomorrow twice two under unless until up upon use using was we were what when where whereas whether "
+    "which while who whom whose why with within without write yes yesterday yet you your "
+    "al algunos ante antes aunque como con cuando cuanto cada de del desde donde dos durante e el ella ellos en entre es "
+    "esa ese eso esta este esto estos ha hasta hay la las le les lo los me mi mientras muy ni nos o para pero por porque "
+    "pues que quien se si sin sobre son su sus tras tres tu un una uno unos y ya yo "
+    "aber alle als am an auch auf aus bei bis da das dass dem den der des die dies diese dieser doch drei du durch ein "
+    "eine einem einen einer er es es für gegen hat ich ihr im in ist jede jeder kein man mit nach nicht noch nun nur ob "
+    "oder ohne seit sich sie sind so um und uns unter vom von vor wann warum was weil welche wenn wer wie wieviel wir wo "
+    "zu zum zur zwei zwischen "
+    "alors après au aussi avant avec car ce cela ces cet cette chaque chez ci combien comme comment dans de depuis des "
+    "deux donc du elle elles en est et il ils je la le les leur lorsque mais ne nous on ou où par parce pas pendant plus "
+    "pour pourquoi puis quand que quel quelle qui sa sans se selon ses si son sous sur ta tous tout trois tu un une vous"
+).split()
+#: fixed values: titles before a name
+TITLES = "dr frau herr madame miss monsieur mr mrs ms prof professor señor señora".split()
 NUMBER, NAME, UNIT = 1, 2, 3
 _SLOTS = "array<long>"
-_WINDOWS = f"id long, uid long, tokens int, at int, window long, slots {_SLOTS}"
+_WINDOWS = f"id long, uid long, reading int, tokens int, at int, first int, last int, window long, slots {_SLOTS}"
 
 
 def _word_hash(word: bytes) -> int:
@@ -52,6 +82,7 @@ def _word_hash(word: bytes) -> int:
     return int(mix(np.array([np.sum(powers(len(data)) * data, dtype=np.uint64)]))[0])
 
 
+_COMMON, _TITLES = (np.array([_word_hash(w.encode()) for w in words], np.uint64) for words in (COMMON, TITLES))
 _KIND = np.zeros(256, np.uint8)
 _KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 _KIND[48:58] = 2
@@ -61,8 +92,15 @@ _STOP[[ord(c) for c in ".!?\n"]] = True
 
 def template_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per token the template code and the slot value (0 for words), and per text its first token (n + 1 entries)."""
+    return _tokens(texts)[:3]
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """As ``template_tokens``, and per token its word's value, its first byte and the byte after it, and whether it is a
+    capitalised word without another type, and opens a sentence."""
     data, bounds = text_buffer(texts)
     codes, values, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    words, ends, capitals, openings = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, bool)]
     fresh = np.zeros(len(data) + 1, bool)
     fresh[bounds] = True
     units = np.array([_word_hash(u.encode()) for u in UNITS], np.uint64)
@@ -90,45 +128,83 @@ def template_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray
             number = kind[starts] == 2
             second = part[np.minimum(starts + 1, len(part) - 1)]
             small = (starts + 1 < len(part)) & ((second >= 97) & (second < 123) | (second >= 128)) & (tail > 1)
-            name = (part[starts] >= 65) & (part[starts] < 91) & small & ~opening
+            capital = (part[starts] >= 65) & (part[starts] < 91) & small
+            name = capital & ~opening
             before = np.concatenate([[after_number], number[:-1]]) & ~(np.diff(np.concatenate([[0], np.cumsum(new)])[starts + 1], prepend=0) > 0)
             unit = before & ~number & np.isin(value, units)
             code = np.select([number, unit, name], [np.uint64(NUMBER), np.uint64(UNIT), np.uint64(NAME)], value).astype(np.uint64)
             codes.append(code)
             values.append(np.where(number | unit | name, value | np.uint64(1), np.uint64(0)))
             places.append(starts + at)
+            words.append(value)
+            ends.append(starts + at + np.add.reduceat((kind > 0).astype(np.int64), starts))
+            capitals.append(capital & ~number & ~unit)
+            openings.append(opening)
             opens, after_number = bool(stops[-1] > stops[starts[-1] + 1]), bool(number[-1])
         at = end
-    return np.concatenate(codes), np.concatenate(values), np.searchsorted(np.concatenate(places), bounds)
+    starts = np.concatenate(places)
+    more = [np.concatenate(words), starts, np.concatenate(ends), np.concatenate(capitals), np.concatenate(openings)]
+    return np.concatenate(codes), np.concatenate(values), np.searchsorted(starts, bounds), *more
+
+
+def readings(texts: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+    """Both readings: code and value per token, first token per text, and the first reading's token that each begins at
+    (one entry more than tokens)."""
+    code, value, first, word, start, end, capital, opening = _tokens(texts)
+    yield code, value, first, np.arange(len(code) + 1)
+    n = len(code)
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    capitals = np.flatnonzero(capital)
+    name, title = np.zeros(n, bool), np.zeros(n, bool)
+    name[capitals] = ~np.isin(word[capitals], _COMMON)
+    title[capitals] = np.isin(word[capitals], _TITLES)
+    follows = np.zeros(n, bool)
+    gap = start[1:] - end[:-1]
+    near = ((gap == 1) & ~opening[1:]) | ((gap <= 2) & title[:-1])
+    follows[1:] = name[1:] & name[:-1] & (text[1:] == text[:-1]) & near
+    at = np.flatnonzero(~follows)
+    code = np.where(name, np.uint64(NAME), np.where(capital, word, code))
+    value = np.where(name, word | np.uint64(1), np.where(capital, np.uint64(0), value))
+    # the run's value is that of its first name after titles
+    run = np.cumsum(~follows) - 1
+    speaks = np.flatnonzero(name & ~title)[::-1]
+    value = value.copy()
+    value[at[run[speaks]]] = value[speaks]
+    yield code[at], value[at], np.searchsorted(at, first), np.append(at, n)
 
 
 def window_rows(rows: DataFrame, table: np.ndarray | None) -> DataFrame:
-    """Windows of ``text``: id, uid, tokens of the text, place, hash and the window's slot values in order."""
+    """Windows of ``text``: id, uid, reading, the text's tokens and the place in it, first and last token of the first
+    reading, hash and the window's slot values in order."""
 
     def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if table is None else np.unpackbits(table, bitorder="little").view(bool)
         for batch in (part for whole in batches for part in bounded(whole)):
-            code, value, first = template_tokens(batch.column("text"))
-            n = np.diff(first)
-            each = np.where(n >= WIDTH, n - WIDTH + 1, (n > 0).astype(np.int64))
-            start = ragged(first[:-1], each)
-            doc = np.repeat(np.arange(len(n)), each)
-            length = np.minimum(n, WIDTH)[doc]
-            prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(code) * powers(len(code))[: len(code)], dtype=np.uint64)])
-            window = mix((prefix[start + length] - prefix[start]) * powers(len(code) + 1, BASE_INVERSE)[start])
-            window = mix(window ^ length.astype(np.uint64))
-            if known is not None:
-                kept = known[(window % np.uint64(TABLE_BITS)).astype(np.int64)]
-                start, doc, length, window = start[kept], doc[kept], length[kept], window[kept]
-            reach = ragged(start, length)
-            slots = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(value[reach].view(np.int64)))
-            take = pa.array(doc)
-            out = pa.RecordBatch.from_arrays(
-                [batch.column("id").take(take), batch.column("uid").take(take), pa.array(n[doc], pa.int32()), pa.array(start - first[doc], pa.int32()), pa.array(window.view(np.int64)), slots],
-                ["id", "uid", "tokens", "at", "window", "slots"],
-            )
-            for k in range(0, out.num_rows, 100_000):
-                yield out.slice(k, 100_000)
+            base = None
+            for reading, (code, value, first, origin) in enumerate(readings(batch.column("text"))):
+                base = first if base is None else base
+                n = np.diff(first)
+                each = np.where(n >= WIDTH, n - WIDTH + 1, ((n > 0) & (reading == 0)).astype(np.int64))
+                start = ragged(first[:-1], each)
+                doc = np.repeat(np.arange(len(n)), each)
+                length = np.minimum(n, WIDTH)[doc]
+                prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(code) * powers(len(code))[: len(code)], dtype=np.uint64)])
+                window = mix((prefix[start + length] - prefix[start]) * powers(len(code) + 1, BASE_INVERSE)[start])
+                window = mix(window ^ (length + 256 * reading).astype(np.uint64))
+                if known is not None:
+                    kept = known[(window % np.uint64(TABLE_BITS)).astype(np.int64)]
+                    start, doc, length, window = start[kept], doc[kept], length[kept], window[kept]
+                reach = ragged(start, length)
+                slots = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(value[reach].view(np.int64)))
+                take = pa.array(doc)
+                out = pa.RecordBatch.from_arrays(
+                    [batch.column("id").take(take), batch.column("uid").take(take), pa.array(np.full(len(doc), reading), pa.int32()), pa.array(n[doc], pa.int32()),
+                     pa.array(start - first[doc], pa.int32()), pa.array(origin[start] - base[doc], pa.int32()), pa.array(origin[start + length] - 1 - base[doc], pa.int32()),
+                     pa.array(window.view(np.int64)), slots],
+                    ["id", "uid", "reading", "tokens", "at", "first", "last", "window", "slots"],
+                )
+                for k in range(0, out.num_rows, 100_000):
+                    yield out.slice(k, 100_000)
 
     return arrow_map(rows.select("id", "uid", F.coalesce("text", F.lit("")).alias("text")), windows, _WINDOWS)
 
@@ -148,35 +224,36 @@ def find(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> D
     table = np.packbits(table, bitorder="little")
     named = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).withColumn("uid", _uid("id"))
     mine = window_rows(named, table)
-    theirs = items.select(F.col("id").alias("item_id"), F.col("uid").alias("item_uid"), F.col("tokens").alias("item_tokens"), F.col("at").alias("item_at"), "window", F.col("slots").alias("theirs"))
+    theirs = items.select(F.col("id").alias("item_id"), F.col("uid").alias("item_uid"), "reading", F.col("tokens").alias("item_tokens"), F.col("at").alias("item_at"), "window", F.col("slots").alias("theirs"))
     theirs = small_side(theirs, BROADCAST_WINDOWS)
-    met = mine.join(theirs, "window").filter((F.col("item_tokens") >= WIDTH) | (F.col("item_tokens") == F.col("tokens")))
+    met = mine.join(theirs, ["window", "reading"]).filter((F.col("item_tokens") >= WIDTH) | (F.col("item_tokens") == F.col("tokens")))
     met = met.select(
-        "id", "uid", "item_id", "item_uid", "item_tokens", (F.col("at") - F.col("item_at")).alias("shift"), "at", "item_at",
+        "id", "uid", "item_id", "item_uid", "item_tokens", "reading", (F.col("at") - F.col("item_at")).alias("shift"), "first", "last", "item_at",
         F.filter(F.arrays_zip(F.col("theirs").alias("was"), F.col("slots").alias("now")), lambda p: p["was"] != 0).alias("pairs"),
     )
     # one alignment holds each window of the item at most once
-    lines = met.groupBy("id", "uid", "item_id", "item_uid", "item_tokens", "shift").agg(F.collect_set(F.struct("at", "item_at", "pairs")).alias("w"))
+    lines = met.groupBy("id", "uid", "item_id", "item_uid", "item_tokens", "reading", "shift").agg(F.collect_set(F.struct("first", "last", "item_at", "pairs")).alias("w"))
     pairs = F.array_distinct(F.flatten(F.transform("w", lambda w: w["pairs"])))
     lines = lines.withColumn("all", pairs)
     odd = F.filter("all", lambda p: F.exists("all", lambda q: (q["was"] == p["was"]) & (q["now"] != p["now"])))
     lines = lines.withColumn("odd", F.transform(odd, lambda p: p["was"]))
     lines = lines.withColumn("w", F.filter("w", lambda w: ~F.exists(w["pairs"], lambda p: F.array_contains(F.col("odd"), p["was"]))))
     lines = lines.withColumn("changed", F.exists(F.flatten(F.transform("w", lambda w: w["pairs"])), lambda p: p["was"] != p["now"]))
-    whole = lines.groupBy("id", "uid", "item_id", "item_uid", "item_tokens").agg(
+    whole = lines.groupBy("id", "uid", "item_id", "item_uid", "item_tokens", "reading").agg(
         F.array_distinct(F.flatten(F.collect_list(F.transform("w", lambda w: w["item_at"])))).alias("places"),
-        F.min(F.array_min(F.transform("w", lambda w: w["at"]))).alias("first_token"),
-        F.max(F.array_max(F.transform("w", lambda w: w["at"]))).alias("last_at"),
+        F.min(F.array_min(F.transform("w", lambda w: w["first"]))).alias("first_token"),
+        F.max(F.array_max(F.transform("w", lambda w: w["last"]))).alias("last_token"),
         F.max("changed").alias("reparameterised"),
     )
     reach = F.least(F.lit(WIDTH), F.col("item_tokens")) - 1
     whole = whole.withColumn("_reach", reach)
     covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("_reach"))))))
     whole = whole.withColumn("covered", covered).withColumn("coverage", F.col("covered") / F.col("item_tokens"))
-    return whole.filter(F.col("coverage") >= coverage).select(
-        F.col("id").alias("doc_id"), "uid", "item_id", "item_tokens", "covered", "coverage", F.size("places").alias("windows"),
-        "first_token", (F.col("last_at") + F.col("_reach")).alias("last_token"), "reparameterised",
-    )
+    found = F.min(F.struct("reading", "item_tokens", "covered", "coverage", F.size("places").alias("windows"), "first_token", "last_token", "reparameterised"))
+    whole = whole.filter(F.col("coverage") >= coverage).groupBy("id", "uid", "item_id", "item_uid").agg(found.alias("f"))
+    return whole.select(
+        F.col("id").alias("doc_id"), "uid", "item_id", "f.item_tokens", "f.covered", "f.coverage", "f.windows", "f.first_token", "f.last_token", "f.reparameterised"
+    )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
