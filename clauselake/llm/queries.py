@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauselake.llm import (
-    decontaminate, language_model, licences, line_dedup, packing, simhash, token_counts, token_files, toxicity, vector_dedup,
+    decontaminate, language_model, licences, line_dedup, mixing, packing, simhash, token_counts, token_files, toxicity, vector_dedup,
 )
 from clauselake.llm.common import fresh_path, in_fold
 
@@ -75,6 +75,10 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("uid")
 
 
+def op11_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_sizes(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_packing": op2_packing,
@@ -86,5 +90,6 @@ QUERIES = {
     "op8_licences": op8_licences,
     "op9_simhash": op9_simhash,
     "op10_decontamination": op10_decontamination,
+    "op11_mixing": op11_mixing,
 }
-ORACLES: dict[str, str] = {"op8_licences": licences.oracle()}
+ORACLES: dict[str, str] = {"op8_licences": licences.oracle(), "op11_mixing": mixing.oracle()}
