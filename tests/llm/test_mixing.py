@@ -103,7 +103,7 @@ def test_reruns_agree_and_budgets_are_nested(spark):
 
 
 def test_texts_of_the_mix(spark):
-    rows = [("a", i, f"word{i}  two\nthree {'x ' * i}") for i in range(30)] + [("b", 99, "some  few words"), (None, 5, None)]
+    rows = [("a", i, f"word{i}  two\nthree {'x ' * i}") for i in range(30)] + [("b", 99, "some  few words"), (None, 500, None)]
     docs = table(spark, rows).selectExpr("*", "'c' AS copy", "1 AS size")
     mixed = mixing.mix(docs).collect()
     sizes = {r.doc_id: (r.copies, r.part, r.size) for r in mixing.mix_sizes(docs).collect()}
