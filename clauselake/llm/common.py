@@ -181,8 +181,9 @@ def slice_end(data: np.ndarray, fresh: np.ndarray, at: int) -> int:
     return end
 
 
-def word_table(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of all texts, with A-Z lowered.
+def word_table(texts: pa.Array, gap: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of all texts, with A-Z lowered; ``gap`` may tell other bytes (white space among
+    them) that lie between words.
 
     Returns their 64-bit hashes, their first bytes' places in ``text_buffer``, and per text the index of its
     first word (n + 1 entries). The hash is a polynomial in the word's bytes, mixed; equal words have equal hashes.
@@ -195,7 +196,7 @@ def word_table(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     while at < len(data):
         end = slice_end(data, fresh, at)
         part = data[at:end]
-        space = IS_SPACE[part]
+        space = gap[part]
         first = ~space
         first[1:] &= space[:-1] | fresh[at + 1 : end]
         starts = np.flatnonzero(first)

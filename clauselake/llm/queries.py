@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauselake.llm import (
-    decontaminate, language_model, licences, line_dedup, mixing, packing, simhash, token_counts, token_files, toxicity, vector_dedup,
+    decontaminate, language_model, licences, line_dedup, mixing, packing, ranked_search, simhash, token_counts, token_files, toxicity, vector_dedup,
 )
 from clauselake.llm.common import fresh_path, in_fold
 
@@ -79,6 +79,10 @@ def op11_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sizes(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_packing": op2_packing,
@@ -91,5 +95,6 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_decontamination": op10_decontamination,
     "op11_mixing": op11_mixing,
+    "op12_ranked_search": op12_ranked_search,
 }
-ORACLES: dict[str, str] = {"op8_licences": licences.oracle(), "op11_mixing": mixing.oracle()}
+ORACLES: dict[str, str] = {"op8_licences": licences.oracle(), "op11_mixing": mixing.oracle(), "op12_ranked_search": ranked_search.oracle()}
