@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauselake.llm import (
-    decontaminate, language_model, licences, line_dedup, mixing, packing, ranked_search, simhash, token_counts, token_files, toxicity, vector_dedup,
+    decontaminate, hard_negatives, language_model, licences, line_dedup, mixing, packing, ranked_search, simhash, token_counts, token_files, toxicity, vector_dedup,
 )
 from clauselake.llm.common import fresh_path, in_fold
 
@@ -83,6 +83,11 @@ def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return ranked_search.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, moved)
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_packing": op2_packing,
@@ -96,5 +101,9 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_mixing": op11_mixing,
     "op12_ranked_search": op12_ranked_search,
+    "op13_hard_negatives": op13_hard_negatives,
+}
+ORACLES: dict[str, str] = {
+    "op8_licences": licences.oracle(), "op11_mixing": mixing.oracle(), "op12_ranked_search": ranked_search.oracle(),
+    "op13_hard_negatives": hard_negatives.oracle(),
 }
-ORACLES: dict[str, str] = {"op8_licences": licences.oracle(), "op11_mixing": mixing.oracle(), "op12_ranked_search": ranked_search.oracle()}
