@@ -1,255 +1,44 @@
-"""Lexical, vector and fused retrieval as joins."""
+"""Lexical, vector and fused retrieval over a written search index."""
 
 from __future__ import annotations
 
-import functools
-import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.functions import lexicons as lx
-from clauselake.functions.text import word_tokens
-from clauselake.operators.clauses import resolve_clause_id
 from clauselake.operators.ordered import top_rows
-from clauselake.runtime import BROADCAST_ROWS, row_bound, ship_by_value, written
-
-ship_by_value(__name__)
-
-#: query vectors up to this many values may be shipped to every task
-BROADCAST_VALUES = 8_000_000
-#: scores held in memory at once while one batch is compared
-SCORES_PER_BLOCK = 8_000_000
-#: the same for lexical scores, which need their term matches beside them
-SCORES_PER_LEXICAL_BLOCK = 1_000_000
-#: hits of a partition held before they are cut to the best of each query
-KEPT_ROWS = 500_000
-
-
-# ---- lexical ---------------------------------------------------------------
-def query_terms(queries: DataFrame) -> DataFrame:
-    """``query_id, kb_id, term, weight`` with the count of each term in its query."""
-    return (
-        queries.select("query_id", "kb_id", F.explode_outer(word_tokens(F.col("text"))).alias("term"))
-        .filter("term IS NOT NULL")
-        .groupBy("query_id", "kb_id", "term")
-        .agg(F.count(F.lit(1)).alias("weight"))
-    )
-
-
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens of each chunk as distinct terms and their counts, for a whole batch at once."""
-    for batch in batches:
-        lists = batch.column("tokens")
-        each = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = lists.flatten().dictionary_encode()
-        size = max(1, len(coded.dictionary))
-        pair = np.repeat(np.arange(len(each)), each) * size + coded.indices.to_numpy(zero_copy_only=False)
-        pair, tf = np.unique(pair, return_counts=True)
-        ends = np.searchsorted(pair, np.arange(len(each) + 1) * size)
-        terms = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(pair % size)).cast(pa.string()), pa.array(tf, pa.int32())], ["term", "tf"])
-        counted = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), terms)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("chunk_id"), batch.column("kb_id"), pa.array(each, pa.int32()), counted], ["chunk_id", "kb_id", "dl", "terms"]
-        )
+from clauselake.operators.postings import PostingsIndex, bm25_hits, postings_index
+from clauselake.operators.vectors import VectorIndex, knn_hits, vector_index
+from clauselake.runtime import broadcast_if_small, written
 
 
 @dataclass(frozen=True)
-class LexicalIndex:
-    """Terms of every chunk, written once: the searches read this table and never the texts."""
-
-    terms: DataFrame  # chunk_id, kb_id, dl, terms (array of term and tf)
-    doc_freq: DataFrame  # term, df
-    chunks: int
-    avg_dl: float
-
-
-def lexical_index(chunks: DataFrame) -> LexicalIndex:
-    """Tokenise ``chunks`` (``chunk_id, kb_id, content``) once and keep terms, document frequencies and lengths."""
-    spark = chunks.sparkSession
-    tokens = chunks.select("chunk_id", "kb_id", F.coalesce(word_tokens(F.col("content")), F.array().cast("array<string>")).alias("tokens"))
-    kind = {c: tokens.schema[c].dataType.simpleString() for c in ("chunk_id", "kb_id")}
-    counted = tokens.mapInArrow(_term_counts, f"chunk_id {kind['chunk_id']}, kb_id {kind['kb_id']}, dl int, terms array<struct<term:string,tf:int>>")
-    terms = written(counted.filter("dl > 0"), "terms")
-    freq = terms.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    freq = written(freq, "doc-freq")
-    n, average = terms.agg(F.count(F.lit(1)), F.avg("dl")).first()
-    return LexicalIndex(terms, freq, n, average or 1.0)
-
+class SearchIndex:
+    """Postings and vector cells of a chunk table; both keep clause ids, so hits need no look-up."""
 
-def _slices(queries: DataFrame, rows: int, limit: int) -> list[Column]:
-    """Conditions that cut the queries into sets of about ``limit`` of their ``rows``."""
-    n = max(1, math.ceil(rows / max(1, limit)))
-    return [F.pmod(F.xxhash64("query_id"), F.lit(n)) == i for i in range(n)]
+    lexical: PostingsIndex
+    vectors: VectorIndex | None
 
 
-def _best(frames: list[pd.DataFrame], k: int) -> pd.DataFrame:
-    """The first ``k`` rows of each query: highest score, ties by chunk id."""
-    rows = pd.concat(frames, ignore_index=True)
-    rows = rows.sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True], kind="stable")
-    return rows.groupby("query_id", sort=False).head(k)
-
-
-def _running_best(blocks: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    """One bounded result for a whole partition, whatever the number of its blocks."""
-    held, rows = [], 0
-    for block in blocks:
-        held.append(block)
-        rows += len(block)
-        if rows > KEPT_ROWS:
-            held = [_best(held, k)]
-            rows = -len(held[0])  # the next reduction comes after as many new rows
-    if held:
-        yield _best(held, k)
+def search_index(chunks: DataFrame, knn_enabled: bool = True) -> SearchIndex:
+    """Index ``chunks`` (``chunk_id, kb_id, canonical_id, content, vector``) once for any number of searches."""
+    return SearchIndex(postings_index(chunks), vector_index(chunks) if knn_enabled else None)
 
 
 def bm25_topk(
-    queries: DataFrame,
-    chunks: DataFrame | LexicalIndex,
-    k: int,
-    k1: float = lx.BM25_K1,
-    b: float = lx.BM25_B,
-    limit: int = BROADCAST_ROWS,
+    queries: DataFrame, chunks: DataFrame | PostingsIndex, k: int, k1: float = lx.BM25_K1, b: float = lx.BM25_B
 ) -> DataFrame:
-    """Best ``k`` chunks per query: ``query_id, chunk_id, score, rank``.
-
-    Statistics cover the whole chunk table, the ``kb_id`` filter applies to the
-    hits.  A set of query terms of checked size is shipped to the tasks that
-    scan the index; each scores its chunks in sparse products and returns at
-    most ``k`` rows a query for its whole partition, so neither the corpus nor
-    query-chunk pairs are shuffled.  More queries run in several such sets.
-    """
-    index = chunks if isinstance(chunks, LexicalIndex) else lexical_index(chunks)
-    wanted = query_terms(queries).join(index.doc_freq, "term")
-    idf = F.log(1.0 + (F.lit(float(index.chunks)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    wanted = wanted.select("query_id", "kb_id", "term", (idf * F.col("weight")).alias("boost"))
-    total = wanted.count() if not row_bound(wanted, limit) else limit
-    scored = [_lexical_scores(wanted.filter(part), index, k, k1, b) for part in _slices(wanted, total, limit)]
-    return top_rows(functools.reduce(DataFrame.unionByName, scored), ["query_id"], [F.desc("score"), F.asc("chunk_id")], k).select(
-        "query_id", "chunk_id", "score", "rank"
-    )
-
-
-def _lexical_scores(wanted: DataFrame, index: LexicalIndex, k: int, k1: float, b: float) -> DataFrame:
-    by_kb = {}
-    for kb, rows in wanted.toPandas().groupby("kb_id"):  # size checked by the caller
-        ids, query = np.unique(rows["query_id"].to_numpy(dtype=object), return_inverse=True)
-        terms, term = np.unique(rows["term"].to_numpy(dtype=object), return_inverse=True)
-        order = np.argsort(term, kind="stable")
-        ends = np.cumsum(np.bincount(term, minlength=len(terms)))
-        by_kb[kb] = (ids, terms.tolist(), np.concatenate([[0], ends]), query[order], rows["boost"].to_numpy()[order])
-    shipped = index.terms.sparkSession.sparkContext.broadcast(by_kb)
-    average = index.avg_dl
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            kbs = batch.column("kb_id").to_pandas()
-            for kb, at in kbs.groupby(kbs).groups.items():
-                if kb in shipped.value:
-                    ids = shipped.value[kb][0]
-                    step = max(1, SCORES_PER_LEXICAL_BLOCK // len(ids))
-                    for i in range(0, len(at), step):
-                        found = score(batch.take(pa.array(at[i : i + step])), *shipped.value[kb])
-                        if len(found):
-                            yield found
-
-    def score(rows: pa.RecordBatch, ids, vocabulary, ends, query, boost) -> pd.DataFrame:
-        lists = rows.column("terms")
-        flat = lists.flatten()
-        known = pc.index_in(flat.field("term"), value_set=pa.array(vocabulary)).fill_null(-1).to_numpy(zero_copy_only=False)
-        chunk = np.repeat(np.arange(rows.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-        hit = known >= 0
-        term, chunk, tf = known[hit], chunk[hit], flat.field("tf").to_numpy(zero_copy_only=False)[hit]
-        dl = rows.column("dl").to_numpy(zero_copy_only=False)[chunk]
-        saturation = tf / (tf + k1 * (1.0 - b + b * dl / average))
-        each = ends[term + 1] - ends[term]
-        last = np.cumsum(each)
-        entry = np.arange(last[-1] if len(last) else 0) + np.repeat(ends[term] - (last - each), each)
-        pair = query[entry] * rows.num_rows + np.repeat(chunk, each)
-        scores = np.bincount(pair, boost[entry] * np.repeat(saturation, each), len(ids) * rows.num_rows)
-        found = _best_pairs(ids, scores.reshape(len(ids), -1), rows.column("chunk_id").to_pandas().to_numpy(dtype=object), k)
-        return found[found["score"] > 0]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for best in _running_best(blocks(batches), k):
-            yield pa.RecordBatch.from_pandas(best, preserve_index=False)
-
-    return index.terms.mapInArrow(run, _pairs_schema(wanted, index.terms))
+    """Best ``k`` chunks per query: ``query_id, chunk_id, score, rank``."""
+    index = chunks if isinstance(chunks, PostingsIndex) else postings_index(chunks)
+    return bm25_hits(queries, index, k, k1, b).drop("clause_id")
 
 
-# ---- vectors ---------------------------------------------------------------
-def _unit_rows(vectors) -> np.ndarray:
-    m = np.asarray(list(vectors), dtype=np.float64)
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
-
-def _best_pairs(q_ids, scores: np.ndarray, c_ids, k: int) -> pd.DataFrame:
-    """Top ``k`` chunks of one block for each query, ties by chunk id."""
-    scores = np.round(scores, 6)
-    by_id = np.argsort(c_ids, kind="stable")
-    scores, c_sorted = scores[:, by_id], c_ids[by_id]
-    take = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-    return pd.DataFrame(
-        {
-            "query_id": np.repeat(q_ids, take.shape[1]),
-            "chunk_id": c_sorted[take].ravel(),
-            "score": np.take_along_axis(scores, take, axis=1).ravel(),
-        }
-    )
-
-
-def _pairs_schema(q: DataFrame, c: DataFrame) -> str:
-    return (
-        f"query_id {q.schema['query_id'].dataType.simpleString()}, "
-        f"chunk_id {c.schema['chunk_id'].dataType.simpleString()}, score double"
-    )
-
-
-def knn_topk(queries: DataFrame, chunks: DataFrame, k: int, max_values: int = BROADCAST_VALUES) -> DataFrame:
-    """Exact cosine top ``k`` inside the query's ``kb_id``; score is ``(1 + cos) / 2``.
-
-    Query sets of checked size are shipped to the tasks that scan the chunks:
-    no corpus shuffle, and each partition returns at most ``k`` rows a query.
-    More queries run in several such sets; that is exact as well.
-    """
-    q = queries.filter(F.col("vector").isNotNull()).select("query_id", "kb_id", "vector")
-    c = chunks.filter(F.col("vector").isNotNull()).select("chunk_id", "kb_id", "vector")
-    rows, dim = q.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
-    limit = max(1, max_values // max(1, dim or 1))
-    scored = [_vector_scores(q.filter(part), c, k) for part in _slices(q, rows, limit)]
-    return top_rows(functools.reduce(DataFrame.unionByName, scored), ["query_id"], [F.desc("score"), F.asc("chunk_id")], k).select(
-        "query_id", "chunk_id", "score", "rank"
-    )
-
-
-def _vector_scores(q: DataFrame, c: DataFrame, k: int) -> DataFrame:
-    local = q.toPandas()  # size checked by the caller
-    by_kb = {
-        kb: (g["query_id"].to_numpy(dtype=object), _unit_rows(g["vector"])) for kb, g in local.groupby("kb_id")
-    }
-    shipped = q.sparkSession.sparkContext.broadcast(by_kb)
-
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for kb, rows in batch.groupby("kb_id"):
-                if kb in shipped.value:
-                    q_ids, q_mat = shipped.value[kb]
-                    c_ids, c_mat = rows["chunk_id"].to_numpy(dtype=object), _unit_rows(rows["vector"])
-                    step = max(1, SCORES_PER_BLOCK // len(c_ids))
-                    for at in range(0, len(q_ids), step):
-                        yield _best_pairs(q_ids[at : at + step], (1.0 + q_mat[at : at + step] @ c_mat.T) / 2.0, c_ids, k)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _running_best(blocks(batches), k)
-
-    return c.mapInPandas(run, _pairs_schema(q, c))
+def knn_topk(queries: DataFrame, chunks: DataFrame | VectorIndex, k: int) -> DataFrame:
+    """Exact cosine top ``k`` inside the query's ``kb_id``: ``query_id, chunk_id, score, rank``."""
+    index = chunks if isinstance(chunks, VectorIndex) else vector_index(chunks)
+    return knn_hits(queries, index, k).drop("clause_id")
 
 
 # ---- fusion ----------------------------------------------------------------
@@ -294,44 +83,24 @@ def rrf_fuse(
     )
 
 
-def few_hits(queries: DataFrame, k: int) -> bool:
-    """True when ``k`` hits per query are few enough to broadcast."""
-    return row_bound(queries, BROADCAST_ROWS // k)
-
-
-def _join_chunks(hits: DataFrame, columns: DataFrame, few: bool) -> DataFrame:
-    """Look hits up in the chunk table; few hits are broadcast, so the chunk table is not shuffled."""
-    return columns.join(F.broadcast(hits) if few else hits, "chunk_id")
-
-
-def with_clause_ids(hits: DataFrame, chunks: DataFrame, few: bool = False) -> DataFrame:
-    """Attach the clause id of each hit."""
-    return _join_chunks(hits, chunks.select("chunk_id", "canonical_id"), few).withColumn(
-        "clause_id", resolve_clause_id(F.col("canonical_id"), F.col("chunk_id"))
-    )
-
-
-def hybrid_search(
-    queries: DataFrame, chunks: DataFrame, k: int, knn_enabled: bool = True, index: LexicalIndex | None = None
-) -> DataFrame:
+def hybrid_search(queries: DataFrame, chunks: DataFrame | SearchIndex, k: int, knn_enabled: bool = True) -> DataFrame:
     """Fused retrieval: ``query_id, clause_id, chunk_id, score, rank, knn_rank, bm25_rank``.
 
-    ``queries``: ``query_id, kb_id, text, vector``; ``chunks``: ``chunk_id,
-    kb_id, canonical_id, content, vector``.  Without vectors the lexical list
-    is returned with its own scores.  ``index`` is the lexical index of the
-    chunks; searches that follow one another share it.
+    ``queries``: ``query_id, kb_id, text, vector``; ``chunks``: a chunk table, or its index when several searches share
+    it.  Without vectors the lexical list is returned with its own scores.
     """
-    few = few_hits(queries, k)
-    lexical = with_clause_ids(bm25_topk(queries, index or chunks, k), chunks, few)
+    index = chunks if isinstance(chunks, SearchIndex) else search_index(chunks, knn_enabled)
+    lexical = bm25_hits(queries, index.lexical, k)
     if not knn_enabled:
         return lexical.select(
             "query_id", "clause_id", "chunk_id", "score", "rank",
             F.lit(None).cast("int").alias("knn_rank"), F.col("rank").alias("bm25_rank"),
         )
-    nearest = with_clause_ids(knn_topk(queries, chunks, k), chunks, few)
-    return rrf_fuse(nearest, lexical, k)
+    return rrf_fuse(knn_hits(queries, index.vectors, k), lexical, k)
 
 
-def with_contents(hits: DataFrame, chunks: DataFrame, few: bool = False) -> DataFrame:
-    """Attach the text of the chunk that brought each hit in."""
-    return _join_chunks(hits, chunks.select("chunk_id", "content"), few)
+def with_contents(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Attach the text of the chunk that brought each hit in; hits of checked size are broadcast, so that the chunk table
+    is not shuffled."""
+    hits = written(hits, "hits")
+    return chunks.select("chunk_id", "content").join(broadcast_if_small(hits), "chunk_id")

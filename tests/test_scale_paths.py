@@ -1,12 +1,16 @@
 """The paths for hot keys and large sides give what the plain computation gives."""
 
+import collections
+import math
 import random
+import re
 
 import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from clauselake.operators import clauses, engage, search, session
+from clauselake.operators import clauses, engage, postings, search, session, vectors
 from clauselake.operators.ordered import Scan, running
 from clauselake.operators.skew import lookup_join
 from clauselake.sources import records
@@ -78,24 +82,88 @@ def _rows(df):
     return sorted(map(tuple, df.collect()))
 
 
-def test_search_paths_agree(spark):
-    queries, chunks, raw_q, raw_c = _corpus(spark)
-    assert _rows(search.bm25_topk(queries, chunks, 7)) == _rows(search.bm25_topk(queries, chunks, 7, limit=25))
-    shipped = search.knn_topk(queries, chunks, 7)
-    assert _rows(shipped) == _rows(search.knn_topk(queries, chunks, 7, max_values=25))
-    best = {}
-    for qid, kb, _, v in raw_q:
-        q = np.asarray(v, dtype=np.float32).astype(float)
-        scored = []
-        for cid, ckb, _, _, w in raw_c:
+def _plain_bm25(raw_q, raw_c, k):
+    words = lambda t: re.sub(r"([\u4e00-\u9fff])", r" \1 ", t.lower()).split()
+    tokens = {c[0]: words(c[3]) for c in raw_c}
+    df = collections.Counter(t for ts in tokens.values() for t in set(ts))
+    n, average = len(tokens), sum(map(len, tokens.values())) / len(tokens)
+    out = []
+    for qid, kb, text, _ in raw_q:
+        asked, scored = collections.Counter(words(text)), []
+        for cid, ckb, _, _, _ in raw_c:
+            tf = collections.Counter(tokens[cid])
             if ckb == kb:
-                c = np.asarray(w, dtype=np.float32).astype(float)
-                scored.append((-round((1 + q @ c / np.linalg.norm(q) / np.linalg.norm(c)) / 2, 6), cid))
-        best[qid] = [cid for _, cid in sorted(scored)[:7]]
-    got = {}
-    for r in shipped.orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append(r.chunk_id)
-    assert got == best
+                score = sum(w * math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] / (tf[t] + 1.2 * (0.25 + 0.75 * len(tokens[cid]) / average)) for t, w in asked.items() if tf[t])
+                if round(score, 6) > 0:
+                    scored.append((-round(score, 6), cid))
+        out += [(qid, cid, -s, r) for r, (s, cid) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(out)
+
+
+def _plain_knn(raw_q, raw_c, k):
+    out = []
+    unit = lambda v: v / max(1e-300, np.sqrt(v @ v))
+    for qid, kb, _, v in raw_q:
+        q = unit(np.asarray(v, dtype=np.float32).astype(float))
+        scored = sorted((-round((1 + q @ unit(np.asarray(w, dtype=np.float32).astype(float))) / 2, 6), cid) for cid, ckb, _, _, w in raw_c if ckb == kb and w is not None)
+        out += [(qid, cid, -s, r) for r, (s, cid) in enumerate(scored[:k], 1)]
+    return sorted(out)
+
+
+@pytest.fixture(params=["one block", "many blocks"])
+def small_blocks(request, monkeypatch):
+    if request.param == "many blocks":
+        for module, sizes in ((postings, {"BLOCK_CHUNKS": 7, "QUERY_GROUP": 4, "PRUNE_FROM": 0, "OUT_ROWS": 5}), (vectors, {"BLOCK_VECTORS": 6, "QUERY_GROUP": 4, "PRUNE_FROM": 0, "SAMPLE": 50})):
+            for name, value in sizes.items():
+                monkeypatch.setattr(module, name, value)
+    return request.param
+
+
+def test_search_paths_agree(spark, small_blocks):
+    queries, chunks, raw_q, raw_c = _corpus(spark)
+    assert _rows(search.bm25_topk(queries, chunks, 7)) == _plain_bm25(raw_q, raw_c, 7)
+    assert _rows(search.knn_topk(queries, chunks, 7)) == _plain_knn(raw_q, raw_c, 7)
+    index = search.search_index(chunks)
+    assert (index.lexical.most_blocks > 5) == (small_blocks == "many blocks")
+    first = _rows(search.hybrid_search(queries, index, 5))
+    assert first == _rows(search.hybrid_search(queries, chunks, 5)) and len(first) == 25 * 5
+
+
+def test_a_search_reads_the_partitions_of_its_terms(spark):
+    _, chunks, _, _ = _corpus(spark)
+    index = postings.postings_index(chunks)
+    one = spark.createDataFrame([("q", "k0", "alpha")], "query_id string, kb_id string, text string")
+    plan = postings.bm25_hits(one, index, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"part#\d+ (?:=|IN) ", plan)
+    assert len(postings.bm25_hits(one, index, 3).collect()) == 3
+
+
+def test_texts_without_terms_and_empty_tables(spark, small_blocks):
+    queries, chunks, _, _ = _corpus(spark)
+    odd = spark.createDataFrame([("x1", "k0", None, None, [0.0] * 8), ("x2", "k0", "a", "？！", None), ("x3", "k9", None, "alpha", [1.0] * 8)], chunks.schema)
+    more = spark.createDataFrame([("n", "k0", None, None), ("z", "k0", "...", [0.0] * 8), ("o", "k9", "alpha", [1.0] * 8)], queries.schema)
+    every = chunks.unionByName(odd)
+    got = _rows(search.knn_topk(more, every, 200))
+    assert {r[0] for r in got} == {"z", "o"} and {r[2] for r in got if r[0] == "z"} == {0.5} and ("o", "x3", 1.0, 1) in got
+    assert [r[:2] for r in _rows(search.bm25_topk(more, every, 5))] == [("o", "x3")]
+    assert search.hybrid_search(more.limit(0), every, 5).collect() == []
+    assert search.hybrid_search(queries, chunks.limit(0), 5).collect() == []
+
+
+def test_vector_search_compares_a_small_share(spark, monkeypatch):
+    """Clustered vectors: under a fifth of them is compared, and the result is that of comparing all."""
+    monkeypatch.setattr(vectors, "BLOCK_VECTORS", 64)
+    rng = np.random.default_rng(5)
+    heart = rng.normal(size=(30, 16))
+    made = lambda n: [[float(x) for x in heart[rng.integers(30)] + 0.15 * rng.normal(size=16)] for _ in range(n)]
+    raw_c = [(f"c{i:05d}", "k", None, "x", v) for i, v in enumerate(made(4000))]
+    raw_q = [(f"q{i}", "k", "x", v) for i, v in enumerate(made(40))]
+    chunks = spark.createDataFrame(raw_c, "chunk_id string, kb_id string, canonical_id string, content string, vector array<float>")
+    queries = spark.createDataFrame(raw_q, "query_id string, kb_id string, text string, vector array<float>")
+    index = vectors.vector_index(chunks)
+    assert _rows(search.knn_topk(queries, index, 10)) == _plain_knn(raw_q, raw_c, 10)
+    shares = vectors.compared_share(queries, index, 10).collect()
+    assert len(shares) == 40 and sum(r.share for r in shares) / 40 < 0.2 and all(r.total == 4000 for r in shares)
 
 
 def test_rrf_arithmetic(spark):
