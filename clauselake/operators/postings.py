@@ -233,7 +233,9 @@ def _scores(
     held = [empty(query_kind).alias("query_id"), empty(terms_kind).alias("terms")]
     tops = heads.join(needed, KEYS).select(*place, F.lit(0).alias("kind"), *stored, *held)
     lists = lists.select(*place, F.lit(1).alias("kind"), *stored, *held)
-    runs = tops.unionByName(lists).unionByName(asked).repartition(*place).sortWithinPartitions(*place, "kind")
+    # a fixed number: the rows are few bytes and much work, so they are not to be coalesced
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = tops.unionByName(lists).unionByName(asked).repartition(tasks, *place).sortWithinPartitions(*place, "kind")
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, out = None, _Out(schema)

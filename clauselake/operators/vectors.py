@@ -28,8 +28,8 @@ from clauselake.runtime import ship_by_value, written
 
 ship_by_value(__name__)
 
-#: vectors of a block about, rings of a cell, vectors the centres are fitted on, centres at most, rounds of fitting
-BLOCK_VECTORS, RINGS, SAMPLE, MOST_CENTRES, ROUNDS = 2048, 64, 8192, 256, 6
+#: vectors of a block about, rings of a cell at most, vectors the centres are fitted on, centres at most, rounds of fitting
+BLOCK_VECTORS, MOST_RINGS, SAMPLE, MOST_CENTRES, ROUNDS = 2048, 64, 8192, 256, 6
 #: blocks of a knowledge base beyond which blocks are skipped by their bounds
 PRUNE_FROM = 16
 PLACES, SLACK = 6, 2e-6
@@ -87,7 +87,8 @@ def vector_index(chunks: DataFrame) -> VectorIndex:
     )
     total, dim = rows.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     dim = dim or 0
-    number = min(MOST_CENTRES, max(1, 4 * total // BLOCK_VECTORS))
+    number = min(MOST_CENTRES, 4 * total // BLOCK_VECTORS) if total > BLOCK_VECTORS else 1
+    rings = min(MOST_RINGS, max(1, total // BLOCK_VECTORS))
     centres = np.zeros((1, dim))
     if number > 1:
         sample = rows.select("vector").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(SAMPLE).collect()
@@ -100,7 +101,7 @@ def vector_index(chunks: DataFrame) -> VectorIndex:
             cell = np.argmin(angle, axis=1)
             own = angle[np.arange(len(cell)), cell]
             zero = ~unit.any(axis=1)  # such a vector has no angle: it lies in rings of its own, which nothing skips
-            ring = np.where(zero, -1, np.minimum(own / math.pi * RINGS, RINGS - 1).astype(np.int64))
+            ring = np.where(zero, -1, np.minimum(own / math.pi * rings, rings - 1).astype(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.where(zero, 0, cell), pa.int32()), pa.array(ring, pa.int32()), pa.array(own), pa.array(list(unit), pa.list_(pa.float64()))], ["chunk_id", "kb_id", "clause_id", "cell", "ring", "angle", "unit"])
 
     placed = rows.mapInArrow(place, "chunk_id string, kb_id string, clause_id string, cell int, ring int, angle double, unit array<double>")
