@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from clauselake.functions import lexicons as lx
 from clauselake.operators import clauses, engage, letters
 from clauselake.operators.clauses import split_clauses
+from clauselake.operators.postings import bm25_hits
 from clauselake.operators.skew import lookup_join
 from clauselake.plans import inputs, memory_queries, oracle
 from clauselake.runtime import scratch_path, spread
 from clauselake.sources import records, sinks
+from clauselake.sources.chunk_store import ChunkStore
 from clauselake.sources.tables import read_table, stream_table
 from clauselake.streaming import jobs
 
@@ -157,18 +159,31 @@ def scan_text(spark: SparkSession, sf: str) -> DataFrame:
     return scanned.select(F.col("item_id").cast("bigint").alias("item_id"), F.regexp_replace("content", r"\n\z", "").alias("content"))
 
 
-def ingest_chunks(spark: SparkSession, sf: str) -> DataFrame:
+def _ingested(spark: SparkSession, sf: str) -> ChunkStore:
+    """All contracts, then revised ones in a second call, as a later upload brings them."""
     contracts = inputs.CONTRACTS.frame(spark, sf)
     blocks = split_clauses(contracts, ["contract_id", "user_id"], "text", "label")
     kb = "CAST(user_id % 4 AS STRING) AS kb_id"
-    first = blocks.selectExpr("chunk_id", "contract_id", kb, "content", "1 AS written_at")
+    first = blocks.selectExpr("chunk_id", kb, "canonical_id", "content", "1 AS written_at")
     again = blocks.filter("contract_id % 10 IN (0, 1, 9)").selectExpr(
-        "chunk_id", "contract_id", kb, "CONCAT('（修订）', content) AS content", "2 AS written_at"
+        "chunk_id", kb, "canonical_id", "CONCAT('（修订）', content) AS content", "2 AS written_at"
     )
     path = scratch_path(spark, "chunks")
-    sinks.write_chunks(first.unionByName(again), path)
-    stored = spark.read.schema("chunk_id string, contract_id long, content string, written_at int, kb_id string").parquet(path)
-    return stored.select("chunk_id", "contract_id", "kb_id", "content")
+    sinks.write_chunks(first, path)
+    sinks.write_chunks(again, path)
+    return ChunkStore(spark, path)
+
+
+def ingest_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return _ingested(spark, sf).chunks().select("chunk_id", "kb_id", "canonical_id", "content", "written_at")
+
+
+def ingest_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Lexical search over the store's index after two uploads and the removal of whole-clause chunks of some contracts."""
+    store = _ingested(spark, sf)
+    store.remove(store.chunks().filter("chunk_id LIKE 'doc%3-第2条'").select("chunk_id"))
+    questions = inputs.ASKED.frame(spark, sf).selectExpr("CAST(question_id AS STRING) AS query_id", "CAST(user_id % 4 AS STRING) AS kb_id", "text")
+    return bm25_hits(questions, store.index(), 5).select("query_id", "chunk_id", "clause_id", "score", "rank")
 
 
 def ingest_status(spark: SparkSession, sf: str) -> DataFrame:
@@ -409,6 +424,7 @@ QUERIES = {
     "assemble_pages": assemble_pages,
     "chat_chunks": chat_chunks,
     "ingest_chunks": ingest_chunks,
+    "ingest_search": ingest_search,
     "ingest_status": ingest_status,
     "risk_points": risk_points,
     "page_review": page_review,
@@ -425,6 +441,11 @@ QUERIES = {
     "stream_session_state": stream_session_state,
 }
 
+_REVISED = "contract_id % 10 IN (0, 1, 9)"
+_STORED = (
+    f"SELECT chunk_id, CAST(user_id % 4 AS VARCHAR) AS kb_id, canonical_id, CASE WHEN {_REVISED} THEN '（修订）' || content ELSE content END AS content, "
+    f"CAST(CASE WHEN {_REVISED} THEN 2 ELSE 1 END AS BIGINT) AS written_at FROM blocks JOIN contracts USING (contract_id)"
+)
 _FAV = "SELECT user_id, post_id FROM inter WHERE action = 'favorite' AND post_id IN (SELECT id FROM posts) GROUP BY ALL HAVING count(*) % 2 = 1"
 ORACLES = {
     "scan_text": "SELECT item_id, text AS content FROM benchmark",
@@ -444,8 +465,11 @@ ORACLES = {
     "user_upsert": "SELECT 'u' || user_id AS open_id, 'n' || event_id AS nick_name, event_type AS avatar_url, event_id AS seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events WHERE event_type <> 'error' AND value >= 20) WHERE rn = 1 AND user_id NOT IN (SELECT n_nationkey FROM nation)",
     "assemble_pages": f"SELECT conv_id AS record_id, count(*) AS pages, sha256(string_agg({_PARTED}, '' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id",
     "chat_chunks": f"SELECT {_MESSAGE} AS message_id, count(*) FILTER (event_type = 'click') AS suggestions, nullif(count(*) FILTER (event_type = 'view'), 0) AS chunks, sha256(string_agg('答' || event_id, '' ORDER BY event_id) FILTER (event_type = 'view')) AS digest FROM events WHERE event_type = 'view' OR (event_type = 'click' AND event_id % 4 <> 0) GROUP BY 1",
-    "ingest_chunks": oracle.with_(*_SPLIT, recursive=True)
-    + "SELECT chunk_id, contract_id, CAST(user_id % 4 AS VARCHAR) AS kb_id, CASE WHEN contract_id % 10 IN (0, 1, 9) THEN '（修订）' || content ELSE content END AS content FROM blocks JOIN contracts USING (contract_id)",
+    "ingest_chunks": oracle.with_(*_SPLIT, recursive=True) + f"SELECT chunk_id, kb_id, canonical_id, content, written_at FROM ({_STORED})",
+    "ingest_search": oracle.with_(*_SPLIT, ("chunks", f"SELECT * FROM ({_STORED}) WHERE NOT chunk_id LIKE 'doc%3-第2条'"),
+        ("queries", f"SELECT CAST(question_id AS VARCHAR) AS query_id, CAST(user_id % 4 AS VARCHAR) AS kb_id, text FROM ({inputs.ASKED.sql()})"),
+        *oracle.bm25_ctes("queries", "chunks", 5), recursive=True)
+    + "SELECT query_id, chunk_id, canonical_id AS clause_id, score, rank FROM bm25 JOIN chunks USING (chunk_id)",
     "ingest_status": oracle.with_(*_SPLIT, ("n", "SELECT contract_id, CAST(count(*) AS INT) AS n FROM blocks GROUP BY contract_id"),
         ("s", "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 13 = 5 THEN 'failed' WHEN o_orderkey % 11 <> 3 THEN 'done' ELSE 'pending' END AS status FROM orders"), recursive=True)
     + "SELECT doc_id, status, CASE WHEN status = 'done' THEN coalesce(n, 0) END AS chunk_count FROM s LEFT JOIN n ON contract_id = doc_id",
