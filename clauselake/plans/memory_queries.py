@@ -343,6 +343,11 @@ def eval_amount(spark: SparkSession, sf: str) -> DataFrame:
 # ---- oracle ----------------------------------------------------------------
 _T = ("turns", inputs.TURNS.sql())
 _A = ("asked", inputs.ASKED.sql())
+_ROUND_CTES = [
+    ("g", "SELECT *, CASE WHEN ts_sec - lag(ts_sec) OVER (PARTITION BY session_id ORDER BY turn) >= 2592000 THEN 1 ELSE 0 END AS gap FROM asked"),
+    ("l", "SELECT *, sum(gap) OVER (PARTITION BY session_id ORDER BY turn) AS life FROM g"),
+    ("n", "SELECT *, row_number() OVER (PARTITION BY session_id, life ORDER BY turn) AS round_no FROM l"),
+]
 _CARRY = [
     ("ct", f"SELECT question_id, session_id, turn, ts_sec, text, {', '.join(_MODEL)} FROM asked"),
     *oracle.params_ctes("ct", "question_id"),
@@ -472,7 +477,7 @@ ORACLES = {
     + "SELECT session_id, messages, sha256(history) AS digest, CAST(length(history) AS INT) AS chars FROM h",
     "session_history": oracle.with_(_T, ("r", _ROUNDS_SQL)) + "SELECT session_id, id, question, answer, count(*) OVER (PARTITION BY session_id) AS rounds FROM r",
     "append_rounds": oracle.with_(_T, ("r", _ROUNDS_SQL)) + "SELECT session_id, id, question, answer FROM r",
-    "extract_every_n": oracle.with_(_A) + "SELECT question_id, session_id, round_no FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn) AS round_no FROM asked) WHERE round_no % 3 = 0",
+    "extract_every_n": oracle.with_(_A, *_ROUND_CTES) + "SELECT question_id, session_id, round_no FROM n WHERE round_no % 3 = 0",
     "latest_marker": oracle.with_(_T) + "SELECT session_id, turn, content FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS rn FROM turns WHERE contains(content, '【已审查条款】')) WHERE rn = 1",
     "handoff_text": oracle.with_(_T) + f"SELECT session_id, substring(line, 12) AS line FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS rn FROM (SELECT session_id, turn, {_HANDOFF} AS line FROM turns) WHERE starts_with(line, 'retriever::')) WHERE rn = 1",
     "memory_metrics": f"SELECT {_FACET} AS facet, count(*) FILTER (value > 50) AS hits, count(*) FILTER (NOT value > 50) AS misses FROM events GROUP BY 1",

@@ -374,8 +374,75 @@ _READ_KIND = "CASE WHEN value > 95 THEN 'reset' WHEN value > 50 THEN 'hit' ELSE
 def stream_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Current counters of each facet of the memory, after the last reset."""
     reads = stream_table(spark, sf, "events").selectExpr(f"{memory_queries._FACET} AS facet", "event_id AS seq", f"{_READ_KIND} AS kind")
-    changes = jobs.drain(jobs.memory_metrics(reads), "metrics")
-    return changes.groupBy("facet").agg(F.max_by(F.struct("epoch", "hits", "misses"), "seq").alias("m")).select("facet", "m.*")
+    return jobs.memory_metrics(reads)
+
+
+#: files in which a log arrives, one a micro-batch
+FILES = 6
+_FILE = f"CAST(FLOOR(event_id * {FILES} / (SELECT max(event_id) + 1 FROM events)) AS BIGINT)"
+#: some events come two files late
+_LATE_FILE = f"least({_FILE} + CASE WHEN event_id % 29 = 3 THEN 2 ELSE 0 END, {FILES - 1})"
+
+
+def _arriving(rows: DataFrame, name: str, text: bool = False) -> str:
+    """Write ``rows`` in files one after the other, by their ``file``; a stream reads files in the order of their time."""
+    path = scratch_path(rows.sparkSession, name)
+    for i in range(FILES):
+        part = rows.filter(F.col("file") == i).drop("file").coalesce(1).write.mode("append")
+        part.text(path) if text else part.parquet(path)
+    return path
+
+
+def _file_of(spark: SparkSession, sf: str, expr: str) -> str:
+    """The file's expression with the table's highest number in it."""
+    highest = read_table(spark, sf, "events").agg(F.max("event_id")).first()[0] or 0
+    return expr.replace("(SELECT max(event_id) + 1 FROM events)", str(highest + 1))
+
+
+def stream_view_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Views per post and six hours of event time; events that come after their window has closed are counted apart."""
+    views = inputs.INTERACTIONS.columns
+    rows = read_table(spark, sf, "events").filter("event_type = 'view'")
+    rows = rows.selectExpr(f"{views['post_id']} AS post_id", "CAST(ts AS TIMESTAMP) AS at", f"{_file_of(spark, sf, _LATE_FILE)} AS file")
+    path = _arriving(rows, "view-files")
+    stream = spark.readStream.schema("post_id long, at timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+    done = jobs.windowed_views(stream, 21600, 86400)
+    return done.select("post_id", F.unix_seconds("window_start").alias("start_sec"), "views", "late", "closed")
+
+
+def stream_chat_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers of a chat log that arrives in several files, their chunks gathered until the end mark."""
+    log = jobs.read_chat_log(spark, _chat_files(spark, sf))
+    whole = jobs.drain(jobs.chat_messages(log, 10 * 86400), "chat-messages")
+    return whole.select("message_id", "part", "chunks", "suggestions", F.sha2("text", 256).alias("digest"), "complete")
+
+
+def stream_chat_malformed(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of the chat log that cannot be read."""
+    bad = jobs.drain(jobs.malformed_lines(jobs.read_chat_log(spark, _chat_files(spark, sf))), "chat-malformed")
+    return bad.groupBy("reason").agg(F.count(F.lit(1)).alias("lines"))
+
+
+_CHAT_FORM = "CASE WHEN event_id % 41 = 7 THEN CONCAT('?', CAST(event_id AS STRING)) ELSE CONCAT(CAST({m} AS STRING), CHR(9), CAST(event_id AS STRING), CHR(9), CAST({t} AS STRING), CHR(9), {l}) END"
+
+
+def _chat_files(spark: SparkSession, sf: str) -> str:
+    line = _CHAT_FORM.format(m=_MESSAGE, t="unix_seconds(CAST(ts AS TIMESTAMP))", l=_LINE)
+    return _arriving(read_table(spark, sf, "events").selectExpr(f"{line} AS value", f"{_file_of(spark, sf, _FILE)} AS file"), "chat-files", text=True)
+
+
+def stream_session_expiry(spark: SparkSession, sf: str) -> DataFrame:
+    """Memories that ended: their sessions paused for the lifetime, by the event time of the whole stream."""
+    turns = inputs.ASKED.frame(spark, sf).selectExpr(
+        "question_id", "session_id", "turn", "ts_sec", "text", *memory_queries._MODEL,
+        "array(CONCAT('民法典-第', CAST(question_id % 500 AS STRING), '条'), CONCAT('c', CAST(turn AS STRING))) AS clause_ids",
+    )
+    least, most = turns.agg(F.min("ts_sec"), F.max("ts_sec") + 1).first()
+    filed = turns.withColumn("file", F.floor((F.col("ts_sec") - (least or 0)) * FILES / ((most or 1) - (least or 0))))
+    path = _arriving(filed, "turn-files")
+    stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    ended = jobs.drain(jobs.session_memory(stream, live=True, delay="0 seconds"), "ended-sessions")
+    return ended.filter("question_id IS NULL").select("session_id", "epoch", "principal", "rate", "days", "calc_type", "previous_ids")
 
 
 def stream_session_state(spark: SparkSession, sf: str) -> DataFrame:
@@ -439,6 +506,10 @@ QUERIES = {
     "stream_extract_rounds": stream_extract_rounds,
     "stream_metrics": stream_metrics,
     "stream_session_state": stream_session_state,
+    "stream_view_windows": stream_view_windows,
+    "stream_chat_log": stream_chat_log,
+    "stream_chat_malformed": stream_chat_malformed,
+    "stream_session_expiry": stream_session_expiry,
 }
 
 _REVISED = "contract_id % 10 IN (0, 1, 9)"
@@ -497,14 +568,28 @@ ORACLES = {
     "k(text_hash, ts_us) AS (SELECT text_hash, min(ts_us) FROM e GROUP BY text_hash UNION ALL "
     "SELECT k.text_hash, min(e.ts_us) FROM k JOIN e ON e.text_hash = k.text_hash AND e.ts_us >= k.ts_us + 604800000000 GROUP BY k.text_hash, k.ts_us) SELECT text_hash, ts_us FROM k",
     "stream_likes": oracle.with_(_INTER, *_guarded_ctes("like", "unlike", "g"), recursive=True) + "SELECT event_id, user_id, post_id, action, accepted FROM g",
-    "stream_extract_rounds": oracle.with_(memory_queries._A,
-        ("g", "SELECT *, CASE WHEN ts_sec - lag(ts_sec) OVER (PARTITION BY session_id ORDER BY turn) >= 2592000 THEN 1 ELSE 0 END AS gap FROM asked"),
-        ("l", "SELECT *, sum(gap) OVER (PARTITION BY session_id ORDER BY turn) AS life FROM g"),
-        ("n", "SELECT *, row_number() OVER (PARTITION BY session_id, life ORDER BY turn) AS round_no FROM l"))
+    "stream_extract_rounds": oracle.with_(memory_queries._A, *memory_queries._ROUND_CTES)
     + "SELECT question_id, session_id, round_no FROM n WHERE round_no % 3 = 0",
     "stream_metrics": f"WITH r AS (SELECT {memory_queries._FACET} AS facet, event_id AS seq, {_READ_KIND} AS kind FROM events), "
     "e AS (SELECT *, count(*) FILTER (kind = 'reset') OVER (PARTITION BY facet ORDER BY seq) AS epoch FROM r) "
     "SELECT facet, epoch, count(*) FILTER (kind = 'hit') AS hits, count(*) FILTER (kind = 'miss') AS misses FROM e GROUP BY facet, epoch QUALIFY epoch = max(epoch) OVER (PARTITION BY facet)",
     "stream_session_state": oracle.with_(memory_queries._A, *memory_queries._CARRY, memory_queries._ROUTED, memory_queries._PREV)
     + "SELECT question_id, epoch, principal, rate, days, calc_type, previous_ids FROM carried JOIN routed USING (question_id) JOIN prev USING (question_id)",
+    # the stream drops a row in batch b when its window has ended by the watermark of the batch before
+    "stream_view_windows": oracle.with_(
+        ("v", f"SELECT CAST(floor(CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) / 20) AS BIGINT) AS post_id, epoch_us(ts) AS us, {_LATE_FILE} AS file FROM events WHERE event_type = 'view'"),
+        ("w", "SELECT *, us // 21600000000 * 21600 AS start_sec, (SELECT max(us) FROM v b WHERE b.file < v.file - 1) // 1000 - 86400000 AS mark, (SELECT max(us) FROM v) // 1000 - 86400000 AS passed FROM v"),
+        ("d", "SELECT *, coalesce((start_sec + 21600) * 1000 <= mark, false) AS dropped, (start_sec + 21600) * 1000 <= passed AS closed FROM w"))
+    + "SELECT post_id, start_sec, count(*) FILTER (NOT dropped) AS views, count(*) FILTER (dropped) AS late, closed FROM d GROUP BY post_id, start_sec, closed",
+    "stream_chat_log": oracle.with_(
+        ("t", f"SELECT {_MESSAGE} AS message_id, event_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS sec, event_type AS kind FROM events WHERE event_id % 41 <> 7 AND (event_type IN ('view', 'signup') OR (event_type = 'click' AND event_id % 4 <> 0))"),
+        ("p", "SELECT *, lag(kind) OVER w AS was, sec - lag(sec) OVER w AS pause FROM t WINDOW w AS (PARTITION BY message_id ORDER BY event_id)"),
+        ("q", "SELECT *, CAST(sum(CASE WHEN was = 'signup' OR pause >= 864000 THEN 1 ELSE 0 END) OVER (PARTITION BY message_id ORDER BY event_id) AS BIGINT) AS part FROM p"),
+        ("g", "SELECT message_id, part, count(*) FILTER (kind = 'view') AS chunks, count(*) FILTER (kind = 'click') AS suggestions, sha256(coalesce(string_agg('答' || event_id, '' ORDER BY event_id) FILTER (kind = 'view'), '')) AS digest, bool_or(kind = 'signup') AS complete FROM q GROUP BY message_id, part"))
+    + "SELECT message_id, part, chunks, suggestions, digest, complete FROM g QUALIFY complete OR part < max(part) OVER (PARTITION BY message_id)",
+    "stream_chat_malformed": "SELECT reason, count(*) AS lines FROM (SELECT CASE WHEN event_id % 41 = 7 THEN 'form' WHEN event_type NOT IN ('view', 'click', 'error', 'signup') AND event_id % 3 = 0 THEN 'json' END AS reason FROM events) WHERE reason IS NOT NULL GROUP BY reason",
+    "stream_session_expiry": oracle.with_(memory_queries._A, *memory_queries._CARRY, memory_queries._ROUTED,
+        ("ends", "SELECT session_id, epoch, max(turn) AS turn, max(ts_sec) AS last FROM ep GROUP BY session_id, epoch"),
+        ("over", "SELECT * FROM ends QUALIFY epoch < max(epoch) OVER (PARTITION BY session_id) OR last + 604800 <= (SELECT max(ts_sec) FROM ep)"))
+    + "SELECT session_id, c.epoch, principal, rate, days, calc_type, '民法典-第' || (c.question_id % 500) || '条、c' || turn AS previous_ids FROM over JOIN carried c USING (session_id, epoch, turn) JOIN routed USING (session_id, turn)",
 }

@@ -11,6 +11,8 @@ from clauselake.operators.clauses import truncate_contracts
 from clauselake.runtime import broadcast_if_small
 
 CHAT_LINE = "type string, role string, content string"
+#: what the last data line of a message carries
+END_MARK = "[DONE]"
 
 
 def scan_text(spark: SparkSession, path: str) -> DataFrame:
@@ -93,16 +95,32 @@ def _in_order(rows: DataFrame, key: str, order: str, line: Column, count: str, p
     return out.join(parts, key).select(key, "part", "parts", count, "text")
 
 
+def is_data_line(line: Column) -> Column:
+    return F.coalesce(trim_ws(line).startswith("data:"), F.lit(False))
+
+
+def data_of(line: Column) -> Column:
+    """What a data line carries."""
+    return trim_ws(F.substring(trim_ws(line), 6, 2147483647))
+
+
+def parsed_chunk(line: Column) -> Column:
+    """The chunk of a data line (``type, role, content``); null for what is no JSON object and for other lines."""
+    whole = F.get_json_object(data_of(line), "$")
+    return F.when(is_data_line(line) & whole.isNotNull(), F.from_json(data_of(line), CHAT_LINE))
+
+
+def chunk_kind(line: Column) -> Column:
+    """``chunk`` for a piece of the answer, ``suggestion`` for a follow-up, else null."""
+    chunk = parsed_chunk(line)
+    answer = (chunk.getField("type") == "answer") & (chunk.getField("role") == "assistant")
+    return F.when(answer, "chunk").when(chunk.getField("type") == "follow_up", "suggestion")
+
+
 def chat_chunks(lines: DataFrame) -> DataFrame:
     """Typed chunks of a chat log: keep data lines, drop the end mark and anything that is not an answer or follow-up."""
-    line = trim_ws(F.col("line"))
-    data = trim_ws(F.substring(line, 6, 2147483647))
-    parsed = lines.filter(line.startswith("data:")).withColumn("j", F.from_json(data, CHAT_LINE))
-    kind = (
-        F.when((F.col("j.type") == "answer") & (F.col("j.role") == "assistant"), "chunk")
-        .when(F.col("j.type") == "follow_up", "suggestion")
-    )
-    typed = parsed.filter(data != "[DONE]").withColumn("chunk_type", kind)
+    line = F.col("line")
+    typed = lines.filter(is_data_line(line) & (data_of(line) != END_MARK)).withColumns({"chunk_type": chunk_kind(line), "j": parsed_chunk(line)})
     return typed.filter(F.col("chunk_type").isNotNull() & (F.col("j.content") != "")).select(
         *[c for c in lines.columns if c != "line"], "chunk_type", F.col("j.content").alias("text")
     )

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from clauselake.functions import calc, params
 from clauselake.functions import lexicons as lx
 from clauselake.operators.engage import MARK_MICROS
-from clauselake.runtime import scratch_path, ship_by_value
+from clauselake.runtime import broadcast_if_small, scratch_path, ship_by_value
+from clauselake.sources import records
 
 ship_by_value(__name__)
 
@@ -25,8 +27,14 @@ OUTPUT_SCHEMA = (
 )
 
 
-#: how long state without a new row is kept, by the clock of the stream
-STATE_TTL_MS = lx.SESSION_TTL_DAYS * 86_400_000
+#: how far event time trails the newest row of a live stream
+DELAY = "1 hour"
+#: rows of a key's output that leave together, and reads of a facet that share a block
+ROWS_PER_PIECE, READS_PER_BLOCK = 10_000, 4096
+#: a line of the chat log
+CHAT_LOG_LINE = r"^([0-9]+)\t([0-9]+)\t([0-9]+)\t(.*)$"
+#: seconds after which a message without a line has ended, and a time beyond all of a stream
+CHAT_PAUSE_SEC, NEVER_SEC = 3600, 253_402_300_799
 
 
 def drain(
@@ -95,190 +103,303 @@ def append_rounds(rounds: DataFrame, path: str, checkpoint: str | None = None) -
     _finish(query)
 
 
-def _keyed(stream: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, live: bool) -> DataFrame:
+def _keyed(
+    stream: DataFrame, keys: list[str], processor: _OneState, schema: str, live: bool, at: Column, delay: str
+) -> DataFrame:
     """Rows of each key through ``processor``.
 
-    Rows of a key are ordered inside a micro-batch; across batches they must
-    arrive in order.  ``live`` is for streams that run on: state that no row
-    touches within its lifetime is freed by the clock.  A run that ends with
-    its input has no use for that clock, which would keep it going.
+    Rows of a key are ordered inside a micro-batch; across batches they must arrive in order.  ``live`` is for streams
+    that run on: state expires by the event time ``at`` of the whole stream, which trails its newest row by ``delay``;
+    a timer then frees it, whether or not its key is seen again.  A run that ends with its input has no use for timers.
     """
     stream.sparkSession.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
-    processor.ttl_ms = STATE_TTL_MS if live else None
+    processor.live = live
+    if live:
+        stream = stream.withColumn("event_time", at).withWatermark("event_time", delay)
     return stream.groupBy(*keys).transformWithStateInPandas(
-        processor, outputStructType=schema, outputMode="Append", timeMode="ProcessingTime" if live else "None"
+        processor, outputStructType=schema, outputMode="Append", timeMode="EventTime" if live else "None"
     )
 
 
 class _OneState(StatefulProcessor):
-    """A processor with one remembered row; ``follow`` maps a key's ordered rows and the state to output and new state."""
+    """A processor with one remembered row.
+
+    ``follow`` maps a key's ordered rows (arrays of ``columns``) and the state to output and new state.  Of a key's share
+    of a micro-batch only these columns are held, and output leaves in pieces.  ``expires_ms`` is when a state ends,
+    ``leave`` what is put out then.
+    """
 
     schema: str
+    columns: list[str]
     order: list[str]
-    ttl_ms: int | None = None
+    live = False
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", self.schema, ttlDurationMs=self.ttl_ms)
+        self.handle = handle
+        self.state = handle.getValueState("state", self.schema)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(self.order)  # one key's share of one micro-batch
+        pieces = [[piece[c].to_numpy() for c in self.columns] for piece in rows]
+        held = {c: np.concatenate([p[i] for p in pieces]) for i, c in enumerate(self.columns)}
+        del pieces
+        order = np.lexsort([held[c] for c in reversed(self.order)])
         before = tuple(self.state.get()) if self.state.exists() else None
-        out, after = self.follow(batch, before)
+        out, after = self.follow(key, {c: v[order] for c, v in held.items()}, before)
+        self._remember(after)
+        for i in range(0, len(out), ROWS_PER_PIECE):
+            yield out.iloc[i : i + ROWS_PER_PIECE]
+
+    def _remember(self, after: tuple | None) -> None:
         if after is None:
             self.state.clear()
         else:
             self.state.update(after)
-        yield out
+        if self.live:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if after is not None:
+                self.handle.registerTimer(self.expires_ms(after))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            before = tuple(self.state.get())
+            if self.expires_ms(before) <= expiredTimerInfo.getExpiryTimeInMs():
+                out = self.leave(key, before)
+                self.state.clear()
+                if out is not None:
+                    yield out
+
+    def expires_ms(self, after: tuple) -> int:
+        raise NotImplementedError
+
+    def leave(self, key, before: tuple) -> pd.DataFrame | None:
+        return None
 
     def close(self) -> None:
         pass
 
 
 class _Sightings(_OneState):
-    schema, order = "seen long", ["ts_us"]
+    schema, columns, order = "seen long", ["ts_us"], ["ts_us"]
 
     def __init__(self, ttl_us: int):
         self.ttl_us = ttl_us
 
-    def follow(self, batch, before):
+    def follow(self, key, rows, before):
         seen, first = (before[0] if before else None), []
-        for ts in batch["ts_us"].tolist():
-            new = seen is None or ts - seen >= self.ttl_us
-            seen = ts if new else seen
-            first.append(new)
-        return batch[first], (seen,)
+        for ts in rows["ts_us"].tolist():
+            if seen is None or ts - seen >= self.ttl_us:
+                seen = ts
+                first.append(ts)
+        return pd.DataFrame({"text_hash": [key[0]] * len(first), "ts_us": first}), (seen,)
 
+    def expires_ms(self, after):
+        return -(-(after[0] + self.ttl_us) // 1000)
 
-def first_sightings(texts: DataFrame, ttl_days: float = lx.VERDICT_TTL_DAYS, live: bool = False) -> DataFrame:
+
+def first_sightings(texts: DataFrame, ttl_days: float = lx.VERDICT_TTL_DAYS, live: bool = False, delay: str = DELAY) -> DataFrame:
     """First sighting of each text within the lifetime of its verdict: ``text_hash, ts_us`` of the sightings that need one."""
     columns = texts.select("text_hash", "ts_us")
-    return _keyed(columns, ["text_hash"], _Sightings(int(ttl_days * 86400e6)), "text_hash string, ts_us long", live)
+    processor = _Sightings(int(ttl_days * 86400e6))
+    return _keyed(columns, ["text_hash"], processor, "text_hash string, ts_us long", live, F.timestamp_micros("ts_us"), delay)
 
 
 class _Marks(_OneState):
-    schema, order = "marked long", ["at", "event_id"]
+    schema, columns, order = "marked long", ["event_id", "action", "at"], ["at", "event_id"]
 
     def __init__(self, mark: str, ttl_us: int):
         self.mark, self.ttl_us = mark, ttl_us
 
-    def follow(self, batch, before):
+    def follow(self, key, rows, before):
         marked, accepted = (before[0] if before else None), []
-        for action, at in zip(batch["action"].tolist(), batch["at"].tolist(), strict=True):
+        for action, at in zip(rows["action"].tolist(), rows["at"].tolist(), strict=True):
             alive = marked is not None and at - marked < self.ttl_us
             accepted.append(alive != (action == self.mark))
             if action != self.mark:
                 marked = None
             elif not alive:
                 marked = at
-        return batch.assign(accepted=accepted)[["event_id", "user_id", "post_id", "action", "accepted"]], None if marked is None else (marked,)
+        user, post = key
+        out = pd.DataFrame({"event_id": rows["event_id"], "user_id": user, "post_id": post, "action": rows["action"], "accepted": accepted})
+        return out, None if marked is None else (marked,)
+
+    def expires_ms(self, after):
+        return -(-(after[0] + self.ttl_us) // 1000)
 
 
-def guarded_marks(events: DataFrame, mark: str, unmark: str, ttl_us: int = MARK_MICROS, live: bool = False) -> DataFrame:
+def guarded_marks(
+    events: DataFrame, mark: str, unmark: str, ttl_us: int = MARK_MICROS, live: bool = False, delay: str = DELAY
+) -> DataFrame:
     """The stream of ``engage.guarded_marks``: a mark counts while none is alive, an un-mark while one is."""
     rows = events.filter(F.col("action").isin(mark, unmark)).select("event_id", "user_id", "post_id", "action", "at")
     out = "event_id long, user_id long, post_id long, action string, accepted boolean"
-    return _keyed(rows, ["user_id", "post_id"], _Marks(mark, ttl_us), out, live)
+    return _keyed(rows, ["user_id", "post_id"], _Marks(mark, ttl_us), out, live, F.timestamp_micros("at"), delay)
 
 
 class _Rounds(_OneState):
-    schema, order = "rounds long, last long", ["turn"]
+    schema, columns, order = "rounds long, last long", ["question_id", "turn", "ts_sec"], ["turn"]
 
     def __init__(self, n: int, ttl_sec: int):
         self.n, self.ttl_sec = n, ttl_sec
 
-    def follow(self, batch, before):
+    def follow(self, key, rows, before):
         count, last = before or (0, None)
         numbers = []
-        for at in batch["ts_sec"].tolist():
+        for at in rows["ts_sec"].tolist():
             count = 1 if last is not None and at - last >= self.ttl_sec else count + 1
             last = at
             numbers.append(count)
-        numbered = batch.assign(round_no=numbers)
-        return numbered[numbered["round_no"] % self.n == 0][["question_id", "session_id", "round_no"]], (count, last)
+        out = pd.DataFrame({"question_id": rows["question_id"], "session_id": key[0], "round_no": numbers})
+        return out[out["round_no"] % self.n == 0], (count, last)
+
+    def expires_ms(self, after):
+        return (after[1] + self.ttl_sec) * 1000
 
 
-def every_nth_round(rounds: DataFrame, n: int = lx.EXTRACT_EVERY, ttl_days: int = lx.PROFILE_TTL_DAYS, live: bool = False) -> DataFrame:
+def every_nth_round(
+    rounds: DataFrame, n: int = lx.EXTRACT_EVERY, ttl_days: int = lx.PROFILE_TTL_DAYS, live: bool = False, delay: str = DELAY
+) -> DataFrame:
     """Rounds at which the profile is extracted; a pause beyond the counter's lifetime starts its count again."""
     columns = rounds.select("question_id", "session_id", "turn", "ts_sec")
-    return _keyed(columns, ["session_id"], _Rounds(n, ttl_days * 86400), "question_id long, session_id string, round_no long", live)
+    out = "question_id long, session_id string, round_no long"
+    return _keyed(columns, ["session_id"], _Rounds(n, ttl_days * 86400), out, live, F.timestamp_seconds("ts_sec"), delay)
 
 
-class _Metrics(_OneState):
-    schema, order = "epoch long, hits long, misses long", ["seq"]
+def memory_metrics(reads: DataFrame, path: str | None = None, checkpoint: str | None = None, block: int = READS_PER_BLOCK) -> DataFrame:
+    """Current hits and misses per facet since its last reset: ``facet, epoch, hits, misses``.
 
-    def follow(self, batch, before):
-        epoch, hits, misses = before or (0, 0, 0)
-        out = []
-        for facet, seq, kind in zip(batch["facet"].tolist(), batch["seq"].tolist(), batch["kind"].tolist(), strict=True):
-            if kind == "reset":
-                epoch, hits, misses = epoch + 1, 0, 0
-            else:
-                hits, misses = hits + (kind == "hit"), misses + (kind != "hit")
-            out.append((facet, seq, epoch, hits, misses))
-        return pd.DataFrame(out, columns=["facet", "seq", "epoch", "hits", "misses"]), (epoch, hits, misses)
+    ``reads``: ``facet, seq`` and ``kind``, which is hit, miss or reset.  There are few facets and many reads, so a facet
+    is cut into blocks of its sequence: each micro-batch appends one row a block (resets, and what was counted after the
+    last of them), which aggregates find without gathering a facet.  The counters are the sums of the block rows from the
+    newest one with a reset on.  A batch that is replayed after a failure overwrites its own folder.
+    """
+    spark = reads.sparkSession
+    path = path or scratch_path(spark, "metrics")
+    rows = reads.select("facet", F.floor(F.col("seq") / block).alias("block"), "seq", "kind")
+
+    def save(batch: DataFrame, number: int) -> None:
+        resets = batch.filter("kind = 'reset'").groupBy("facet", "block").agg(F.max("seq").alias("last"), F.count(F.lit(1)).alias("resets"))
+        counted = batch.join(broadcast_if_small(resets), ["facet", "block"], "left")
+        after = F.col("last").isNull() | (F.col("seq") > F.col("last"))
+        counted = counted.groupBy("facet", "block").agg(
+            F.coalesce(F.max("resets"), F.lit(0)).alias("resets"),
+            F.count_if(after & (F.col("kind") == "hit")).alias("hits"),
+            F.count_if(after & ~F.col("kind").isin("hit", "reset")).alias("misses"),
+        )
+        counted.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = (
+        rows.writeStream.option("checkpointLocation", checkpoint or f"{path.rstrip('/')}-state")
+        .trigger(availableNow=True).foreachBatch(save).start()
+    )
+    _finish(query)
+    blocks = spark.read.schema("facet string, block long, resets long, hits long, misses long, batch long").parquet(path)
+    place = F.struct("block", "batch")
+    newest = blocks.groupBy("facet").agg(F.max(F.when(F.col("resets") > 0, place)).alias("from"), F.sum("resets").alias("epoch"))
+    counts = blocks.join(F.broadcast(newest), "facet").filter(F.col("from").isNull() | (place >= F.col("from")))
+    return counts.groupBy("facet", "epoch").agg(F.sum("hits").alias("hits"), F.sum("misses").alias("misses"))
 
 
-def memory_metrics(reads: DataFrame, live: bool = False) -> DataFrame:
-    """Hits and misses per facet after each read since the last reset: ``facet, seq, epoch, hits, misses``.
+def windowed_views(
+    views: DataFrame, window_sec: int = 3600, delay_sec: int = 7200, path: str | None = None, late_path: str | None = None
+) -> DataFrame:
+    """Views per post and tumbling window of event time: ``post_id, window_start, views, late, closed``.
 
-    ``reads``: ``facet, seq`` and ``kind``, which is hit, miss or reset.
+    ``views``: ``post_id, at`` (a timestamp).  A window is counted while the stream's event time, which trails its newest
+    row by ``delay_sec``, has not passed the window's end; then it is put out once, closed, and its state is freed.  Rows
+    that come later are not in ``views``; a second pass of the same source tallies all rows, and what it has beyond the
+    closed count is ``late``.  Windows still open have the views so far.
     """
-    columns = reads.select("facet", "seq", "kind")
-    return _keyed(columns, ["facet"], _Metrics(), "facet string, seq long, epoch long, hits long, misses long", live)
+    spark = views.sparkSession
+    path, late_path = path or scratch_path(spark, "view-windows"), late_path or scratch_path(spark, "view-tally")
+    rows = views.select("post_id", "at").filter("at IS NOT NULL")
+    window = F.window("at", f"{window_sec} seconds").getField("start").alias("window_start")
+    counts = (
+        rows.withWatermark("at", f"{delay_sec} seconds").groupBy(F.window("at", f"{window_sec} seconds").alias("w"), "post_id")
+        .agg(F.count(F.lit(1)).alias("views")).select("post_id", F.col("w.start").alias("window_start"), "views")
+    )
+    closed = drain(counts, "view-windows", path)
 
+    def tally(batch: DataFrame, number: int) -> None:
+        seen = batch.groupBy("post_id", window).agg(F.count(F.lit(1)).alias("seen"), F.max("at").alias("newest"))
+        seen.write.mode("overwrite").parquet(f"{late_path}/batch={number}")
 
-class SessionMemory(StatefulProcessor):
+    query = (
+        rows.writeStream.option("checkpointLocation", f"{late_path.rstrip('/')}-state")
+        .trigger(availableNow=True).foreachBatch(tally).start()
+    )
+    _finish(query)
+    tallied = spark.read.schema("post_id long, window_start timestamp, seen long, newest timestamp, batch long").parquet(late_path)
+    passed = tallied.agg((F.max("newest") - F.make_dt_interval(secs=F.lit(delay_sec))).alias("passed"))  # one row
+    every = tallied.groupBy("post_id", "window_start").agg(F.sum("seen").alias("seen")).crossJoin(F.broadcast(passed))
+    every = every.join(closed, ["post_id", "window_start"], "left")
+    done = F.col("window_start") + F.make_dt_interval(secs=F.lit(window_sec)) <= F.date_trunc("second", "passed")
+    counted = F.coalesce("views", F.when(done, F.lit(0)).otherwise(F.col("seen")))
+    return every.select("post_id", "window_start", counted.alias("views"), (F.col("seen") - counted).alias("late"), done.alias("closed"))
+
+
+class SessionMemory(_OneState):
     """Carried parameters, calculation type and rolled citations of one session."""
 
-    ttl_ms: int | None = None
+    schema = STATE_SCHEMA
+    columns = [
+        "question_id", "turn", "ts_sec", "clause_ids", "model_principal", "model_rate", "model_days",
+        "rule_principal", "rule_rate", "rule_days", "explicit_type",
+    ]
+    order = ["turn"]
 
     def __init__(self, ttl_seconds: int = lx.SESSION_TTL_DAYS * 86400):
         self.ttl_seconds = ttl_seconds
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.memory = handle.getValueState("memory", STATE_SCHEMA, ttlDurationMs=self.ttl_ms)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        turns = pd.concat(list(rows)).sort_values("turn")  # one session's share of one micro-batch
-        last, epoch, *kept = self.memory.get() if self.memory.exists() else (None, 0, None, None, None, None, None)
+    def follow(self, key, rows, before):
+        last, epoch, *kept = before or (None, 0, None, None, None, None, None)
         out = []
-        for t in turns.itertuples(index=False):
-            if last is not None and t.ts_sec - last >= self.ttl_seconds:
+
+        def settle(*values):
+            return next((v for v in values if v is not None and not pd.isna(v)), None)
+
+        for i, at in enumerate(rows["ts_sec"].tolist()):
+            if last is not None and at - last >= self.ttl_seconds:
+                if self.live:
+                    out.append(self._row(key, None, epoch, kept))
                 epoch, kept = epoch + 1, [None] * 5
-            principal, rate, days, calc_type, clause_ids = kept
-
-            def settle(rule, carried, model):
-                for value in (rule, carried, model):
-                    if value is not None and not pd.isna(value):
-                        return value
-                return None
-
-            principal = settle(t.rule_principal, principal, t.model_principal)
-            rate = settle(t.rule_rate, rate, t.model_rate)
-            days = settle(t.rule_days, days, t.model_days)
-            calc_type = t.explicit_type or calc_type or "PENALTY"
-            previous = None if clause_ids is None else "、".join(clause_ids)
-            kept = [principal, rate, None if days is None else int(days), calc_type, list(t.clause_ids)]
-            last = int(t.ts_sec)
-            out.append((key[0], t.question_id, epoch, principal, rate, kept[2], calc_type, previous))
-        self.memory.update((last, epoch, *kept))
+            carried, clause_ids = dict(zip(("principal", "rate", "days"), kept[:3], strict=True)), kept[4]
+            principal, rate, days = (settle(rows[f"rule_{f}"][i], carried[f], rows[f"model_{f}"][i]) for f in carried)
+            calc_type = settle(rows["explicit_type"][i], kept[3]) or "PENALTY"
+            kept = [principal, rate, None if days is None else int(days), calc_type, clause_ids]
+            out.append(self._row(key, int(rows["question_id"][i]), epoch, kept))
+            kept = [*kept[:4], list(rows["clause_ids"][i])]
+            last = at
+        return self._frame(out), (last, epoch, *kept)
+
+    @staticmethod
+    def _row(key, question_id: int | None, epoch: int, kept: list) -> tuple:
+        return (key[0], question_id, epoch, *kept[:4], None if kept[4] is None else "、".join(kept[4]))
+
+    @staticmethod
+    def _frame(out: list[tuple]) -> pd.DataFrame:
         names = ["session_id", "question_id", "epoch", "principal", "rate", "days", "calc_type", "previous_ids"]
         frame = pd.DataFrame(out, columns=names)
-        yield frame.astype({"principal": "Float64", "rate": "Float64", "days": "Int32"})
+        return frame.astype({"question_id": "Int64", "principal": "Float64", "rate": "Float64", "days": "Int32"})
 
-    def close(self) -> None:
-        pass
+    def expires_ms(self, after):
+        return (after[0] + self.ttl_seconds) * 1000
 
+    def leave(self, key, before):
+        return self._frame([self._row(key, None, before[1], list(before[2:]))])
 
-def session_memory(turns: DataFrame, live: bool = False) -> DataFrame:
+
+def session_memory(turns: DataFrame, live: bool = False, delay: str = DELAY) -> DataFrame:
     """Session state as a stream; gives per turn what the batch windows give.
 
     Values are extracted by Spark expressions first, so the Python processor
     only merges a few scalars.  ``turns``: ``session_id, question_id, turn,
-    ts_sec, text, clause_ids, model_principal, model_rate, model_days``.
+    ts_sec, text, clause_ids, model_principal, model_rate, model_days``.  A
+    ``live`` stream also puts out each memory when it ends, as a row without a
+    question, and frees its state.
     """
     t = F.col("text")
     ruled = turns.select(
@@ -286,4 +407,94 @@ def session_memory(turns: DataFrame, live: bool = False) -> DataFrame:
         params.principal(t).alias("rule_principal"), params.daily_rate(t).alias("rule_rate"),
         params.overdue_days(t).alias("rule_days"), calc.explicit_calc_type(t).alias("explicit_type"),
     )
-    return _keyed(ruled, ["session_id"], SessionMemory(), OUTPUT_SCHEMA, live)
+    return _keyed(ruled, ["session_id"], SessionMemory(), OUTPUT_SCHEMA, live, F.timestamp_seconds("ts_sec"), delay)
+
+
+# ---- chat log ----------------------------------------------------------------
+def read_chat_log(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
+    """Lines of a growing chat log as a stream: ``message_id, seq, at_sec, line`` and ``raw``.
+
+    A line is message number, sequence number, time in seconds and what the model sent, parted by tabs; of another line
+    all but ``raw`` is null.
+    """
+    raw = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path).withColumnRenamed("value", "raw")
+    part = lambda i: F.regexp_extract("raw", CHAT_LOG_LINE, i)
+    number = lambda i: F.expr(f"try_cast(nullif(regexp_extract(raw, '{CHAT_LOG_LINE}', {i}), '') AS BIGINT)")
+    known = number(1).isNotNull() & number(2).isNotNull() & number(3).isNotNull()
+    return raw.select(
+        *[F.when(known, number(i)).alias(n) for i, n in ((1, "message_id"), (2, "seq"), (3, "at_sec"))],
+        F.when(known, part(4)).alias("line"), "raw",
+    )
+
+
+def malformed_lines(log: DataFrame) -> DataFrame:
+    """Lines without the log's form, and data lines that are neither JSON nor the end mark: ``raw, reason``."""
+    bad_form = F.col("line").isNull()
+    bad_json = records.is_data_line(F.col("line")) & (records.data_of(F.col("line")) != records.END_MARK) & records.parsed_chunk(F.col("line")).isNull()
+    reason = F.when(bad_form, "form").when(bad_json, "json")
+    return log.select("raw", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
+class _Messages(_OneState):
+    """Collects the chunks of a message in a list until its end mark; a message that pauses too long ends incomplete."""
+
+    schema = "part long, last long"
+    columns, order = ["seq", "at_sec", "kind", "text"], ["seq"]
+
+    def __init__(self, pause_sec: int):
+        self.pause_sec = pause_sec
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.held = handle.getListState("chunks", "kind string, text string")
+
+    def follow(self, key, rows, before):
+        part, last = before or (0, None)
+        out, fresh = [], []
+        for kind, text, at in zip(rows["kind"].tolist(), rows["text"].tolist(), rows["at_sec"].tolist(), strict=True):
+            if last is not None and at - last >= self.pause_sec:
+                out += self._end(key, part, fresh, False)
+                part, fresh = part + 1, []
+            last = at
+            if kind == "end":
+                out += self._end(key, part, fresh, True)
+                part, fresh, last = part + 1, [], None
+            else:
+                fresh.append((kind, text))
+        if fresh:
+            self.held.appendList(fresh)
+        return self._table(out), (part, last)
+
+    def _end(self, key, part: int, fresh: list[tuple], complete: bool) -> list[tuple]:
+        chunks = [*map(tuple, self.held.get()), *fresh] if self.held.exists() else fresh
+        self.held.clear()
+        said = [t for k, t in chunks if k == "chunk"]
+        return [(key[0], part, len(said), sum(k == "suggestion" for k, _ in chunks), "".join(said), complete)] if chunks or complete else []
+
+    @staticmethod
+    def _table(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["message_id", "part", "chunks", "suggestions", "text", "complete"])
+
+    def expires_ms(self, after):
+        return (NEVER_SEC if after[1] is None else after[1] + self.pause_sec) * 1000
+
+    def leave(self, key, before):
+        # the number of the part is lost with the state; a message that goes on after its pause starts again from 0
+        return self._table(self._end(key, before[0], [], False))
+
+
+def chat_messages(log: DataFrame, pause_sec: int = CHAT_PAUSE_SEC, live: bool = False, delay: str = DELAY) -> DataFrame:
+    """Whole answers of a chat log: ``message_id, part, chunks, suggestions, text, complete``.
+
+    Chunks of a message that come in several files wait in its list state.  The end mark closes a message; what follows
+    it is the next part.  A pause of ``pause_sec`` between two lines of a message ends it incomplete; a ``live`` stream
+    sees to that by a timer, also when no further line of it comes.
+    """
+    line = F.col("line")
+    typed = log.filter(line.isNotNull()).select(
+        "message_id", "seq", "at_sec",
+        F.when(records.is_data_line(line) & (records.data_of(line) == records.END_MARK), "end").otherwise(records.chunk_kind(line)).alias("kind"),
+        F.coalesce(records.parsed_chunk(line).getField("content"), F.lit("")).alias("text"),
+    ).filter("kind = 'end' OR (kind IS NOT NULL AND text <> '')")
+    out = "message_id long, part long, chunks long, suggestions long, text string, complete boolean"
+    return _keyed(typed, ["message_id"], _Messages(pause_sec), out, live, F.timestamp_seconds("at_sec"), delay)
