@@ -127,29 +127,39 @@ def post_stats(events: DataFrame, likes: DataFrame, favorites: DataFrame) -> Dat
     return joined.select("post_id", *[F.coalesce(c, zero).alias(c) for c in ("views", "likes", "favorites")])
 
 
-def category_tree(categories: DataFrame, root_name: str | None = None) -> DataFrame:
-    """Every category below a level-1 category: ``root_id, id, name, parent_id, depth, path``.
-
-    One join per level; each level is written out, so depth does not lengthen
-    the plan, and a parent with very many children is spread by the lookup join.
-    """
+def _category_levels(categories: DataFrame, root_name: str | None) -> DataFrame:
+    """Rows of all levels; ``closes`` marks a row whose category already stands on its own path.  Such a row has no children."""
     c = F.col
     roots = categories.filter(c("parent_id") == 0)
     if root_name is not None:
         roots = roots.filter(c("name") == root_name)
     level = roots.select(
-        c("id").alias("root_id"), "id", "name", "parent_id", F.lit(1).alias("depth"), c("id").cast("string").alias("path")
+        c("id").alias("root_id"), "id", "name", "parent_id", F.lit(1).alias("depth"), c("id").cast("string").alias("path"), F.lit(False).alias("closes")
     )
     children = categories.select("id", "name", "parent_id")
     tree = level
     while True:
-        above = level.select(c("id").alias("parent_id"), "root_id", "depth", "path")
-        level = cut_lineage(
-            lookup_join(children, above, ["parent_id"], "inner").select(
-                "root_id", "id", "name", "parent_id", (c("depth") + 1).alias("depth"),
-                F.concat("path", F.lit("/"), c("id").cast("string")).alias("path"),
-            )
+        above = level.filter("NOT closes").select(c("id").alias("parent_id"), "root_id", "depth", "path")
+        below = lookup_join(children, above, ["parent_id"], "inner").select(
+            "root_id", "id", "name", "parent_id", (c("depth") + 1).alias("depth"), F.concat("path", F.lit("/"), c("id").cast("string")).alias("path"),
+            F.array_contains(F.split("path", "/"), c("id").cast("string")).alias("closes"),
         )
+        level = cut_lineage(below)
         if level.isEmpty():
             return tree
         tree = tree.unionByName(level)
+
+
+def category_tree(categories: DataFrame, root_name: str | None = None) -> DataFrame:
+    """Every category below a level-1 category: ``root_id, id, name, parent_id, depth, path``.
+
+    One join per level; each level is written out, so depth does not lengthen
+    the plan, and a parent with very many children is spread by the lookup join.
+    A category that is its own ancestor is not entered again (``category_cycles``).
+    """
+    return _category_levels(categories, root_name).filter("NOT closes").drop("closes")
+
+
+def category_cycles(categories: DataFrame, root_name: str | None = None) -> DataFrame:
+    """The rows that lead back into their own path: ``root_id, id, name, parent_id, depth, path``."""
+    return _category_levels(categories, root_name).filter("closes").drop("closes")

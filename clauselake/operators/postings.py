@@ -27,6 +27,7 @@ from clauselake.functions.text import word_tokens
 from clauselake.operators.clauses import resolve_clause_id
 from clauselake.operators.ordered import top_rows
 from clauselake.runtime import scratch_path, ship_by_value, written
+from clauselake.sources.buckets import bucket_of
 
 ship_by_value(__name__)
 
@@ -130,10 +131,6 @@ def clause_of(chunks: DataFrame) -> Column:
     return resolve_clause_id(canonical.cast("string"), F.col("chunk_id").cast("string"))
 
 
-def bucket_of(chunk_id: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(chunk_id.cast("string")), F.lit(buckets)).cast("int")
-
-
 def write_postings(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     rows.repartition("part").sortWithinPartitions("part", "term").write.mode(mode).partitionBy("part").parquet(path)
 

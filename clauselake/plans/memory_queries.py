@@ -12,6 +12,7 @@ from clauselake.operators.skew import lookup_join
 from clauselake.operators.triage import triage as triage_op
 from clauselake.plans import inputs, oracle, review_queries, search_queries
 from clauselake.runtime import cut_lineage, scratch_path
+from clauselake.sources.profile_store import ProfileStore, due_signals
 from clauselake.sources.tables import read_table
 from clauselake.streaming import jobs
 
@@ -179,6 +180,42 @@ def merged(spark: SparkSession, sf: str) -> DataFrame:
     return profile.merge_profiles(_signals(spark, sf), _resets(spark, sf))
 
 
+def profile_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """The profiles of ``profile_merge``, kept in a store by loads that follow one another; one load comes twice."""
+    store = ProfileStore(spark, scratch_path(spark, "profiles"), 8)
+    signals, resets = _signals(spark, sf), _resets(spark, sf)
+    third = (signals.agg(F.max("seq")).first()[0] or 0) // 3 + 1
+    for low, high in ((0, third), (third, 2 * third), (third // 2, third), (2 * third, 3 * third)):
+        store.merge(signals.filter(F.col("seq").between(low, high - 1)), resets.filter(F.col("reset_seq").between(low, high - 1)))
+    return store.entries().select("user_id", "field", "seq", "pos", "key", F.coalesce("value", F.lit("")).alias("value"))
+
+
+#: what the model reads out of a round
+_ROUND_SIGNAL = {
+    "topics": "array(CONCAT('合同', CAST(conv_id % 12 AS STRING)), '违约金')", "contracts": "CAST(NULL AS ARRAY<STRING>)",
+    "preferences": "map('键', CONCAT('值', CAST(question_id AS STRING)))",
+    "freq_qa": "array(named_struct('q', CONCAT('问题', CAST(turn % 5 AS STRING)), 'clause', CONCAT('条', CAST(question_id AS STRING))))",
+    "review_history": "CAST(NULL AS ARRAY<STRUCT<clause: STRING, risk: STRING>>)", "corrections": "CAST(NULL AS ARRAY<STRUCT<wrong: STRING, right: STRING>>)",
+}
+
+
+def profile_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """Profiles refreshed at every third round of a session, in two loads of rounds."""
+    rounds = inputs.ASKED.frame(spark, sf)
+    signals = rounds.selectExpr("user_id", "question_id AS seq", "ts_sec", *[f"{e} AS {n}" for n, e in _ROUND_SIGNAL.items()])
+    due = cut_lineage(due_signals(rounds, signals))
+    store = ProfileStore(spark, scratch_path(spark, "refreshed"), 8)
+    for load in ("seq % 2 = 1", "seq % 2 = 0"):
+        store.merge(due.filter(load))
+    return store.entries().select("user_id", "field", "seq", "pos", "key", F.coalesce("value", F.lit("")).alias("value"))
+
+
+def eval_refusal_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """Refusals by scope against the questions that are meant to be refused, with intervals."""
+    cases = _triaged(spark, sf).selectExpr("question_id", "question_id % 6 = 0 AS should_refuse", "rejected AS refused")
+    return evaluate.refusal_intervals(cases, "question_id")
+
+
 def profile_merge(spark: SparkSession, sf: str) -> DataFrame:
     entries = merged(spark, sf)
     return lookup_join(entries, profile.last_active(_signals(spark, sf)), ["user_id"], "inner").select(
@@ -463,6 +500,9 @@ QUERIES = {
     "answer_meta": answer_meta,
     "session_snapshot": session_snapshot,
     "eval_refusal": eval_refusal,
+    "eval_refusal_intervals": eval_refusal_intervals,
+    "profile_incremental": profile_incremental,
+    "profile_refresh": profile_refresh,
     "eval_amount": eval_amount,
 }
 
@@ -505,4 +545,14 @@ ORACLES = {
     "eval_amount": oracle.with_(("questions", inputs.QUESTIONS.sql()), *oracle.params_ctes("questions", "question_id"))
     + "SELECT count(*) AS cases, round(avg(CASE WHEN principal IS NOT DISTINCT FROM floor(o_totalprice) THEN 1.0::DOUBLE ELSE 0 END), 6) AS principal_accuracy, round(avg(CASE WHEN days IS NOT DISTINCT FROM o_orderkey % 90 + 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS days_accuracy, "
     "round(avg(CASE WHEN rate_per_mille IS NOT DISTINCT FROM 0.5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS rate_per_mille_accuracy FROM params JOIN orders ON question_id = o_orderkey",
+    "eval_refusal_intervals": oracle.with_(_A, _TRI,
+        ("cases", "SELECT question_id AS case_id, CAST(question_id % 6 = 0 AS INT) AS w, CAST(rejected AS INT) AS r, w * r AS hit FROM tri"),
+        *oracle.bootstrap_ctes("cases", {"precision": ("hit", "r"), "recall": ("hit", "w")})) + "SELECT * FROM intervals",
+    "profile_incremental": _entries_sql() + "SELECT user_id, field, seq, pos, key, value FROM entries",
+    "profile_refresh": oracle.with_(_A, *_ROUND_CTES,
+        ("due", "SELECT * FROM n WHERE round_no % 3 = 0"),
+        ("lng", "SELECT user_id, question_id AS seq, 'topic' AS field, 0 AS pos, '合同' || (conv_id % 12) AS key, '' AS value FROM due UNION ALL SELECT user_id, question_id, 'topic', 1, '违约金', '' FROM due "
+                "UNION ALL SELECT user_id, question_id, 'preference', 0, '键', '值' || question_id FROM due UNION ALL SELECT user_id, question_id, 'faq', 0, '问题' || (turn % 5), '条' || question_id FROM due"),
+        ("rk", "SELECT *, row_number() OVER (PARTITION BY user_id, field, key ORDER BY seq, pos) AS a, row_number() OVER (PARTITION BY user_id, field, key ORDER BY seq DESC) AS z FROM lng"))
+    + "SELECT user_id, field, seq, pos, key, value FROM rk WHERE CASE field WHEN 'preference' THEN z ELSE a END = 1",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from clauselake.functions import lexicons as lx
 
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -147,6 +149,20 @@ def amount(calc_type: str, p: str, r: str, d: str, majeure: str, t: str) -> str:
     )
 
 
+def bootstrap_ctes(cases: str, rates: dict[str, tuple[str, str]], replicates: int = 200) -> list[tuple[str, str]]:
+    """CTEs ending in ``intervals(metric, value, lower, upper)``; ``cases`` has ``case_id`` and the columns of the rates."""
+    total, bounds = 0.0, []
+    for k in range(10):
+        total += math.exp(-1) / math.factorial(k)
+        bounds.append(round(4294967296 * total))
+    weight = " + ".join(f"CAST(u >= {b} AS INT)" for b in bounds)
+    return [
+        ("draws", f"SELECT *, CASE WHEN b = 0 THEN 1 ELSE {weight} END AS wt FROM (SELECT *, CAST('0x' || substr(md5(case_id || '#' || b), 1, 8) AS BIGINT) AS u FROM {cases}, (SELECT unnest(range(0, {replicates + 1})) AS b))"),
+        ("again", " UNION ALL ".join(f"SELECT '{m}' AS metric, b, CASE WHEN sum(wt * {d}) > 0 THEN sum(wt * {n}) / sum(wt * {d}) END AS rate FROM draws GROUP BY b" for m, (n, d) in rates.items())),
+        ("intervals", "SELECT metric, round(max(rate) FILTER (b = 0), 6) AS value, round(quantile_cont(rate, 0.025) FILTER (b > 0), 6) AS lower, round(quantile_cont(rate, 0.975) FILTER (b > 0), 6) AS upper FROM again GROUP BY metric"),
+    ]
+
+
 # ---- retrieval -------------------------------------------------------------
 def bm25_ctes(queries: str, chunks: str, k: int, prefix: str = "") -> list[tuple[str, str]]:
     """CTEs ending in ``{prefix}bm25(query_id, chunk_id, score, rank)``."""

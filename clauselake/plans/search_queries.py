@@ -9,6 +9,8 @@ from clauselake.functions import lexicons as lx
 from clauselake.operators import answer, evaluate, search
 from clauselake.operators.clauses import resolve_clause_id as resolve
 from clauselake.plans import inputs, oracle
+from clauselake.runtime import cut_lineage, scratch_path
+from clauselake.sources import records
 from clauselake.sources.tables import read_table
 
 K = 10
@@ -66,12 +68,21 @@ def cite_clause(spark: SparkSession, sf: str) -> DataFrame:
     return search.with_contents(hits, chunks).select("query_id", "rank", F.col("content").alias("text"))
 
 
-def eval_retrieval(spark: SparkSession, sf: str) -> DataFrame:
+def _judged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Queries, their hits, and the clauses that hold the whole query."""
     queries, chunks = inputs.bench_queries(spark, sf), inputs.doc_chunks(spark, sf)
     hits = search.with_contents(search.hybrid_search(queries, chunks, K), chunks)
     texts = hits.join(queries.select("query_id", "text"), "query_id")
     gold = texts.filter(F.col("content").contains(F.col("text"))).select("query_id", "clause_id").distinct()
-    return evaluate.retrieval_rates(queries, hits, gold)
+    return queries, hits, gold
+
+
+def eval_retrieval(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.retrieval_rates(*_judged(spark, sf))
+
+
+def eval_retrieval_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.retrieval_intervals(*_judged(spark, sf))
 
 
 _RAW = (
@@ -162,6 +173,21 @@ def single_round_context(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_SINGLE_PROSE = "CASE WHEN question_id % 7 <> 3 THEN CONCAT('依据[1]答复', CAST(question_id AS STRING)) END"
+
+
+def single_round_history(spark: SparkSession, sf: str) -> DataFrame:
+    """The history after two batches of single-round answers, of which the second holds some questions of the first."""
+    path = scratch_path(spark, "single-rounds")
+    questions, chunks = inputs.asked(spark, sf), inputs.statutes(spark, sf)
+    found = cut_lineage(answer.single_round_context(questions, chunks))
+    for part in ("question_id % 3 <> 0", "question_id % 2 = 0 OR question_id % 3 = 0"):
+        batch = found.filter(part)
+        rounds = answer.answered_rounds(batch, batch.selectExpr("question_id", f"{_SINGLE_PROSE} AS prose"))
+        records.append_new_rounds(rounds, path)
+    return spark.read.parquet(path).select("session_id", "id", "question", "answer", "passages")
+
+
 _HITS = "query_id, clause_id, chunk_id, score, rank, knn_rank, bm25_rank"
 _BENCH = [("queries", inputs.BENCH_QUERIES_SQL), ("chunks", inputs.DOC_CHUNKS_SQL)]
 _STAT = [("queries", _ASKED_Q), ("chunks", inputs.STATUTES.sql())]
@@ -175,9 +201,11 @@ QUERIES = {
     "resolve_clause_id": resolve_clause_id,
     "cite_clause": cite_clause,
     "eval_retrieval": eval_retrieval,
+    "eval_retrieval_intervals": eval_retrieval_intervals,
     "grade_gate": grade_gate,
     "retrieval_rounds": retrieval_rounds,
     "single_round_context": single_round_context,
+    "single_round_history": single_round_history,
 }
 
 ORACLES = {
@@ -199,6 +227,11 @@ ORACLES = {
         ("best", "SELECT query_id, min(f.rank) AS best FROM fused f JOIN chunks USING (chunk_id) JOIN queries q USING (query_id) WHERE contains(content, q.text) GROUP BY query_id"))
     + "SELECT count(*) AS queries, " + ", ".join(f"round(avg(CASE WHEN best <= {k} THEN 1.0::DOUBLE ELSE 0 END), 6) AS hr_at_{k}" for k in (1, 3, 5))
     + ", round(avg(coalesce(1.0::DOUBLE / best, 0)), 6) AS mrr FROM queries LEFT JOIN best USING (query_id)",
+    "eval_retrieval_intervals": oracle.with_(*_BENCH, *oracle.hybrid_ctes("queries", "chunks", K),
+        ("best", "SELECT query_id, min(f.rank) AS best FROM fused f JOIN chunks USING (chunk_id) JOIN queries q USING (query_id) WHERE contains(content, q.text) GROUP BY query_id"),
+        ("cases", "SELECT query_id AS case_id, coalesce(CAST(best <= 1 AS DOUBLE), 0) AS n0, coalesce(CAST(best <= 3 AS DOUBLE), 0) AS n1, coalesce(CAST(best <= 5 AS DOUBLE), 0) AS n2, coalesce(1.0::DOUBLE / best, 0) AS n3, 1.0::DOUBLE AS d FROM queries LEFT JOIN best USING (query_id)"),
+        *oracle.bootstrap_ctes("cases", {"hr_at_1": ("n0", "d"), "hr_at_3": ("n1", "d"), "hr_at_5": ("n2", "d"), "mrr": ("n3", "d")}))
+    + "SELECT * FROM intervals",
     "grade_gate": oracle.with_(*_STAT, *oracle.hybrid_ctes("queries", "chunks", K),
         ("h", f"SELECT *, {_RAW} AS raw FROM (SELECT CAST(query_id AS BIGINT) AS question_id, clause_id, rank, content, CAST(regexp_extract(content, '第([0-9]+)款', 1) AS BIGINT) AS v FROM fused JOIN chunks USING (chunk_id))"),
         ("g", r"SELECT *, CASE WHEN contains(raw, '不相关') THEN 0.0::DOUBLE ELSE coalesce(TRY_CAST(nullif(regexp_extract(raw, '相关\s*\|\s*([0-9.]+)', 1), '') AS DOUBLE), 0) END AS grade FROM h"))
@@ -212,4 +245,7 @@ ORACLES = {
     "single_round_context": oracle.with_(("aq", inputs.ASKED_SQL), *_STAT, *oracle.hybrid_ctes("queries", "chunks", lx.SINGLE_ROUND_TOP_K),
         ("ctx", "SELECT CAST(query_id AS BIGINT) AS question_id, string_agg('[' || f.rank || '] ' || content || chr(10), '' ORDER BY f.rank) AS context, CAST(count(*) AS INT) AS passages FROM fused f JOIN chunks USING (chunk_id) GROUP BY query_id"))
     + f"SELECT question_id, session_id, context, passages, CASE WHEN context IS NULL THEN '{lx.SINGLE_ROUND_REJECT}' END AS refusal FROM aq LEFT JOIN ctx USING (question_id)",
+    "single_round_history": oracle.with_(("aq", inputs.ASKED_SQL), *_STAT, *oracle.hybrid_ctes("queries", "chunks", lx.SINGLE_ROUND_TOP_K),
+        ("n", "SELECT CAST(query_id AS BIGINT) AS question_id, CAST(count(*) AS INT) AS passages FROM fused GROUP BY query_id"))
+    + f"SELECT session_id, question_id AS id, text AS question, {_SINGLE_PROSE} AS answer, passages FROM aq JOIN n USING (question_id) WHERE question_id % 7 <> 3",
 }

@@ -92,6 +92,25 @@ def category_tree(spark: SparkSession, sf: str) -> DataFrame:
     return engage.category_tree(inputs.categories(spark, sf))
 
 
+#: some suppliers appear once more, as the parent of their own nation, and some as their own parent
+_LOOPS_SQL = (
+    "SELECT CAST(100 + s_nationkey AS BIGINT) AS id, s_name AS name, 1000 + s_suppkey AS parent_id FROM supplier WHERE s_suppkey % 4 = 0 "
+    "UNION ALL SELECT 1000 + s_suppkey, s_name, 1000 + s_suppkey FROM supplier WHERE s_suppkey % 5 = 0"
+)
+
+
+def _looped(spark: SparkSession, sf: str) -> DataFrame:
+    suppliers = read_table(spark, sf, "supplier")
+    back = suppliers.filter("s_suppkey % 4 = 0").selectExpr("CAST(100 + s_nationkey AS BIGINT) AS id", "s_name AS name", "1000 + s_suppkey AS parent_id")
+    own = suppliers.filter("s_suppkey % 5 = 0").selectExpr("1000 + s_suppkey AS id", "s_name AS name", "1000 + s_suppkey AS parent_id")
+    return inputs.categories(spark, sf).select("id", "name", "parent_id").unionByName(back).unionByName(own)
+
+
+def category_cycles(spark: SparkSession, sf: str) -> DataFrame:
+    """Where a category table with loops leads back into itself."""
+    return engage.category_cycles(_looped(spark, sf)).select("root_id", "id", "parent_id", "depth", "path")
+
+
 _CHANGE = {
     "id": "o_custkey", "version": "o_orderkey", "changed": "o_orderkey * 10", "op": "CASE WHEN o_orderstatus = 'P' THEN 'delete' ELSE 'write' END",
     "record_name": "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END", "total": "CAST(FLOOR(o_totalprice) AS BIGINT)",
@@ -485,6 +504,7 @@ QUERIES = {
     "favorite_posts": favorite_posts,
     "favorite_toggle": favorite_toggle,
     "category_tree": category_tree,
+    "category_cycles": category_cycles,
     "apply_changes": apply_changes,
     "partial_update": partial_update,
     "user_upsert": user_upsert,
@@ -531,6 +551,9 @@ ORACLES = {
     "favorite_posts": oracle.with_(_INTER, _POSTS, ("fav", _FAV)) + "SELECT user_id, post_id, title, content, cover_image FROM fav JOIN posts ON posts.id = post_id",
     "category_tree": oracle.with_(("cats", inputs.CATEGORIES_SQL),
         ("tree", "SELECT id AS root_id, id, name, parent_id, 1 AS depth, CAST(id AS VARCHAR) AS path FROM cats WHERE parent_id = 0 UNION ALL SELECT t.root_id, c.id, c.name, c.parent_id, t.depth + 1, t.path || '/' || c.id FROM tree t JOIN cats c ON c.parent_id = t.id"), recursive=True) + "SELECT * FROM tree",
+    "category_cycles": oracle.with_(("cats", f"SELECT id, name, parent_id FROM ({inputs.CATEGORIES_SQL}) UNION ALL {_LOOPS_SQL}"),
+        ("tree", "SELECT id AS root_id, id, parent_id, 1 AS depth, [id] AS way, false AS closes FROM cats WHERE parent_id = 0 UNION ALL SELECT t.root_id, c.id, c.parent_id, t.depth + 1, list_append(t.way, c.id), list_contains(t.way, c.id) FROM tree t JOIN cats c ON c.parent_id = t.id WHERE NOT t.closes"), recursive=True)
+    + "SELECT root_id, id, parent_id, depth, array_to_string(way, '/') AS path FROM tree WHERE closes",
     "apply_changes": f"SELECT id, arg_max(record_name, version) FILTER (record_name IS NOT NULL) AS record_name, arg_max(total, version) AS total, min(changed) AS create_time, max(changed) AS update_time FROM (SELECT {', '.join(_pick(_CHANGE))} FROM orders) GROUP BY id HAVING arg_max(op, version) <> 'delete'",
     "partial_update": f"SELECT c.c_custkey, coalesce(nullif(u.c_name, ''), c.c_name) AS c_name, coalesce(nullif(u.c_mktsegment, ''), c.c_mktsegment) AS c_mktsegment FROM customer c LEFT JOIN (SELECT {', '.join(_pick(_UPDATE))} FROM customer WHERE c_custkey % 5 <> 4) u ON u.c_custkey = c.c_custkey",
     "user_upsert": "SELECT 'u' || user_id AS open_id, 'n' || event_id AS nick_name, event_type AS avatar_url, event_id AS seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events WHERE event_type <> 'error' AND value >= 20) WHERE rn = 1 AND user_id NOT IN (SELECT n_nationkey FROM nation)",

@@ -71,6 +71,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """True when the folder is there, in whatever store Spark reads it from."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def row_bound(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """True when the table has at most ``limit`` rows; stops counting right after that."""
     return df.select(F.lit(1)).limit(limit + 1).count() <= limit

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clauselake.functions.json_text import risk_points
 from clauselake.functions.text import is_blank, trim_ws
 from clauselake.operators.clauses import truncate_contracts
-from clauselake.runtime import broadcast_if_small
+from clauselake.runtime import broadcast_if_small, path_exists, written
 
 CHAT_LINE = "type string, role string, content string"
 #: what the last data line of a message carries
@@ -132,6 +132,14 @@ def full_answers(chunks: DataFrame, chunks_per_part: int | None = None) -> DataF
     return _in_order(answer, "message_id", "seq", F.col("text"), "chunks", chunks_per_part)
 
 
+def append_new_rounds(rounds: DataFrame, path: str) -> None:
+    """Append answered rounds to the history at ``path``; a round that is stored already is not stored again."""
+    spark = rounds.sparkSession
+    stored = spark.read.schema(rounds.schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], rounds.schema)
+    fresh = rounds.join(stored.select("session_id", "id"), ["session_id", "id"], "left_anti").select(*rounds.columns)
+    written(fresh, "new-rounds").write.mode("append").parquet(path)
+
+
 def apply_changes(log: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """Current rows from a change log: newest non-null value per field, audit times, deletions gone.
 
