@@ -207,36 +207,67 @@ def test_licence_plan_is_native(spark):
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
 
 
-def template(text):
+def plain_tokens(text):
+    """(start, end, word in small letters, type of the first reading, opens a sentence, capitalised word of no other type)."""
     out, end, after_number = [], 0, False
     for m in re.finditer(rb"[A-Za-z\x80-\xff]+|[0-9]+(?:[.,][0-9]+)*", text):
-        word, low = m.group(), lower(m.group().decode("utf-8", "surrogateescape")) if m.group().isascii() else m.group()
-        opens = not out or bool(re.search(rb"[.!?\n]", text[end : m.start()]))
-        kind = None
-        if word[:1].isdigit():
-            kind = "number"
-        elif after_number and low in [u.encode() for u in decontaminate.UNITS]:
-            kind = "unit"
-        elif 65 <= word[0] <= 90 and len(word) > 1 and (97 <= word[1] < 123 or word[1] >= 128) and not opens:
-            kind = "name"
+        word = m.group()
         low = bytes(c + 32 if 65 <= c <= 90 else c for c in word)
-        out.append((kind, low))
-        after_number, end = kind == "number", m.end()
+        opens = not out or bool(re.search(rb"[.!?\n]", text[end : m.start()]))
+        number = word[:1].isdigit()
+        unit = after_number and not number and low in [u.encode() for u in decontaminate.UNITS]
+        capital = not number and not unit and 65 <= word[0] <= 90 and len(word) > 1 and (97 <= word[1] < 123 or word[1] >= 128)
+        kind = "number" if number else "unit" if unit else "name" if capital and not opens else None
+        out.append((m.start(), m.end(), low, kind, opens, capital))
+        after_number, end = number, m.end()
+    return out
+
+
+def template(text):
+    return [(kind, low) for _, _, low, kind, _, _ in plain_tokens(text)]
+
+
+def second_template(text):
+    """Names are capitalised words that are not common, wherever they stand; names in a row are one, named by the first
+    that is no title."""
+    common, titles = ({w.encode() for w in words} for words in (decontaminate.COMMON, decontaminate.TITLES))
+    out, last_end, was_name, was_title, held = [], None, False, False, False
+    for start, end, low, kind, opens, capital in plain_tokens(text):
+        name = capital and low not in common
+        title = name and low in titles
+        joins = name and was_name and ((start - last_end == 1 and not opens) or (start - last_end <= 2 and was_title))
+        if joins:
+            if not held and not title:  # only titles before it
+                out[-1] = ("name", low)
+                held = True
+        else:
+            out.append(("name" if name else None if capital else kind, low))
+            held = name and not title
+        last_end, was_name, was_title = end, name, title
     return out
 
 
 def plain_leaks(docs, bench, width=5, share=0.8):
+    """Covered tokens of each (document, item), by the first reading that finds the pair."""
+    found = {}
+    for read, shortest in ((template, 1), (second_template, width)):
+        for pair, covered in plain_reading(docs, bench, read, shortest, width, share).items():
+            found.setdefault(pair, covered)
+    return found
+
+
+def plain_reading(docs, bench, read, shortest, width, share):
     key = lambda ws: tuple(k or w for k, w in ws)
     items, index, found = {}, collections.defaultdict(list), {}
     for i, t in bench:
-        x = template((t or "").encode())
-        if x:
+        x = read((t or "").encode())
+        if len(x) >= shortest:
             items[i] = x
             w = min(width, len(x))
             for p in range(len(x) - w + 1):
                 index[key(x[p : p + w])].append((i, p))
     for d, t in docs:
-        x = template((t or "").encode())
+        x = read((t or "").encode())
         w = min(width, len(x))
         lines = collections.defaultdict(set)
         for p in range(len(x) - w + 1 if x else 0):
