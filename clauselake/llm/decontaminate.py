@@ -13,8 +13,11 @@ with the value of the first that is no title. A pair is reported by the first re
 shorter than a window have the first reading only.
 
 Only windows whose hash may belong to the benchmark leave the scan: a bit table of fixed size, filled from the
-benchmark, drops most others, and the join decides. The benchmark's windows are broadcast while their count is small,
-and joined by a shuffle beyond that.
+benchmark, drops most others. Candidates come from rare windows alone: a document that covers 0.8 of an item shares a window
+over one of any tokens that are one more than a fifth of the item's, so those tokens are taken whose windows are in the
+fewest documents, and the distinct windows of documents meet the distinct windows over these tokens. A window that is
+everywhere, and its places, meet nothing unless an item has no other. Each candidate is then aligned once, on the windows
+of both texts.
 
 Cases: null or blank texts match nothing; an item shorter than a window matches a document that is the same template
 from end to end; a null doc_id or item_id is kept as null; repeated rows (equal id and text) count once in the findings
@@ -27,7 +30,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauselake.llm.common import (
@@ -39,7 +42,9 @@ WIDTH, COVERAGE = 5, 0.8
 TABLE_BITS = 1 << 22
 #: windows of the benchmark that are broadcast at most
 BROADCAST_WINDOWS = 500_000
-#: contaminated documents that are broadcast at most
+#: pairs of windows that are compared at once while a candidate is aligned
+PAIRS_AT_ONCE = 1_000_000
+#: contaminated or candidate documents that are broadcast at most
 BROADCAST_DOCUMENTS = 500_000
 #: fixed values: words that are units after a number
 UNITS = (
@@ -213,44 +218,148 @@ def _uid(key: str) -> Column:
     return F.xxhash64(key, "text")
 
 
+def bit_table(items: DataFrame) -> np.ndarray:
+    """The bits of all windows of the benchmark, as bytes; they reach the driver as a few bitmaps of fixed size."""
+    bit = F.pmod("window", F.lit(TABLE_BITS)) + 1
+    maps = items.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("position"))
+    maps = maps.groupBy("bucket").agg(F.bitmap_construct_agg("position").alias("bits"))
+    table = np.zeros(TABLE_BITS // 8, np.uint8)
+    for row in maps.collect():  # TABLE_BITS / 32768 rows at most
+        part = np.frombuffer(bytes(row["bits"]), np.uint8)
+        start = (row["bucket"] - 1) * len(part)
+        table[start : start + len(part)] = part[: len(table) - start]
+    return table
+
+
+def rare_windows(items: DataFrame, frequency: DataFrame, coverage: float) -> DataFrame:
+    """Windows of each item of which a contaminated document has one at least: item_uid, item_id, reading, window.
+
+    A document that covers the share of an item's tokens leaves few uncovered. Of any tokens that are one more than those
+    few, one is covered, by a window over it; the tokens whose windows are in the fewest documents are taken.
+    """
+    places = items.join(frequency, ["window", "reading"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    length = F.least(F.lit(WIDTH), F.col("tokens"))
+    tokens = places.withColumn("token", F.explode(F.sequence(F.col("at"), F.col("at") + length - 1)))
+    cost = tokens.groupBy("id", "uid", "reading", "tokens", "token").agg(F.sum("n").alias("cost"))
+    order = Window.partitionBy("id", "uid", "reading").orderBy("cost", "token")
+    spare = F.col("tokens") - F.ceil(F.lit(coverage) * F.col("tokens") - F.lit(1e-9))
+    taken = cost.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= spare + 1)
+    chosen = tokens.join(taken.select("id", "uid", "reading", "token"), ["uid", "reading", "token"], "left_semi")
+    return chosen.filter("n > 0").select(F.col("id").alias("item_id"), F.col("uid").alias("item_uid"), "reading", "window").distinct()
+
+
+_ALIGNED = "covered int, windows int, first_token int, last_token int, reparameterised boolean"
+
+
+def aligned(doc: dict, item: dict) -> tuple[int, int, int, int, bool] | None:
+    """The item's tokens that the document covers: windows of both (at, window, slots; the document's also first, last)
+    meet, and of each alignment those are dropped that give one of the item's slot values two values in the document."""
+    order = np.argsort(doc["window"], kind="stable")
+    low = np.searchsorted(doc["window"][order], item["window"], "left")
+    each = np.searchsorted(doc["window"][order], item["window"], "right") - low
+    if not each.any():
+        return None
+    places, first, last, changed = [np.zeros(0, np.int64)], np.iinfo(np.int32).max, -1, False
+    shifts = (int(doc["at"].min()) - int(item["at"].max()), int(doc["at"].max()) - int(item["at"].min()) + 1)
+    values, code = np.unique(item["slots"], return_inverse=True)
+    code = code.reshape(item["slots"].shape)
+    span = shifts[1] - shifts[0]
+    step = max(1, min(span, span * PAIRS_AT_ONCE // max(1, int(each.sum())), 4 * PAIRS_AT_ONCE // len(values)))
+    for start in range(shifts[0], shifts[1], step):  # all of an alignment at once, some alignments at a time
+        if step < span:  # in ``order`` equal windows ascend by place, so a run of places is a range
+            within = lambda edge: _count_before(doc, order, low, each, item["at"] + edge)  # noqa: B023, E731
+            lo, n = low + within(start), within(start + step) - within(start)
+        else:
+            lo, n = low, each
+        q = np.repeat(np.arange(len(n)), n)
+        p = order[ragged(lo, n)]
+        if not len(q):
+            continue
+        shift = doc["at"][p] - item["at"][q]
+        was, now = item["slots"][q], doc["slots"][p]
+        pair, k = np.nonzero(was != 0)
+        odd = np.zeros(len(q), bool)
+        if len(pair):  # a key for each alignment and slot value; a key with two values is odd
+            group, value = (shift[pair] - start) * len(values) + code[q[pair], k], now[pair, k]
+            one = np.zeros((min(start + step, shifts[1]) - start) * len(values), np.int64)
+            one[group] = value
+            two = np.zeros(len(one), bool)
+            two[group[one[group] != value]] = True
+            odd[pair[two[group]]] = True
+        p, q = p[~odd], q[~odd]
+        if len(q):
+            places.append(np.unique(item["at"][q]))
+            first, last = min(first, int(doc["first"][p].min())), max(last, int(doc["last"][p].max()))
+            changed |= bool(((item["slots"][q] != 0) & (item["slots"][q] != doc["slots"][p])).any())
+    found = np.unique(np.concatenate(places))
+    if not len(found):
+        return None
+    width = min(WIDTH, item["tokens"])
+    covered = len(np.unique((found[:, None] + np.arange(width)).ravel()))
+    return covered, len(found), first, last, changed
+
+
+def _count_before(doc: dict, order: np.ndarray, low: np.ndarray, each: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """How many of the document's places of each item window (``order[low : low + each]``, ascending) are below ``place``."""
+    left, right = low.copy(), low + each
+    at = doc["at"][order]
+    while (left < right).any():
+        middle = (left + right) >> 1
+        less = (left < right) & (at[np.minimum(middle, len(at) - 1)] < place)
+        left, right = np.where(less, middle + 1, left), np.where((left < right) & ~less, middle, right)
+    return left - low
+
+
+def _window_arrays(cell: pa.Array, tokens: int) -> dict:
+    """The windows of one text, places ascending; slots padded to WIDTH."""
+    flat = cell.flatten()
+    numbers = {n: flat.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("at", "first", "last", "window")}
+    width = min(WIDTH, tokens)
+    slots = np.zeros((len(numbers["at"]), WIDTH), np.int64)
+    slots[:, :width] = flat.field("slots").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    order = np.argsort(numbers["at"], kind="stable")
+    return {n: v[order] for n, v in numbers.items()} | {"slots": slots[order], "tokens": tokens}
+
+
 def find(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """Contaminated documents and their items: doc_id, uid, item_id, item_tokens, covered, coverage, windows,
     first_token, last_token (in the document) and reparameterised (slot values were exchanged)."""
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), "text").distinct().withColumn("uid", _uid("id"))
     items = staged(window_rows(items, None), "benchmark-windows")
-    bits = items.select(F.pmod("window", F.lit(TABLE_BITS)).cast("int")).distinct().collect()  # at most TABLE_BITS
-    table = np.zeros(TABLE_BITS, bool)
-    table[[r[0] for r in bits]] = True
-    table = np.packbits(table, bitorder="little")
     named = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).withColumn("uid", _uid("id"))
-    mine = window_rows(named, table)
-    theirs = items.select(F.col("id").alias("item_id"), F.col("uid").alias("item_uid"), "reading", F.col("tokens").alias("item_tokens"), F.col("at").alias("item_at"), "window", F.col("slots").alias("theirs"))
-    theirs = small_side(theirs, BROADCAST_WINDOWS)
-    met = mine.join(theirs, ["window", "reading"]).filter((F.col("item_tokens") >= WIDTH) | (F.col("item_tokens") == F.col("tokens")))
-    met = met.select(
-        "id", "uid", "item_id", "item_uid", "item_tokens", "reading", (F.col("at") - F.col("item_at")).alias("shift"), "first", "last", "item_at",
-        F.filter(F.arrays_zip(F.col("theirs").alias("was"), F.col("slots").alias("now")), lambda p: p["was"] != 0).alias("pairs"),
-    )
-    # one alignment holds each window of the item at most once
-    lines = met.groupBy("id", "uid", "item_id", "item_uid", "item_tokens", "reading", "shift").agg(F.collect_set(F.struct("first", "last", "item_at", "pairs")).alias("w"))
-    pairs = F.array_distinct(F.flatten(F.transform("w", lambda w: w["pairs"])))
-    lines = lines.withColumn("all", pairs)
-    odd = F.filter("all", lambda p: F.exists("all", lambda q: (q["was"] == p["was"]) & (q["now"] != p["now"])))
-    lines = lines.withColumn("odd", F.transform(odd, lambda p: p["was"]))
-    lines = lines.withColumn("w", F.filter("w", lambda w: ~F.exists(w["pairs"], lambda p: F.array_contains(F.col("odd"), p["was"]))))
-    lines = lines.withColumn("changed", F.exists(F.flatten(F.transform("w", lambda w: w["pairs"])), lambda p: p["was"] != p["now"]))
-    whole = lines.groupBy("id", "uid", "item_id", "item_uid", "item_tokens", "reading").agg(
-        F.array_distinct(F.flatten(F.collect_list(F.transform("w", lambda w: w["item_at"])))).alias("places"),
-        F.min(F.array_min(F.transform("w", lambda w: w["first"]))).alias("first_token"),
-        F.max(F.array_max(F.transform("w", lambda w: w["last"]))).alias("last_token"),
-        F.max("changed").alias("reparameterised"),
-    )
-    reach = F.least(F.lit(WIDTH), F.col("item_tokens")) - 1
-    whole = whole.withColumn("_reach", reach)
-    covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("_reach"))))))
-    whole = whole.withColumn("covered", covered).withColumn("coverage", F.col("covered") / F.col("item_tokens"))
-    found = F.min(F.struct("reading", "item_tokens", "covered", "coverage", F.size("places").alias("windows"), "first_token", "last_token", "reparameterised"))
-    whole = whole.filter(F.col("coverage") >= coverage).groupBy("id", "uid", "item_id", "item_uid").agg(found.alias("f"))
+    mine = staged(window_rows(named, bit_table(items)), "document-windows")
+    # candidates: documents that hold a rare window of an item, each once, whatever the places
+    held = mine.select("uid", "reading", "window").distinct()
+    frequency = held.groupBy("window", "reading").agg(F.count("*").alias("n"))
+    rare = staged(rare_windows(items, frequency, coverage), "rare-windows")
+    pairs = held.join(small_side(rare, BROADCAST_WINDOWS), ["window", "reading"]).select("uid", "reading", "item_uid").distinct()
+    pairs = staged(pairs, "candidates")
+    # each candidate is aligned once, on the windows of both
+    listed = F.collect_list(F.struct("at", "first", "last", "window", "slots"))  # of one text
+    wanted = mine.join(small_side(pairs.select("uid", "reading").distinct(), BROADCAST_DOCUMENTS), ["uid", "reading"], "left_semi")
+    texts = wanted.dropDuplicates(["uid", "reading", "at"]).groupBy("uid", "reading", "tokens").agg(F.min("id").alias("id"), listed.alias("theirs"))
+    asked = items.groupBy(F.col("uid").alias("item_uid"), "reading", F.col("tokens").alias("item_tokens")).agg(F.min("id").alias("item_id"), listed.alias("own"))
+    met = pairs.join(texts, ["uid", "reading"]).join(asked, ["item_uid", "reading"])
+    met = met.filter((F.col("item_tokens") >= WIDTH) | (F.col("item_tokens") == F.col("tokens")))
+
+    def align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = ["uid", "id", "item_uid", "item_id", "reading", "item_tokens"]
+        for batch in batches:
+            sizes = {n: batch.column(n).to_pylist() for n in ("tokens", "item_tokens")}
+            rows = []
+            for i in range(batch.num_rows):
+                theirs, own = (_window_arrays(batch.column(c).slice(i, 1), sizes[n][i]) for c, n in (("theirs", "tokens"), ("own", "item_tokens")))
+                rows.append(aligned(theirs, own))
+            some = pa.array([i for i, r in enumerate(rows) if r is not None], pa.int64())
+            columns = list(zip(*(r for r in rows if r is not None), strict=True)) or [()] * 5
+            kinds = [pa.int32()] * 4 + [pa.bool_()]
+            names = [*kept, "covered", "windows", "first_token", "last_token", "reparameterised"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(some) for c in kept], *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names)
+
+    whole = met.mapInArrow(align, f"uid long, id long, item_uid long, item_id long, reading int, item_tokens int, {_ALIGNED}")
+    whole = whole.withColumn("coverage", F.col("covered") / F.col("item_tokens")).filter(F.col("coverage") >= coverage)
+    found = F.min(F.struct("reading", "item_tokens", "covered", "coverage", "windows", "first_token", "last_token", "reparameterised"))
+    whole = whole.groupBy("id", "uid", "item_id", "item_uid").agg(found.alias("f"))
     return whole.select(
         F.col("id").alias("doc_id"), "uid", "item_id", "f.item_tokens", "f.covered", "f.coverage", "f.windows", "f.first_token", "f.last_token", "f.reparameterised"
     )

@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from fixtures import FOLDER, edge_docs, edge_texts, empty_docs, lower, words_of
 
 import verify
@@ -347,3 +348,41 @@ def test_random_templates(spark):
     docs = [(i, text(4) + " " + rng.choice(bench)[1].replace("5", rng.choice(["5", "9"])).replace("Bob", rng.choice(["Bob", "Eve"])) + " " + text(5)) for i in range(150)]
     got = decontaminate.find(edge_docs(spark, docs), spark.createDataFrame(bench, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id): r.covered for r in got} == plain_leaks(docs, bench)
+
+
+def number_tables(rng, docs, length, items, asked):
+    numbers = lambda n: " ".join(str(rng.randrange(60)) for _ in range(n))
+    bench = [(i, numbers(asked)) for i in range(items)] + [(items, "Alpha beats beta by 7 km in all three rounds of 5 games")]
+    made = [(d, numbers(length)) for d in range(docs)]
+    # copies of an item, as it is and with its numbers exchanged one for one, in the middle of a table
+    made[1] = (1, numbers(length // 3) + " " + bench[0][1] + " " + numbers(length // 3))
+    made[2] = (2, numbers(length // 4) + " " + " ".join(str(int(n) + 500) for n in bench[1][1].split()) + " " + numbers(9))
+    return made + [(docs, "He said: Alpha beats beta by 9 km in all three rounds of 4 games")], bench
+
+
+def test_tables_of_numbers(spark, monkeypatch):
+    """Every window of every table is one template."""
+    docs, bench = number_tables(random.Random(3), 6, 150, 4, 25)
+    want = plain_leaks(docs, bench)
+    assert {(1, 0), (2, 1), (6, 4)} <= set(want)
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    for at_once in (decontaminate.PAIRS_AT_ONCE, 300):
+        monkeypatch.setattr(decontaminate, "PAIRS_AT_ONCE", at_once)
+        got = decontaminate.find(edge_docs(spark, docs), items).collect()
+        assert {(r.doc_id, r.item_id): r.covered for r in got} == want
+
+
+def test_rare_windows_keep_candidates_few(spark):
+    """Windows that all documents hold meet an item only when it has no others."""
+    rng = random.Random(4)
+    docs, bench = number_tables(rng, 60, 1500, 20, 120)
+    frame = "the model takes 5 steps of 3 km each day and "
+    bench.append((99, frame + "rests at Bern after 9 hours with a cup of tea near the old gate"))
+    docs += [(100 + i, frame + f"then {i} more words of its own follow here as text {i}") for i in range(40)] + [(500, bench[-1][1])]
+    rows = decontaminate.window_rows(spark.createDataFrame(bench, "id long, text string").withColumn("uid", F.xxhash64("id", "text")), None)
+    held = spark.createDataFrame(docs, "id long, text string").withColumn("uid", F.xxhash64("id", "text"))
+    held = decontaminate.window_rows(held, decontaminate.bit_table(rows)).select("uid", "reading", "window").distinct()
+    rare = decontaminate.rare_windows(rows, held.groupBy("window", "reading").agg(F.count("*").alias("n")), 0.8)
+    assert held.join(rare, ["window", "reading"]).count() < 5000
+    got = decontaminate.find(edge_docs(spark, docs), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} >= {(500, 99), (1, 0), (60, 20)} and not any(100 <= r.doc_id < 140 for r in got)
