@@ -12,12 +12,29 @@ from clauselake.runtime import cut_lineage
 
 MARK_MICROS = lx.LIKE_MARK_HOURS * 3_600_000_000
 HOUR_MICROS = 3_600_000_000
+#: events of a key that share a block, and slices of an hour at most
+EVENTS_PER_BLOCK, MOST_SLICES = 4096, 1 << 20
 
 
 def hour_block(micros: str = "at") -> Column:
     return F.floor(F.col(micros) / HOUR_MICROS)
 
 
+def busy_blocks(events: DataFrame, keys: list[str], micros: str = "at", limit: int = EVENTS_PER_BLOCK) -> DataFrame:
+    """Add ``block``: hours of a key, and equal slices of an hour that holds more than ``limit`` events of it.
+
+    Blocks ascend with time, so one key that is very busy within an hour is still spread over many tasks; only events of
+    one microsecond stay together.  ``keys`` hold no nulls.
+    """
+    hourly = events.withColumn("__hour", hour_block(micros))
+    busy = hourly.groupBy(*keys, "__hour").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
+    busy = busy.select(*keys, "__hour", F.least(F.ceil(F.col("__n") / limit), F.lit(MOST_SLICES)).alias("__slices"))
+    sliced = lookup_join(hourly, busy, [*keys, "__hour"])
+    within = F.col(micros) - F.col("__hour") * HOUR_MICROS
+    part = F.coalesce(F.floor(within * F.col("__slices") / HOUR_MICROS), F.lit(0))
+    return sliced.select(*events.columns, (F.col("__hour") * MOST_SLICES + part).alias("block"))
+
+
 def clamped_counter(deltas: DataFrame, keys: list[str], order: list[str], block: Column) -> DataFrame:
     """Final counter per key when a decrement only applies above zero.
 

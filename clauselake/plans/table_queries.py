@@ -249,7 +249,8 @@ def _interactions(spark: SparkSession, sf: str) -> DataFrame:
 
 def clamped_counter(spark: SparkSession, sf: str) -> DataFrame:
     marks = _interactions(spark, sf).filter("action IN ('like', 'unlike')").withColumn("delta", F.expr("CASE WHEN action = 'like' THEN 1 ELSE -1 END"))
-    return engage.clamped_counter(marks, ["post_id"], ["at", "event_id"], engage.hour_block())
+    marks = engage.busy_blocks(marks.filter("post_id IS NOT NULL"), ["post_id"])
+    return engage.clamped_counter(marks, ["post_id"], ["at", "event_id"], F.col("block"))
 
 
 def guarded_likes(spark: SparkSession, sf: str) -> DataFrame:

@@ -57,6 +57,21 @@ def test_clamped_counter_and_guarded_marks_brute_force(spark):
     assert {r.post_id: r.counter for r in counted.collect()} == counters
 
 
+def test_a_busy_hour_is_cut_into_slices(spark):
+    rng = random.Random(12)
+    rows = sorted((1 if rng.random() < 0.8 else 2, rng.randrange(2 * engage.HOUR_MICROS), i, rng.choice([1, 1, -1])) for i in range(600))
+    rows += [(1, 5_000_000, 1000 + i, 1) for i in range(40)]  # one moment cannot be cut
+    df = spark.createDataFrame(rows, "post_id long, at long, event_id long, delta int")
+    blocked = engage.busy_blocks(df, ["post_id"], limit=20)
+    sizes = blocked.groupBy("post_id", "block").count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] <= 90 and sizes[1] > 20
+    counters = {}
+    for post, _, _, delta in sorted(rows, key=lambda r: (r[1], r[2])):
+        counters[post] = max(0, counters.get(post, 0) + delta)
+    got = engage.clamped_counter(blocked, ["post_id"], ["at", "event_id"], F.col("block"))
+    assert {r.post_id: r.counter for r in got.collect()} == counters
+
+
 def test_decrements_stop_at_zero(spark):
     df = spark.createDataFrame([(1, i, d) for i, d in enumerate([-1, -1, 1, -1, -1, 1, 1])], "p int, at long, delta int")
     assert engage.clamped_counter(df, ["p"], ["at"], F.floor(F.col("at") / 2)).head().counter == 2
