@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.llm import tokens
@@ -114,13 +114,20 @@ def blocks_of(text: str, size: int = BLOCK) -> list[str]:
     return out
 
 
+def _edit(number: Column, place: Column, length: Column, replacement: Column) -> Column:
+    return F.struct(
+        number.cast("long").alias("edit_no"), place.cast("long").alias("place"), F.coalesce(length.cast("long"), F.lit(0)).alias("length"),
+        F.coalesce(replacement.cast("string"), F.lit("")).alias("replacement"),
+    )
+
+
 def count_edited(docs: DataFrame, edits: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Per document: n_edits, tokens before and after its edits, characters after, and characters encoded for edits.
 
     ``edits``: doc_id, edit_no, place, length, replacement.
     """
     vocabulary = vocabulary or tokens.default_vocabulary()
-    log = F.struct(F.col("edit_no").cast("long").alias("edit_no"), F.col("place").cast("long").alias("place"), F.coalesce(F.col("length").cast("long"), F.lit(0)).alias("length"), F.coalesce(F.col("replacement").cast("string"), F.lit("")).alias("replacement"))
+    log = _edit(*(F.col(c) for c in ("edit_no", "place", "length", "replacement")))
     logs = edits.filter("place IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     logs = logs.agg(F.array_sort(F.collect_list(log)).alias("log"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).join(logs, "doc_id", "left")
@@ -128,8 +135,13 @@ def count_edited(docs: DataFrame, edits: DataFrame, vocabulary: str | None = Non
 
 
 def count_with_log(docs: DataFrame, log: str, vocabulary: str | None = None) -> DataFrame:
-    """As ``count_edited``, for documents that carry their edits in the array column ``log``: no join, no shuffle."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"), F.col(log).alias("log"))
+    """As ``count_edited``, for documents that carry their edits in the array column ``log``: no join, no shuffle.
+
+    The edits of a row are its own, whatever its doc_id; null edits and edits with a null place do nothing.
+    """
+    placed = F.filter(F.col(log), lambda e: e["place"].isNotNull())
+    edits = F.array_sort(F.transform(placed, lambda e: _edit(*(e[f] for f in ("edit_no", "place", "length", "replacement")))))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"), edits.alias("log"))
     return _counted(rows, vocabulary or tokens.default_vocabulary())
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from fixtures import FOLDER, edge_docs, edge_texts, empty_docs
+from pyspark.sql import functions as F
 
 from clauselake.llm import packing, queries, token_counts, token_files, tokens
 from clauselake.llm.common import fresh_path
@@ -171,3 +172,20 @@ def test_edit_table_cases(spark, plain):
             assert r.n_edits == 0
     assert token_counts.count_edited(empty_docs(spark), table).collect() == []
     assert token_counts.count_edited(edge_docs(spark), table.limit(0)).filter("n_edits > 0").count() == 0
+
+
+def test_logs_with_nulls(spark):
+    """Edits in the row's own column: null edits, places, lengths and replacements, ties and a log out of order."""
+    edit = "struct<edit_no: bigint, place: bigint, length: bigint, replacement: string>"
+    logs = [
+        (1, "one two three four", [(2, 4, 3, "2"), (1, 0, 0, "zero "), (3, None, 5, "lost"), None]),
+        (2, "one two", None), (3, None, [(1, 5, 2, "new text")]), (4, "one two", []), (None, "one two", [(1, 3, None, None), (1, -5, 1, "O")]),
+        (5, "a b c", [(None, 99, 7, " d"), (1, 0, 1, None)]),
+    ]
+    table = spark.createDataFrame(logs, f"doc_id long, text string, log array<{edit}>").withColumn("place", F.lit(1))
+    got = {r.doc_id: (r.n_edits, r.tokens_after, r.chars_after) for r in token_counts.count_with_log(table, "log").collect()}
+    tokenizer = tokens.Encoder.load(tokens.default_vocabulary()).tokenizer
+    text = "zero " + logs[0][1]  # the first edit, then the second in the text it left
+    want = {1: (2, text[:4] + "2" + text[7:]), 2: (0, "one two"), 3: (1, "new text"), 4: (0, "one two"), None: (2, "One two"), 5: (2, " b c d")}
+    changed = {k: (n, len(tokenizer.encode(t, add_special_tokens=False).ids), len(t)) for k, (n, t) in want.items()}
+    assert got == changed
