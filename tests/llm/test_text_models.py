@@ -109,15 +109,47 @@ def test_language_model_query(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_scores_follow_the_whole_model(spark):
+    """Scores against tables seated pair by pair over plain counts of the whole corpus, whatever the places."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").limit(40).collect()]
+    rows = {r.doc_id: r.score for r in language_model.score(edge_docs(spark, docs), shard_pairs=700, wide=30).collect()}
+    texts, flat, hashes = {d: words_of(t or "") for d, t in docs}, {}, word_table(pa.array([t for _, t in docs]))
+    for (d, _), a, b in zip(docs, hashes[2], hashes[2][1:], strict=False):
+        flat[d] = [int(h) for h in hashes[0][a:b]]
+        assert len(flat[d]) == len(texts[d])
+    end, start, mix = int(language_model.END), int(language_model.START), lambda h: int(language_model.mix(np.array([h], np.uint64))[0])
+    pairs = {d: list(zip([start, *map(mix, f)], [*f, end], strict=True)) for d, f in flat.items()}
+    train = [p for d in pairs if zlib.crc32(str(d).encode()) % 5 != 1 for p in pairs[d]]
+    count, customers, unigram = collections.Counter(train), collections.Counter(u for u, _ in train), collections.Counter(w for _, w in train)
+    every = sorted({p for d in pairs for p in pairs[d]})
+    root = dict(zip([w for _, w in every], language_model.root_probability(np.array([unigram[w] for _, w in every]), len(train), len(unigram)), strict=True))
+    stirling, theta, discount = language_model.stirling_table(language_model.DISCOUNT), language_model.CONCENTRATION, language_model.DISCOUNT
+    one = lambda x, kind: np.array([x], kind)
+    tables, p = {}, collections.Counter()
+    for sweep in range(language_model.BURN + language_model.SAMPLES):
+        x = {u: float(language_model.scale(sweep, one(u, np.uint64), one(customers[u], np.int64), one(tables[u], float) if tables else None)[0]) for u in {u for u, _ in every}}
+        t = {(u, w): int(language_model.draw_tables(one(count[u, w], np.int64), one(discount * x[u] * root[w], float), one(mix(u ^ mix(w)), np.uint64), sweep, stirling)[0]) for u, w in every}
+        assert all((count[q] > 0) <= t[q] <= count[q] for q in every)
+        tables = {u: 0 for u in x}
+        for (u, _), k in t.items():
+            tables[u] += k
+        if sweep >= language_model.BURN:
+            for u, w in every:
+                p[u, w] += (count[u, w] - discount * t[u, w] + (theta + discount * tables[u]) * root[w]) / (theta + customers[u]) / language_model.SAMPLES
+    for d, q in pairs.items():
+        assert math.isclose(rows[d], sum(math.log10(p[x]) for x in q), rel_tol=1e-9)
+
+
 def test_language_model_cases(spark, monkeypatch):
     docs = edge_docs(spark)
     rows = language_model.score(docs).collect()
     check_language_model(rows, edge_texts())
     assert language_model.score(empty_docs(spark)).collect() == []
-    # small restaurants and shards: contexts split by the word before them, work spread over many shards
-    monkeypatch.setattr(language_model, "CUSTOMERS", 20)
-    monkeypatch.setattr(language_model, "SHARD_PAIRS", 500)
-    check_language_model(language_model.score(docs).collect(), edge_texts())
+    # small chunks and shards, and restaurants whose words lie in many places: the same scores
+    monkeypatch.setattr(language_model, "CHUNK_BYTES", 2000)
+    again = language_model.score(docs, shard_pairs=500, wide=20).collect()
+    told = lambda rows: sorted((str(r.doc_id), r.n_tokens, r.base_score, r.score) for r in rows)
+    assert np.allclose([r[2:] for r in told(again)], [r[2:] for r in told(rows)], rtol=1e-12, atol=0)
     nothing = language_model.score(edge_docs(spark, [(d, "a b") for d in range(200) if zlib.crc32(str(d).encode()) % 5 == 1])).collect()
     assert {(r.train_tokens, r.n_known, round(r.score, 9)) for r in nothing} == {(0, 0, 0.0)}
 
@@ -132,7 +164,8 @@ def test_restaurant_probabilities_sum_to_one(seed):
     c = rng.poisson(rng.choice([0, 0.3, 3, 90], (groups, 1)), (groups, words + 1))
     c[:, -1] = 0
     c[0] = 0
-    p = language_model.predictive(group, groups, c.ravel(), np.tile(root, groups), seed)
+    contexts, words = rng.integers(1, 1 << 62, groups).astype(np.uint64), np.tile(rng.integers(1, 1 << 62, words + 1).astype(np.uint64), groups)
+    p = language_model.predictive(contexts, c.sum(axis=1), group, words, c.ravel(), np.tile(root, groups))
     assert np.allclose(np.bincount(group, p), 1)
     assert (p > 0).all()
 
@@ -142,15 +175,32 @@ def test_stirling_numbers_and_tables():
     table = language_model.stirling_table(d, 6)
     # S(3, t): seat three customers; weights are products of sizes less d
     assert np.allclose(np.exp(table[3, 1:4]), [(1 - d) * (2 - d), 3 * (1 - d), 1])
-    # the sampler's tables follow their exact conditional
+    # the sampler's tables follow their exact conditional, the gamma variable its distribution
     rng, n = np.random.default_rng(3), 20_000
-    c, root, total = np.full(n, 3), np.full(n, 0.2), np.full(n, 4)
-    t = language_model.resample(c, np.ones(n, np.int64), np.arange(n), root, total, language_model.stirling_table(language_model.DISCOUNT), rng)
-    theta, others = language_model.CONCENTRATION, 3
-    weight = [0.2**k * np.prod([theta + d * (others + i) for i in range(k)]) * math.exp(table[3, k]) for k in (1, 2, 3)]
+    keys = rng.integers(1, 1 << 62, n).astype(np.uint64)
+    t = language_model.draw_tables(np.full(n, 3), np.full(n, 0.7), keys, 2, language_model.stirling_table(language_model.DISCOUNT))
+    weight = [0.7**k * math.exp(table[3, k]) for k in (1, 2, 3)]
     assert np.allclose(np.bincount(t, minlength=4)[1:] / n, np.array(weight) / sum(weight), atol=0.015)
-    seats = language_model.seat(np.array([0, 1, 500, 3]), np.full(4, 2.0), d, rng)
-    assert seats[0] == 0 and seats[1] == 1 and 1 <= seats[3] <= 3 and 1 < seats[2] < 500
+    for shape in (1.25, 7.0, 300.0):
+        x = language_model.gamma(np.full(n, shape), keys, 1)
+        assert math.isclose(x.mean(), shape, rel_tol=0.04) and math.isclose(x.var(), shape, rel_tol=0.08)
+    # x and one word's tables by turns keep to the law of tables with x integrated out
+    theta, root, stirling = language_model.CONCENTRATION, np.full(n, 0.2), language_model.stirling_table(language_model.DISCOUNT)
+    t = np.ones(n, np.int64)
+    for sweep in range(1, 30):
+        x = language_model.scale(sweep, keys, np.full(n, 5), t.astype(float))
+        t = language_model.draw_tables(np.full(n, 5), d * x * root, language_model.mix(keys), sweep, stirling)
+    weight = np.array([0.2**k * np.prod([theta + d * i for i in range(k)]) * math.exp(stirling[5, k]) for k in range(1, 6)])
+    assert np.allclose(np.bincount(t, minlength=6)[1:] / n, weight / weight.sum(), atol=0.015)
+    # seated in stretches: about as many tables as one customer after another gives
+    draws = lambda at, n: rng.random(len(at))
+    seats = language_model.seat(np.array([0, 1, 5000, 3]), np.full(4, 2.0), d, draws)
+    assert seats[0] == 0 and seats[1] == 1 and 1 <= seats[3] <= 3
+    many = language_model.seat(np.full(400, 5000), np.full(400, 2.0), d, draws).mean()
+    plain = np.ones(400)
+    for k in range(1, 5000):
+        plain += rng.random(400) * (2 + k - d * plain) < 2
+    assert math.isclose(many, plain.mean(), rel_tol=0.05)
 
 
 def capital(key):
