@@ -165,7 +165,9 @@ def test_restaurant_probabilities_sum_to_one(seed):
     c[:, -1] = 0
     c[0] = 0
     contexts, words = rng.integers(1, 1 << 62, groups).astype(np.uint64), np.tile(rng.integers(1, 1 << 62, words + 1).astype(np.uint64), groups)
-    p = language_model.predictive(contexts, c.sum(axis=1), group, words, c.ravel(), np.tile(root, groups))
+    customers, root = c.sum(axis=1), np.tile(root, groups)
+    sums, all_sums = language_model.seatings(contexts, customers, group, words, c.ravel(), root)
+    p = language_model.predictive(c.ravel(), sums, all_sums[group], customers[group], root)
     assert np.allclose(np.bincount(group, p), 1)
     assert (p > 0).all()
 
