@@ -117,8 +117,10 @@ def test_scores_follow_the_whole_model(spark):
     for (d, _), a, b in zip(docs, hashes[2], hashes[2][1:], strict=False):
         flat[d] = [int(h) for h in hashes[0][a:b]]
         assert len(flat[d]) == len(texts[d])
-    end, start, mix = int(language_model.END), int(language_model.START), lambda h: int(language_model.mix(np.array([h], np.uint64))[0])
-    pairs = {d: list(zip([start, *map(mix, f)], [*f, end], strict=True)) for d, f in flat.items()}
+    mix = lambda h: int(language_model.mix(np.array([h], np.uint64))[0])
+    number = {h: k for k, h in enumerate(sorted({int(language_model.END), *(h for f in flat.values() for h in f)}))}
+    told = {d: [number[h] for h in [*f, int(language_model.END)]] for d, f in flat.items()}
+    pairs = {d: list(zip([0, *(k + 1 for k in f[:-1])], f, strict=True)) for d, f in told.items()}
     train = [p for d in pairs if zlib.crc32(str(d).encode()) % 5 != 1 for p in pairs[d]]
     count, customers, unigram = collections.Counter(train), collections.Counter(u for u, _ in train), collections.Counter(w for _, w in train)
     every = sorted({p for d in pairs for p in pairs[d]})
