@@ -1,11 +1,12 @@
 """Token counts that follow edits: a tree of segment counts per document, re-encoded only where edits touch it.
 
-A text is cut into segments at places where the vocabulary's pre-tokeniser always starts anew (before a space that a
-non-space follows). A segment's ids do not depend on its neighbours, so the count of a text is the sum over segments.
+A text is cut into segments at places where the vocabulary's pre-tokeniser always starts anew (before a space or line
+break that a non-space follows, but for the special token; a run without such places is one segment). A segment's ids do not depend on its neighbours, so the count of a text is the sum over segments.
 Segments are kept in blocks; a binary tree holds the characters and tokens of every subtree. An edit (place, characters
 to take out, characters to put in, in the text as earlier edits left it) goes down the tree to the blocks it touches;
 their text is changed, a block whose start is no safe place any more is joined with the block before it (the boundary
-context), only these blocks are encoded again, and the sums on the paths to the root are updated.
+context), only these blocks are encoded again, and the sums on the paths to the root are updated. A block that edits made
+longer than twice ``BLOCK`` is cut anew and the tree is built over the new blocks.
 
 The edit log of a document is applied in order inside one row's task; the documents' logs are joined by doc_id. A log is
 one list, as edits depend on one another.
@@ -18,6 +19,7 @@ replacement; empty tables give an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,6 +32,8 @@ from clauselake.llm.common import arrow_map, text_of
 
 #: characters of a block, about
 BLOCK = 160
+#: a place where the ids of a text begin anew, whatever stands before it
+CUT = re.compile(r"[ \n](?=\S)(?!<\|endoftext\|>)")
 _COUNTS = "doc_id long, n_edits int, tokens_before long, tokens_after long, chars_after long, chars_encoded long"
 
 
@@ -37,14 +41,17 @@ class CountTree:
     """Characters and tokens of a text's blocks, with sums over a binary tree."""
 
     def __init__(self, encoder: tokens.Encoder, blocks: list[str], counts: list[int]):
-        self.encoder, self.blocks = encoder, blocks
+        self.encoder, self.encoded = encoder, 0
+        self._build(blocks, counts)
+
+    def _build(self, blocks: list[str], counts: list[int]) -> None:
+        self.blocks = blocks
         self.size = 1 << max(0, (len(blocks) - 1).bit_length())
         self.chars, self.tokens = ([0] * (2 * self.size) for _ in range(2))
         self.chars[self.size : self.size + len(blocks)] = map(len, blocks)
         self.tokens[self.size : self.size + len(blocks)] = counts
         for node in range(self.size - 1, 0, -1):
             self._sum(node)
-        self.encoded = 0
 
     def _sum(self, node: int) -> None:
         self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
@@ -89,12 +96,20 @@ class CountTree:
             self._set(k, "", 0)
         # boundary context: a block must start at a safe place, unless it starts the text
         start = first
-        while changed and not tokens.CUT.match(changed) and (before := self._before(start)) >= 0:
+        while changed and not CUT.match(changed) and (before := self._before(start)) >= 0:
             changed = self.blocks[before] + changed
             self._set(start, "", 0)
             start = before
         self.encoded += len(changed)
-        self._set(start, changed, len(self.encoder.tokenizer.encode(changed, add_special_tokens=False).ids) if changed else 0)
+        pieces = blocks_of(changed) if len(changed) > 2 * BLOCK else [changed]
+        counts = [len(self.encoder.tokenizer.encode(p, add_special_tokens=False).ids) if p else 0 for p in pieces]
+        if len(pieces) == 1:
+            self._set(start, changed, counts[0])
+            return
+        known = self.tokens[self.size : self.size + len(self.blocks)]
+        blocks, tokens_of = [*self.blocks[:start], *pieces, *self.blocks[start + 1 :]], [*known[:start], *counts, *known[start + 1 :]]
+        held = [k for k, b in enumerate(blocks) if b]
+        self._build([blocks[k] for k in held], [tokens_of[k] for k in held])
 
     @property
     def total(self) -> tuple[int, int]:
@@ -105,7 +120,7 @@ def blocks_of(text: str, size: int = BLOCK) -> list[str]:
     """The text cut at safe places into blocks of about ``size`` characters."""
     out, at = [], 0
     while len(text) - at > size:
-        cut = tokens.CUT.search(text, at + size)
+        cut = CUT.search(text, at + size)
         if cut is None:
             break
         out.append(text[at : cut.start()])

@@ -154,6 +154,39 @@ def test_edits_in_any_order_and_place(encoder, plain):
             assert "".join(tree.blocks) == text
 
 
+def test_blocks_start_at_safe_places(plain):
+    rng = random.Random(5)
+    signs = ["a", "bc", "7", "'s", ".", " ", "\n", "\r", "\t", "\x85", "\xa0", "\x1c", "\u3000", "。", "甲", "<|endoftext|>", "é"]
+    for _ in range(400):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 60)))
+        blocks = token_counts.blocks_of(text, rng.choice([1, 3, 9]))
+        assert "".join(blocks) == text
+        assert sum(len(plain(b)) - 1 for b in blocks) == len(plain(text)) - 1, text
+
+
+def test_lines_without_spaces_are_cut(encoder, plain):
+    text = "\n".join(f"word{i}" for i in range(5000))
+    blocks = token_counts.blocks_of(text)
+    assert max(map(len, blocks)) <= token_counts.BLOCK + 10
+    tree = token_counts.CountTree(encoder, blocks, [len(plain(b)) - 1 for b in blocks])
+    tree.edit(20_000, 5, "other")
+    assert tree.total == (len(plain(text[:20_000] + "other" + text[20_005:])) - 1, len(text)) and tree.encoded < 4 * token_counts.BLOCK
+
+
+def test_blocks_that_grow_are_cut_anew(encoder, plain):
+    text, tree = "", token_counts.CountTree(encoder, [""], [0])
+    for i in range(2000):
+        text = text[: i * 7] + f"insert number {i % 7}\n"[i % 3 :] + text[i * 7 :]
+        tree.edit(i * 7, 0, f"insert number {i % 7}\n"[i % 3 :])
+    assert "".join(tree.blocks) == text and tree.total == (len(plain(text)) - 1, len(text))
+    assert max(map(len, tree.blocks)) <= 2 * token_counts.BLOCK
+    assert tree.encoded < 2000 * 2.5 * token_counts.BLOCK
+    tree.edit(0, len(text), "")
+    assert tree.total == (0, 0)
+    tree.edit(5, 3, "new text")
+    assert tree.total == (len(plain("new text")) - 1, 8)
+
+
 def test_edit_table_cases(spark, plain):
     edits = [(3, 1, 0, 2, "Zq "), (3, 1, 0, 2, "Zq "), (3, 2, 10**9, 5, "end"), (205, 1, -5, None, None), (999, 1, 0, 0, "x"), (4, 1, None, 1, "x"), (None, 1, 0, 1, "y"), (201, 1, 3, 3, "new text")]
     table = spark.createDataFrame(edits, "doc_id long, edit_no int, place long, length long, replacement string")
