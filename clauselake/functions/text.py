@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -70,10 +71,18 @@ def heading_pieces(text: Column) -> Column:
     return F.split(text, f"(?={_HEADING})")
 
 
-def heading_number(piece: Column) -> Column:
-    """Ordinal of the heading a piece starts with; null when it starts with none."""
-    raw = F.regexp_extract(piece, f"^{_HEADING}", 1)
-    return F.when(raw != "", clause_ordinal(raw))
+def heading_numbers(pieces: Column) -> Column:
+    """Ordinal of the heading each piece starts with; null when it starts with none.
+
+    The numerals are cut out first, so that a long piece is read once.
+    """
+    raws = F.transform(pieces, lambda piece: F.regexp_extract(piece, f"^{_HEADING}", 1))
+    return F.transform(raws, lambda raw: F.when(raw != "", clause_ordinal(raw)))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def accepted_starts(numbers: Column, max_jump: int = lx.MAX_HEADING_JUMP) -> Column:
@@ -103,9 +112,8 @@ def long_clause_pieces(clause: Column) -> Column:
     by_mark = F.split(clause, f"(?={lx.SUB_MARK})")
     lead = F.when(clause.rlike(f"^{lx.SUB_MARK}"), 1).otherwise(2)
     sentences = F.filter(F.split(clause, "[；。]"), lambda s: s.rlike(r"[^\x00-\x20]"))
-    return F.when(clause.rlike(lx.SUB_MARK), F.slice(by_mark, lead, F.greatest(F.size(by_mark), F.lit(1)))).otherwise(
-        sentences
-    )
+    # a clause has no more pieces than characters and one
+    return F.when(clause.rlike(lx.SUB_MARK), F.slice(by_mark, lead, F.length(clause) + 1)).otherwise(sentences)
 
 
 def replace_oversize(pieces: Column, clause: Column, limit: int = lx.MAX_CLAUSE_LEN) -> Column:
@@ -114,8 +122,8 @@ def replace_oversize(pieces: Column, clause: Column, limit: int = lx.MAX_CLAUSE_
         F.sequence(F.lit(0), F.floor((F.length(clause) - 1) / limit).cast("int")),
         lambda i: clause.substr(i * limit + 1, F.lit(limit)),
     )
-    oversize = (F.size(pieces) == 1) & (F.length(trim_ws(F.get(pieces, F.lit(0)))) > limit)
-    return F.when(oversize, cuts).otherwise(pieces)
+    oversize = lambda p: (F.size(p) == 1) & (F.length(trim_ws(F.get(p, F.lit(0)))) > limit)
+    return once(pieces, lambda p: F.when(oversize(p), cuts).otherwise(p))
 
 
 def split_long_clause(clause: Column) -> Column:
@@ -158,9 +166,9 @@ def is_splittable(cid: Column, body: Column, limit: int = lx.MAX_CLAUSE_LEN) ->
 
 def block_count(clause: Column, limit: int = lx.MAX_CLAUSE_LEN) -> Column:
     """How many sub-blocks ``split_long_clause`` gives."""
-    pieces = long_clause_pieces(clause)
-    alone = (F.size(pieces) == 1) & (F.length(trim_ws(F.get(pieces, F.lit(0)))) > limit)
-    return F.when(alone, F.ceil(F.length(clause) / limit).cast("int")).otherwise(F.size(pieces))
+    alone = lambda p: (F.size(p) == 1) & (F.length(trim_ws(F.get(p, F.lit(0)))) > limit)
+    cuts = F.ceil(F.length(clause) / limit).cast("int")
+    return once(long_clause_pieces(clause), lambda p: F.when(alone(p), cuts).otherwise(F.size(p)))
 
 
 def body_sizes(bodies: Column) -> Column:

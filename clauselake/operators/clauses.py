@@ -22,7 +22,7 @@ def with_bodies(docs: DataFrame, text: str, label: str) -> DataFrame:
     body = F.coalesce(c(text), F.lit(""))
     return (
         docs.withColumn("__pieces", tx.heading_pieces(body))
-        .withColumn("__numbers", F.transform("__pieces", tx.heading_number))
+        .withColumn("__numbers", tx.heading_numbers(c("__pieces")))
         .withColumn("__starts", tx.accepted_starts(c("__numbers")))
         .withColumn("bodies", tx.clause_bodies(body, name, c("__pieces"), c("__numbers"), c("__starts")))
         .withColumn("sizes", tx.body_sizes(c("bodies")))
