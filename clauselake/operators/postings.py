@@ -33,12 +33,12 @@ from clauselake.sources.buckets import bucket_of
 ship_by_value(__name__)
 
 #: bytes of text of a block about, which bound its postings, and chunks at most
-BLOCK_BYTES, BLOCK_CHUNKS = 16 << 20, 262_144
+BLOCK_BYTES, BLOCK_CHUNKS = 8 << 20, 262_144
 #: queries that are scored beside one copy of a block's postings: at least, unless there are fewer, and at most; (block,
 #: group) pairs up to which groups are made smaller, so that all cores have work; rows that are unpacked at once
 QUERY_GROUP, MOST_GROUP, WORK_PAIRS, ROWS_AT_ONCE = 512, 32_768, 64, 256
 #: blocks of a knowledge base beyond which blocks are skipped by their bounds, and blocks that are scored first
-PRUNE_FROM, SEED_BLOCKS = 8, 2
+PRUNE_FROM, SEED_BLOCKS = 16, 2
 #: partitions by term, and chunks for each further one
 LEAST_PARTS, MOST_PARTS, CHUNKS_PER_PART = 16, 1024, 50_000
 #: the partition of the blocks' heads
@@ -70,10 +70,12 @@ class PostingsIndex:
 def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Runs of 32-bit values as binary cells; a cell has the lowest bytes of its values, then the next higher ones."""
     size = np.diff(ends)
-    size, at = np.repeat(size, size), np.arange(len(values)) + np.repeat(3 * ends[:-1], size)
+    at = np.arange(len(values), dtype=np.int32) + np.repeat(3 * ends[:-1].astype(np.int32), size)
+    size = np.repeat(size.astype(np.int32), size)
     own, raw = np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4), np.empty(4 * len(values), np.uint8)
     for i in range(4):
-        raw[at + i * size] = own[:, i]
+        raw[at] = own[:, i]
+        at += size
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((4 * ends).astype("<i4").tobytes()), pa.py_buffer(raw)])
 
 
@@ -84,14 +86,23 @@ def _values(cell: bytes) -> np.ndarray:
 
 def _invert(table: pa.Table) -> pa.Table:
     """Postings and head of one block."""
-    table = table.take(pc.sort_indices(table.column("chunk_id"))).combine_chunks()
-    lists = table.column("tokens").combine_chunks() if isinstance(table.column("tokens"), pa.ChunkedArray) else table.column("tokens")
-    n = len(lists)
-    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    coded = lists.flatten().dictionary_encode()
-    pair = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + np.repeat(np.arange(n), lengths)
-    pair, counts = np.unique(pair, return_counts=True)
-    code, slots = pair // n, pair % n
+    # a block's tokens are most of what a task holds: nothing of their size is kept longer than needed or wider than it must be
+    table = table.take(pc.sort_indices(table.column("chunk_id")))
+    lists = table.column("tokens")
+    table, n = table.drop_columns(["tokens"]), len(lists)
+    lengths = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    coded = pa.chunked_array([c.flatten() for c in lists.chunks]).combine_chunks().dictionary_encode()
+    del lists
+    terms, pair = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    del coded
+    pair *= n
+    pair += np.repeat(np.arange(n, dtype=np.int32), lengths)
+    pair.sort()
+    first = np.flatnonzero(np.diff(pair, prepend=-1))
+    counts = np.diff(np.append(first, len(pair))).astype(np.int32)
+    pair = pair[first]
+    code, slots = (pair // n).astype(np.int32), (pair % n).astype(np.int32)
+    del first, pair
     starts = np.flatnonzero(np.diff(code, prepend=-1))
     ends = np.append(starts, len(code))
     gaps, k = np.diff(slots, prepend=0), len(starts)
@@ -100,8 +111,8 @@ def _invert(table: pa.Table) -> pa.Table:
     same = lambda v, kind, m: pa.array([v.as_py()] * m, kind)
     none = lambda kind, m: pa.nulls(m, kind)
     strings, numbers = pa.list_(pa.string()), pa.list_(pa.int32())
-    terms = [
-        same(kb, pa.string(), k), same(bucket, pa.int32(), k), coded.dictionary.take(pa.array(code[starts])).cast(pa.string()),
+    rows = [
+        same(kb, pa.string(), k), same(bucket, pa.int32(), k), terms.take(pa.array(code[starts])).cast(pa.string()),
         pa.array(np.diff(ends)), none(pa.int64(), k), pa.array(np.maximum.reduceat(counts, starts), pa.int32()),
         pa.array(np.minimum.reduceat(lengths[slots], starts), pa.int32()), _binary(gaps, ends), _binary(counts, ends),
         none(strings, k), none(strings, k), none(numbers, k),
@@ -112,7 +123,7 @@ def _invert(table: pa.Table) -> pa.Table:
         none(pa.int32(), 1), none(pa.int32(), 1), none(pa.binary(), 1), none(pa.binary(), 1), *ids, pa.array([lengths.tolist()], numbers),
     ]
     names = [f.strip().split(" ")[0] for f in POSTINGS.split(", ")]
-    return pa.concat_tables([pa.Table.from_arrays(terms, names), pa.Table.from_arrays(head, names)])
+    return pa.concat_tables([pa.Table.from_arrays(rows, names), pa.Table.from_arrays(head, names)])
 
 
 def block_postings(chunks: DataFrame, parts: int) -> DataFrame:
@@ -260,6 +271,7 @@ def _scores(
         for batch in batches:
             for row in (r for i in range(0, batch.num_rows, ROWS_AT_ONCE) for r in batch.slice(i, ROWS_AT_ONCE).to_pylist()):
                 if row["kind"] == 0:
+                    block = None  # the block before goes first
                     block = _Block(row, average, k1, b)
                 elif row["kind"] == 1:
                     block.add(row)
@@ -285,7 +297,7 @@ class _Block:
 
     def add(self, row: dict) -> None:
         slots, tf = np.cumsum(_values(row["gaps"]), dtype=np.int64), _values(row["counts"])
-        self.terms[row["term"]] = slots, tf / (tf + self.norm[slots])
+        self.terms[row["term"]] = slots.astype(np.int32), tf / (tf + self.norm[slots])
 
     def best(self, terms: list[dict], k: int) -> tuple[np.ndarray, np.ndarray]:
         """Slots and scores of the query's best chunks; slots ascend with the chunk ids, so ties keep their order."""

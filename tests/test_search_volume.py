@@ -56,3 +56,9 @@ def test_postings_are_small_numbers_byte_by_byte(spark):
     assert [every[s] for s in slots] == sorted(f"c{i}" for i in range(0, 3000, 700))
     values, ends = np.array([5, 70_000, 2**32 - 1, 0, 256]), np.array([0, 1, 1, 4, 5])
     assert [postings._values(c.as_py()).tolist() for c in postings._binary(values, ends)] == [[5], [], [70_000, 2**32 - 1, 0], [256]]
+
+
+def test_a_task_holds_a_block_of_eight_megabytes(spark):
+    """Blocks of 16 MB of text made a worker's memory half as large again."""
+    chunks = spark.range(900).selectExpr("CONCAT('c', id) AS chunk_id", "'k' AS kb_id", "CAST(NULL AS STRING) AS canonical_id", "REPEAT('alpha beta ', 1000) AS content")
+    assert postings.postings_index(chunks).most_blocks == 2
