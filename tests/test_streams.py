@@ -198,3 +198,22 @@ def test_counters_of_rounds_have_a_lifetime(spark, in_files):
     want = [(2, "s", 3), (6, "s", 3), (9, "s", 6)]
     assert _rows(session.every_nth_round(df).select("question_id", "session_id", "round_no")) == want
     assert _rows(jobs.drain(jobs.every_nth_round(in_files(df, ["turn"])), "test-lifetime")) == want
+
+
+def test_a_run_that_ends_has_no_call_for_each_key(spark, in_files, monkeypatch, tmp_path):
+    """Spark's keyed state took a call of Python for each key; a pass over sorted rows goes on from the memories written before."""
+    monkeypatch.setattr(jobs, "WHOLE_EVERY", 3)
+    rows = [(f"h{i % 300}", i * 1000) for i in range(4000)] + [("once", 5), (None, 7), (None, 8)]
+    texts = spark.createDataFrame(rows, "text_hash string, ts_us long")
+    job = jobs.first_sightings(in_files(texts, ["ts_us"], 8), 1 / 86400)
+    assert isinstance(job, jobs.Steps)
+    path = str(tmp_path / "sightings")
+    want, seen = [], {}
+    for key, at in sorted(rows, key=lambda r: r[1]):
+        if key not in seen or at - seen[key] >= 1_000_000:
+            seen[key] = at
+            want.append((key, at))
+    for _ in range(2):  # the second run goes on after the first and finds nothing new
+        assert sorted(map(tuple, jobs.drain(job, "unused", path).collect()), key=str) == sorted(want, key=str)
+    kept = spark.read.parquet(path).filter("kept = 'true'").groupBy("batch").count().collect()
+    assert {r["batch"]: r["count"] for r in kept}[6] == 302
