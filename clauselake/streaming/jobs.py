@@ -190,12 +190,14 @@ class Steps:
                 if held:
                     out, after = processor.step(key, {c: np.concatenate([h[c] for h in held]) if len(held) > 1 else held[0][c] for c in columns}, memory)
                     made.out.extend(out)
-                    made.kept.append((key, after))
+                    if all(k == k for k in key):
+                        made.kept.append((key, after))
                 elif every and memory is not None:
                     made.kept.append((key, memory))
 
             for batch in batches:
-                ids = list(zip(*[batch.column(k).to_pylist() for k in keys], strict=True))
+                # as in Spark's keyed state for Python, rows whose key lacks a number have nothing in common: NaN is no other NaN
+                ids = list(zip(*[[float("nan") if v is None and pa.types.is_integer(batch.column(k).type) else v for v in batch.column(k).to_pylist()] for k in keys], strict=True))
                 times, memories = batch.column("batch").to_pylist(), batch.column("memory")
                 known = {c: _plain(batch.column(f"_{c}")) for c in columns}
                 at = 0

@@ -217,3 +217,10 @@ def test_a_run_that_ends_has_no_call_for_each_key(spark, in_files, monkeypatch,
         assert sorted(map(tuple, jobs.drain(job, "unused", path).collect()), key=str) == sorted(want, key=str)
     kept = spark.read.parquet(path).filter("kept = 'true'").groupBy("batch").count().collect()
     assert {r["batch"]: r["count"] for r in kept}[6] == 302
+
+
+def test_marks_without_a_user_have_no_memory(spark, in_files):
+    rows = [(1, None, 1, "like", 10), (2, None, 1, "like", 20), (3, None, 1, "unlike", 30), (4, 7, 1, "like", 40), (5, 7, 1, "like", 50), (6, 7, 1, "unlike", 60)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, post_id long, action string, at long")
+    got = jobs.drain(jobs.guarded_marks(in_files(df, ["event_id"], 2), "like", "unlike"), "test-no-user")
+    assert [r["accepted"] for r in got.orderBy("event_id").collect()] == [True, True, False, True, False, True]
