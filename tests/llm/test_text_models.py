@@ -440,3 +440,20 @@ def test_rare_windows_keep_candidates_few(spark):
     assert held.join(rare, ["window", "reading"]).count() < 5000
     got = decontaminate.find(edge_docs(spark, docs), spark.createDataFrame(bench, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in got} >= {(500, 99), (1, 0), (60, 20)} and not any(100 <= r.doc_id < 140 for r in got)
+
+
+def test_pairs_of_wide_restaurants_are_sent_once(spark, monkeypatch):
+    """The rows that their sweeps read are those of the last seating, which sends the other restaurants' rows alone."""
+    sent = []
+    plain = language_model.pair_rows
+
+    def noted(*args, **kwargs):
+        rows = plain(*args, **kwargs)
+        sent.append(rows)
+        return rows
+
+    monkeypatch.setattr(language_model, "pair_rows", noted)
+    language_model.score(edge_docs(spark), shard_pairs=500, wide=20).collect()
+    entries = lambda rows: [(r.chunk, r.shard, u) for r in rows.collect() for u in np.cumsum(language_model._unpack(r.contexts, np.uint64), dtype=np.uint64).tolist()]
+    found = [set(entries(rows)) for rows in sent]
+    assert len(found) == 2 and all(found) and not found[0] & found[1]
