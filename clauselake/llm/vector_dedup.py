@@ -8,7 +8,10 @@ the partners of a home vector are in its cell. Pairs within a block's budget are
 double precision, and counted in the first block whose budget they meet.
 
 Cells are cut into tiles of bounded size, homes against all; a tile returns counts and one link for each vector, never
-its pairs. Equal vectors of one label are one class and are compared once.
+its pairs. Equal vectors of one label are one class and are compared once. Cells are counted first, from their keys
+alone, and made again when their rows go to the tiles: vectors are shuffled once, as floats where floats hold them, and
+not written. Homes and partners are cut by their own numbers, so a partner is sent once unless its cell has more than
+``TILE`` homes.
 
 Cases: a vector that is null, zero, or holds a null or non-finite component links with nothing, nor does one whose label
 or vec_id is null; vectors of different lengths never link; rows that repeat a vec_id count as other vectors to one
@@ -25,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauselake.llm.common import staged
+from clauselake.llm.common import small_side, staged
 from clauselake.llm.graph import components, local_star, whole_groups
 
 COSINE, BLOCKS, GRID = 0.93, 4, 2
-#: vectors of one side of a tile, and home vectors compared at once
-TILE, SLAB = 4096, 256
+#: vectors of one side of a tile, and home vectors and partners compared at once
+TILE, SLAB, STRETCH = 16_384, 256, 4096
+#: cells up to which their numbers of tiles are sent to every task
+FEW_CELLS = 100_000
 _CELLS = "dim int, label long, block int, c0 int, c1 int, home boolean, id long, weight long, vector binary"
 _KEYS = ["dim", "label", "block", "c0", "c1"]
 
@@ -45,8 +50,20 @@ def block_edges(dim: int, blocks: int = BLOCKS) -> np.ndarray:
     return np.linspace(0, dim, min(blocks, dim) + 1).astype(int)
 
 
+def packed(rows: np.ndarray) -> list[bytes]:
+    """Each row as floats where they hold it exactly, else as doubles."""
+    with np.errstate(over="ignore"):
+        small = rows.astype(np.float32)
+    exact = (small == rows).all(axis=1)
+    return [(f if e else r).tobytes() for f, r, e in zip(small, rows, exact.tolist(), strict=True)]
+
+
 def unit_rows(raw: list[bytes], dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(-1, dim)
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+    x = np.empty((len(raw), dim))
+    for kind in (np.float32, np.float64):
+        at = np.flatnonzero(sizes == dim * np.dtype(kind).itemsize)
+        x[at] = np.frombuffer(b"".join([raw[i] for i in at.tolist()]), kind).reshape(-1, dim)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # lengths of very large or small components neither overflow nor vanish
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
@@ -61,7 +78,7 @@ def cell_rows(classes: DataFrame, cosine: float) -> DataFrame:
                 part = batch.filter(pa.array(dims == dim))
                 lists = part.column("embedding")
                 raw = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-                vectors = [r.tobytes() for r in raw]
+                vectors = packed(raw)
                 turned = unit_rows(vectors, dim) @ rotation(dim)
                 edges = block_edges(dim)
                 radius = np.sqrt((2 - 2 * cosine) / (len(edges) - 1)) + 1e-9
@@ -83,17 +100,24 @@ def cell_rows(classes: DataFrame, cosine: float) -> DataFrame:
     return classes.mapInArrow(place, _CELLS)
 
 
+def tile_rows(cells: DataFrame) -> DataFrame:
+    """The rows of each tile (i, j) of a cell: homes (``left``) and their partners."""
+    sizes = cells.groupBy(*_KEYS).agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).filter("n > 1 AND homes > 0")
+    sizes = sizes.select(*_KEYS, F.ceil(F.col("homes") / TILE).alias("home_tiles"), F.ceil(F.col("n") / TILE).alias("tiles"))
+    sizes = small_side(staged(sizes, "cell-sizes"), FEW_CELLS)
+    rows, own = cells.join(sizes, _KEYS), F.xxhash64("id")
+    every = lambda tiles: F.sequence(F.lit(0).cast("long"), F.col(tiles) - 1)
+    # a home row meets all tiles of partners, every row is a partner of all home tiles; each row is made once for both
+    places = F.transform(every("home_tiles"), lambda i: F.struct(i.alias("i"), F.pmod(own, F.col("tiles")).alias("j"), F.lit(False).alias("left")))
+    homes = F.transform(every("tiles"), lambda j: F.struct(F.pmod(own, F.col("home_tiles")).alias("i"), j.alias("j"), F.lit(True).alias("left")))
+    places = F.when(F.col("home"), F.concat(places, homes)).otherwise(places)
+    return rows.select(*_KEYS, "id", "weight", "vector", F.explode(places).alias("p")).select(*_KEYS, "p.*", "id", "weight", "vector")
+
+
 def tile_links(cells: DataFrame, cosine: float) -> DataFrame:
     """Of each tile: (a, b, weight): ``weight`` other vectors link with a there; b is the root of a's links in the tile."""
-    sizes = cells.groupBy(*_KEYS).agg(F.count("*").alias("n"), F.max("home").alias("any")).filter("n > 1 AND any")
-    sizes = sizes.select(*_KEYS, F.ceil(F.col("n") / TILE).alias("tiles"))
-    rows = cells.join(sizes, _KEYS).withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")))
-    every = F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)
-    # a home row meets all tiles of partners, every row is a partner of all home tiles
-    as_home = rows.filter("home").select(*_KEYS, F.col("own").alias("i"), F.explode(every).alias("j"), F.lit(True).alias("left"), "id", "weight", "vector")
-    as_partner = rows.select(*_KEYS, F.explode(every).alias("i"), F.col("own").alias("j"), F.lit(False).alias("left"), "id", "weight", "vector")
     keys = [*_KEYS, "i", "j"]
-    tiles = as_home.unionByName(as_partner).repartition(*keys).sortWithinPartitions(*keys)
+    tiles = tile_rows(cells).repartition(*keys).sortWithinPartitions(*keys)
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, group in whole_groups(batches, keys):
@@ -121,12 +145,12 @@ def one_tile(table: pa.Table, cosine: float) -> pa.RecordBatch | None:
     square = np.einsum("ij,ij->i", partners, partners)
     count = np.zeros(len(ids), np.int64)
     links = np.zeros((2, 0), np.int64)
-    for at in range(0, len(home), SLAB):
-        slab = home[at : at + SLAB]
+    for at, far in itertools.product(range(0, len(home), SLAB), range(0, len(other), STRETCH)):
+        slab, against = home[at : at + SLAB], slice(far, far + STRETCH)
         mine = turned[slab, from_:to]
-        gap = square[None, :] + np.einsum("ij,ij->i", mine, mine)[:, None] - 2 * mine @ partners.T
-        x, y = np.nonzero((gap <= share + 1e-9) & (ids[slab][:, None] < ids[other][None, :]))
-        x, y = slab[x], other[y]
+        gap = square[None, against] + np.einsum("ij,ij->i", mine, mine)[:, None] - 2 * mine @ partners[against].T
+        x, y = np.nonzero((gap <= share + 1e-9) & (ids[slab][:, None] < ids[other[against]][None, :]))
+        x, y = slab[x], other[against][y]
         if not len(x):
             continue
         for part in range(0, len(x), 200_000):  # verify exactly; earlier blocks have counted what meets their share
@@ -166,7 +190,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     # classes that share their smallest vec_id (a repeated vec_id) are told apart by numbers of their own
     number = F.xxhash64("key", "id", "dim")
     named = classes.select("dim", "label", number.alias("id"), "weight", "embedding")
-    found = staged(tile_links(staged(cell_rows(named, cosine), "cells"), cosine), "tile-links")
+    found = staged(tile_links(cell_rows(named, cosine), cosine), "tile-links")
     groups = components(found.select("a", "b").filter("a != b"))
     counts = found.groupBy("a").agg(F.sum("weight").alias("other"))
     classes = classes.select("key", "label", "embedding", "id", "weight", number.alias("number"))
